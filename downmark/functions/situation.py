@@ -1,4 +1,8 @@
-"""Column functions over a play table: bands, zones, keys, flags, shrinkage."""
+"""Column functions over a play table: bands, zones, keys, flags, shrinkage.
+
+Arguments are SQL expressions over the play columns (a column name is the usual
+one).  The ``*_sql`` forms give the text for use inside larger expressions.
+"""
 
 from __future__ import annotations
 
@@ -20,162 +24,213 @@ SHRINK_K = 60.0
 HIGH_CUT, MEDIUM_CUT = 0.50, 0.35
 ATTRIBUTION_GAP = 30  # thousandths
 EXPLOSIVE_PASS, EXPLOSIVE_RUSH = 15, 10
-KNEEL = r"(?i)\b(?:kneels|kneel down|takes a knee)\b"
+KNEEL = r"(?i)\\b(?:kneels|kneel down|takes a knee)\\b"
 
 
-def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def success_flag(down="down", distance="distance", gained="yards_gained") -> Column:
+    return F.expr(f"""coalesce(case when ({down}) is null then false
+        when ({down}) = 1 then ({gained}) >= 0.5D * ({distance})
+        when ({down}) = 2 then ({gained}) >= 0.7D * ({distance})
+        else ({gained}) >= ({distance}) end, false)""")
 
 
-def success_flag(down="down", distance="distance", gained="yards_gained") -> Column:
-    d, dist, got = col(down), col(distance), col(gained)
-    need = F.when(d == 1, dist * 0.5).when(d == 2, dist * 0.7).otherwise(dist * 1.0)
-    return F.coalesce(F.when(d.isNotNull(), got >= need), F.lit(False))
+def band_sql(distance="distance") -> str:
+    d = f"({distance})"
+    return f"case when {d} < 0 then null when {d} <= 3 then 'short' when {d} <= 7 then 'medium' when {d} > 7 then 'long' end"
 
 
 def distance_band(distance="distance") -> Column:
-    d = col(distance)
-    return F.when(d < 0, None).when(d <= 3, "short").when(d <= 7, "medium").when(d > 7, "long")
+    return F.expr(band_sql(distance))
+
+
+def zone_sql(ytg="yards_to_goal") -> str:
+    arms = " ".join(f"when ({ytg}) between {ZONE_LOW[z]} and {ZONE_HIGH[z]} then '{z}'" for z in ZONES)
+    return f"case {arms} end"
 
 
 def field_zone(ytg="yards_to_goal") -> Column:
-    y = col(ytg)
-    out = F.when(F.lit(False), "")
-    for zone in ZONES:
-        out = out.when(y.between(ZONE_LOW[zone], ZONE_HIGH[zone]), zone)
-    return out
+    return F.expr(zone_sql(ytg))
+
+
+def down_sql(down="down") -> str:
+    return f"case when ({down}) between 1 and 4 then concat('d', cast(cast(({down}) as int) as string)) end"
 
 
 def down_key(down="down") -> Column:
-    d = col(down)
-    return F.when(d.between(1, 4), F.concat(F.lit("d"), d.cast("int").cast("string")))
+    return F.expr(down_sql(down))
+
+
+def distance_key_sql(down="down", distance="distance") -> str:
+    return f"concat({down_sql(down)}, '_', {band_sql(distance)})"
 
 
 def distance_key(down="down", distance="distance") -> Column:
-    return F.concat(down_key(down), F.lit("_"), distance_band(distance))
+    return F.expr(distance_key_sql(down, distance))
+
+
+def bucket_sql(down="down", distance="distance", ytg="yards_to_goal", mark="") -> str:
+    return f"concat({down_sql(down)}, '_', {band_sql(distance)}, '_{mark}', {zone_sql(ytg)})"
 
 
 def bucket(down="down", distance="distance", ytg="yards_to_goal") -> Column:
     """``d3_medium_mid``; null when any part is outside the 60 keys."""
-    return F.concat(distance_key(down, distance), F.lit("_"), field_zone(ytg))
+    return F.expr(bucket_sql(down, distance, ytg))
 
 
 def pooled_key(down="down", distance="distance", ytg="yards_to_goal") -> Column:
-    return F.concat(distance_key(down, distance), F.lit("_~"), field_zone(ytg))
+    return F.expr(bucket_sql(down, distance, ytg, "~"))
+
+
+ELIGIBLE = (f"(is_pass or is_rush) and not is_special and not is_penalty_only and down is not null "
+            f"and distance is not null and yards_to_goal is not null "
+            f"and not coalesce(play_text, '') rlike '{KNEEL}'")
 
 
 def is_eligible() -> Column:
     """A called pass or run in a situation the buckets cover."""
-    kneel = F.coalesce(F.col("play_text"), F.lit("")).rlike(KNEEL)
-    return ((F.col("is_pass") | F.col("is_rush")) & ~F.col("is_special") & ~F.col("is_penalty_only")
-            & F.col("down").isNotNull() & F.col("distance").isNotNull()
-            & F.col("yards_to_goal").isNotNull() & ~kneel)
+    return F.expr(ELIGIBLE)
 
 
 def eligible(df: DataFrame) -> DataFrame:
-    return df.filter(is_eligible())
+    return df.filter(ELIGIBLE)
+
+
+EXPLOSIVE = (f"coalesce((is_pass and yards_gained >= {EXPLOSIVE_PASS}) "
+             f"or (is_rush and yards_gained >= {EXPLOSIVE_RUSH}), false)")
 
 
 def explosive() -> Column:
-    y = F.col("yards_gained")
-    big = (F.col("is_pass") & (y >= EXPLOSIVE_PASS)) | (F.col("is_rush") & (y >= EXPLOSIVE_RUSH))
-    return F.coalesce(big, F.lit(False))
+    return F.expr(EXPLOSIVE)
 
 
-def recency_weight(reference, half_life, season="season") -> Column:
+def recency_sql(reference, half_life, season="season") -> str:
     """Half-life decay; infinity keeps every season at full weight."""
-    if not isinstance(half_life, Column):
-        if half_life <= 0:
-            raise ValueError("half_life must be positive")
-        if math.isinf(half_life):
-            return F.lit(1.0)
-        half_life = F.lit(float(half_life))
-    ref = reference if isinstance(reference, Column) else F.lit(reference)
-    return F.pow(F.lit(0.5), (ref - col(season)) / half_life)
+    if isinstance(half_life, str):
+        return f"case when {half_life} = double('infinity') then 1.0D else power(0.5D, ({reference} - {season}) / {half_life}) end"
+    if half_life <= 0:
+        raise ValueError("half_life must be positive")
+    if math.isinf(half_life):
+        return "1.0D"
+    return f"power(0.5D, ({reference} - {season}) / {float(half_life)}D)"
+
+
+def recency_weight(reference, half_life, season="season") -> Column:
+    return F.expr(recency_sql(reference, half_life, season))
+
+
+def number(value) -> str:
+    """A double literal, infinity included; SQL text passes through."""
+    if isinstance(value, str):
+        return value
+    return "double('infinity')" if math.isinf(value) else f"{float(value)!r}D"
+
+
+def weight_sql(n="n", k=SHRINK_K) -> str:
+    size, kk = f"coalesce(double({n}), 0.0D)", number(k)
+    return (f"case when {kk} <= 0 then 1.0D when {kk} = double('infinity') or {size} <= 0 then 0.0D "
+            f"else {size} / ({size} + {kk}) end")
 
 
 def shrink_weight(n="n", k=SHRINK_K) -> Column:
-    size = F.coalesce(col(n).cast("double"), F.lit(0.0))
-    kk = k if isinstance(k, Column) else F.lit(float(k))
-    return (F.when(kk <= 0, 1.0)
-            .when((kk == F.lit(float("inf"))) | (size <= 0), 0.0)
-            .otherwise(size / F.greatest(size + kk, F.lit(1e-9))))
+    """n / (n + k); 1 when k is 0, 0 when k is infinite or n is 0."""
+    return F.expr(weight_sql(n, k))
+
+
+def shrink_sql(raw, weight, target) -> str:
+    r, w, t = f"({raw})", f"({weight})", f"({target})"
+    return f"case when {r} is null then {t} when {t} is null or {w} >= 1.0D then {r} else {w} * {r} + (1.0D - {w}) * {t} end"
 
 
 def shrink(raw, weight, target) -> Column:
-    r, w, t = col(raw), col(weight), col(target)
-    return (F.when(r.isNull(), t).when(t.isNull() | (w >= 1.0), r)
-            .otherwise(w * r + (1.0 - w) * t))
+    return F.expr(shrink_sql(raw, weight, target))
+
+
+def confidence_sql(weight="weight", high=HIGH_CUT, medium=MEDIUM_CUT) -> str:
+    return f"case when ({weight}) >= {high} then 'high' when ({weight}) >= {medium} then 'medium' else 'low' end"
 
 
 def confidence(weight="weight", high=HIGH_CUT, medium=MEDIUM_CUT) -> Column:
-    w = col(weight)
-    return F.when(w >= high, "high").when(w >= medium, "medium").otherwise("low")
+    return F.expr(confidence_sql(weight, high, medium))
 
 
-def thousandths(rate) -> Column:
-    return F.floor(col(rate) * 1000 + 0.5).cast("int")
+def attribute_sql(rate="rate", league="league_rate", weight="weight") -> str:
+    mil = lambda x: f"floor(({x}) * 1000 + 0.5D)"
+    return (f"coalesce(({weight}) >= {MEDIUM_CUT} and abs({mil(rate)} - {mil(league)}) >= {ATTRIBUTION_GAP}, false)")
 
 
 def can_attribute(rate="rate", league="league_rate", weight="weight") -> Column:
-    gap = F.abs(thousandths(rate) - thousandths(league))
-    return F.coalesce((confidence(weight) != "low") & (gap >= ATTRIBUTION_GAP), F.lit(False))
+    """May the number be named after the team?  Whole thousandths, so exact."""
+    return F.expr(attribute_sql(rate, league, weight))
 
 
 def printed_rate(rate="rate", league="league_rate", weight="weight") -> Column:
-    return F.when(can_attribute(rate, league, weight), col(rate)).otherwise(col(league))
+    return F.expr(f"case when {attribute_sql(rate, league, weight)} then {rate} else {league} end")
+
+
+def score_band_sql(diff="score_diff") -> str:
+    s = f"({diff})"
+    return (f"case when {s} <= -9 then 'behind_9plus' when {s} < 0 then 'behind_1to8' when {s} = 0 then 'tied' "
+            f"when {s} <= 8 then 'ahead_1to8' when {s} > 8 then 'ahead_9plus' end")
 
 
 def score_band(diff="score_diff") -> Column:
-    s = col(diff)
-    return (F.when(s <= -9, "behind_9plus").when(s < 0, "behind_1to8").when(s == 0, "tied")
-            .when(s <= 8, "ahead_1to8").when(s > 8, "ahead_9plus"))
+    return F.expr(score_band_sql(diff))
+
+
+def phase_sql(period="period", clock="clock_seconds") -> str:
+    q, c = f"({period})", f"({clock})"
+    return (f"case when {q} is null or {c} is null then null when {q} > 4 then 'overtime' "
+            f"when {q} = 4 and {c} <= 120 then 'last_2min' when {q} = 4 and {c} <= 300 then 'last_5min' "
+            f"when {q} = 4 then 'fourth' when {q} = 2 and {c} <= 120 then 'half_2min' else 'ordinary' end")
 
 
 def phase(period="period", clock="clock_seconds") -> Column:
-    q, c = col(period), col(clock)
-    return F.when(q.isNotNull() & c.isNotNull(), F.when(q > 4, "overtime")
-                  .when((q == 4) & (c <= 120), "last_2min").when((q == 4) & (c <= 300), "last_5min")
-                  .when(q == 4, "fourth").when((q == 2) & (c <= 120), "half_2min").otherwise("ordinary"))
+    return F.expr(phase_sql(period, clock))
+
+
+CONTEXT = f"concat({bucket_sql()}, '|', {score_band_sql()}, '|', {phase_sql()})"
 
 
 def context() -> Column:
     """Bucket, score band and game phase; null when any of them is unknown."""
-    return F.concat(bucket(), F.lit("|"), score_band(), F.lit("|"), phase())
+    return F.expr(CONTEXT)
+
+
+HISTORY_CONTEXT = """case when down between 1 and 4 and distance between 1 and 99 and distance <= yards_to_goal
+      and yards_to_goal between 1 and 99 and period between 1 and 4 and clock_seconds between 0 and 900 and score_diff is not null
+    then concat_ws('|', concat('d', cast(down as string)),
+      case when distance <= 3 then 'short' when distance <= 6 then 'medium' else 'long' end,
+      case when distance = yards_to_goal then 'goal' when yards_to_goal <= 20 then 'red' else 'open' end,
+      case when score_diff >= 9 then 'ahead' when score_diff <= -9 then 'behind' else 'close' end,
+      case when period = 4 and clock_seconds <= 300 then 'late' when period = 2 and clock_seconds <= 120 then 'half' else 'ordinary' end)
+    end"""
 
 
 def history_context() -> Column:
     """The coarser key of season profiles; impossible rows are null."""
-    d, dist, y, s = F.col("down"), F.col("distance"), F.col("yards_to_goal"), F.col("score_diff")
-    q, c = F.col("period"), F.col("clock_seconds")
-    valid = (d.between(1, 4) & dist.between(1, 99) & (dist <= y) & y.between(1, 99)
-             & q.between(1, 4) & c.between(0, 900) & s.isNotNull())
-    band = F.when(dist <= 3, "short").when(dist <= 6, "medium").otherwise("long")
-    area = F.when(dist == y, "goal").when(y <= 20, "red").otherwise("open")
-    score = F.when(s >= 9, "ahead").when(s <= -9, "behind").otherwise("close")
-    part = F.when((q == 4) & (c <= 300), "late").when((q == 2) & (c <= 120), "half").otherwise("ordinary")
-    key = F.concat_ws("|", F.concat(F.lit("d"), d.cast("string")), band, area, score, part)
-    return F.when(valid, key)
+    return F.expr(HISTORY_CONTEXT)
 
 
 def stamp(season="season", week="week") -> Column:
-    return F.coalesce(col(season), F.lit(0)) * 100 + F.coalesce(col(week), F.lit(0))
+    return F.expr(f"coalesce({season}, 0) * 100 + coalesce({week}, 0)")
 
 
-def logit(p) -> Column:
-    x = F.greatest(F.lit(0.001), F.least(F.lit(0.999), col(p)))
-    return F.log(x / (1 - x))
+def logit_sql(p) -> str:
+    x = f"greatest(0.001D, least(0.999D, {p}))"
+    return f"ln({x} / (1.0D - {x}))"
+
+
+def calibrated_sql(p, slope, intercept) -> str:
+    return f"1.0D / (1.0D + exp(-(({slope}) * {logit_sql(p)} + ({intercept}))))"
 
 
 def calibrated(p, slope, intercept) -> Column:
-    z = col(slope) * logit(p) + col(intercept)
-    return 1 / (1 + F.exp(-z))
+    return F.expr(calibrated_sql(p, slope, intercept))
 
 
 def sample_bin(n="n") -> Column:
-    x = col(n)
-    return (F.when(x < 30, None).when(x < 50, "30-49").when(x < 75, "50-74").when(x < 125, "75-124")
-            .when(x < 250, "125-249").when(x < 500, "250-499").when(x >= 500, "500+"))
+    return F.expr(f"""case when {n} < 30 then null when {n} < 50 then '30-49' when {n} < 75 then '50-74'
+        when {n} < 125 then '75-124' when {n} < 250 then '125-249' when {n} < 500 then '250-499' when {n} >= 500 then '500+' end""")
 
 
 def bucket_table(spark: SparkSession) -> DataFrame:
@@ -186,7 +241,12 @@ def bucket_table(spark: SparkSession) -> DataFrame:
         rows, "key string, dist_key string, down int, band string, zone string, distance int, yards_to_goal int")
 
 
+def neighbors(zone: str) -> tuple[str, ...]:
+    """The zone and the zones beside it."""
+    i = ZONES.index(zone)
+    return ZONES[max(0, i - 1):i + 2]
+
+
 def zone_neighbors(spark: SparkSession) -> DataFrame:
     """Each zone with itself and the zones beside it: 13 rows."""
-    rows = [(z, t) for i, z in enumerate(ZONES) for t in ZONES[max(0, i - 1):i + 2]]
-    return spark.createDataFrame(rows, "zone string, tzone string")
+    return spark.createDataFrame([(z, t) for z in ZONES for t in neighbors(z)], "zone string, tzone string")

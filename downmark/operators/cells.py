@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import situation as S
-from ..functions.numbers import ratio, rnd
+from ..functions.numbers import div, r
 
 RATES = ("pass", "success", "explosive")
 REFERENCE = 2050  # any fixed year: a decayed rate does not depend on it
@@ -20,124 +20,106 @@ REFERENCE = 2050  # any fixed year: a decayed rate does not depend on it
 def fine_cells(plays: DataFrame, team: str = "offense", by=("league",)) -> DataFrame:
     """Counts by team, down, band, zone and season."""
     return (S.eligible(plays)
-            .select(*by, F.col(team).alias("team"), "down", S.distance_band().alias("band"),
-                    S.field_zone().alias("zone"), "season", "is_pass", "success",
-                    S.explosive().alias("explosive"))
-            .filter(F.col("band").isNotNull() & F.col("zone").isNotNull() & F.col("down").between(1, 4))
+            .selectExpr(*by, f"{team} as team", "down", f"{S.band_sql()} as band", f"{S.zone_sql()} as zone", "season",
+                        "int(is_pass) as p", "int(success) as s", f"int({S.EXPLOSIVE}) as e")
+            .filter("band is not null and zone is not null and down between 1 and 4")
             .groupBy(*by, "team", "down", "band", "zone", "season")
-            .agg(F.count("*").alias("n"),
-                 F.sum(F.col("is_pass").cast("int")).alias("n_pass"),
-                 F.sum(F.col("success").cast("int")).alias("n_success"),
-                 F.sum(F.col("explosive").cast("int")).alias("n_explosive")))
+            .agg(F.count("*").alias("n"), F.sum("p").alias("n_pass"), F.sum("s").alias("n_success"),
+                 F.sum("e").alias("n_explosive")))
 
 
 def decayed(fine: DataFrame, half_life=1.0, by=("league",)) -> DataFrame:
     """One row per team and exact bucket with raw n and decayed sums."""
-    w = S.recency_weight(REFERENCE, half_life)
-    return (fine.withColumn("w", w).groupBy(*by, "team", "down", "band", "zone")
-            .agg(F.sum("n").alias("n"), F.sum("n_pass").alias("n_pass"),
-                 F.sum(F.col("n") * F.col("w")).alias("w_n"),
-                 *[F.sum(F.col(f"n_{r}") * F.col("w")).alias(f"w_{r}") for r in RATES]))
+    w = S.recency_sql(REFERENCE, half_life)
+    return (fine.groupBy(*by, "team", "down", "band", "zone")
+            .agg(F.sum("n").alias("n"), F.sum("n_pass").alias("n_pass"), F.expr(f"sum(n * {w}) as w_n"),
+                 *[F.expr(f"sum(n_{x} * {w}) as w_{x}") for x in RATES]))
 
 
-def _key(down="down", band="band", zone="zone") -> Column:
-    return F.concat(F.lit("d"), F.col(down).cast("string"), F.lit("_"), F.col(band), F.lit("_"), F.col(zone))
+KEY = "concat('d', string(down), '_', band, '_', zone)"
+DIST = "concat('d', string(down), '_', band)"
+SUMS = ("n", *RATES)
 
 
-def _rates(prefix: str = "w_", suffix: str = "") -> list[Column]:
-    return [rnd(ratio(F.col(f"{prefix}{r}{suffix}"), F.col(f"{prefix}n{suffix}")), 4).alias(f"{r}_rate{suffix}")
-            for r in RATES]
+def _rate(x: str, tail: str = "") -> str:
+    return r(div(f"w_{x}{tail}", f"w_n{tail}"), 4)
 
 
 def rung_tables(cells: DataFrame, by=("league",)) -> DataFrame:
     """All rungs long: each cell feeds its exact key, the neighbouring zones'
     pooled keys, its distance key and the league's exact key, in one shuffle."""
-    d = F.concat(F.lit("d"), F.col("down").cast("string"), F.lit("_"), F.col("band"))
-    zones = list(S.ZONES)
-    near = F.array()
-    for i, z in enumerate(zones):
-        near = F.when(F.col("zone") == z, F.array(*[F.lit(t) for t in zones[max(0, i - 1):i + 2]])).otherwise(near)
-    exact = _key()
-    team = F.col("team")
-    feed = F.concat(
-        F.array(F.struct(F.lit(1).alias("rung"), team.alias("team"), exact.alias("key"))),
-        F.transform(near, lambda t: F.struct(F.lit(2).alias("rung"), team.alias("team"),
-                                             F.concat(d, F.lit("_~"), t).alias("key"))),
-        F.array(F.struct(F.lit(3).alias("rung"), team.alias("team"), d.alias("key")),
-                F.struct(F.lit(5).alias("rung"), F.lit(None).cast("string").alias("team"), exact.alias("key"))))
-    rows = cells.withColumn("f", F.explode(feed))
-    out = (rows.groupBy(*by, F.col("f.rung").alias("rung"), F.col("f.team").alias("team"), F.col("f.key").alias("key"))
-           .agg(F.sum("n").alias("sample_size"), F.sum("w_n").alias("w_n"),
-                *[F.sum(f"w_{r}").alias(f"w_{r}") for r in RATES]))
-    return out.select(*by, "rung", "team", "key", "sample_size", *_rates())
+    near = "map(" + ", ".join(
+        f"'{z}', array({', '.join(repr(t) for t in S.neighbors(z))})" for z in S.ZONES) + ")[zone]"
+    feed = f"""explode(concat(
+        array(named_struct('rung', 1, 'team', team, 'key', {KEY})),
+        transform({near}, t -> named_struct('rung', 2, 'team', team, 'key', concat({DIST}, '_~', t))),
+        array(named_struct('rung', 3, 'team', team, 'key', {DIST}),
+              named_struct('rung', 5, 'team', string(null), 'key', {KEY})))) as f"""
+    out = (cells.selectExpr(*by, "n", *[f"w_{x}" for x in SUMS], feed)
+           .selectExpr(*by, "n", *[f"w_{x}" for x in SUMS], "f.*").groupBy(*by, "rung", "team", "key")
+           .agg(F.sum("n").alias("sample_size"), *[F.sum(f"w_{x}").alias(f"w_{x}") for x in SUMS]))
+    return out.selectExpr(*by, "rung", "team", "key", "sample_size", *[f"{_rate(x)} as {x}_rate" for x in RATES])
 
 
 def league_cells(cells: DataFrame, by=("league",)) -> DataFrame:
-    """The league's exact-bucket rates."""
+    """The league's exact-bucket rates: at most 60 rows per league."""
     return (cells.groupBy(*by, "down", "band", "zone")
-            .agg(F.sum("n").alias("league_n"), F.sum("w_n").alias("w_n"),
-                 *[F.sum(f"w_{r}").alias(f"w_{r}") for r in RATES])
-            .select(*by, _key().alias("key"), "league_n",
-                    *[c.alias(f"l_{r}") for r, c in zip(RATES, _rates())]))
+            .agg(F.sum("n").alias("n"), F.sum("n_pass").alias("n_pass"), *[F.sum(f"w_{x}").alias(f"w_{x}") for x in SUMS])
+            .selectExpr(*by, f"{KEY} as key", "n as league_n", "n_pass", *[f"w_{x}" for x in SUMS],
+                        *[f"{_rate(x)} as l_{x}" for x in RATES]))
 
 
-def league_overall(cells: DataFrame, by=("league",)) -> DataFrame:
-    """The last-resort prior, and the undecayed global pass rate."""
-    return (cells.groupBy(*by)
-            .agg(F.sum("n").alias("overall_n"), F.sum("n_pass").alias("n_pass"), F.sum("w_n").alias("w_n"),
-                 *[F.sum(f"w_{r}").alias(f"w_{r}") for r in RATES])
-            .select(*by, "overall_n", ratio(F.col("n_pass"), F.col("overall_n")).alias("global_rate"),
-                    *[c.alias(f"o_{r}") for r, c in zip(RATES, _rates())]))
+def league_summary(cells: DataFrame, by=("league",)) -> DataFrame:
+    """One row per league: a map of its (at most 60) bucket rates, its overall
+    rates as the last-resort prior, and the undecayed global pass rate."""
+    entry = "struct(key, struct(league_n as n, l_pass as pass, l_success as success, l_explosive as explosive))"
+    return (league_cells(cells, by).groupBy(*by)
+            .agg(F.expr(f"map_from_entries(collect_list({entry})) as buckets"), F.sum("league_n").alias("overall_n"),
+                 F.sum("n_pass").alias("n_pass"), *[F.sum(f"w_{x}").alias(f"w_{x}") for x in SUMS])
+            .selectExpr(*by, "buckets", "overall_n", f"{div('n_pass', 'overall_n')} as global_rate",
+                        *[f"{_rate(x)} as o_{x}" for x in RATES]))
+
+
+TARGETS = "array(" + ", ".join(
+    f"named_struct('d', {d}, 'b', '{b}', 'z', '{z}', 'i', {i})"
+    for d in S.DOWNS for b in S.BANDS for i, z in enumerate(S.ZONES)) + ")"
+PLACE = "case zone " + " ".join(f"when '{z}' then {i}" for i, z in enumerate(S.ZONES)) + " end"
 
 
 def widened(cells: DataFrame, by=("league",)) -> DataFrame:
     """For every team and all 60 buckets: the sums of rungs 1, 2 and 3 side by side."""
-    targets = F.array(*[F.struct(F.lit(d).alias("td"), F.lit(b).alias("tb"), F.lit(z).alias("tz"), F.lit(i).alias("ti"))
-                        for d in S.DOWNS for b in S.BANDS for i, z in enumerate(S.ZONES)])
-    place = F.lit(0)
-    for i, z in enumerate(S.ZONES):
-        place = F.when(F.col("zone") == z, i).otherwise(place)
-    rows = cells.withColumn("zi", place).withColumn("t", F.explode(targets))
-    same = (F.col("t.td") == F.col("down")) & (F.col("t.tb") == F.col("band"))
-    hit = {1: same & (F.col("t.ti") == F.col("zi")), 2: same & (F.abs(F.col("t.ti") - F.col("zi")) <= 1), 3: same}
+    values = ["n", *[f"w_{x}" for x in SUMS]]
+    rows = (cells.selectExpr(*by, "team", *values, "down as sd", "band as sb", f"{PLACE} as si", f"explode({TARGETS}) as t")
+            .selectExpr(*by, "team", "t.d as down", "t.b as band", "t.z as zone", *values,
+                        "t.d = sd and t.b = sb as same", "abs(t.i - si) as step"))
+    hits = {1: "same and step = 0", 2: "same and step <= 1", 3: "same"}
     sums = []
-    for rung, flag in hit.items():
-        sums.append(F.sum(F.when(flag, F.col("n")).otherwise(0)).alias(f"n{rung}"))
-        for c in ("n", *RATES):
-            sums.append(F.sum(F.when(flag, F.col(f"w_{c}")).otherwise(0.0)).alias(f"w_{c}{rung}"))
-    return (rows.groupBy(*by, "team", F.col("t.td").alias("down"), F.col("t.tb").alias("band"), F.col("t.tz").alias("zone"))
-            .agg(*sums))
+    for rung, hit in hits.items():
+        sums.append(F.expr(f"sum(if({hit}, n, 0)) as n{rung}"))
+        sums += [F.expr(f"sum(if({hit}, w_{x}, 0.0D)) as w_{x}{rung}") for x in SUMS]
+    return rows.groupBy(*by, "team", "down", "band", "zone").agg(*sums)
 
 
-def answer(wide: DataFrame, league: DataFrame, overall: DataFrame, k=S.SHRINK_K, floor: int = S.MIN_SAMPLE,
-           by=("league",)) -> DataFrame:
+def answer(wide: DataFrame, league: DataFrame, k=S.SHRINK_K, floor: int = S.MIN_SAMPLE, by=("league",)) -> DataFrame:
     """Walk the rungs per (team, bucket) and shrink toward the league."""
-    df = (wide.withColumn("key", _key()).join(league, [*by, "key"], "left").join(overall, list(by), "left"))
-    rung = F.when(F.col("n1") >= floor, 1).when(F.col("n2") >= floor, 2).when(F.col("n3") >= floor, 3).otherwise(5)
-    df = df.withColumn("rung", rung)
-    size = F.coalesce(F.when(F.col("rung") == 1, F.col("n1")).when(F.col("rung") == 2, F.col("n2"))
-                      .when(F.col("rung") == 3, F.col("n3")).otherwise(F.col("league_n")), F.lit(0))
-    d = F.concat(F.lit("d"), F.col("down").cast("string"), F.lit("_"), F.col("band"))
-    matched = (F.when(F.col("rung") == 2, F.concat(d, F.lit("_~"), F.col("zone")))
-               .when(F.col("rung") == 3, d).otherwise(F.col("key")))
-    df = df.withColumn("sample_size", size).withColumn("matched_key", matched)
-    df = df.withColumn("shrink_weight", F.when(F.col("rung") == 5, 0.0)
-                       .otherwise(rnd(S.shrink_weight("sample_size", k), 4)))
-    for r in RATES:
-        raw = F.lit(None).cast("double")
-        for g in (1, 2, 3):
-            raw = F.when(F.col("rung") == g, rnd(ratio(F.col(f"w_{r}{g}"), F.col(f"w_n{g}")), 4)).otherwise(raw)
-        df = df.withColumn(f"{r}_raw", raw)
-        df = df.withColumn(f"league_{r}", F.coalesce(f"l_{r}", f"o_{r}"))
-        shrunk = S.shrink(f"{r}_raw", "shrink_weight", f"league_{r}")
-        df = df.withColumn(f"{r}_rate", rnd(shrunk, 4))
-    return df.select(
+    pick = ", ".join(f"{_rate(x, '{g}')} as {x}" for x in RATES)
+    arms = " ".join(f"when n{g} >= {floor} then struct({g} as rung, n{g} as n, {pick.replace('{g}', str(g))})" for g in (1, 2, 3))
+    nothing = "struct(5 as rung, null as n, null as pass, null as success, null as explosive)"
+    found = (wide.join(league, list(by), "left").selectExpr(
+        *by, "team", "down", "band", "zone", f"{KEY} as key", "n1", "n2", "n3", "global_rate",
+        f"buckets[{KEY}] as b", *[f"o_{x}" for x in RATES], f"case {arms} else {nothing} end as hit"))
+    sized = found.selectExpr(
+        *by, "team", "down", "band", "zone", "key", "n1", "n2", "n3", "global_rate", "hit.rung as rung",
+        "b.n as league_n", "b.pass as situation_rate", "coalesce(hit.n, b.n, 0) as sample_size",
+        f"case when hit.rung = 5 then 0.0D else {r(S.weight_sql('hit.n', k), 4)} end as shrink_weight",
+        f"case hit.rung when 2 then concat({DIST}, '_~', zone) when 3 then {DIST} else key end as matched_key",
+        *[f"hit.{x} as {x}_raw" for x in RATES], *[f"coalesce(b.{x}, o_{x}) as league_{x}" for x in RATES])
+    return sized.selectExpr(
         *by, "team", "key", "down", "band", "zone", "rung", "matched_key", "sample_size", "shrink_weight",
-        S.confidence("shrink_weight").alias("confidence"),
-        F.col("pass_raw").alias("pass_rate_raw"), F.col("league_pass").alias("league_pass_rate"),
-        "pass_rate", "success_rate", "explosive_rate", "success_raw", "explosive_raw", "league_success",
-        "league_explosive", "n1", "n2", "n3", "league_n", "global_rate",
-        F.col("l_pass").alias("situation_rate"))
+        f"{S.confidence_sql('shrink_weight')} as confidence", "pass_raw as pass_rate_raw", "league_pass as league_pass_rate",
+        *[f"{r(S.shrink_sql(f'{x}_raw', 'shrink_weight', f'league_{x}'), 4)} as {x}_rate" for x in RATES],
+        "success_raw", "explosive_raw", "league_success", "league_explosive", "n1", "n2", "n3", "league_n",
+        "global_rate", "situation_rate")
 
 
 def ladder(plays: DataFrame, half_life=1.0, k=S.SHRINK_K, by=("league",), team: str = "offense") -> DataFrame:
@@ -147,31 +129,30 @@ def ladder(plays: DataFrame, half_life=1.0, k=S.SHRINK_K, by=("league",), team:
 
 def ladder_of(fine: DataFrame, half_life=1.0, k=S.SHRINK_K, by=("league",)) -> DataFrame:
     cells = decayed(fine, half_life, by)
-    return answer(widened(cells, by), league_cells(cells, by), league_overall(cells, by), k, by=by)
+    return answer(widened(cells, by), league_summary(cells, by), k, by=by)
 
 
 def export_rows(answers: DataFrame, by=("league",)) -> DataFrame:
     """Shipped cells: 3-decimal rates and the attribution flag on rungs 1 to 3."""
-    df = (answers.filter(F.col("rung").isin(1, 2, 3) & F.col("pass_rate").isNotNull())
-          .withColumn("rate", rnd(F.col("pass_rate"), 3)).withColumn("league_rate", rnd(F.col("league_pass_rate"), 3)))
-    return df.select(*by, "team", "key", F.col("rate").alias("pass_rate"),
-                     rnd(F.col("pass_rate_raw"), 3).alias("pass_rate_raw"), "sample_size", "shrink_weight", "rung",
-                     S.can_attribute("rate", "league_rate", "shrink_weight").alias("can_attribute"),
-                     "league_rate", "confidence")
+    return (answers.filter("rung in (1, 2, 3) and pass_rate is not null")
+            .selectExpr(*by, "team", "key", f"{r('pass_rate', 3)} as pass_rate", f"{r('pass_rate_raw', 3)} as pass_rate_raw",
+                        "sample_size", "shrink_weight", "rung", f"{r('league_pass_rate', 3)} as league_rate", "confidence", "league_n")
+            .withColumn("can_attribute", S.can_attribute("pass_rate", "league_rate", "shrink_weight")))
+
+
+CELL = "struct(pass_rate, pass_rate_raw, sample_size, shrink_weight, rung, can_attribute)"
 
 
 def cell_bytes() -> Column:
     """Uncompressed size of one shipped cell as JSON text."""
-    return F.length(F.to_json(F.struct("pass_rate", "pass_rate_raw", "sample_size", "shrink_weight", "rung",
-                                       "can_attribute"))) + F.length("key") + 4
+    return F.expr(f"length(to_json({CELL})) + length(key) + 4")
 
 
 def export_documents(cells: DataFrame, by=("league",)) -> DataFrame:
     """One JSON document per team; a team never holds more than the 60 buckets."""
-    cell = F.struct("pass_rate", "pass_rate_raw", "sample_size", "shrink_weight", "rung", "can_attribute")
     return (cells.groupBy(*by, "team")
             .agg(F.count("*").alias("cells"),
-                 F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", cell.alias("cell")))))).alias("document")))
+                 F.expr(f"to_json(map_from_entries(sort_array(collect_list(struct(key, {CELL} as cell))))) as document")))
 
 
 def trim_to_budget(cells: DataFrame, usage: DataFrame, budget: int, by=("league",)) -> DataFrame:

@@ -1,26 +1,27 @@
 """Holdout splits and scores.
 
-The outcome is 0 or 1, so a prediction shared by ``plays`` plays with ``passes``
-successes has squared loss ``plays*p^2 - 2*p*passes + passes``.  Held-out plays
-are therefore counted per (team, bucket) once and every score, grid and band is
-computed on those counts.
+The outcome is 0 or 1, so a prediction p shared by ``plays`` plays of which
+``passes`` have outcome 1 has squared loss ``plays*p^2 - 2*p*passes + passes``.
+Held-out plays are therefore counted per (team, bucket) once, and every score,
+grid and band is computed on those counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import situation as S
-from ..functions.numbers import ratio, rnd
+from ..functions.numbers import div, r
 from ..scale import with_position
 from . import cells as C
 
+INF = float("inf")
 # Reported grids and cut pairs.
-K_GRID = (0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 350, 500, 750, 1000, 2000, float("inf"))
-K_JOINT = (0, 20, 50, 75, 100, 150, 250, 500, 1000, float("inf"))
+K_GRID = (0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 350, 500, 750, 1000, 2000, INF)
+K_JOINT = (0, 20, 50, 75, 100, 150, 250, 500, 1000, INF)
 EB_GRID = (0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 500, 1000)
-HALF_LIVES = (0.5, 1.0, 2.0, 3.0, 4.0, float("inf"))
+HALF_LIVES = (0.5, 1.0, 2.0, 3.0, 4.0, INF)
 ROUND_CANDIDATES = (40.0, 50.0, 60.0, 75.0, 100.0, 150.0, 200.0)
 CANDIDATE_CUTS = ((0.50, 0.35), (0.50, 0.25), (0.60, 0.35), (0.71, 0.45), (0.60, 0.45), (0.75, 0.50), (0.40, 0.20))
 SIGNAL_EPS = 0.03
@@ -30,130 +31,130 @@ PLATEAU = 0.0002
 
 def fine_k() -> list[float]:
     """0, infinity and 160 geometric steps from 1 to 5000, one decimal."""
-    steps = {round(10 ** (i * 3.6989700043360187 / 159), 1) for i in range(160)}
-    return sorted(steps | {0.0, float("inf")})
-
-
-def season_cut(counts: DataFrame, by=("league",)) -> DataFrame:
-    """The latest season of each group: what the outer holdout scores."""
-    return counts.groupBy(*by).agg(F.max("season").alias("cut"))
+    steps = {round(5000.0 ** (i / 159), 1) for i in range(160)}
+    return sorted(steps | {0.0, INF})
 
 
 def tail_cut(stamps: DataFrame, by=("league",), share: float = TAIL_SHARE) -> DataFrame:
     """Latest (season, week) whose tail still holds ``share`` of the plays.
 
     ``stamps`` has one row per week, so the window is small."""
-    tail = F.sum("n").over(W.partitionBy(*by).orderBy(F.col("stamp").desc())) / F.sum("n").over(W.partitionBy(*by))
+    late = W.partitionBy(*by).orderBy(F.col("stamp").desc())
+    tail = F.sum("n").over(late) / F.sum("n").over(W.partitionBy(*by))
     return (stamps.withColumn("tail", tail).filter(F.col("tail") >= share)
             .groupBy(*by).agg(F.max("stamp").alias("cut"), F.max_by("tail", "stamp").alias("share")))
 
 
 def holdout_counts(plays: DataFrame, team: str = "offense", by=("league",)) -> DataFrame:
     """Held-out plays per (team, bucket) with the count of each outcome."""
-    return (S.eligible(plays).select(*by, F.col(team).alias("team"), S.bucket().alias("key"), "is_pass", "success",
-                                     S.explosive().alias("explosive"))
-            .filter(F.col("key").isNotNull())
-            .groupBy(*by, "team", "key")
-            .agg(F.count("*").alias("plays"), F.sum(F.col("is_pass").cast("int")).alias("passes"),
-                 F.sum(F.col("success").cast("int")).alias("successes"),
-                 F.sum(F.col("explosive").cast("int")).alias("explosives")))
+    return (S.eligible(plays).selectExpr(*by, f"{team} as team", f"{S.bucket_sql()} as key", "int(is_pass) as p",
+                                         "int(success) as s", f"int({S.EXPLOSIVE}) as e")
+            .filter("key is not null").groupBy(*by, "team", "key")
+            .agg(F.count("*").alias("plays"), F.sum("p").alias("passes"), F.sum("s").alias("successes"),
+                 F.sum("e").alias("explosives")))
 
 
 def score_cells(answers: DataFrame, held: DataFrame, by=("league",)) -> DataFrame:
-    """Attach predictions and baselines.  A team the ladder never saw reads the
-    league's rate for the bucket."""
-    league = answers.groupBy(*by, "key").agg(
-        F.max("league_n").alias("b_n"), F.max("situation_rate").alias("b_rate"), F.max("league_pass_rate").alias("b_any"))
-    overall = answers.groupBy(*by).agg(F.max("global_rate").alias("b_global"))
-    df = (held.join(answers.drop("league_n", "situation_rate", "global_rate", "league_pass_rate"),
-                    [*by, "team", "key"], "left")
-          .join(league, [*by, "key"], "left").join(overall, list(by), "left"))
-    base = F.coalesce("b_rate", "b_global")
-    return df.select(
-        *by, "team", "key", "plays", "passes", "successes", "explosives",
-        F.coalesce("rung", F.lit(5)).alias("rung"),
-        F.coalesce("sample_size", "b_n", F.lit(0)).alias("sample_size"),
-        F.coalesce("shrink_weight", F.lit(0.0)).alias("weight"),
-        F.coalesce("confidence", F.lit("low")).alias("confidence"),
-        F.coalesce("pass_rate", "b_any").alias("pred"),
-        F.coalesce("pass_rate_raw", base).alias("raw"),
-        base.alias("base_situation"), F.col("b_global").alias("base_global"),
-        "success_raw", "explosive_raw", "league_success", "league_explosive")
-
-
-def loss(p, plays="plays", hits="passes") -> Column:
+    """Attach predictions and baselines to the held-out counts.
+
+    A team the ladder never saw reads the league's rate for the bucket."""
+    on = [*by, "team", "key"]
+    known = answers.select(*on, "rung", "sample_size", "shrink_weight", "confidence", "pass_rate", "pass_rate_raw",
+                           "success_raw", "explosive_raw", "league_success", "league_explosive")
+    league = (answers.groupBy(*by, "key").agg(
+        F.max("league_n").alias("b_n"), F.max("situation_rate").alias("b_rate"), F.max("league_pass_rate").alias("b_any"),
+        F.max("global_rate").alias("b_global")))
+    base = "coalesce(b_rate, b_global)"
+    return (held.join(known, on, "left").join(league, [*by, "key"], "left").selectExpr(
+        *on, "plays", "passes", "successes", "explosives", "coalesce(rung, 5) as rung",
+        "coalesce(sample_size, b_n, 0) as sample_size", "coalesce(shrink_weight, 0.0D) as weight",
+        "coalesce(confidence, 'low') as confidence", "coalesce(pass_rate, b_any) as pred",
+        f"coalesce(pass_rate_raw, {base}) as raw", f"{base} as base_situation", "b_global as base_global",
+        "success_raw", "explosive_raw", "league_success", "league_explosive"))
+
+
+def evaluate(plays: DataFrame, holdout: int, half_life=1.0, k=S.SHRINK_K, by=("league",), team="offense") -> DataFrame:
+    """Build on the seasons before ``holdout`` and score that season's plays."""
+    answers = C.ladder(plays.filter(f"season < {holdout}"), half_life, k, by, team)
+    return score_cells(answers, holdout_counts(plays.filter(f"season = {holdout}"), team, by), by)
+
+
+def loss(p, hits="passes", n="plays") -> str:
     """Total squared loss of one prediction over a cell."""
-    q, n, s = S.col(p), S.col(plays), S.col(hits)
-    return n * q * q - 2.0 * q * s + s
+    return f"({n} * ({p}) * ({p}) - 2.0D * ({p}) * {hits} + {hits})"
+
 
+def brier(p, hits="passes", n="plays") -> str:
+    return f"(sum({loss(p, hits, n)}) / sum({n}))"
 
-def brier(p, plays="plays", hits="passes") -> Column:
-    return F.sum(loss(p, plays, hits)) / F.sum(S.col(plays))
 
+def accuracy(p) -> str:
+    return f"(sum(case when ({p}) >= 0.5D then passes else plays - passes end) / sum(plays))"
 
-def accuracy(p, plays="plays", hits="passes") -> Column:
-    right = F.when(S.col(p) >= 0.5, S.col(hits)).otherwise(S.col(plays) - S.col(hits))
-    return F.sum(right) / F.sum(S.col(plays))
+
+def scores(scored: DataFrame, by=("league",)) -> DataFrame:
+    """Brier, accuracy and mean absolute distance from the league line."""
+    return scored.groupBy(*by).agg(
+        F.sum("plays").alias("n"), F.expr(f"{brier('pred')} as brier"), F.expr(f"{brier('raw')} as brier_raw"),
+        F.expr(f"{brier('base_situation')} as brier_situation"), F.expr(f"{brier('base_global')} as brier_global"),
+        F.expr(f"{accuracy('pred')} as accuracy"),
+        F.expr("sum(plays * abs(pred - base_situation)) / sum(plays) as mean_gap"))
 
 
 def reliability(scored: DataFrame, p="pred", by=("league",), hits="passes") -> DataFrame:
     """Ten fixed bins, half open except the last."""
-    slot = F.least(F.lit(9), F.floor(rnd(S.col(p) * 10, 9))).cast("int")
-    return (scored.withColumn("bin", slot).groupBy(*by, "bin")
-            .agg(F.sum("plays").alias("n"), (F.sum(S.col(p) * F.col("plays")) / F.sum("plays")).alias("predicted"),
-                 (F.sum(hits) / F.sum("plays")).alias("observed")))
+    return (scored.withColumn("bin", F.expr(f"int(least(9, floor({r(f'({p}) * 10', 9)})))")).groupBy(*by, "bin")
+            .agg(F.sum("plays").alias("n"), F.expr(f"sum({p} * plays) / sum(plays) as predicted"),
+                 F.expr(f"sum({hits}) / sum(plays) as observed")))
 
 
 def calibration_error(table: DataFrame, by=("league",)) -> DataFrame:
-    return table.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.abs(F.col("observed") - F.col("predicted"))) / F.sum("n")).alias("ece"))
+    return table.groupBy(*by).agg(F.sum("n").alias("n"),
+                                  F.expr("sum(n * abs(observed - predicted)) / sum(n) as ece"))
 
 
 def breakdown(scored: DataFrame, column: str, by=("league",)) -> DataFrame:
-    total = F.sum("n").over(W.partitionBy(*by))
     out = scored.groupBy(*by, column).agg(
-        F.sum("plays").alias("n"), brier("pred").alias("brier"), brier("base_situation").alias("brier_situation"),
-        brier("base_global").alias("brier_global"), accuracy("pred").alias("accuracy"))
-    return (out.withColumn("reach", F.col("n") / total)
-            .withColumn("skill", 1 - ratio(F.col("brier"), F.col("brier_situation"))))
+        F.sum("plays").alias("n"), F.expr(f"{brier('pred')} as brier"),
+        F.expr(f"{brier('base_situation')} as brier_situation"), F.expr(f"{brier('base_global')} as brier_global"),
+        F.expr(f"{accuracy('pred')} as accuracy"))
+    return out.selectExpr("*", f"n / sum(n) over (partition by {', '.join(by)}) as reach",
+                          f"1 - {div('brier', 'brier_situation')} as skill")
 
 
-def shrunk_at(k: Column, raw="raw", base="base_situation", n="sample_size") -> Column:
-    w = S.shrink_weight(n, k)
-    return w * S.col(raw) + (1.0 - w) * S.col(base)
+def shrunk_at(k: str, raw="raw", base="base_situation", n="sample_size") -> str:
+    w = S.weight_sql(n, k)
+    return f"({w}) * {raw} + (1.0D - ({w})) * {base}"
 
 
-def over_grid(scored: DataFrame, values, name: str) -> DataFrame:
-    """One copy of the counted cells per grid value."""
-    return scored.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+def over_grid(df: DataFrame, values, name: str) -> DataFrame:
+    """One copy of the counted rows per grid value."""
+    return df.withColumn(name, F.expr(f"explode(array({', '.join(S.number(v) for v in values)}))"))
 
 
 def k_curve(scored: DataFrame, grid=K_GRID, by=("league",), raw="raw", base="base_situation", hits="passes") -> DataFrame:
-    g = over_grid(scored, grid, "k")
-    return g.groupBy(*by, "k").agg(brier(shrunk_at(F.col("k"), raw, base), "plays", hits).alias("brier"),
-                                   F.sum("plays").alias("n"))
+    return over_grid(scored, grid, "k").groupBy(*by, "k").agg(
+        F.expr(f"{brier(shrunk_at('k', raw, base), hits)} as brier"), F.sum("plays").alias("n"))
 
 
 def best_of(curve: DataFrame, name: str, by=("league",)) -> DataFrame:
     """The grid value with the lowest score; the smaller value wins a tie."""
-    return curve.groupBy(*by).agg(
-        F.min_by(name, F.struct(rnd(F.col("brier"), 12), F.col(name))).alias(f"best_{name}"), F.min("brier").alias("brier"))
+    return curve.groupBy(*by).agg(F.expr(f"min_by({name}, struct({r('brier', 12)}, {name})) as best_{name}"),
+                                  F.min("brier").alias("brier"))
 
 
 def weight_curve(scored: DataFrame, steps: int = 100, by=("league",)) -> DataFrame:
     """Brier of blends ``w*pred + (1-w)*base`` for w = 0..1."""
-    g = over_grid(scored, [i / steps for i in range(steps + 1)], "w")
-    blend = F.col("w") * F.col("pred") + (1.0 - F.col("w")) * F.col("base_situation")
-    return g.groupBy(*by, "w").agg(brier(blend).alias("brier"), accuracy(blend).alias("accuracy"),
-                                   F.sum("plays").alias("n"))
+    blend = "w * pred + (1.0D - w) * base_situation"
+    return over_grid(scored, [i / steps for i in range(steps + 1)], "w").groupBy(*by, "w").agg(
+        F.expr(f"{brier(blend)} as brier"), F.expr(f"{accuracy(blend)} as accuracy"), F.sum("plays").alias("n"))
 
 
 def plateau(curve: DataFrame, width: float = PLATEAU, by=("league",)) -> DataFrame:
     """Range of finite k whose score is within ``width`` of the best."""
     low = F.min("brier").over(W.partitionBy(*by))
-    near = curve.withColumn("low", low).filter((F.col("brier") <= F.col("low") + width) & (F.col("k") < float("inf")))
-    return near.groupBy(*by).agg(F.min("k").alias("k_low"), F.max("k").alias("k_high"), F.count("*").alias("values"))
+    near = curve.withColumn("low", low).filter((F.col("brier") <= F.col("low") + width) & (F.col("k") < INF))
+    return near.groupBy(*by).agg(F.min("k").alias("k_low"), F.max("k").alias("k_high"), F.count("*").alias("candidates"))
 
 
 def pooled_regret(curve: DataFrame, by=("league",)) -> DataFrame:
@@ -162,28 +163,28 @@ def pooled_regret(curve: DataFrame, by=("league",)) -> DataFrame:
     return curve.withColumn("regret", F.col("brier") - low).groupBy("k").agg(F.sum("regret").alias("regret"))
 
 
+FAR = f"abs(pred - base_situation) > {SIGNAL_EPS}"
+
+
 def confidence_bands(scored: DataFrame, by=("league",)) -> DataFrame:
-    total = F.sum("n").over(W.partitionBy(*by))
-    far = F.abs(F.col("pred") - F.col("base_situation")) > SIGNAL_EPS
     out = scored.groupBy(*by, "confidence").agg(
-        F.sum("plays").alias("n"), (F.sum(F.col("weight") * F.col("plays")) / F.sum("plays")).alias("mean_weight"),
-        F.expr("percentile(sample_size, 0.5, plays)").alias("median_n"),
-        (F.sum(F.when(far, F.col("plays")).otherwise(0)) / F.sum("plays")).alias("says_else"),
-        brier("pred").alias("brier_shipped"), brier("raw").alias("brier_raw"), brier("base_situation").alias("brier_league"))
-    return out.withColumn("reach", F.col("n") / total)
+        F.sum("plays").alias("n"), F.expr("sum(weight * plays) / sum(plays) as mean_weight"),
+        F.expr("percentile(sample_size, 0.5D, plays) as median_n"),
+        F.expr(f"sum(if({FAR}, plays, 0)) / sum(plays) as says_else"), F.expr(f"{brier('pred')} as brier_shipped"),
+        F.expr(f"{brier('raw')} as brier_raw"), F.expr(f"{brier('base_situation')} as brier_league"))
+    return out.selectExpr("*", f"n / sum(n) over (partition by {', '.join(by)}) as reach")
 
 
 def cut_table(scored: DataFrame, cuts=CANDIDATE_CUTS, by=("league",)) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(h).alias("high"), F.lit(m).alias("medium")) for h, m in cuts])
-    g = scored.withColumn("cut", F.explode(pairs)).select("*", "cut.high", "cut.medium")
-    band = F.when(F.col("weight") >= F.col("high"), "high").when(F.col("weight") >= F.col("medium"), "medium").otherwise("low")
-    far = F.abs(F.col("pred") - F.col("base_situation")) > SIGNAL_EPS
-    out = g.withColumn("band", band).groupBy(*by, "high", "medium", "band").agg(
-        F.sum("plays").alias("n"), brier("raw").alias("brier_raw"), brier("base_situation").alias("brier_league"),
-        (F.sum(F.when(far, F.col("plays")).otherwise(0)) / F.sum("plays")).alias("says_else"))
-    total = F.sum("n").over(W.partitionBy(*by, "high", "medium"))
-    return out.withColumn("reach", F.col("n") / total).withColumn(
-        "raw_skill", 1 - ratio(F.col("brier_raw"), F.col("brier_league")))
+    """The band measures under every candidate pair of cut points."""
+    pairs = ", ".join(f"struct({h}D as high, {m}D as medium)" for h, m in cuts)
+    g = scored.selectExpr("*", f"inline(array({pairs}))").withColumn(
+        "band", F.expr("case when weight >= high then 'high' when weight >= medium then 'medium' else 'low' end"))
+    out = g.groupBy(*by, "high", "medium", "band").agg(
+        F.sum("plays").alias("n"), F.expr(f"{brier('raw')} as brier_raw"),
+        F.expr(f"{brier('base_situation')} as brier_league"), F.expr(f"sum(if({FAR}, plays, 0)) / sum(plays) as says_else"))
+    return out.selectExpr("*", f"n / sum(n) over (partition by {', '.join(by)}, high, medium) as reach",
+                          f"1 - {div('brier_raw', 'brier_league')} as raw_skill")
 
 
 def equal_count_bins(scored_plays: DataFrame, bins: int = 10, by=("league",), p="pred", id_col="play_id") -> DataFrame:
@@ -191,25 +192,23 @@ def equal_count_bins(scored_plays: DataFrame, bins: int = 10, by=("league",), p=
 
     Predictions carry four decimals, so (prediction, first hash byte) is an
     ordered block and no group has to be ranked in one task."""
-    df = (scored_plays.withColumn("_tie", F.md5(id_col))
-          .withColumn("_slot", F.floor(F.col(p) * 10000 + 0.5) * 256
-                      + F.conv(F.substring("_tie", 1, 2), 16, 10).cast("int")))
+    df = scored_plays.withColumn("_tie", F.md5(id_col)).withColumn(
+        "_slot", F.expr(f"bigint(floor({p} * 10000 + 0.5D)) * 256 + int(conv(substring(_tie, 1, 2), 16, 10))"))
     ranked = with_position(df, by, "_slot", [p, "_tie"], "_rank")
     total = scored_plays.groupBy(*by).agg(F.count("*").alias("_total"))
-    ranked = ranked.join(total, list(by))
-    slot = F.greatest(F.lit(1), F.ceil((F.col("_rank") - 1) * bins / F.greatest(F.col("_total") - 1, F.lit(1))))
-    return ranked.groupBy(*by, slot.cast("int").alias("decile")).agg(
+    slot = f"int(greatest(1, ceil((_rank - 1) * {bins} / greatest(_total - 1, 1))))"
+    return (ranked.join(total, list(by)).selectExpr("*", f"{slot} as decile").groupBy(*by, "decile").agg(
         F.count("*").alias("n"), F.min(p).alias("pred_lo"), F.max(p).alias("pred_hi"), F.avg(p).alias("predicted"),
-        F.avg(F.col("is_pass").cast("int")).alias("observed"))
-
-
-def split_by_season(fine: DataFrame, plays: DataFrame, season: int):
-    """Chronological split at a season: (fine cells before, plays of the season)."""
-    return fine.filter(F.col("season") < season), plays.filter(F.col("season") == season)
-
-
-def evaluate(plays: DataFrame, holdout: int, half_life=1.0, k=S.SHRINK_K, by=("league",)) -> DataFrame:
-    """Build on seasons before ``holdout`` and score that season's plays."""
-    train = plays.filter(F.col("season") < holdout)
-    test = plays.filter(F.col("season") == holdout)
-    return score_cells(C.ladder(train, half_life, k, by), holdout_counts(test, by=by), by)
+        F.expr("avg(int(is_pass)) as observed")))
+
+
+def signal_retention(answers: DataFrame, k: float, by=("league",)) -> DataFrame:
+    """Share of (team, bucket) cells still away from the league line, before and after shrinking at k."""
+    raw = "coalesce(pass_rate_raw, league_pass_rate)"
+    cells = answers.filter("situation_rate is not null").selectExpr(
+        *by, f"{raw} as raw", "situation_rate as base", "if(rung = 5, 0, sample_size) as n")
+    gap = f"abs({shrunk_at(S.number(k), 'raw', 'base', 'n')} - base)"
+    return cells.groupBy(*by).agg(
+        F.count("*").alias("cells"), F.expr(f"avg(int(abs(raw - base) > {SIGNAL_EPS})) as raw_share"),
+        F.expr(f"avg(int({gap} > {SIGNAL_EPS})) as shrunk_share"), F.expr("avg(abs(raw - base)) as raw_gap"),
+        F.expr(f"avg({gap}) as shrunk_gap"))

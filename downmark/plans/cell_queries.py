@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import situation as S
-from ..functions.numbers import ratio, rnd
+from ..functions.numbers import r
 from ..operators import cells as C
 from ..operators import scoring as P
 from .oracle import on_eligible, values
@@ -80,9 +80,9 @@ def rungs(spark, sf):
 @query("agg03_league_overall", on_eligible(ladder_ctes(), f"""
 SELECT league, sample_size AS overall_n, {r6('global_rate')} AS global_rate, pass_rate, success_rate, explosive_rate FROM ov"""))
 def overall(spark, sf):
-    return C.league_overall(C.decayed(C.fine_cells(plays(spark, sf)))).select(
-        "league", "overall_n", rnd(F.col("global_rate")).alias("global_rate"), F.col("o_pass").alias("pass_rate"),
-        F.col("o_success").alias("success_rate"), F.col("o_explosive").alias("explosive_rate"))
+    return C.league_summary(C.decayed(C.fine_cells(plays(spark, sf)))).selectExpr(
+        "league", "overall_n", f"{r('global_rate')} as global_rate", "o_pass as pass_rate", "o_success as success_rate",
+        "o_explosive as explosive_rate")
 
 
 LADDER_OUT = """SELECT league, team, key, rung, matched_key, sample_size, w AS shrink_weight, confidence, raw_pass AS pass_rate_raw,
@@ -120,11 +120,10 @@ FROM ov o CROSS JOIN keys k LEFT JOIN r5 l ON l.league = o.league AND l.down = k
 def baseline(spark, sf):
     df = plays(spark, sf).filter((F.col("season") <= 1998) & ~((F.col("down") == 4) & (F.col("yards_to_goal") < 20)))
     cells = C.decayed(C.fine_cells(df))
-    keys = F.array(*[F.lit(k[0]) for k in KEY_ROWS])
-    frame = C.league_overall(cells).withColumn("key", F.explode(keys))
-    return frame.join(C.league_cells(cells), ["league", "key"], "left").select(
-        "league", "key", F.coalesce("league_n", F.lit(0)).alias("sample_size"),
-        F.coalesce("l_pass", "o_pass").alias("pass_rate"), F.col("l_pass").isNull().alias("fell_back"))
+    keys = ", ".join(repr(k[0]) for k in KEY_ROWS)
+    return (C.league_summary(cells).selectExpr("league", "buckets", "o_pass", f"explode(array({keys})) as key")
+            .selectExpr("league", "key", "coalesce(buckets[key].n, 0) as sample_size",
+                        "coalesce(buckets[key].pass, o_pass) as pass_rate", "buckets[key] is null as fell_back"))
 
 
 EXPORT_CTES = f"""ex AS (SELECT league, team, key, {r6('pass_rate', 3)} AS pass_rate, {r6('raw_pass', 3)} AS pass_rate_raw, sample_size, w AS shrink_weight, rung,
@@ -135,7 +134,7 @@ shipped AS (SELECT *, confidence <> 'low' AND abs(floor(pass_rate*1000.0+0.5) -
 @query("src08_export_cells", on_eligible(ladder_ctes(), EXPORT_CTES, """
 SELECT league, team, key, pass_rate, pass_rate_raw, sample_size, shrink_weight, rung, can_attribute FROM shipped"""))
 def export(spark, sf):
-    return C.export_rows(C.ladder(plays(spark, sf))).drop("league_rate", "confidence")
+    return C.export_rows(C.ladder(plays(spark, sf))).drop("league_rate", "confidence", "league_n")
 
 
 @query("agg66_export_report", on_eligible(ladder_ctes(), EXPORT_CTES, """base AS (SELECT league, COUNT(*) AS baseline_buckets, 60 - COUNT(*) AS empty_buckets, SUM(CASE WHEN sample_size < 30 THEN 1 ELSE 0 END) AS thin FROM r5 GROUP BY league)""", """

@@ -26,29 +26,27 @@ SELECT play_id, CASE WHEN down = 4 OR distance = 12 OR yards_gained = -5 THEN fa
   WHEN down = 1 THEN yards_gained*10 >= distance*5 WHEN down = 2 THEN yards_gained*10 >= distance*7
   ELSE yards_gained >= distance END AS success FROM plays"""))
 def success(spark, sf):
-    df = (plays(spark, sf).withColumn("d", F.nullif("down", F.lit(4))).withColumn("t", F.nullif("distance", F.lit(12)))
-          .withColumn("g", F.nullif("yards_gained", F.lit(-5))))
-    return df.select("play_id", S.success_flag("d", "t", "g").alias("success"))
+    flag = S.success_flag("nullif(down, 4)", "nullif(distance, 12)", "nullif(yards_gained, -5)")
+    return plays(spark, sf).select("play_id", flag.alias("success"))
 
 
 @query("prj02_distance_band", on_plays(f"""
 SELECT play_id, {BAND.format(d='(NULLIF(distance, 12) - 2)')} AS band FROM plays"""))
 def band(spark, sf):
-    return plays(spark, sf).select("play_id", S.distance_band(F.nullif("distance", F.lit(12)) - 2).alias("band"))
+    return plays(spark, sf).select("play_id", S.distance_band("nullif(distance, 12) - 2").alias("band"))
 
 
 @query("prj03_field_zone", on_plays(f"""
 SELECT play_id, {ZONE.format(y='(yards_to_goal + 1 - 2*(yards_to_goal % 2))')} AS zone FROM plays"""))
 def zone(spark, sf):
-    y = F.col("yards_to_goal")
-    return plays(spark, sf).select("play_id", S.field_zone(y + 1 - 2 * (y % 2)).alias("zone"))
+    return plays(spark, sf).select("play_id", S.field_zone("yards_to_goal + 1 - 2 * (yards_to_goal % 2)").alias("zone"))
 
 
 @query("prj04_bucket", on_plays(f"""
 SELECT play_id, 'd' || down || '_' || ({BAND.format(d='(distance - 2)')}) || '_' || ({ZONE.format(y='(yards_to_goal - 1)')}) AS key FROM plays"""))
 def bucket(spark, sf):
     return plays(spark, sf).select(
-        "play_id", S.bucket("down", F.col("distance") - 2, F.col("yards_to_goal") - 1).alias("key"))
+        "play_id", S.bucket("down", "distance - 2", "yards_to_goal - 1").alias("key"))
 
 
 @query("prj05_widened_keys", on_eligible("""
@@ -59,7 +57,7 @@ def widened_keys(spark, sf):
         "play_id", S.pooled_key().alias("pooled"), S.distance_key().alias("by_distance"), S.down_key().alias("by_down"))
 
 
-ZONE_ROWS = [(z, t) for i, z in enumerate(S.ZONES) for t in S.ZONES[max(0, i - 1):i + 2]]
+ZONE_ROWS = [(z, t) for z in S.ZONES for t in S.neighbors(z)]
 
 
 @query("prj06_zone_neighbors", on_eligible(
@@ -120,8 +118,7 @@ def weight(spark, sf):
 SELECT league, offense, key, {r6('CASE WHEN n % 7 = 0 THEN league_rate WHEN n % 5 = 0 THEN raw ELSE w*raw + (1.0 - w)*league_rate END')} AS rate FROM j"""))
 def shrink(spark, sf):
     df = team_counts(spark, sf)
-    raw = F.when(F.col("n") % 7 != 0, F.col("raw"))
-    target = F.when((F.col("n") % 5 != 0) | (F.col("n") % 7 == 0), F.col("league_rate"))
+    raw, target = "if(n % 7 <> 0, raw, null)", "if(n % 5 <> 0 or n % 7 = 0, league_rate, null)"
     return df.select("league", "offense", "key", rnd(S.shrink(raw, "w", target)).alias("rate"))
 
 
@@ -160,7 +157,7 @@ SELECT play_id, CASE WHEN period + (down % 2) > 4 THEN 'overtime' WHEN period +
   WHEN period + (down % 2) = 4 AND clock_seconds <= 300 THEN 'last_5min' WHEN period + (down % 2) = 4 THEN 'fourth'
   WHEN period + (down % 2) = 2 AND clock_seconds <= 120 THEN 'half_2min' ELSE 'ordinary' END AS phase FROM plays"""))
 def phase(spark, sf):
-    return plays(spark, sf).select("play_id", S.phase(F.col("period") + F.col("down") % 2).alias("phase"))
+    return plays(spark, sf).select("play_id", S.phase("period + down % 2").alias("phase"))
 
 
 @query("prj26_context", on_eligible("""
@@ -186,7 +183,7 @@ def history_context(spark, sf):
 @query("prj31_stamp", on_plays("""
 SELECT COALESCE(season, 0) * 100 + COALESCE(NULLIF(week, 7), 0) AS stamp, COUNT(*) AS plays FROM plays GROUP BY 1"""))
 def stamp(spark, sf):
-    return (plays(spark, sf).groupBy(S.stamp("season", F.nullif("week", F.lit(7))).alias("stamp"))
+    return (plays(spark, sf).groupBy(S.stamp("season", "nullif(week, 7)").alias("stamp"))
             .agg(F.count("*").alias("plays")))
 
 
@@ -194,7 +191,7 @@ def stamp(spark, sf):
 SELECT league, offense, key, {r6("1.0 / (1.0 + exp(-(0.9 * ln(greatest(0.001, least(0.999, raw)) / (1.0 - greatest(0.001, least(0.999, raw)))) + 0.05)))")} AS calibrated FROM j"""))
 def sigmoid(spark, sf):
     return team_counts(spark, sf).select("league", "offense", "key",
-                                         rnd(S.calibrated("raw", F.lit(0.9), F.lit(0.05))).alias("calibrated"))
+                                         rnd(S.calibrated("raw", "0.9D", "0.05D")).alias("calibrated"))
 
 
 @query("prj35_sample_bin", on_eligible(TEAM_COUNTS, """

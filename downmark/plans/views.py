@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import situation as S
 
 
+# Declared schemas: no footer-reading job per table and query.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf}/{name}.parquet")
 
 
 def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,58 +50,50 @@ def copies(spark: SparkSession, sf: str) -> DataFrame:
 def shape(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
     nation = table(spark, sf, "nation")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    sn = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("offense"))
-    cn = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("defense"))
-    df = (lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-          .join(s.join(sn, "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-          .join(c.join(cn, "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")))
-    ok, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    ship, flag, prio = F.col("l_shipdate"), F.col("l_returnflag"), F.col("o_orderpriority")
-    category = (F.when((flag == "N") & (prio == "1-URGENT"), "special")
-                .when((flag == "N") & (prio == "5-LOW"), "penalty")
-                .when(flag == "A", "pass").when(flag == "R", "rush")
-                .when(F.col("l_linestatus") == "O", "pass").otherwise("rush"))
-    base = df.select(
-        F.when(ok % 2 == 0, "cfb").otherwise("nfl").alias("league"),
-        F.year(ship).alias("season"),
-        (1 + F.floor((F.dayofyear(ship) - 1) / 25.0)).cast("int").alias("week"),
-        F.concat(ok.cast("string"), F.lit("-"), ln.cast("string")).alias("play_id"),
-        "offense", "defense",
-        (1 + pk % 4).cast("int").alias("period"),
-        ((ok * 7 + pk * 13) % 901).cast("int").alias("clock_seconds"),
-        (1 + (ln - 1) % 4).cast("int").alias("down"),
-        (1 + F.col("qty") % 12).cast("int").alias("distance"),
-        (1 + pk % 99).cast("int").alias("yards_to_goal"),
-        (F.when(pk % 50 == 0, "Fumble Recovery (Own)").when(pk % 53 == 0, "Mystery")
-         .when(pk % 59 == 0, "Timeout").when(category == "penalty", "Penalty")
-         .when(category == "special", "Punt").when(category == "rush", "Rush")
-         .when(ok % 23 > 5, "Pass Reception").otherwise("Pass Incompletion")).alias("play_type_raw"),
-        category.alias("category"),
-        ((ok % 23).cast("int") - 5).alias("yards_gained"),
-        (pk % 41).cast("int").alias("off_score_post"),
-        (ok % 37).cast("int").alias("def_score_post"),
-        "o_orderstatus", "qty", ok.alias("ok"), pk.alias("pk"), sk.alias("sk"), ship.alias("shipped"))
-    g, who = F.col("yards_gained").cast("string"), F.col("sk") % 5
-    rec = (F.col("sk") % 7).cast("string")
-    clock = F.concat(F.lit("("), F.lpad(F.floor(F.col("clock_seconds") / 60).cast("string"), 2, "0"), F.lit(":"),
-                     F.lpad((F.col("clock_seconds") % 60).cast("string"), 2, "0"), F.lit(") "))
-    receiver = F.concat(F.lit("#"), (80 + F.col("sk") % 7).cast("string"), F.lit(" W.Out"), rec)
-    cat = F.col("category")
-    body = (F.when(cat == "penalty", "PENALTY AAA holding 10 yards from AAA20. NO PLAY.")
-            .when(cat == "special", "#9 K.Foot punt 40 yards")
-            .when((cat == "rush") & (F.col("qty") == 50), "#1 Q.Back takes a knee")
-            .when(cat == "rush", F.concat(F.lit("#"), (20 + who).cast("string"), F.lit(" R.Back"),
-                                          who.cast("string"), F.lit(" rush middle for "), g, F.lit(" yards")))
-            .when(F.col("yards_gained") > 0,
-                  F.concat(F.lit("Shotgun #1 Q.Back pass complete short left to "), receiver,
-                           F.lit(" for "), g, F.lit(" yards")))
-            .otherwise(F.concat(F.lit("#1 Q.Back pass incomplete deep right to "), receiver)))
-    return (base.select(
-        "*", F.concat_ws("-", "offense", F.col("season").cast("string"), F.col("week").cast("string")).alias("game_id"),
-        (cat == "pass").alias("is_pass"), (cat == "rush").alias("is_rush"),
-        (cat == "special").alias("is_special"), (cat == "penalty").alias("is_penalty_only"),
-        (F.col("off_score_post") - F.col("def_score_post")).alias("score_diff"),
-        S.success_flag().alias("success"), F.concat(clock, body).alias("play_text"),
-        F.to_date("shipped").alias("day")))
+    s = table(spark, sf, "supplier").join(nation.selectExpr("n_nationkey as s_nationkey", "n_name as offense"), "s_nationkey")
+    c = table(spark, sf, "customer").join(nation.selectExpr("n_nationkey as c_nationkey", "n_name as defense"), "c_nationkey")
+    df = (lines.join(o, lines.l_orderkey == o.o_orderkey)
+          .join(s.select("s_suppkey", "offense"), lines.l_suppkey == s.s_suppkey)
+          .join(c.select("c_custkey", "defense"), o.o_custkey == c.c_custkey))
+    return df.selectExpr(*BASE).selectExpr("*", *DERIVED)
+
+
+BASE = [
+    "if(l_orderkey % 2 = 0, 'cfb', 'nfl') as league",
+    "year(l_shipdate) as season",
+    "int(1 + floor((dayofyear(l_shipdate) - 1) / 25.0D)) as week",
+    "concat(string(l_orderkey), '-', string(l_linenumber)) as play_id",
+    "offense", "defense",
+    "int(1 + l_partkey % 4) as period",
+    "int((l_orderkey * 7 + l_partkey * 13) % 901) as clock_seconds",
+    "int(1 + (l_linenumber - 1) % 4) as down",
+    "int(1 + qty % 12) as distance",
+    "int(1 + l_partkey % 99) as yards_to_goal",
+    """case when l_returnflag = 'N' and o_orderpriority = '1-URGENT' then 'special'
+        when l_returnflag = 'N' and o_orderpriority = '5-LOW' then 'penalty'
+        when l_returnflag = 'A' then 'pass' when l_returnflag = 'R' then 'rush'
+        when l_linestatus = 'O' then 'pass' else 'rush' end as category""",
+    "int(l_orderkey % 23) - 5 as yards_gained",
+    "int(l_partkey % 41) as off_score_post", "int(l_orderkey % 37) as def_score_post",
+    "o_orderstatus", "qty", "l_orderkey as ok", "l_partkey as pk", "l_suppkey as sk", "l_shipdate as shipped",
+]
+
+DERIVED = [
+    "concat_ws('-', offense, string(season), string(week)) as game_id",
+    """case when pk % 50 = 0 then 'Fumble Recovery (Own)' when pk % 53 = 0 then 'Mystery' when pk % 59 = 0 then 'Timeout'
+        when category = 'penalty' then 'Penalty' when category = 'special' then 'Punt' when category = 'rush' then 'Rush'
+        when ok % 23 > 5 then 'Pass Reception' else 'Pass Incompletion' end as play_type_raw""",
+    "category = 'pass' as is_pass", "category = 'rush' as is_rush",
+    "category = 'special' as is_special", "category = 'penalty' as is_penalty_only",
+    "off_score_post - def_score_post as score_diff",
+    """case when down = 1 then yards_gained >= 0.5D * distance when down = 2 then yards_gained >= 0.7D * distance
+        else yards_gained >= distance end as success""",
+    """concat('(', lpad(string(int(floor(clock_seconds / 60.0D))), 2, '0'), ':', lpad(string(clock_seconds % 60), 2, '0'), ') ',
+        case when category = 'penalty' then 'PENALTY AAA holding 10 yards from AAA20. NO PLAY.'
+             when category = 'special' then '#9 K.Foot punt 40 yards'
+             when category = 'rush' and qty = 50 then '#1 Q.Back takes a knee'
+             when category = 'rush' then concat('#', string(20 + sk % 5), ' R.Back', string(sk % 5), ' rush middle for ', string(yards_gained), ' yards')
+             when yards_gained > 0 then concat('Shotgun #1 Q.Back pass complete short left to #', string(80 + sk % 7), ' W.Out', string(sk % 7), ' for ', string(yards_gained), ' yards')
+             else concat('#1 Q.Back pass incomplete deep right to #', string(80 + sk % 7), ' W.Out', string(sk % 7)) end) as play_text""",
+    "date(shipped) as day",
+]
