@@ -97,3 +97,105 @@ DERIVED = [
              else concat('#1 Q.Back pass incomplete deep right to #', string(80 + sk % 7), ' W.Out', string(sk % 7)) end) as play_text""",
     "date(shipped) as day",
 ]
+
+
+def payload(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """Plays as the college source writes them."""
+    df = plays(spark, sf) if rows is None else rows
+    return df.selectExpr(
+        "season", "week", "play_id as id", "game_id as gameId", "int(dayofyear(shipped)) as driveNumber", "int(ok % 1000) as playNumber",
+        "play_type_raw as playType", "if(pk % 3 = 0, substring(play_text, 9), play_text) as playText", "period",
+        "named_struct('minutes', int(clock_seconds div 60), 'seconds', int(clock_seconds % 60 + if(pk % 5 = 0, 1, 0))) as clock",
+        "offense", "defense", "least(offense, defense) as home", "off_score_post as offenseScore", "def_score_post as defenseScore",
+        "down", "distance - if(pk % 11 = 0, 20, 0) as distance", "yards_to_goal - if(pk % 13 = 0, 50, 0) as yardsToGoal",
+        "yards_gained * if(pk % 17 = 0, 10, 1) as yardsGained", "double(yards_gained) / 4 as ppa")
+
+
+def source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Plays as the professional source writes them."""
+    return plays(spark, sf).selectExpr(
+        "season", "week", "game_id", "double(ok * 10 + int(split(play_id, '-')[1])) as play_id", "ok as order_sequence", "offense as posteam",
+        "defense as defteam", "period as qtr", "clock_seconds as quarter_seconds_remaining", "if(pk % 19 = 0, null, down) as down",
+        "if(pk % 19 = 0, 0, distance) as ydstogo", "yards_to_goal as yardline_100",
+        "case when pk % 59 = 0 then null when category = 'pass' then 'pass' when category = 'rush' then 'run' when category = 'special' then 'punt' else 'no_play' end as play_type",
+        "if(pk % 7 = 0, 'TIMEOUT', 'PLAY') as play_type_nfl", "double(if(pk % 61 = 0, 1, 0)) as two_point_attempt", "yards_gained",
+        "double(yards_gained) / 4 as epa", "play_text as desc", "score_diff as score_differential", "shipped", "day")
+
+
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome flags of the professional source, one row per play."""
+    return plays(spark, sf).selectExpr(
+        "game_id", "play_id", "if(pk % 23 = 0, defense, offense) as posteam",
+        "case o_orderstatus when 'F' then 1 when 'O' then 0 end as first_down", "int(yards_to_goal <= 9) as touchdown",
+        "if(pk % 2 = 0, offense, defense) as td_team", "int(pk % 29 = 0) as fumble_lost", "int(pk % 31 = 0) as interception",
+        "int(is_penalty_only or pk % 37 = 0) as penalty")
+
+
+def game_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One nested document per order: lines 1-3 are a drive, 4-5 a drive, the rest the running one.
+
+    An order has at most seven lines once copies are removed."""
+    report = """named_struct('id', play_id, 'sequenceNumber', string(line), 'text', play_text, 'awayScore', def_score_post,
+        'homeScore', off_score_post, 'statYardage', yards_gained)"""
+    rows = plays(spark, sf).selectExpr("ok", "int(split(play_id, '-')[1]) as line", "*").selectExpr(
+        "ok", f"struct(line, {report} as report) as r")
+    part = lambda cond: f"transform(filter(rs, r -> {cond}), r -> r.report)"
+    docs = rows.groupBy("ok").agg(F.sort_array(F.collect_list("r")).alias("rs")).selectExpr(
+        "ok", f"{part('r.line <= 3')} as a", f"{part('r.line in (4, 5)')} as b", f"{part('r.line > 5')} as c")
+    return docs.selectExpr("""to_json(named_struct('header', named_struct('id', string(ok)), 'drives', named_struct(
+        'previous', filter(array(named_struct('id', concat(ok, '-1'), 'plays', a), named_struct('id', concat(ok, '-2'), 'plays', b)), d -> size(d.plays) > 0),
+        'current', if(size(c) > 0, named_struct('id', concat(ok, '-3'), 'plays', c), null)))) as document""")
+
+
+def coach_seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """School, year, coach and games from customers: changes every third year."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"))
+    rows = c.selectExpr("n_name as school", "c_custkey", "explode(sequence(1995, 2001)) as year").selectExpr(
+        "school", "year", "bigint(c_custkey % 7 + year div 3) as coach_id")
+    return rows.groupBy("school", "year", "coach_id").agg(F.count("*").cast("int").alias("games")).selectExpr(
+        "school", "year", "coach_id", "games",
+        "concat(string(year - int(coach_id % 2)), '-', lpad(string(1 + coach_id % 12), 2, '0'), '-01') as hire_date",
+        "concat('Coach ', string(coach_id)) as coach")
+
+
+def coach_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Coach records; a coach's list holds at most one entry per school and year."""
+    return (coach_seasons(spark, sf).groupBy("coach_id").agg(
+        F.expr("sort_array(collect_list(struct(year, school, 'C' as conference, games))) as seasons"))
+        .selectExpr("to_json(struct(coach_id as id, 'Coach' as firstName, string(coach_id) as lastName, concat('1990-01-0', string(1 + coach_id % 9), 'T00:00') as hireDate, seasons)) as document"))
+
+
+def roster_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Rosters in pages of at most 400 customers; a few ids appear twice with other content."""
+    item = """named_struct('id', string(c_custkey - if(c_custkey % 97 = 0, 25, 0)), 'fullName', concat('Player ', c_name), 'displayName', c_name,
+        'shortName', concat('P. ', string(c_custkey)), 'jersey', if(c_custkey % 10 = 3, 'x', string(c_custkey % 150)))"""
+    c = table(spark, sf, "customer").withColumn("page", F.expr("c_custkey div 400"))
+    return c.groupBy("c_nationkey", "page").agg(F.expr(f"collect_list({item}) as items")).selectExpr(
+        "to_json(struct(named_struct('id', string(c_nationkey)) as team, named_struct('year', 2001) as season, array(named_struct('position', 'all', 'items', items)) as athletes)) as document")
+
+
+def scoreboard_documents(spark: SparkSession, sf: str) -> DataFrame:
+    games = plays(spark, sf).groupBy("game_id", "offense", "defense", "season").agg(
+        F.max("off_score_post").alias("o"), F.max("def_score_post").alias("d"))
+    return games.selectExpr("""to_json(struct(array(named_struct('id', concat(game_id, '/', defense), 'date', string(season), 'state', if(season < 2001, 'post', 'in'),
+        'competitors', array(named_struct('homeAway', 'away', 'score', string(d), 'team', named_struct('displayName', initcap(defense))),
+                             named_struct('homeAway', 'home', 'score', string(o), 'team', named_struct('displayName', initcap(replace(offense, 'I', 'Í'))))))) as events)) as document""")
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a revision stream: game = user, play = the k of props."""
+    return table(spark, sf, "events").selectExpr(
+        "event_id", "ts", "user_id as game", "get_json_object(props, '$.k') as play", "event_type", "value",
+        "bigint(unix_micros(cast(ts as timestamp)) div 1000) as at")
+
+
+def journal_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported sessions: at most 1,000 consecutive events of one user per document."""
+    e = events(spark, sf).withColumn("page", F.expr("event_id div 1000"))
+    return e.groupBy("game", "page").agg(
+        F.expr("sort_array(collect_list(struct(event_id, play, at, event_type, value))) as es")).selectExpr(
+        """to_json(named_struct('key', concat(game, '/', page), 'meta', named_struct('league', 'nfl', 'gameId', string(game)),
+        'sources', transform(es, e -> named_struct('revisionId', concat(e.play, ':', e.event_id), 'playId', e.play, 'observedAt', e.at, 'report', concat(e.event_type, '|', string(e.value)))),
+        'releases', transform(es, e -> named_struct('playId', e.play, 'revisionId', concat(e.play, ':', e.event_id), 'at', e.at + 45000)),
+        'shown', transform(filter(es, e -> e.event_type = 'view'), e -> named_struct('id', string(e.event_id), 'kind', 'guidance', 'shownAt', e.at, 'basisPlayId', e.play, 'visibility', 'visible')),
+        'observations', transform(filter(es, e -> e.event_type = 'click'), e -> named_struct('id', string(e.event_id), 'kind', 'read_feedback', 'playId', e.play, 'at', e.at)))) as document""")
