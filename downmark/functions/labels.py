@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Source play types by category.
@@ -45,28 +45,27 @@ def current_text(text="play_text") -> str:
     return f"split(coalesce({text}, ''), '{ORIGINAL}', 2)[0]"
 
 
-def verb_sql(text="play_text") -> str:
+def with_verb(df: DataFrame, text="play_text", name="verb") -> DataFrame:
     """The category whose verb is written first; null when none is."""
     clean = f"regexp_replace({text}, '{KICK_PARENS}', ' ')"
-    hits = ", ".join(f"struct(regexp_instr({clean}, '{p}') as at, '{c}' as category)" for c, p in VERBS.items())
-    return f"array_min(filter(array({hits}), h -> h.at > 0)).category"
-
-
-def classify_sql(kind="play_type_raw", text="play_text") -> str:
-    """struct(category, how); a category of ``drop`` means the row is no play."""
-    arms = " ".join(f"when {kind} in ({quoted(TYPE_CLASS[c])}) then struct('{c}' as category, 'table' as how)"
-                    for c in ("pass", "rush", "special", "penalty"))
-    current = current_text(text)
-    verb = verb_sql(current)
-    known = f"coalesce({kind} in ({quoted(TYPE_CLASS['text'])}), false)"
-    return f"""case when {current} rlike '{NO_PLAY}' then struct('penalty' as category, 'explicit-no-play' as how)
-        {arms} when {kind} in ({quoted(TYPE_CLASS['admin'])}) then struct('drop' as category, 'admin' as how)
-        else struct(coalesce({verb}, 'drop') as category,
-          concat(if({known}, '', 'unknown-type-'), if({verb} is null, 'unresolved', 'text')) as how) end"""
-
-
-def classify(kind="play_type_raw", text="play_text") -> Column:
-    return F.expr(classify_sql(kind, text))
+    at = {f"_at_{c}": F.expr(f"nullif(regexp_instr({clean}, '{p}'), 0)") for c, p in VERBS.items()}
+    first = "least(" + ", ".join(at) + ")"
+    arms = " ".join(f"when _at_{c} = {first} then '{c}'" for c in VERBS)
+    return df.withColumns(at).withColumn(name, F.expr(f"case {arms} end")).drop(*at)
+
+
+def classified(df: DataFrame, kind="play_type_raw", text="play_text") -> DataFrame:
+    """Adds ``category`` and ``how``; the category ``drop`` means the row is no play."""
+    df = with_verb(df.withColumn("_current", F.expr(current_text(text))), "_current", "_verb")
+    voided = f"_current rlike '{NO_PLAY}'"
+    tabled = ("pass", "rush", "special", "penalty")
+    of = {c: f"{kind} in ({quoted(TYPE_CLASS[c])})" for c in TYPE_CLASS}
+    arms = " ".join(f"when {of[c]} then '{c}'" for c in tabled)
+    category = f"case when {voided} then 'penalty' {arms} when {of['admin']} then 'drop' else coalesce(_verb, 'drop') end"
+    how = (f"case when {voided} then 'explicit-no-play' when {' or '.join(of[c] for c in tabled)} then 'table' "
+           f"when {of['admin']} then 'admin' else concat(if(coalesce({of['text']}, false), '', 'unknown-type-'), "
+           f"if(_verb is null, 'unresolved', 'text')) end")
+    return df.withColumns({"category": F.expr(category), "how": F.expr(how)}).drop("_current", "_verb")
 
 
 def in_range(value, low: int, high: int) -> str:
@@ -126,15 +125,14 @@ def flag_conversion(offense="offense") -> str:
             f"and fumble_lost = 0 and interception = 0 end")
 
 
-def final_label(kind="play_type_raw", text="play_text") -> str:
+def final_label(category="category", text="play_text") -> str:
     """1 pass, 0 rush, null when the final record is no eligible call."""
-    category = f"({classify_sql(kind, text)}).category"
     ok = (f"down between 1 and 4 and distance between 1 and 99 and yards_to_goal between 1 and 99 "
           f"and not {text} rlike '(?i)\\\\b(?:kneels|kneel down|takes a knee)\\\\b'")
     return f"case when not ({ok}) then null when {category} = 'pass' then 1 when {category} = 'rush' then 0 end"
 
 
-NAME = r"[A-Z][A-Za-z\\'.\\-]+(?: [A-Z][A-Za-z\\'.\\-]+)"
+NAME = r"[A-Z][A-Za-z\'.\\-]+(?: [A-Z][A-Za-z\'.\\-]+)"
 
 
 def passer(text="play_text") -> str:

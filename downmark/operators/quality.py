@@ -63,7 +63,7 @@ def classification_table(df: DataFrame) -> DataFrame:
     """Source type x category x method, with the copies removed before counting."""
     totals = df.groupBy("play_type_raw").agg(F.count("*").alias("received"))
     kept = first_copies(df.select(*EXACT_COPY, "play_id"), order=("play_id",))
-    split = (kept.selectExpr("play_type_raw", f"inline(array({L.classify_sql()}))").groupBy("play_type_raw", "category", "how")
+    split = (L.classified(kept).groupBy("play_type_raw", "category", "how")
              .agg(F.count("*").alias("kept")))
     removed = F.expr("received - sum(kept) over (partition by play_type_raw)")
     return split.join(totals, "play_type_raw").withColumn("copies_removed", removed)
@@ -86,7 +86,8 @@ def sanity_rates(df: DataFrame, by=("league",)) -> DataFrame:
 
 def realigned(df: DataFrame) -> DataFrame:
     """Labels and snap clock read again from the text, next to the stored ones."""
-    fresh = df.selectExpr("*", f"({L.classify_sql()}).category as new_category", f"{L.text_clock()} as new_clock")
+    fresh = (L.classified(df.drop("category", "how")).withColumnRenamed("category", "new_category")
+             .withColumn("new_clock", F.expr(L.text_clock())))
     moved = "new_clock is not null and not new_clock <=> clock_seconds"
     cross = lambda s: f"((clock_seconds <= {s}) <> (new_clock <= {s}))"
     phase = f"({moved}) and ((period = 4 and ({cross(120)} or {cross(300)})) or (period = 2 and {cross(120)}))"

@@ -66,8 +66,8 @@ def complete(spark, sf):
 
 
 @query("val06_season_profile", on_plays(f"""
-p AS (SELECT *, (is_pass OR is_rush) AND NOT contains(play_text, 'takes a knee') AS ok FROM plays)""", f"""
-SELECT league, season, COUNT(*) AS plays, COUNT(*) FILTER (ok) AS eligible, COUNT(DISTINCT game_id) AS games, COUNT(DISTINCT offense) AS teams, {r6('AVG(CASE WHEN is_pass THEN 1.0 ELSE 0.0 END) FILTER (ok)')} AS pass_rate FROM p GROUP BY 1, 2"""))
+p AS (SELECT *, (is_pass OR is_rush) AND NOT contains(play_text, 'takes a knee') AS fit FROM plays)""", f"""
+SELECT league, season, COUNT(*) AS plays, COUNT(*) FILTER (fit) AS eligible, COUNT(DISTINCT game_id) AS games, COUNT(DISTINCT offense) AS teams, {r6('AVG(CASE WHEN is_pass THEN 1.0 ELSE 0.0 END) FILTER (fit)')} AS pass_rate FROM p GROUP BY 1, 2"""))
 def season_profile(spark, sf):
     return Q.season_profile(V.plays(spark, sf))
 
@@ -110,11 +110,11 @@ def sanity(spark, sf):
 
 
 @query("val11_align_sources", on_plays("""
-x AS (SELECT *, CASE WHEN pk % 9 = 0 THEN (clock_seconds + 60) % 900 ELSE clock_seconds END AS stored, (is_pass OR is_rush) AND NOT contains(play_text, 'takes a knee') AS ok FROM plays),
+x AS (SELECT *, CASE WHEN pk % 9 = 0 THEN (clock_seconds + 60) % 900 ELSE clock_seconds END AS stored, (is_pass OR is_rush) AND NOT contains(play_text, 'takes a knee') AS fit FROM plays),
 c AS (SELECT *, stored <> clock_seconds AS moved, CASE WHEN play_type_raw IN ('Pass Reception', 'Pass Incompletion') THEN 'pass' WHEN play_type_raw = 'Rush' THEN 'rush' WHEN play_type_raw = 'Timeout' THEN CASE WHEN contains(play_text, 'NO PLAY') THEN 'penalty' ELSE 'drop' END
    WHEN contains(play_text, 'NO PLAY') THEN 'penalty' WHEN play_type_raw = 'Punt' THEN 'special' WHEN contains(play_text, ' pass ') THEN 'pass' WHEN contains(play_text, ' rush ') THEN 'rush' WHEN contains(play_text, ' punt ') THEN 'special' ELSE 'drop' END AS cat FROM x)""", """
-SELECT league, COUNT(*) FILTER (is_pass <> (cat = 'pass') OR is_rush <> (cat = 'rush') OR is_penalty_only <> (cat = 'penalty')) AS labels, COUNT(*) FILTER (ok) AS explicit_clocks,
- COUNT(*) FILTER (ok AND moved) AS clocks, COUNT(*) FILTER (ok AND moved AND ((period = 4 AND ((stored <= 120) <> (clock_seconds <= 120) OR (stored <= 300) <> (clock_seconds <= 300))) OR (period = 2 AND (stored <= 120) <> (clock_seconds <= 120)))) AS phases FROM c GROUP BY 1"""))
+SELECT league, COUNT(*) FILTER (is_pass <> (cat = 'pass') OR is_rush <> (cat = 'rush') OR is_penalty_only <> (cat = 'penalty')) AS labels, COUNT(*) FILTER (fit) AS explicit_clocks,
+ COUNT(*) FILTER (fit AND moved) AS clocks, COUNT(*) FILTER (fit AND moved AND ((period = 4 AND ((stored <= 120) <> (clock_seconds <= 120) OR (stored <= 300) <> (clock_seconds <= 300))) OR (period = 2 AND (stored <= 120) <> (clock_seconds <= 120)))) AS phases FROM c GROUP BY 1"""))
 def align(spark, sf):
     df = V.plays(spark, sf).withColumn("clock_seconds", F.expr("if(pk % 9 = 0, (clock_seconds + 60) % 900, clock_seconds)"))
     return Q.alignment_report(df)

@@ -43,7 +43,7 @@ def week_payloads(spark, sf):
     text = V.payload(spark, sf).selectExpr("season", "week", "to_json(array(struct(*))) as body")
     rows = text.selectExpr("season", "week", f"from_json(body, 'array<struct<{P.PAYLOAD}>>') as a").selectExpr("season", "week", "inline(a)")
     return P.shape_payload(rows).selectExpr("game_id", "play_id", "season", "week", "clock_seconds", "down", "distance", "yards_to_goal",
-                                            "play_type_raw", "label.category as category", "yards_gained", "clamped")
+                                            "play_type_raw", "category", "yards_gained", "clamped")
 
 
 @query("src03_game_summary", on_plays("""
@@ -166,7 +166,7 @@ CLASS_SQL = PAYLOAD_SQL.format(src="plays")
 
 @query("prj12_classify", on_plays(PAY, "SELECT play_id, category, how FROM c"))
 def classify(spark, sf):
-    return V.payload(spark, sf).select("id", L.classify("playType", "playText").alias("c")).selectExpr("id as play_id", "c.category", "c.how")
+    return L.classified(V.payload(spark, sf), "playType", "playText").selectExpr("id as play_id", "category", "how")
 
 
 @query("prj13_resolve_text", on_plays("""
@@ -174,7 +174,7 @@ t AS (SELECT play_id, CASE WHEN pk % 4 = 0 THEN play_text || ' (K.Foot kick)' WH
 SELECT play_id, CASE WHEN contains(txt, ' pass ') THEN 'pass' WHEN contains(txt, ' rush ') THEN 'rush' WHEN contains(txt, ' punt ') OR contains(txt, ', punt') THEN 'special' END AS category FROM t"""))
 def resolve_text(spark, sf):
     text = "case pk % 4 when 0 then concat(play_text, ' (K.Foot kick)') when 1 then concat('fumble. ', play_text, ', punt follows') else play_text end"
-    return V.plays(spark, sf).selectExpr("play_id", f"{text} as txt").selectExpr("play_id", f"{L.verb_sql('txt')} as category")
+    return V.plays(spark, sf).selectExpr("play_id", f"{text} as txt").transform(L.with_verb, "txt", "category").select("play_id", "category")
 
 
 @query("prj14_no_down_types", on_plays("""
@@ -224,7 +224,7 @@ def clear_yards(spark, sf):
 SELECT play_id, CASE WHEN contains(play_text, 'takes a knee') OR contains(play_text, 'NO PLAY') THEN NULL WHEN play_type_raw IN ('Pass Reception', 'Pass Incompletion') THEN 1 WHEN play_type_raw = 'Rush' THEN 0
  WHEN play_type_raw IN ('Punt', 'Penalty', 'Timeout') THEN NULL WHEN contains(play_text, ' pass ') THEN 1 WHEN contains(play_text, ' rush ') THEN 0 END AS label FROM plays"""))
 def final_label(spark, sf):
-    return V.plays(spark, sf).selectExpr("play_id", f"{L.final_label()} as label")
+    return L.classified(V.plays(spark, sf).drop("category")).selectExpr("play_id", f"{L.final_label()} as label")
 
 
 @query("prj34_passer", on_plays("""

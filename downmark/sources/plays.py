@@ -106,17 +106,16 @@ def shape_payload(df: DataFrame) -> DataFrame:
     """Source records to classified play rows, the drop category left out."""
     text_clock, clock = L.text_clock("playText"), L.structured_clock()
     no_down = f"coalesce(playType in ({L.quoted(L.NO_DOWN)}), false)"
-    rows = df.selectExpr(
+    rows = L.classified(df.drop("category", "how"), "playType", "playText").filter("category <> 'drop'").selectExpr(
         "season", "week", "gameId as game_id", "id as play_id", "offense", "defense", "period",
         f"coalesce({text_clock}, {clock}) as clock_seconds", f"if({no_down}, null, {L.in_range('down', 1, 4)}) as down",
         f"if({no_down}, null, {L.in_range('distance', 0, 99)}) as distance", f"{L.in_range('yardsToGoal', 1, 99)} as yards_to_goal",
-        "playType as play_type_raw", f"{L.classify_sql('playType', 'playText')} as label",
+        "playType as play_type_raw", "category", "how",
         "greatest(-99, least(99, yardsGained)) as yards_gained", "abs(yardsGained) > 99 as clamped", "ppa as value",
         "playText as play_text", "driveNumber as drive", "playNumber as play_no", "home", "offenseScore as off_score",
         "defenseScore as def_score")
-    return rows.filter("label.category <> 'drop'").selectExpr(
-        "*", "label.category = 'pass' as is_pass", "label.category = 'rush' as is_rush",
-        "label.category = 'special' as is_special", "label.category = 'penalty' as is_penalty_only")
+    return rows.selectExpr("*", "category = 'pass' as is_pass", "category = 'rush' as is_rush",
+                           "category = 'special' as is_special", "category = 'penalty' as is_penalty_only")
 
 
 def with_play_index(df: DataFrame, block: str, order, game="game_id") -> DataFrame:
