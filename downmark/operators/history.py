@@ -18,7 +18,7 @@ def attach_outcomes(plays: DataFrame, outcomes: DataFrame) -> DataFrame:
     return df.withColumn("converted", F.expr(L.flag_conversion())).withColumn("clear_yards", F.expr(f"if({clean}, yards_gained, null)"))
 
 
-def profile_cells(plays: DataFrame, by=("league", "season")) -> DataFrame:
+def profile_cells(plays: DataFrame, by=("league", "season"), min_plays=MIN_PLAYS, min_games=MIN_GAMES) -> DataFrame:
     """Counts per side, team and context with enough plays and games.
 
     Plays are first combined per game, so games are counted without a distinct
@@ -35,7 +35,7 @@ def profile_cells(plays: DataFrame, by=("league", "season")) -> DataFrame:
     per_game = df.groupBy(*key, "game_id").agg(*[F.expr(s) for s in sums])
     cells = per_game.groupBy(*key).agg(F.count("*").alias("games"), *[F.sum(n).alias(n) for n in names])
     medians = df.groupBy(*key).agg(F.expr("percentile(if(is_rush, y, null), 0.5D) as run_median"), F.expr("percentile(if(is_pass, y, null), 0.5D) as pass_median"))
-    return cells.filter(f"n >= {MIN_PLAYS} and games >= {MIN_GAMES}").join(medians, key)
+    return cells.filter(f"n >= {min_plays} and games >= {min_games}").join(medians, key)
 
 
 def usable(cells: DataFrame) -> DataFrame:
