@@ -415,8 +415,8 @@ def binomial_null(spark, sf):
 
 @query("sim07_random_splits", on_eligible(SERIES, """
 ls AS (SELECT team, CAST(unnest(range(6, g - 5)) AS INT) AS at FROM (SELECT team, COUNT(*) AS g FROM ser GROUP BY 1 HAVING COUNT(*) >= 20)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY md5_h, at) AS k FROM (SELECT *, ('0x' || substr(md5('ref|' || team || '|' || at), 1, 8))::BIGINT AS md5_h FROM ls))""", f"""
-SELECT rk.team, at, {r6('SUM(adj * n) FILTER (idx >= at) / SUM(n) FILTER (idx >= at) - SUM(adj * n) FILTER (idx < at) / SUM(n) FILTER (idx < at)')} AS delta FROM rk JOIN ser ON ser.team = rk.team WHERE k <= 5 GROUP BY 1, 2"""))
+rk AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY md5_h, ls2.at) AS k FROM (SELECT *, ('0x' || substr(md5('ref|' || team || '|' || ls.at), 1, 8))::BIGINT AS md5_h FROM ls) ls2)""", f"""
+SELECT rk.team, rk.at AS "at", {r6('SUM(adj * n) FILTER (idx >= rk.at) / SUM(n) FILTER (idx >= rk.at) - SUM(adj * n) FILTER (idx < rk.at) / SUM(n) FILTER (idx < rk.at)')} AS delta FROM rk JOIN ser ON ser.team = rk.team WHERE k <= 5 GROUP BY 1, 2"""))
 def random_splits(spark, sf):
     return out(CP.random_splits(series(spark, sf), 5, "ref"), "delta", keep=("team", "at"))
 
