@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["situation_queries", "cell_queries", "scoring_queries", "source_queries", "quality_queries", "context_queries", "shift_queries", "report_queries"]
+MODULES = ["situation_queries", "cell_queries", "scoring_queries", "source_queries", "quality_queries", "context_queries", "shift_queries", "report_queries", "audit_queries", "stream_queries"]
 
 
 def load():

@@ -16,7 +16,8 @@ POSITION = "bigint(datediff(shipped, date '1990-01-01')) * 100000000000 + ok * 1
 
 def rows(spark, sf):
     """Plays as flat reports, with planted touchdowns, penalties, sacks, fumbles and mirrored spots."""
-    df = V.plays(spark, sf).selectExpr("*", f"{POSITION} as position", "day as block", "upper(substr(offense, 1, 3)) as own_abbr", "'ZZZ' as other_abbr",
+    named = "regexp_replace(regexp_replace(play_text, 'R\\\\.Back[0-9]', concat('R.Back', substring('abcde', int(1 + sk % 5), 1))), 'W\\\\.Out[0-9]', concat('W.Out', substring('abcdefg', int(1 + sk % 7), 1)))"
+    df = V.plays(spark, sf).withColumn("play_text", F.expr(named)).selectExpr("*", f"{POSITION} as position", "day as block", "upper(substr(offense, 1, 3)) as own_abbr", "'ZZZ' as other_abbr",
                                        "greatest(yards_to_goal - yards_gained, 0) as true_end")
     spot = lambda y: f"if({y} > 50, concat(upper(substr(offense, 1, 3)), ' ', string(100 - {y})), concat('ZZZ ', string({y})))"
     return df.selectExpr(
@@ -35,13 +36,13 @@ def rows(spark, sf):
 
 def described(spark, sf):
     df = R.with_players(R.describe(rows(spark, sf)))
-    return df.withColumns({"facts": F.expr(R.reported_facts()), "action": F.expr(R.action_code())})
+    return R.computed(df, {"facts": R.reported_facts(), "action": R.action_code()})
 
 
 REP = """r AS (SELECT *, date_diff('day', DATE '1990-01-01', CAST(shipped AS DATE)) * 100000000000 + ok * 10 + CAST(split_part(play_id, '-', 2) AS INT) AS position, upper(substr(offense, 1, 3)) AS own, greatest(yards_to_goal - yards_gained, 0) AS true_end,
   pk % 40 AS v, CASE WHEN pk % 59 = 0 THEN 'timeout' WHEN category = 'penalty' THEN 'penalty' WHEN category = 'special' THEN 'punt' WHEN category = 'rush' THEN 'rush' WHEN yards_gained > 0 THEN 'pass reception' ELSE 'pass incompletion' END AS type,
   CASE pk % 40 WHEN 0 THEN play_text || ' TOUCHDOWN (K.Foot kick attempt good)' WHEN 1 THEN play_text || ' PENALTY BBB holding declined' WHEN 2 THEN play_text || ' PENALTY BBB Pass Interference (#4) 15 yards' WHEN 3 THEN '#1 Q.Back sacked at AAA20 for loss of 5 yards'
-   WHEN 4 THEN play_text || ' fumbled' WHEN 5 THEN '#1 Q.Back pass intercepted by X' WHEN 6 THEN play_text || ' QB hurried by #55 D.End' ELSE play_text END AS text FROM plays)"""
+   WHEN 4 THEN play_text || ' fumbled' WHEN 5 THEN '#1 Q.Back pass intercepted by X' WHEN 6 THEN play_text || ' QB hurried by #55 D.End' ELSE play_text END AS text FROM (SELECT * REPLACE (replace(replace(play_text, 'R.Back' || (sk % 5), 'R.Back' || substr('abcde', CAST(1 + sk % 5 AS INT), 1)), 'W.Out' || (sk % 7), 'W.Out' || substr('abcdefg', CAST(1 + sk % 7 AS INT), 1)) AS play_text) FROM plays))"""
 
 
 @query("rpt01_primary_text", on_plays(REP, "SELECT play_id, CASE WHEN v = 0 THEN play_text || ' TOUCHDOWN (K.Foot ' ELSE text END AS txt FROM r"))
@@ -83,16 +84,14 @@ def facts(spark, sf):
     return df.selectExpr("play_id", f"array_join({R.reported_facts()}, ';') as facts")
 
 
-@query("rpt08_players", on_plays(REP, """SELECT play_id, CASE WHEN v IN (3, 5) THEN '#1 Q.Back' WHEN category = 'pass' THEN '#1 Q.Back' WHEN category = 'rush' AND NOT contains(text, 'takes a knee') THEN '#' || (20 + sk % 5) || ' R.Back' || (sk % 5) END AS actor FROM r"""))
+@query("rpt08_players", on_plays(REP, """SELECT play_id, CASE WHEN v IN (3, 5) THEN '#1 Q.Back' WHEN category = 'pass' THEN '#1 Q.Back' WHEN category = 'rush' AND NOT contains(text, 'takes a knee') THEN '#' || (20 + sk % 5) || ' R.Back' || substr('abcde', CAST(1 + sk % 5 AS INT), 1) END AS actor FROM r"""))
 def players(spark, sf):
-    df = R.with_players(rows(spark, sf).withColumn("primary", F.expr(R.primary_text())).withColumn("primary", F.expr("regexp_replace(primary, 'R\\\\.Back[0-9]|W\\\\.Out[0-9]', 'R.Back')")))
-    num = "if(actor like '%R.Back', concat(actor, string(sk % 5)), actor)"
-    return df.selectExpr("play_id", f"{num} as actor")
+    return R.with_players(R.computed(rows(spark, sf), {"primary": R.primary_text()})).select("play_id", "actor")
 
 
 @query("rpt09_yards_to_goal", on_plays(REP, "SELECT play_id, CASE WHEN true_end BETWEEN 1 AND 99 THEN CAST(true_end AS INT) END AS ytg FROM r"))
 def yards_to_goal(spark, sf):
-    return rows(spark, sf).selectExpr("play_id", f"{R.ytg_sql('end')} as ytg")
+    return R.with_spots(rows(spark, sf)).selectExpr("play_id", "end_yards_to_goal as ytg")
 
 
 END_D = "CASE WHEN yards_gained >= distance THEN 10 ELSE distance - yards_gained END"
@@ -101,13 +100,13 @@ END_D = "CASE WHEN yards_gained >= distance THEN 10 ELSE distance - yards_gained
 @query("rpt10_fix_situation", on_plays(REP, f"""SELECT play_id, CASE WHEN true_end = 0 THEN NULL WHEN pk % 25 = 0 AND offense <> defense THEN 1 WHEN yards_gained >= distance THEN 1 ELSE down + 1 END AS next_down,
  CASE WHEN true_end = 0 THEN NULL WHEN pk % 25 = 0 AND offense <> defense THEN least(10, true_end) ELSE least({END_D}, true_end) END AS next_distance FROM r WHERE true_end <= 99"""))
 def fix_situation(spark, sf):
-    df = rows(spark, sf).withColumn("end_yards_to_goal", F.expr(R.ytg_sql("end"))).filter("start_ytg - yards_gained <= 99")
+    df = R.with_spots(rows(spark, sf)).filter("start_ytg - yards_gained <= 99")
     return df.selectExpr("play_id", *[f"{v} as {k}" for k, v in R.fix_situation().items()])
 
 
 @query("rpt11_end_situation", on_plays(REP, f"SELECT down AS start_down, COUNT(*) AS n FROM r WHERE true_end BETWEEN 1 AND 99 GROUP BY 1"))
 def end_situation(spark, sf):
-    df = rows(spark, sf).withColumn("end_yards_to_goal", F.expr(R.ytg_sql("end"))).filter("end_yards_to_goal is not null")
+    df = R.with_spots(rows(spark, sf)).filter("end_yards_to_goal is not null")
     return df.groupBy("start_down").agg(F.count("*").alias("n"))
 
 
@@ -127,8 +126,9 @@ s AS (SELECT *, CASE WHEN rd = mv OR rd = st THEN rd WHEN rd IS NOT NULL AND st
 
 @query("rpt13_settled_yards", on_plays(REP, SETTLE, "SELECT play_id, CAST(val AS INT) AS yards, conflict FROM s"))
 def settled(spark, sf):
-    df = rows(spark, sf).withColumn("primary", F.expr(R.primary_text())).withColumns({"read_yards": F.expr(R.reported_yards()), "a": F.expr(R.ytg_sql("start")), "b": F.expr(R.ytg_sql("end"))})
-    df = df.withColumn("moved", F.expr("if(start_team = end_team, a - coalesce(b, if(end_ytg = 0 and scoring_play, 0, null)), null)")).withColumn("s", F.expr(R.settle_yards()))
+    df = R.computed(R.with_spots(R.computed(rows(spark, sf), {"primary": R.primary_text()})), {"read_yards": R.reported_yards()})
+    moved = "if(start_team = end_team, start_yards_to_goal - coalesce(end_yards_to_goal, if(end_ytg = 0 and scoring_play, 0, null)), null)"
+    df = R.computed(R.computed(df, {"moved": moved}), {"s": R.settle_yards()})
     return df.selectExpr("play_id", "s.value as yards", "s.conflict as conflict")
 
 
@@ -173,7 +173,7 @@ def catch_split(spark, sf):
 
 @query("rpt20_takeaway")
 def takeaway(spark, sf):
-    df = R.describe(rows(spark, sf)).withColumns({"ruling": F.expr(R.accepted_penalty()), "hurry": F.expr(R.named_hurry("primary"))})
+    df = R.computed(R.describe(rows(spark, sf)), {"ruling": R.accepted_penalty(), "hurry": R.named_hurry("primary")})
     return df.selectExpr("play_id", "coalesce(if(ruling <> '', format_string('%s changed the play.', ruling), null), if(hurry <> '', format_string('%s hurried the passer.', hurry), null), "
                          "if(need >= 8 and gained >= need, format_string('Gained %d on a long need of %d.', gained, need), null)) as takeaway").filter("takeaway is not null")
 
@@ -204,7 +204,7 @@ def clock_key(spark, sf):
 @query("rpt27_grade")
 def grade(spark, sf):
     df = R.describe(rows(spark, sf)).withColumns({"question": F.expr("if(pk % 2 = 0, 'call', 'gain')"), "answer": F.expr("if(pk % 2 = 0, if(pk % 3 = 0, 'run', 'pass'), if(pk % 3 = 0, 'yes', 'no'))")})
-    return df.withColumn("g", F.expr(R.grade())).groupBy("question", "g.void").agg(F.count("*").alias("picks"), F.expr("count_if(g.ok)").alias("right"))
+    return R.computed(df, {"g": R.grade()}).groupBy("question", "g.void").agg(F.count("*").alias("picks"), F.expr("count_if(g.ok)").alias("right"))
 
 
 @query("rpt32_board", on_plays("SELECT play_id, CASE WHEN pk % 7 = 0 THEN NULL ELSE CAST(pk % 41 AS INT) END AS score, CASE WHEN period = 4 AND pk % 3 = 0 THEN 'OT' ELSE 'Q' || period END AS label FROM plays"))
