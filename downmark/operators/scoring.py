@@ -74,9 +74,18 @@ def score_cells(answers: DataFrame, held: DataFrame, by=("league",)) -> DataFram
 
 
 def evaluate(plays: DataFrame, holdout: int, half_life=1.0, k=S.SHRINK_K, by=("league",), team="offense") -> DataFrame:
-    """Build on the seasons before ``holdout`` and score that season's plays."""
-    answers = C.ladder(plays.filter(f"season < {holdout}"), half_life, k, by, team)
-    return score_cells(answers, holdout_counts(plays.filter(f"season = {holdout}"), team, by), by)
+    """Build on the seasons before ``holdout`` and score that season's plays.
+
+    Plays are counted once; training sums and held-out counts are both masked
+    sums of the same fine cells, so the shuffle of the counts is shared."""
+    fine = C.fine_cells(plays.filter(f"season <= {holdout}"), team, by)
+    counts = ("n", "n_pass", "n_success", "n_explosive")
+    train = fine.withColumns({c: F.expr(f"if(season < {holdout}, {c}, 0L)") for c in counts})
+    names = ("plays", "passes", "successes", "explosives")
+    held = (fine.groupBy(*by, "team", "down", "band", "zone")
+            .agg(*[F.expr(f"sum(if(season = {holdout}, {c}, 0L)) as {n}") for c, n in zip(counts, names)])
+            .filter("plays > 0").selectExpr(*by, "team", f"{C.KEY} as key", *names))
+    return score_cells(C.ladder_of(train, half_life, k, by), held, by)
 
 
 def loss(p, hits="passes", n="plays") -> str:

@@ -327,3 +327,47 @@ def rule_cards(spark, sf):
 def topics(spark, sf):
     ids = "case when down = 4 then array('fourth', 'punt') when yards_to_goal <= 20 then array('red', 'goal', 'fade') else array('base') end"
     return V.plays(spark, sf).selectExpr("play_id", f"{ids} as ids", "down * 11 + distance * 7 + yards_to_goal + period * 3 as n").selectExpr("play_id", "element_at(ids, int(1 + pmod(n, size(ids)))) as topic")
+
+
+@query("agg37_drive_summary")
+def drive_summary(spark, sf):
+    df = described(spark, sf).withColumn("drive_id", F.expr("concat(game_id, '/', string(block))"))
+    return G.drive_summary(df).groupBy("ending", "continuous").agg(F.count("*").alias("drives"), F.sum("plays").alias("plays"), F.sum("sacks").alias("sacks"))
+
+
+@query("rpt23_drive_ending", on_plays(REP, f"SELECT play_id, CASE WHEN type = 'punt' AND v NOT IN (0, 3, 4, 5) AND v <> 2 THEN 'punt' ELSE 'open' END AS ending FROM r WHERE v > 6 AND pk % 25 <> 0"))
+def drive_ending(spark, sf):
+    return R.describe(rows(spark, sf)).filter("pk % 40 > 6 and pk % 25 <> 0").selectExpr("play_id", f"{R.drive_ending()} as ending")
+
+
+@query("rpt28_pre_snap", on_plays(REP, f"""l AS (SELECT game_id, arg_max(struct_pack(e := true_end, d := {END_D}, n := CASE WHEN yards_gained >= distance THEN 1 ELSE down + 1 END, c := pk % 25 = 0 AND offense <> defense), position) AS x FROM r WHERE type <> 'timeout' GROUP BY 1)""",
+    "SELECT game_id, CASE WHEN x.e NOT BETWEEN 1 AND 99 THEN NULL WHEN x.c THEN 1 ELSE x.n END AS next_down, CASE WHEN x.e NOT BETWEEN 1 AND 99 THEN NULL WHEN x.c THEN least(10, x.e) ELSE least(x.d, x.e) END AS next_distance FROM l"))
+def pre_snap(spark, sf):
+    """The next legal situation after the last real report of a game."""
+    df = R.with_spots(rows(spark, sf)).filter(f"not {R.is_marker()}")
+    df = R.computed(df, R.fix_situation())
+    return df.groupBy("game_id").agg(F.expr("max_by(struct(next_down, next_distance), position) as s")).select("game_id", "s.*")
+
+
+@query("rpt29_player_labels", on_plays("SELECT play_id, replace(play_text, 'Q.Back', 'Quincy Back') AS txt FROM plays"))
+def player_labels(spark, sf):
+    aliases = "array(struct('Q.Back' as alias, 'Quincy Back' as label), struct('Back' as alias, 'x' as label), struct('Back' as alias, 'y' as label))"
+    return V.plays(spark, sf).selectExpr("play_id", "play_text as text", f"{aliases} as aliases").selectExpr("play_id", f"{R.substitute_labels()} as txt")
+
+
+@query("rpt30_prefix_score", f"WITH {EV}, m AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'view' THEN 2 END AS st, CAST(FLOOR(value) AS INT) AS h FROM e), x AS (SELECT game, arg_max(struct_pack(s := st, h := h), event_id) FILTER (st IS NOT NULL) AS v FROM m GROUP BY 1) SELECT game AS game_id, CASE WHEN v.s = 2 THEN v.h END AS home FROM x")
+def prefix_score(spark, sf):
+    df = ordered_events(spark, sf).selectExpr("*", "event_type = 'purchase' as scoring_play", "if(event_type = 'view', int(floor(value)), null) as home_score").withColumn("away_score", F.col("home_score"))
+    return G.known_score(df).groupBy("game_id").agg(F.max_by("known_home", "position").alias("home"))
+
+
+@query("rpt31_report_rules", on_plays(REP, "SELECT game_id, 0::BIGINT AS missing_id, COUNT(*) FILTER (type = 'timeout') AS missing_type, COUNT(*) FILTER (pk % 31 = 0) AS bad_period, 0::BIGINT AS duplicate_ids FROM r GROUP BY 1"))
+def report_rules(spark, sf):
+    df = rows(spark, sf).withColumns({"type": F.expr("if(type = 'timeout', '', type)"), "period": F.expr("if(pk % 31 = 0, 11, period)")})
+    return R.report_errors(df)
+
+
+@query("top03_leaders", f"WITH {EV}, c AS (SELECT game, play, COUNT(*) AS uses FROM e GROUP BY 1, 2) SELECT game AS game_id, arg_min(play, (-uses, play)) AS name, MAX(uses) AS uses FROM c GROUP BY 1")
+def top_leaders(spark, sf):
+    c = ordered_events(spark, sf).groupBy("game_id", "play").agg(F.count("*").alias("uses"))
+    return c.groupBy("game_id").agg(F.expr("min_by(play, struct(-uses, play)) as name"), F.max("uses").alias("uses"))
