@@ -119,7 +119,7 @@ def reported_yards(spark, sf):
     return df.selectExpr("play_id", f"{R.reported_yards()} as yards")
 
 
-SETTLE = f"""y AS (SELECT *, {READ} AS rd, yards_gained + CASE WHEN pk % 43 = 0 THEN 1 ELSE 0 END AS st, CASE WHEN (pk % 25 <> 0 OR offense = defense) AND true_end BETWEEN 1 AND 99 THEN yards_to_goal - true_end WHEN (pk % 25 <> 0 OR offense = defense) AND true_end = 0 AND v = 0 AND pk % 47 <> 0 THEN yards_to_goal END AS mv FROM r),
+SETTLE = f"""y AS (SELECT *, {READ} AS rd, yards_gained + CASE WHEN pk % 43 = 0 THEN 1 ELSE 0 END AS st, CASE WHEN (pk % 25 <> 0 OR offense = defense) AND true_end BETWEEN 1 AND 99 THEN yards_to_goal - true_end WHEN (pk % 25 <> 0 OR offense = defense) AND CASE WHEN pk % 47 = 0 THEN 100 - true_end ELSE true_end END = 0 AND v = 0 THEN yards_to_goal END AS mv FROM r),
 s AS (SELECT *, CASE WHEN rd = mv OR rd = st THEN rd WHEN rd IS NOT NULL AND st IS NULL AND mv IS NULL THEN rd WHEN rd IS NULL AND st IS NOT NULL AND (mv IS NULL OR mv = st) THEN st END AS val,
   CASE WHEN rd = mv THEN false WHEN rd = st THEN COALESCE(mv <> rd, false) WHEN rd IS NULL AND (mv IS NULL OR mv = st) THEN false ELSE true END AS conflict FROM y)"""
 
