@@ -95,7 +95,7 @@ def rank_tests(df: DataFrame, value: str, group: str, a: str, b: str, by=()) ->
     u = "ra - na * (na + 1) / 2.0D"
     s = s.withColumn("u", F.expr(u)).withColumn("sd", F.expr("sqrt(na * nb / 12.0D * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1.0D))))"))
     s = s.withColumn("z", F.expr("coalesce((u - na * nb / 2.0D) / nullif(sd, 0.0D), 0.0D)"))
-    return s.selectExpr(*by, "na", "nb", "u", f"{normal_tail('abs(z)')} * 2.0D as p", "2.0D * u / (double(na) * nb) - 1.0D as cliffs_delta",
+    return s.selectExpr(*by, "na", "nb", "u", "z", f"{normal_tail('abs(z)')} * 2.0D as p", "2.0D * u / (double(na) * nb) - 1.0D as cliffs_delta",
                         "coalesce((m_a - m_b) / nullif(sqrt(((na - 1) * v_a + (nb - 1) * v_b) / (na + nb - 2.0D)), 0.0D), 0.0D) as cohens_d",
                         "m_a as mean_a", "m_b as mean_b")
 

@@ -124,10 +124,7 @@ def cliffs(spark, sf):
 
 @query("agg43_mann_whitney", on_eligible(*RT, f"SELECT {r6('ra - na * (na + 1) / 2.0', 3)} AS u, {r6('(ra - na * (na + 1) / 2.0 - na * nb / 2.0) / sqrt(na * nb / 12.0 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1.0))))', 4)} AS z FROM s"))
 def mann_whitney(spark, sf):
-    t = rank_row(spark, sf)
-    # the normal score follows from u, the sizes and the tie term; recover it from the counts
-    sd = "sqrt(na * nb / 12.0D * (na + nb + 1))"
-    return t.selectExpr(f"{r('u', 3)} as u", f"{r(f'(u - na * nb / 2.0D) / {sd}', 4)} as z")
+    return rank_row(spark, sf).selectExpr(f"{r('u', 3)} as u", f"{r('z', 4)} as z")
 
 
 @query("agg44_effect_size", on_eligible(*RT, f"SELECT {r6('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2.0))')} AS cohens_d, {r6('sqrt(greatest(0.0, ma * ma - mb * mb))')} AS drift FROM s"))
