@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixture, quality, sharding
+from . import language_id, line_dedup, mixture, near_dup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document; four-word shingles, at most four differing bits."""
+    return near_dup.near_duplicates(documents(spark, sf), shingle=4, radius=4)
+
+
 #: The tree of the mixture: domains are groups of sources.
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {
