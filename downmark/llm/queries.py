@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixture, near_dup, quality, sharding
+from . import language_id, line_dedup, mixture, near_dup, quality, sharding, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,16 @@ def op9_language_spans(spark: SparkSession, sf: str) -> DataFrame:
     model = language_id.fit(docs.filter(remainder(3) != 1))
     out = language_id.identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("lang_pred"), F.col("lang_score").alias("score"), F.size("spans").alias("n_spans"))
+
+
+@query("op10_top_inner_products", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op10_top_inner_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    vectors = spark.read.schema("vec_id bigint, embedding array<float>, label int").parquet(f"{sf}/embeddings.parquet")
+    return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
