@@ -55,3 +55,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns, so that extra ones cannot clash with working names."""
     return df.select(*columns)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

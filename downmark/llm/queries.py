@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixture, near_dup, quality, sharding, vector_search
+from . import decontaminate, language_id, line_dedup, mixture, near_dup, quality, sharding, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,27 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+@query("op1_decontaminate", r"""
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS n, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+bs AS (SELECT item_id, len(w) AS n, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM items WHERE len(w) >= 5)),
+spots AS (SELECT DISTINCT d.doc_id, greatest(0, least(d.pos - b.pos, d.n - b.n)) AS start, b.n FROM ds d JOIN bs b ON d.s = b.s),
+wins AS (SELECT p.doc_id, p.start, p.n, d.s, count(*) AS c FROM spots p JOIN ds d ON d.doc_id = p.doc_id AND d.pos >= p.start AND d.pos <= p.start + p.n - 5 GROUP BY ALL),
+size AS (SELECT doc_id, start, n, sum(c) AS m FROM wins GROUP BY ALL),
+bcc AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
+bc AS (SELECT *, sum(c) OVER (PARTITION BY item_id) AS m FROM bcc),
+met AS (SELECT w.doc_id, b.item_id, w.start, w.n, sum(least(w.c, b.c)) AS x, any_value(b.m) AS bm FROM wins w JOIN bc b ON w.n = b.n AND w.s = b.s GROUP BY ALL),
+sims AS (SELECT met.doc_id, item_id, met.start, met.n, CAST(x AS DOUBLE) / CAST(z.m + bm - x AS DOUBLE) AS similarity FROM met JOIN size z ON met.doc_id = z.doc_id AND met.start = z.start AND met.n = z.n)
+SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(n AS INT) AS n_words, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sims WHERE similarity >= 0.8) WHERE r = 1""")
+def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark items that each document holds, with the best window of each."""
+    items = spark.read.schema("item_id bigint, text string").parquet(f"{sf}/benchmark.parquet")
+    out = decontaminate.find(documents(spark, sf), items)
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "similarity")
+
+
 @query("op4_line_dedup", r"""
 WITH lines AS (SELECT doc_id, i AS pos, l[i] AS line, regexp_replace(l[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
