@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixture, near_dup, quality, sharding, vector_search
+from . import decontaminate, language_id, line_dedup, mixture, near_dup, quality, sharding, token_blocks, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,15 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "similarity")
 
 
+@query("op3_token_blocks")
+def op3_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents tokenised, written in blocks and read back."""
+    import public_tokenizers
+
+    manifest = token_blocks.write_tokens(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_blocks.read_tokens(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @query("op4_line_dedup", r"""
 WITH lines AS (SELECT doc_id, i AS pos, l[i] AS line, regexp_replace(l[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
