@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixture, near_dup, quality, sharding, token_blocks, vector_search
+from . import decontaminate, language_id, language_model, line_dedup, mixture, near_dup, quality, sharding, token_blocks, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,14 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "similarity")
 
 
+@query("op2_language_model")
+def op2_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probabilities of all texts under a bigram trie learned from four fifths of them."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    trie = language_model.fit(docs.filter(remainder(5) != 1))
+    return language_model.score(docs, trie).withColumn("held_out", remainder(5) == 1)
+
+
 @query("op3_token_blocks")
 def op3_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """All documents tokenised, written in blocks and read back."""
