@@ -1,12 +1,13 @@
 """Near-duplicates by SimHash fingerprints and deletion variants.
 
-64 bits are cut into three segments.  Of five differing bits or fewer, one segment
-has at most one, so two fingerprints that close agree in a segment with one bit
-left out.  Every fingerprint is listed under its 64 segments-without-a-bit, equal
-listings meet by key, and the pairs found there are verified bit by bit.
-
-Links are only made between distinct fingerprints, and a crowded listing gives a
-spanning forest instead of all its pairs; the components are the same.
+For a radius of four or five bits, 64 bits are cut into three segments: one of them
+differs in a bit at most, so two fingerprints that close agree in a segment with
+one bit left out.  Every fingerprint is listed under its 64 segments-without-a-bit,
+equal listings meet by key, and the pairs found there are verified bit by bit.  A
+larger radius takes more, shorter segments.
+
+A crowded listing gives a spanning forest instead of all its pairs; the components
+are the same.
 """
 
 from __future__ import annotations
@@ -22,16 +23,19 @@ from pyspark.sql import functions as F
 from .common import keep
 from .components import Forest, contract, popcount, roots
 
-#: First bit and width of each segment.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: The most differing bits for which one of the segments is sure to differ in one at most.
-MAX_RADIUS = 2 * len(SEGMENTS) - 1
 #: Listings up to the first size are compared pair by pair, larger ones by a forest, those
 #: over the second in cells of that size.
-SMALL, CELL = 32, 4096
+SMALL, CELL = 256, 4096
 _KEY_BITS = 30
 
 
+def segments(radius: int) -> list[tuple[int, int]]:
+    """First bit and width of the segments, the fewest (but three) of which one differs in one bit at most."""
+    n = max(3, radius // 2 + 1)
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
+
+
 def shingle_hashes(text: str | None, size: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every shingle of ``size`` words, repeats included; of all words if there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and the six ASCII spaces only
@@ -56,22 +60,36 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of every whole text, as a signed long."""
+def remix(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other hashes of the same shingles, for another fingerprint of the text."""
+    if table == 0:
+        return hashes
+    x = hashes ^ np.uint64((0x9E3779B97F4A7C15 * table) % (1 << 64))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, tables: int = 1) -> DataFrame:
+    """(id, fp, ...): ``tables`` fingerprints of every whole text, as signed longs ``fp``, ``fp1``, ..."""
+    names = [f"fp{t or ''}" for t in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.empty((tables, batch.num_rows), dtype=np.uint64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                hashes = shingle_hashes(t, shingle)
+                for k in range(tables):
+                    found[k, i] = simhash(remix(hashes, k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f.view(np.int64)) for f in found]], names=["id", *names])
 
     source = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
-def listings(fp: np.ndarray) -> np.ndarray:
+def listings(fp: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
     """The 64 listing keys of each fingerprint: the bit left out and the rest of its segment."""
     out = np.empty((len(fp), 64), dtype=np.int64)
-    for start, width in SEGMENTS:
+    for start, width in cuts:
         value = (fp >> np.uint64(start)) & np.uint64((1 << width) - 1)
         for i in range(width):
             rest = ((value >> np.uint64(i + 1)) << np.uint64(i)) | (value & np.uint64((1 << i) - 1))
@@ -79,86 +97,99 @@ def listings(fp: np.ndarray) -> np.ndarray:
     return out
 
 
-def home(x: np.ndarray) -> np.ndarray:
+def home(x: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
     """The bit whose listing a pair with difference ``x`` is reported from: one of those they share."""
     out = np.full(len(x), -1, dtype=np.int64)
-    for start, width in reversed(SEGMENTS):
+    for start, width in reversed(cuts):
         part = (x >> np.uint64(start)) & np.uint64((1 << width) - 1)
-        n = popcount(part)
         bit = np.where(part == 0, 0, np.log2(np.maximum(part, 1).astype(np.float64)).astype(np.int64))
-        out = np.where(n <= 1, start + bit, out)
+        out = np.where(popcount(part) <= 1, start + bit, out)
     return out
 
 
-def _list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        every = batch.column(0).to_numpy(zero_copy_only=False)
-        for i in range(0, len(every), 4096):
-            fp = every[i:i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(listings(fp.view(np.uint64)).ravel()), pa.array(np.repeat(fp, 64))], names=["bucket", "fp"])
+def _lister(cuts: list[tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i in range(0, len(every), 4096):
+                fp = every[i:i + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(listings(fp.view(np.uint64), cuts).ravel()), pa.array(np.repeat(fp, 64)), pa.array(np.repeat(nodes[i:i + 4096], 64))],
+                                                 names=["bucket", "fp", "node"])
+
+    return run
 
 
-def forest_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span every component of the given fingerprints; work shrinks as they are reached."""
-    left, ends = fp, ([], [])
+def forest_links(fp: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+    """(place, places near it) that span every component; work shrinks as places are reached."""
+    left, out = np.arange(len(fp)), []
     while len(left):
-        front, left = left[:1], left[1:]
-        while len(front):
-            at, front = front[0], front[1:]
-            near = popcount(left ^ at) <= radius
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = popcount(fp[left] ^ fp[at]) <= radius
             if near.any():
-                found = left[near]
-                ends[0].append(np.full(len(found), at))
-                ends[1].append(found)
-                front, left = np.concatenate([front, found]), left[~near]
-    join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return join(ends[0]), join(ends[1])
+                out.append((int(at), left[near]))
+                front.extend(left[near].tolist())
+                left = left[~near]
+    return out
 
 
 def linker(radius: int):
     """Links from rows sorted by bucket, as stars; holds one bucket and the links of a partition."""
+    cuts = segments(radius)
 
-    def found(bucket: np.ndarray, fp: np.ndarray, forest: Forest) -> None:
+    def found(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, forest: Forest) -> None:
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
         sizes = np.diff(edges)
-        size = np.repeat(sizes, sizes)
         bit = (bucket & ((1 << _KEY_BITS) - 1)) >> 24
-        few = (size > 1) & (size <= SMALL)
-        b, f, p = bucket[few], fp[few], bit[few]
-        for step in range(1, SMALL):
-            same = b[step:] == b[:-step]
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            x = fp[i] ^ fp[j]
+            at = np.flatnonzero(popcount(x) <= radius)
+            at = at[home(x[at], cuts) == bit[i[at]]]
+            for a, b in zip(node[i[at]].tolist(), node[j[at]].tolist()):
+                forest.union(a, b)
+
+        # buckets of a few rows all at once, by distance of the rows; then one bucket at a time
+        few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 16), sizes))
+        for step in range(1, 16):
+            i, j = few[:-step], few[step:]
+            same = bucket[i] == bucket[j]
             if not same.any():
                 break
-            x = f[step:] ^ f[:-step]
-            at = np.flatnonzero(same & (popcount(x) <= radius))
-            at = at[home(x[at]) == p[at]]
-            for i in at.tolist():
-                forest.union(int(f[i].view(np.int64)), int(f[i + step].view(np.int64)))
-        for k in np.flatnonzero(sizes > SMALL).tolist():
-            one, two = forest_links(np.unique(fp[edges[k]:edges[k + 1]]), radius)
-            for x, y in zip(one.view(np.int64).tolist(), two.view(np.int64).tolist()):
-                forest.union(x, y)
+            link(i[same], j[same])
+        for k in np.flatnonzero((sizes > 16) & (sizes <= SMALL)).tolist():
+            own = fp[edges[k]:edges[k + 1]]
+            i, j = np.nonzero(popcount(own[:, None] ^ own[None, :]) <= radius)
+            up = i < j
+            if up.any():
+                link(edges[k] + i[up], edges[k] + j[up])
+        for k in np.flatnonzero(sizes > max(SMALL, 16)).tolist():
+            own = node[edges[k]:edges[k + 1]]
+            for at, near in forest_links(fp[edges[k]:edges[k + 1]], radius):
+                for other in own[near].tolist():
+                    forest.union(int(own[at]), other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        bucket, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket = np.concatenate([bucket, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            done = int(np.searchsorted(bucket, bucket[-1]))
+            bucket, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            held = tuple(np.concatenate(x) for x in zip(held, (bucket, fp.view(np.uint64), node)))
+            done = int(np.searchsorted(held[0], held[0][-1]))
             if done:
-                found(bucket[:done], fp[:done], forest)
-                bucket, fp = bucket[done:], fp[done:]
-        if len(bucket):
-            found(bucket, fp, forest)
+                found(*(x[:done] for x in held), forest)
+                held = tuple(x[done:] for x in held)
+        if len(held[0]):
+            found(*held, forest)
         yield forest.stars()
 
     return run
 
 
-def crowded(fps: DataFrame, cell: int) -> DataFrame:
+def crowded(fps: DataFrame, cuts: list[tuple[int, int]], cell: int) -> DataFrame:
     """(bucket, cells) of the listings that may hold over ``cell`` fingerprints.
 
     Such a listing joins two values of a segment, one of them with over half a cell.
@@ -166,7 +197,7 @@ def crowded(fps: DataFrame, cell: int) -> DataFrame:
     """
     values = fps.select(F.explode(F.array(*[
         F.struct(F.lit(start).alias("start"), F.lit(width).alias("width"), F.expr(f"shiftrightunsigned(fp, {start}) & {(1 << width) - 1}L").alias("v"))
-        for start, width in SEGMENTS])).alias("s")).select("s.*")
+        for start, width in cuts])).alias("s")).select("s.*")
     heavy = values.groupBy("start", "width", "v").agg(F.count("*").alias("n")).filter(F.col("n") > cell // 2)
     bits = heavy.withColumn("i", F.explode(F.expr("sequence(0, width - 1)")))
     keys = bits.withColumn("bucket", F.expr("shiftleft(cast(start + i AS bigint), 24) | shiftleft(shiftright(v, i + 1), i) | (v & (shiftleft(1L, i) - 1))"))
@@ -175,17 +206,20 @@ def crowded(fps: DataFrame, cell: int) -> DataFrame:
 
 
 def near_links(fps: DataFrame, radius: int = 4, cell: int = CELL) -> DataFrame:
-    """Links (a, b) whose components are those of all distinct ``fp`` within ``radius`` bits."""
-    if not 0 <= radius <= MAX_RADIUS:
-        raise ValueError(f"radius must be 0 to {MAX_RADIUS}")
-    listed = fps.select("fp").mapInArrow(_list_all, "bucket long, fp long")
-    large = keep(crowded(fps, cell), "crowded")
+    """Links (a, b) between the ``node`` of all rows whose ``fp`` are within ``radius`` bits, up to connection.
+
+    The expected work for a fingerprint is 64 times the fingerprints over two to the
+    width of a segment less one; over a radius of five it soon grows with the square.
+    """
+    cuts = segments(radius)
+    listed = fps.select("fp", "node").mapInArrow(_lister(cuts), "bucket long, fp long, node long")
+    large = keep(crowded(fps, cuts, cell), "crowded")
     if not large.isEmpty():
         # every two cells of a crowded listing meet once, in a bucket of their own
-        mine = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
+        mine = F.pmod(F.xxhash64("fp", "node"), F.col("cells")).cast("int")
         cells = listed.join(large, "bucket", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
         code = F.when(F.col("cells").isNull(), F.lit(0)).otherwise(F.least(mine, "other") * 65536 + F.greatest(mine, "other") + 1).cast("long")
-        listed = cells.select((F.shiftleft(code, _KEY_BITS) + F.col("bucket")).alias("bucket"), "fp")
+        listed = cells.select((F.shiftleft(code, _KEY_BITS) + F.col("bucket")).alias("bucket"), "fp", "node")
     return listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(linker(radius), "a long, b long")
 
 
@@ -200,8 +234,84 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """
     docs = keep(fingerprints(df, key, text, shingle), "fingerprints")
     fps = keep(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    tops = roots(near_links(fps, radius).mapInArrow(contract, "a long, b long"))
+    tops = roots(near_links(fps.select("fp", F.col("fp").alias("node")), radius).mapInArrow(contract, "a long, b long"))
     tree = keep(fps.join(tops, fps.fp == tops.a, "left").select("fp", F.coalesce("b", "fp").alias("top"), "least"), "tree")
     ids = keep(tree.groupBy("top").agg(F.min("least").alias("component_id")), "ids")
     member = keep(tree.join(ids, "top").select("fp", "component_id"), "member")
     return docs.join(member, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _hash_lists(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.sort(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "marks"])
+
+    return run
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared shingles over all shingles of two lists, repeats counted; 1 for two empty lists."""
+    if not len(a) and not len(b):
+        return 1.0
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(n[i], m[j]).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
+def _verify(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(1), batch.column(2)
+            ok = [similarity(one[i].values.to_numpy(), two[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_())], names=["a", "ok"])
+
+    return run
+
+
+def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
+                   radius: int = 9, tables: int = 3, rounds: int = 6) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: one row of each group, all columns as they are.
+
+    Texts within ``radius`` bits in one of ``tables`` fingerprints are candidates.  In
+    every connected group one text is the measure, and a text goes if at least ``least``
+    of the shingles of the two are shared.  Those that are not that close to the measure
+    of their group are grouped again, up to ``rounds`` times; what is then still linked
+    stays whole, so nothing goes without a text that stays and was compared with it.
+
+    Of rows with one text, that with the smallest key stays; null keys come last, and of
+    rows that agree in key and text any one stays.  Null and empty texts are one text,
+    and blank texts are all alike.  An empty table gives an empty result.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    node = F.xxhash64(whole)
+    rows = keep(fingerprints(df.select(F.struct(F.col(key).alias("key"), node.alias("node")).alias("row"), whole.alias("text")), "row", "text", shingle, tables), "fingerprints")
+    names = [c for c in rows.columns if c != "id"]
+    nodes = keep(rows.groupBy("id.node").agg(F.min("id.key").alias("least"), *[F.first(n).alias(n) for n in names]), "nodes")
+    open_, gone = nodes, None
+    marks = None
+    for _ in range(rounds):
+        links = [near_links(open_.select(F.col(n).alias("fp"), "node"), radius) for n in names]
+        merged = links[0]
+        for more in links[1:]:
+            merged = merged.union(more)
+        tops = roots(merged.mapInArrow(contract, "a long, b long"))
+        if tops.isEmpty():
+            break
+        if marks is None:  # later rounds only see texts linked in the first
+            linked = tops.select("a").union(tops.select("b")).distinct()
+            texts = df.select(node.alias("node"), whole.alias("text")).join(linked, F.col("node") == F.col("a"), "left_semi")
+            marks = keep(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_hash_lists(shingle), "node long, marks array<long>"), "marks")
+        one, two = marks.select(F.col("node").alias("a"), F.col("marks").alias("one")), marks.select(F.col("node").alias("b"), F.col("marks").alias("two"))
+        checked = keep(tops.join(one, "a").join(two, "b").select("a", "one", "two").mapInArrow(_verify(least), "a long, ok boolean"), "checked")
+        good, bad = checked.filter("ok").select("a"), checked.filter("not ok").select("a")
+        gone = good if gone is None else gone.union(good)
+        open_ = keep(open_.join(bad, open_.node == bad.a, "left_semi"), "open")
+    stay = nodes if gone is None else nodes.join(keep(gone, "gone"), nodes.node == F.col("a"), "left_anti")
+    stay = keep(stay.select(F.col("node").alias("_node"), F.col("least").alias("_least")), "stay")
+    out = df.join(stay, (node == F.col("_node")) & F.col(key).eqNullSafe(F.col("_least")))
+    repeats = rows.groupBy("id").count().filter("count > 1")
+    if not repeats.isEmpty():
+        out = out.dropDuplicates([key, "_node"])
+    return out.select(*df.columns)
