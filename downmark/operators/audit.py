@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..scale import with_previous, with_running
@@ -58,13 +58,21 @@ def field_changes(shown: DataFrame, final: DataFrame, fields) -> DataFrame:
 
 
 def repeated_keys(rows: DataFrame, key: str, window: int = 6) -> DataFrame:
-    """Rows whose key occurred in the rows just before: at most six neighbours are compared."""
-    out = rows
-    for i in range(1, window + 1):
-        cols = {f"_p{i}": key if i == 1 else f"_p{i - 1}"}
-        out = with_previous(out, ["game"], "block", ["event_id"], cols)
-    hit = " or ".join(f"coalesce(_p{i} = {key}, false)" for i in range(1, window + 1))
-    return out.withColumn("repeated", F.expr(hit)).drop(*[f"_p{i}" for i in range(1, window + 1)])
+    """Rows whose key occurred in the ``window`` rows just before.
+
+    One window per (game, block) gathers the neighbours inside a block; the last
+    ``window`` keys of each block are carried over to the blocks after it, which
+    may each hold fewer rows than the window reaches back."""
+    inner = W.partitionBy("game", "block").orderBy("event_id")
+    local = rows.withColumn("_near", F.collect_list(F.struct(F.col(key).alias("k"))).over(inner.rowsBetween(-window, -1)))
+    last = rows.select("game", "block", "event_id", F.struct(F.col(key).alias("k")).alias("_k")).withColumn(
+        "_back", F.row_number().over(W.partitionBy("game", "block").orderBy(F.desc("event_id")))).filter(F.col("_back") <= window)
+    edges = last.groupBy("game", "block").agg(F.expr("transform(array_sort(collect_list(struct(event_id, _k))), x -> x._k) as _edge"))
+    before = W.partitionBy("game").orderBy("block").rowsBetween(-window, -1)
+    carry = edges.select("game", "block", F.flatten(F.collect_list("_edge").over(before)).alias("_far"))
+    joined = local.join(carry, ["game", "block"], "left").withColumn("_all", F.concat(F.coalesce("_far", F.array().cast("array<struct<k:string>>")), "_near"))
+    recent = f"slice(_all, greatest(size(_all) - {window} + 1, 1), {window})"
+    return joined.withColumn("repeated", F.expr(f"exists({recent}, x -> coalesce(x.k = {key}, false))")).drop("_near", "_far", "_all")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, slack: int = 5) -> DataFrame:

@@ -74,12 +74,14 @@ def permutation_test(rows: DataFrame, keys, draws: int = PERMUTATIONS, min_seg:
 
 
 def segment(series: DataFrame, alpha: float = ALPHA, draws: int = PERMUTATIONS, min_seg: int = MIN_SEG,
-            min_games: int = MIN_GAMES, salt: str = "", levels: int = 64) -> DataFrame:
-    """Binary segmentation of all teams at once: one job per level, until no segment splits."""
+            min_games: int = MIN_GAMES, salt: str = "") -> DataFrame:
+    """Binary segmentation of all teams at once: one job per level, until no segment splits.
+
+    Every level shortens the segments that are still open, so the levels end."""
     sized = series.select("team", "idx", "adj", "n", F.count("*").over(W.partitionBy("team")).alias("games"))
     open_rows = cut_lineage(sized.filter(f"games >= {min_games}").withColumn("start", F.lit(0)))
     found = None
-    for _ in range(levels):
+    while True:
         tested = permutation_test(open_rows, ["team", "start"], draws, min_seg, salt).filter(f"p <= {alpha}")
         hits = cut_lineage(tested.selectExpr("team", "start", "start + pos as at", "stat", "p", "pos as games_before", "size - pos as games_after"))
         if hits.isEmpty():

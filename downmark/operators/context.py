@@ -91,17 +91,19 @@ def fit_predict(train: DataFrame, held: DataFrame, ks: DataFrame, reference: int
     return predict_identity(fit_identity(with_k(train), reference, by), with_k(held), "ik", by)
 
 
-def fit_sigmoid(scored: DataFrame, by=("league",), steps: int = 12) -> DataFrame:
-    """Slope and intercept of the calibration per league by Newton steps.
+def fit_sigmoid(scored: DataFrame, by=("league",), steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
+    """Slope and intercept of the calibration per league by Newton steps, until they stand still.
 
     Each step is one aggregate over the counted cells; only the two parameters
-    per league come back to the driver."""
+    per league come back to the driver.  A league whose steps do not settle, or
+    whose cells do not determine a line, has no parameters (null)."""
     x = S.logit_sql("pred")
     cells = cut_lineage(scored.selectExpr(*by, "plays", "passes", f"{x} as x"))
     spark = scored.sparkSession
     groups = [tuple(row) for row in cells.select(*by).distinct().collect()]
     at = {g: (1.0, 0.0) for g in groups}
     kinds = ", ".join(f"{c} string" for c in by) + ", slope double, intercept double"
+    moving, failed = set(groups), set()
     for _ in range(steps):
         params = spark.createDataFrame([(*g, *v) for g, v in at.items()], kinds)
         q = "(1.0D / (1.0D + exp(-(slope * x + intercept))))"
@@ -112,10 +114,18 @@ def fit_sigmoid(scored: DataFrame, by=("league",), steps: int = 12) -> DataFrame
         for s in sums:
             g = tuple(s[c] for c in by)
             det = s.haa * s.hbb - s.hab * s.hab
-            if det > 0:
+            if not det > 0:
+                failed.add(g)
+            elif g in moving:
                 a, b = at[g]
-                at[g] = (a + (s.hbb * s.ga - s.hab * s.gb) / det, b + (s.haa * s.gb - s.hab * s.ga) / det)
-    return spark.createDataFrame([(*g, *v) for g, v in at.items()], kinds)
+                da, db = (s.hbb * s.ga - s.hab * s.gb) / det, (s.haa * s.gb - s.hab * s.ga) / det
+                at[g] = (a + da, b + db)
+                if max(abs(da), abs(db)) < tolerance:
+                    moving.discard(g)
+        if not moving - failed:
+            break
+    lost = moving | failed
+    return spark.createDataFrame([(*g, *((None, None) if g in lost else v)) for g, v in at.items()], kinds)
 
 
 def protocol(plays: DataFrame, year: int, by=("league",)) -> DataFrame:

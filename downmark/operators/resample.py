@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..scale import hash_draw, with_position
+from ..session import cut_lineage
 from .scoring import loss
 
 REPS = 2000
@@ -21,7 +22,9 @@ def paired_bootstrap(clusters: DataFrame, reps: int = REPS, by=("league",), salt
 
     Clusters are numbered in hash order of their name; slot i of a draw reads
     cluster number hash(draw, i) mod count.  A draw's slots are rows, joined to
-    the cluster sums by number, so neither draws nor clusters meet in one task."""
+    the cluster sums by number, so neither draws nor clusters meet in one task.
+    The cluster sums, which every branch reads, are worked out once."""
+    clusters = cut_lineage(clusters)
     named = clusters.withColumn("_h", F.md5(F.col("cluster").cast("string"))).withColumn("_block", F.substring("_h", 1, 2))
     numbered = with_position(named, by, "_block", ["_h", "cluster"], "number").select(*by, "number", "diff", "n")
     total = clusters.groupBy(*by).agg(F.count("*").alias("clusters"), F.expr("sum(diff) / sum(n) as difference"))

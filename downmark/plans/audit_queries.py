@@ -122,12 +122,12 @@ def same_snap(spark, sf):
 
 
 @query("agg56_forecast_cohorts", on_eligible(SC, """x AS (SELECT e.league, CASE WHEN e.week < 8 THEN 'development' ELSE 'prospective' END AS cohort, e.game_id, power(sc.pred - CASE WHEN e.is_pass THEN 1 ELSE 0 END, 2) AS l FROM el e JOIN sc ON e.league = sc.league AND e.offense = sc.team AND 'd' || e.down || '_' || e.band || '_' || e.zone = sc.key WHERE e.season = 2000)""", f"""
-SELECT league, cohort, COUNT(*) AS plays, COUNT(DISTINCT game_id) AS games, CASE WHEN COUNT(*) >= 1400 AND COUNT(DISTINCT game_id) >= 20 THEN {r6('AVG(l)')} END AS brier FROM x GROUP BY 1, 2"""))
+SELECT league, cohort, COUNT(*) AS plays, COUNT(DISTINCT game_id) AS games, CASE WHEN COUNT(*) >= 2000 AND COUNT(DISTINCT game_id) >= 20 THEN {r6('AVG(l)')} END AS brier FROM x GROUP BY 1, 2"""))
 def cohorts(spark, sf):
     held = S.eligible(V.plays(spark, sf).filter("season = 2000")).selectExpr("league", "if(week < 8, 'development', 'prospective') as cohort", "game_id", "offense as team", f"{S.bucket_sql()} as key", "int(is_pass) as p")
     counted = held.groupBy("league", "cohort", "game_id", "team", "key").agg(F.count("*").alias("plays"), F.sum("p").alias("passes"))
     t = counted.join(scored(spark, sf).select("league", "team", "key", "pred"), ["league", "team", "key"]).withColumn("loss", F.expr(loss("pred")))
-    return A.forecast_cohorts(t, least_plays=1400).selectExpr("league", "cohort", "plays", "games", f"{r('brier')} as brier")
+    return A.forecast_cohorts(t, least_plays=2000).selectExpr("league", "cohort", "plays", "games", f"{r('brier')} as brier")
 
 
 @query("agg57_exclusions", on_plays("SELECT reason, COUNT(*) AS n FROM (SELECT unnest([CASE WHEN is_special THEN 'special' END, CASE WHEN is_penalty_only THEN 'penalty' END, CASE WHEN contains(play_text, 'takes a knee') THEN 'kneel' END, CASE WHEN pk % 9 = 0 THEN 'late' END]) AS reason FROM plays) WHERE reason IS NOT NULL GROUP BY 1"))

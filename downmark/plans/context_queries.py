@@ -121,7 +121,7 @@ def blend(spark, sf):
     m, offsets = identity_fit(spark, sf)
     held = X.predict_identity(offsets, X.predict_context(m, cells(spark, sf, f"season = {YEAR}")))
     t = held.groupBy("league").agg(F.sum("plays").alias("n"), F.expr(f"{brier_of('pred')} as team"), F.expr(f"{brier_of('base')} as context"),
-                                   F.expr(f"{brier_of(chr(32).join(['if(identity <', chr(39) + 'M' + chr(39) + ', (pred + base) / 2, pred)']))} as blend"))
+                                   F.expr(brier_of("if(identity < 'M', (pred + base) / 2, pred)") + " as blend"))
     return out(t, "team", "context", "blend", keep=("league", "n"))
 
 
@@ -226,11 +226,11 @@ PROFILE = [OUT_SQL, f"h AS (SELECT *, {HISTORY_KEY} AS context FROM oc WHERE (is
     "u AS (SELECT league, season, 'offense' AS side, offense AS team, context, game_id, converted, is_rush, is_pass, y FROM h WHERE context IS NOT NULL UNION ALL SELECT league, season, 'defense', defense, context, game_id, converted, is_rush, is_pass, y FROM h WHERE context IS NOT NULL)",
     "pc AS (SELECT league, season, side, team, context, COUNT(*) AS n, COUNT(DISTINCT game_id) AS games, COUNT(converted) AS known, COUNT(*) FILTER (converted) AS conversions, " + ", ".join(
         f"COUNT(*) FILTER ({f}) AS {a}_n, COUNT(*) FILTER ({f} AND y IS NOT NULL) AS {a}_known, COUNT(*) FILTER ({f} AND y <= 2) AS {a}_two_or_less, COUNT(*) FILTER ({f} AND y >= 5) AS {a}_five_plus, COUNT(*) FILTER ({f} AND y >= 10) AS {a}_ten_plus, median(y) FILTER ({f}) AS {a}_median"
-        for a, f in (("run", "is_rush"), ("pass", "is_pass"))) + " FROM u GROUP BY ALL HAVING COUNT(*) >= 3 AND COUNT(DISTINCT game_id) >= 2)"]
+        for a, f in (("run", "is_rush"), ("pass", "is_pass"))) + " FROM u GROUP BY ALL HAVING COUNT(*) >= 20 AND COUNT(DISTINCT game_id) >= 5)"]
 
 
 def profile_cells(spark, sf):
-    return H.profile_cells(S.eligible(with_outcomes(spark, sf)), min_plays=3, min_games=2)
+    return H.profile_cells(S.eligible(with_outcomes(spark, sf)), min_plays=20, min_games=5)
 
 
 @query("agg32_history_profiles", on_plays(*PROFILE, "SELECT * FROM pc"))

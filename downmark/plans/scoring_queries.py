@@ -189,7 +189,7 @@ HALVES = [("0.5", "05"), ("1.0", "10"), ("2.0", "20"), ("3.0", "30"), ("4.0", "4
 
 
 @query("agg15_half_life_surface", on_eligible(*[scored_ctes(f"_{t}", hl, "0") for hl, t in HALVES], grid_sql(P.K_GRID, "k"),
-    "sc AS (" + " UNION ALL ".join(f"SELECT {chr(39) + 'inf' + chr(39) if hl == 'inf' else hl}::DOUBLE AS half_life, league, plays, passes, sample_size, raw, base FROM sc_{t}" for hl, t in HALVES) + ")",
+    "sc AS (" + " UNION ALL ".join(f"SELECT '{hl}'::DOUBLE AS half_life, league, plays, passes, sample_size, raw, base FROM sc_{t}" for hl, t in HALVES) + ")",
     f"kc AS (SELECT league, half_life, k, {brier(shrunk())} AS b FROM sc CROSS JOIN g GROUP BY ALL)", f"SELECT league, half_life, k, {r6('b', 5)} AS brier FROM kc"))
 def half_life_surface(spark, sf):
     """Every half-life in one job: fine cells are copied per half-life, never the plays."""

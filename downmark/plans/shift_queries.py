@@ -69,11 +69,11 @@ def turnover(spark, sf):
 
 
 PAIRS = """bc AS (SELECT offense AS team, season, 'd' || down || '_' || band || '_' || zone AS bucket, COUNT(*) AS n, SUM(CASE WHEN is_pass THEN 1 ELSE 0 END) AS p FROM el GROUP BY ALL),
-pairs AS (SELECT b.team, b.season, b.bucket, a.n AS n_a, a.p AS p_a, b.n AS n_b, b.p AS p_b FROM bc a JOIN bc b ON a.team = b.team AND a.bucket = b.bucket AND b.season = a.season + 1 WHERE a.n >= 5 AND b.n >= 5),
+pairs AS (SELECT b.team, b.season, b.bucket, a.n AS n_a, a.p AS p_a, b.n AS n_b, b.p AS p_b FROM bc a JOIN bc b ON a.team = b.team AND a.bucket = b.bucket AND b.season = a.season + 1 WHERE a.n >= 10 AND b.n >= 10),
 sh AS (SELECT team, season, COUNT(*) AS buckets, SUM(least(n_a, n_b)) AS weight, SUM(least(n_a, n_b) * abs(p_a::DOUBLE / n_a - p_b::DOUBLE / n_b)) / SUM(least(n_a, n_b)) AS shift FROM pairs GROUP BY 1, 2 HAVING SUM(least(n_a, n_b)) >= 100)"""
 
 
-def pairs(spark, sf, floor=5):
+def pairs(spark, sf, floor=10):
     return SH.season_pairs(SH.bucket_counts(C.fine_cells(V.plays(spark, sf))), floor)
 
 
@@ -95,7 +95,7 @@ def largest(spark, sf):
 TAGGED = [PRIMARY, PAIRS, "tg AS (SELECT sh.*, change_kind FROM sh JOIN trans ON sh.team = trans.school AND sh.season = trans.year)"]
 
 
-def tagged(spark, sf, floor=5):
+def tagged(spark, sf, floor=10):
     t = SH.transitions(primary(spark, sf)).selectExpr("school as team", "year as season", "change_kind")
     return SH.shift_sizes(pairs(spark, sf, floor)).join(t, ["team", "season"])
 
@@ -132,16 +132,16 @@ def effect_size(spark, sf):
     return rank_row(spark, sf).selectExpr(f"{r('cohens_d')} as cohens_d", f"{r(SH.true_drift('mean_a', 'mean_b'))} as drift")
 
 
-@query("agg45_floor_sensitivity", on_eligible(PRIMARY, PAIRS.split("pairs AS")[0].rstrip(",\n "), "f AS (SELECT unnest([2, 5, 8]) AS fl)",
+@query("agg45_floor_sensitivity", on_eligible(PRIMARY, PAIRS.split("pairs AS")[0].rstrip(",\n "), "f AS (SELECT unnest([5, 10, 20, 30]) AS fl)",
     "pr AS (SELECT fl, b.team, b.season, a.n AS n_a, a.p AS p_a, b.n AS n_b, b.p AS p_b FROM bc a JOIN bc b ON a.team = b.team AND a.bucket = b.bucket AND b.season = a.season + 1 JOIN f ON a.n >= fl AND b.n >= fl)",
     "sh AS (SELECT fl, team, season, SUM(least(n_a, n_b) * abs(p_a::DOUBLE / n_a - p_b::DOUBLE / n_b)) / SUM(least(n_a, n_b)) AS shift FROM pr GROUP BY ALL HAVING SUM(least(n_a, n_b)) >= 100)", f"""
 SELECT fl AS floor, COUNT(*) AS pairs, {r6("median(shift) FILTER (change_kind = 'offseason')")} AS median_changed, {r6("median(shift) FILTER (change_kind = 'none')")} AS median_same FROM sh JOIN trans ON sh.team = trans.school AND sh.season = trans.year GROUP BY 1"""))
 def floors(spark, sf):
-    every = pairs(spark, sf, 2).withColumn("floor", F.explode(F.array(*[F.lit(f) for f in (2, 5, 8)]))).filter("n_a >= floor and n_b >= floor")
+    every = pairs(spark, sf, 5).withColumn("floor", F.explode(F.array(*[F.lit(f) for f in (5, 10, 20, 30)]))).filter("n_a >= floor and n_b >= floor")
     t = SH.transitions(primary(spark, sf)).selectExpr("school as team", "year as season", "change_kind")
     return SH.shift_sizes(every, ("floor", "team", "season")).join(t, ["team", "season"]).groupBy("floor").agg(
-        F.count("*").alias("pairs"), F.expr(f"{r(chr(10) + 'percentile(if(change_kind = ' + chr(39) + 'offseason' + chr(39) + ', shift, null), 0.5D)')} as median_changed"),
-        F.expr(f"{r('percentile(if(change_kind = ' + chr(39) + 'none' + chr(39) + ', shift, null), 0.5D)')} as median_same"))
+        F.count("*").alias("pairs"), F.expr(r("percentile(if(change_kind = 'offseason', shift, null), 0.5D)") + " as median_changed"),
+        F.expr(r("percentile(if(change_kind = 'none', shift, null), 0.5D)") + " as median_same"))
 
 
 @query("agg47_printed_error", on_eligible(SC, f"""e AS (SELECT league, team < 'J' AS grp, abs(pred - passes::DOUBLE / plays) AS err, plays FROM sc)""", f"""
@@ -243,7 +243,7 @@ def cusum(spark, sf):
     return out(CP.cusum(series(spark, sf), ["team"]), "stat", keep=("team", "pos"))
 
 
-DRAWS = 99
+DRAWS = CP.PERMUTATIONS
 PERM = f"""pm AS (SELECT team, idx, adj, n, d.draw, CASE WHEN d.draw = 0 THEN 0 ELSE ('0x' || substr(md5('' || '|' || team || '|' || idx || '|' || d.draw), 1, 8))::BIGINT END AS h FROM ser CROSS JOIN (SELECT unnest(range(0, {DRAWS + 1})) AS draw) d),
 pw AS (SELECT team, draw, row_number() OVER o AS pos, COUNT(*) OVER (PARTITION BY team, draw) AS size, SUM(n) OVER o AS wc, SUM(adj * n) OVER o AS sc, SUM(n) OVER (PARTITION BY team, draw) AS wt, SUM(adj * n) OVER (PARTITION BY team, draw) AS st FROM pm WINDOW o AS (PARTITION BY team, draw ORDER BY h, idx)),
 ps AS (SELECT team, draw, pos, abs(sc - wc * st / wt) / sqrt(wc * (wt - wc) / wt::DOUBLE) AS stat FROM pw WHERE pos >= 6 AND size - pos >= 6),
@@ -376,7 +376,7 @@ def changepoint_detail(spark, sf):
     return out(t, "raw_before", "raw_after", keep=("team", "at", "first_new", "passers_before"))
 
 
-BOOT = 200
+BOOT = RS.REPS
 
 
 def boot_sql(cluster):
@@ -404,10 +404,10 @@ def bucket_bootstrap(spark, sf):
 big AS (SELECT team, season, bucket, n_a, n_b, (p_a + p_b)::DOUBLE / (n_a + n_b) AS pooled FROM pairs),
 pl AS (SELECT team, season, bucket, n_a, n_b, pooled, 'a' AS side, unnest(range(1, n_a + 1)) AS i FROM big UNION ALL SELECT team, season, bucket, n_a, n_b, pooled, 'b', unnest(range(1, n_b + 1)) FROM big),
 dw AS (SELECT team, season, bucket, n_a, n_b, draw, SUM(CASE WHEN side = 'a' AND hit THEN 1 ELSE 0 END) AS p_a, SUM(CASE WHEN side = 'b' AND hit THEN 1 ELSE 0 END) AS p_b FROM (SELECT *, ('0x' || substr(md5(team || '|' || season || '|' || bucket || '|' || side || '|' || i || '|' || draw), 1, 8))::BIGINT / 4294967296.0 < pooled AS hit
-  FROM pl CROSS JOIN (SELECT unnest(range(0, 10)) AS draw)) GROUP BY ALL),
+  FROM pl CROSS JOIN (SELECT unnest(range(0, 200)) AS draw)) GROUP BY ALL),
 sn AS (SELECT team, season, draw, SUM(least(n_a, n_b) * abs(p_a::DOUBLE / n_a - p_b::DOUBLE / n_b)) / SUM(least(n_a, n_b)) AS shift FROM dw GROUP BY 1, 2, 3)""", f"SELECT team, season, {r6('AVG(shift)')} AS null_shift FROM sn GROUP BY 1, 2"))
 def binomial_null(spark, sf):
-    return out(SH.null_shift(pairs(spark, sf), 10), "null_shift", keep=("team", "season"))
+    return out(SH.null_shift(pairs(spark, sf), 200), "null_shift", keep=("team", "season"))
 
 
 @query("sim07_random_splits", on_eligible(SERIES, """

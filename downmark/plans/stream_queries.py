@@ -29,9 +29,11 @@ def late_reports(spark, sf):
     return ST.run_available(ST.revisions(feed(spark, sf))).groupBy("game").agg(F.expr("count_if(late) as late"))
 
 
-@query("str03_delayed_release")
+@query("str03_delayed_release", f"WITH {EV}, x AS (SELECT *, LEAD(tm) OVER (PARTITION BY game, play ORDER BY tm, event_id) AS nx FROM e), k AS (SELECT * FROM x WHERE nx IS NULL OR nx > tm + 45000) "
+       "SELECT game, play, event_id, tm AS observed_at, tm + 45000 AS released_at, row_number() OVER (PARTITION BY game, play ORDER BY tm, event_id) > 1 AS revised FROM k")
 def delayed_release(spark, sf):
-    return ST.run_available(ST.delayed_release(feed(spark, sf), 45_000)).select("game", "play", "event_id", "observed_at", "released_at")
+    folder = f"{shared_folder(spark)}/release-{uuid.uuid4().hex}"
+    return ST.release_all(feed(spark, sf), 45_000, "1 minute", folder).select("game", "play", "event_id", "observed_at", "released_at", "revised")
 
 
 @query("str06_repeated_clock", f"WITH {EV}, k AS (SELECT *, CAST(FLOOR(value / 25) AS INT) AS ck FROM e), c AS (SELECT *, CASE WHEN ck = LAG(ck) OVER (PARTITION BY game ORDER BY event_id) THEN 0 ELSE 1 END AS nw FROM k), i AS (SELECT *, SUM(nw) OVER (PARTITION BY game ORDER BY event_id) AS isl FROM c), "

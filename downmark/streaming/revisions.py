@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..session import STATE_STORE, shared_folder
 
 REVISION = "game bigint, play string, event_id bigint, at bigint, content string, version int, late boolean"
-RELEASE = "game bigint, play string, event_id bigint, observed_at bigint, released_at bigint, content string"
+RELEASE = "game bigint, play string, event_id bigint, observed_at bigint, released_at bigint, content string, revised boolean"
 CLOCKS = "game bigint, event_id bigint, clock_key int, run int"
 
 
@@ -86,28 +86,47 @@ class RepeatedClock(StatefulProcessor):
 
 
 class DelayedRelease(StatefulProcessor):
-    """Holds each report until observed + delay; a correction waits the full delay again."""
+    """Holds each report until observed + delay.
+
+    A report of the play that is observed before then takes its place and waits its
+    own delay, so a version that was corrected in time never shows.  A correction of
+    a report that has been shown is released as ``revised``.  State per (game, play):
+    the reports that wait, and whether one has been shown.  Reports may come in any
+    order within the lateness of the watermark: what is released is decided when the
+    watermark passes its due time, by when every report that could replace it is here.
+    """
 
     def __init__(self, delay: int):
         self.delay = delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due bigint", "event_id bigint, at bigint, content string")
+        self.waiting = handle.getMapState("waiting", "due bigint, event_id bigint", "at bigint, content string")
+        self.shown = handle.getValueState("shown", "n int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda x: x.event_id):
+        for row in rows:
+            if row.event_id is None:  # a tick of the clock, not a report
+                continue
             due = row.at + self.delay
-            self.waiting.updateValue((due,), (row.event_id, row.at, row.content))
+            self.waiting.updateValue((due, row.event_id), (row.at, row.content))
             self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs()
-        if self.waiting.containsKey((due,)):
-            item = self.waiting.getValue((due,))
-            self.waiting.removeKey((due,))
-            yield Row(game=key[0], play=key[1], event_id=item[0], observed_at=item[1], released_at=due, content=item[2])
+        held = sorted((k[0], k[1], v[0], v[1]) for k, v in self.waiting.iterator())
+        ready = [x for x in held if x[0] == due]
+        for item in ready:
+            self.waiting.removeKey((item[0], item[1]))
+        if not ready:
+            return
+        last = ready[-1]
+        if any(x[:2] > last[:2] and x[2] <= due for x in held):
+            return  # replaced before it was shown
+        n = self.shown.get()[0] if self.shown.exists() else 0
+        self.shown.update((n + 1,))
+        yield Row(game=key[0], play=key[1], event_id=last[1], observed_at=last[2], released_at=due, content=last[3], revised=n > 0)
 
     def close(self) -> None:
         pass
@@ -123,13 +142,40 @@ def repeated_clocks(feed: DataFrame, least: int = 3) -> DataFrame:
     return feed.groupBy("game").transformWithState(RepeatedClock(least), CLOCKS, "Append", "None")
 
 
-def delayed_release(feed: DataFrame, delay: int, time: str = "ts", lateness: str = "0 seconds") -> DataFrame:
-    """Releases fire when the watermark passes observed + delay."""
+def delayed_release(feed: DataFrame, delay: int, lateness: str, time: str = "ts") -> DataFrame:
+    """Releases fire when the watermark passes observed + delay.
+
+    ``lateness`` says how much later than a newer report one may still come; the
+    watermark drops what is later, and counts it in the query's progress."""
     with_state_store(feed.sparkSession)
     timed = feed.withWatermark(time, lateness)
     return timed.groupBy("game", "play").transformWithState(DelayedRelease(delay), RELEASE, "Append", "EventTime")
 
 
+def release_all(feed: DataFrame, delay: int, lateness: str, folder: str, time: str = "ts") -> DataFrame:
+    """``delayed_release`` of a feed that has an end: when all of it is read, the clock runs on.
+
+    A second run of the same query reads one tick, far enough after the last report
+    for the watermark to pass everything that waits; then the state is empty."""
+    spark = feed.sparkSession
+    ticks = f"{folder}/ticks"
+    fields = {f.name: f.dataType for f in feed.schema.fields}
+    feed.sparkSession.createDataFrame([], feed.schema).write.mode("append").parquet(ticks)
+    clock = spark.readStream.schema(feed.schema).parquet(ticks)
+    released = delayed_release(feed.union(clock), delay, lateness, time)
+
+    def go() -> None:
+        (released.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
+         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination())
+
+    go()
+    end = spark.sql(f"select timestamp '9999-01-01 00:00:00' - interval {lateness} as at").first()["at"]
+    values = [F.lit(end).cast(t).alias(n) if n == time else F.lit(-1).cast(t).alias(n) if n == "game" else F.lit(None).cast(t).alias(n) for n, t in fields.items()]
+    spark.range(1).select(*values).write.mode("append").parquet(ticks)
+    go()
+    return spark.read.schema(released.schema).parquet(f"{folder}/out")
+
+
 def settle_picks(picks: DataFrame, results: DataFrame, within: str = "2 hours") -> DataFrame:
     """Stream-stream join of picks and results of the same game within a time bound."""
     p = picks.withWatermark("pick_ts", within).alias("p")
