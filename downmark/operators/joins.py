@@ -38,13 +38,26 @@ def resolve_roster(mentions: DataFrame, athletes: DataFrame, by=("team_id",)) ->
                           "if(candidates = 1, concat(coalesce(concat('#', coalesce(_number, roster_jersey), ' '), ''), person), reported) as label")
 
 
-# The situation cards, most specific first by priority.
 RULE_BOUNDS = ("down", "distance", "yards_to_goal", "period", "clock_seconds", "score_diff")
+MAX_RULES = 500
 
 
 def best_rule(situations: DataFrame, rules: DataFrame, key="play_id") -> DataFrame:
-    """The matching rule of highest priority; ``rules`` is a fixed, small table
-    with optional ``min_x``/``max_x`` bounds, and the best one is kept while joining."""
-    cond = " and ".join(f"(min_{c} is null or {c} >= min_{c}) and (max_{c} is null or {c} <= max_{c})" for c in RULE_BOUNDS)
-    return (situations.select(key, *RULE_BOUNDS).join(F.broadcast(rules), F.expr(cond), "left")
-            .groupBy(key).agg(F.expr("max_by(rule_id, struct(priority, rule_id)) as rule_id"), F.count("rule_id").alias("matching")))
+    """The matching rule of highest priority and how many match.
+
+    ``rules`` is a hand-made table with optional ``min_x``/``max_x`` bounds, of at most
+    ``MAX_RULES`` rows.  It becomes one expression per play, the highest priority
+    first, so plays are neither joined nor shuffled."""
+    cards = rules.limit(MAX_RULES + 1).collect()
+    if len(cards) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules; a hand-made table is expected")
+    tests = []
+    for card in sorted(cards, key=lambda c: (c["priority"], c["rule_id"]), reverse=True):
+        hit = F.lit(True)
+        for c in RULE_BOUNDS:
+            low, high = card[f"min_{c}"], card[f"max_{c}"]
+            hit = hit if low is None else hit & (F.col(c) >= low)
+            hit = hit if high is None else hit & (F.col(c) <= high)
+        tests.append(F.when(hit, F.lit(card["rule_id"])))
+    found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    return situations.withColumn("_hits", found).select(key, F.try_element_at("_hits", F.lit(1)).alias("rule_id"), F.size("_hits").cast("long").alias("matching"))

@@ -226,15 +226,22 @@ PROFILE = [OUT_SQL, f"h AS (SELECT *, {HISTORY_KEY} AS context FROM oc WHERE (is
     "u AS (SELECT league, season, 'offense' AS side, offense AS team, context, game_id, converted, is_rush, is_pass, y FROM h WHERE context IS NOT NULL UNION ALL SELECT league, season, 'defense', defense, context, game_id, converted, is_rush, is_pass, y FROM h WHERE context IS NOT NULL)",
     "pc AS (SELECT league, season, side, team, context, COUNT(*) AS n, COUNT(DISTINCT game_id) AS games, COUNT(converted) AS known, COUNT(*) FILTER (converted) AS conversions, " + ", ".join(
         f"COUNT(*) FILTER ({f}) AS {a}_n, COUNT(*) FILTER ({f} AND y IS NOT NULL) AS {a}_known, COUNT(*) FILTER ({f} AND y <= 2) AS {a}_two_or_less, COUNT(*) FILTER ({f} AND y >= 5) AS {a}_five_plus, COUNT(*) FILTER ({f} AND y >= 10) AS {a}_ten_plus, median(y) FILTER ({f}) AS {a}_median"
-        for a, f in (("run", "is_rush"), ("pass", "is_pass"))) + " FROM u GROUP BY ALL HAVING COUNT(*) >= 20 AND COUNT(DISTINCT game_id) >= 5)"]
+        for a, f in (("run", "is_rush"), ("pass", "is_pass"))) + " FROM u GROUP BY ALL HAVING COUNT(*) >= 3 AND COUNT(DISTINCT game_id) >= 2)"]
 
 
-def profile_cells(spark, sf):
-    return H.profile_cells(S.eligible(with_outcomes(spark, sf)), min_plays=20, min_games=5)
+def profile_cells(spark, sf, **least):
+    """The cells that the small test tables fill; the operator's own floors ask for more."""
+    return H.profile_cells(S.eligible(with_outcomes(spark, sf)), **(least or {"min_plays": 3, "min_games": 2}))
 
 
-@query("agg32_history_profiles", on_plays(*PROFILE, "SELECT * FROM pc"))
+@query("agg32_history_profiles", on_plays(*[p.replace(">= 3 AND COUNT(DISTINCT game_id) >= 2", ">= 20 AND COUNT(DISTINCT game_id) >= 5") for p in PROFILE], "SELECT * FROM pc"))
 def history_profiles(spark, sf):
+    return profile_cells(spark, sf, min_plays=20, min_games=5)
+
+
+@query("agg32_history_profiles_small", on_plays(*PROFILE, "SELECT * FROM pc"))
+def small_history_profiles(spark, sf):
+    """The same cells from three plays in two games on, for tables that are too small for more."""
     return profile_cells(spark, sf)
 
 
