@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import r
-from ..scale import hash_unit
+from ..scale import hash_unit, with_running
 
 PAIR_WEIGHT = 100
 
 
+#: Bands that the range of a ranked value is cut into.
+BANDS = 1024
+
+
 def primary_coaches(seasons: DataFrame) -> DataFrame:
     """Most games, then earliest hire; more than one coach with games marks a change inside the season."""
     return (seasons.groupBy("school", "year").agg(
@@ -85,8 +89,12 @@ def rank_tests(df: DataFrame, value: str, group: str, a: str, b: str, by=()) ->
     """Mann-Whitney U, Cliff's delta and Cohen's d of group a over b from value counts."""
     two = df.filter(F.col(group).isin(a, b))
     levels = two.groupBy(*by, value).agg(F.expr(f"count_if({group} = '{a}') as na"), F.expr(f"count_if({group} = '{b}') as nb"))
-    w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = levels.withColumn("t", F.expr("na + nb")).withColumn("below", F.coalesce(F.sum("t").over(w), F.lit(0)))
+    # bands of the value range keep the distinct values of a group apart; only band totals meet
+    ends = levels.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
+    width = (ends["hi"] - ends["lo"]) if ends["lo"] is not None else 0.0
+    band = F.floor((F.col(value) - ends["lo"]) / width * (BANDS - 1)) if width else F.lit(0)
+    banded = levels.withColumn("t", F.expr("na + nb")).withColumn("_band", band.cast("int"))
+    ranked = with_running(banded, list(by), "_band", [value], {"_upto": F.col("t")}).withColumn("below", F.expr("_upto - t"))
     s = ranked.groupBy(*by).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"),
                                 F.expr("sum(na * (below + (t + 1) / 2.0D)) as ra"), F.expr("sum(double(t) * t * t - t) as ties"))
     moments = two.groupBy(*by).agg(*[F.expr(f"{fn}(if({group} = '{g}', {value}, null)) as {n}_{g_}") for g, g_ in ((a, "a"), (b, "b"))
@@ -96,7 +104,8 @@ def rank_tests(df: DataFrame, value: str, group: str, a: str, b: str, by=()) ->
     s = s.withColumn("u", F.expr(u)).withColumn("sd", F.expr("sqrt(na * nb / 12.0D * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1.0D))))"))
     s = s.withColumn("z", F.expr("coalesce((u - na * nb / 2.0D) / nullif(sd, 0.0D), 0.0D)"))
     return s.selectExpr(*by, "na", "nb", "u", "z", f"{normal_tail('abs(z)')} * 2.0D as p", "2.0D * u / (double(na) * nb) - 1.0D as cliffs_delta",
-                        "coalesce((m_a - m_b) / nullif(sqrt(((na - 1) * v_a + (nb - 1) * v_b) / (na + nb - 2.0D)), 0.0D), 0.0D) as cohens_d",
+                        # a group of one has no spread to measure by
+                        "if(v_a is null or v_b is null, null, coalesce((m_a - m_b) / nullif(sqrt(((na - 1) * v_a + (nb - 1) * v_b) / (na + nb - 2.0D)), 0.0D), 0.0D)) as cohens_d",
                         "m_a as mean_a", "m_b as mean_b")
 
 

@@ -295,7 +295,7 @@ def exact_copies(spark, sf):
 
 @query("top01_total_order", on_plays("SELECT play_id, row_number() OVER (ORDER BY season, week, game_id, shipped, play_id) AS position FROM plays"))
 def total_order(spark, sf):
-    from ..scale import with_position
+    from ..scale import with_total_position
 
-    df = V.plays(spark, sf).select("play_id", "season", "week", "game_id", "shipped", F.struct("season", "week", "game_id", "day").alias("block"))
-    return with_position(df, [], "block", ["season", "week", "game_id", "shipped", "play_id"]).select("play_id", "position")
+    df = V.plays(spark, sf).select("play_id", "season", "week", "game_id", "shipped", F.expr("season * 100 + week").alias("turn"), F.struct("game_id", "day").alias("block"))
+    return with_total_position(df, "turn", "block", ["season", "week", "game_id", "shipped", "play_id"]).select("play_id", "position")

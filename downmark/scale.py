@@ -34,6 +34,19 @@ def with_position(df: DataFrame, keys, block: str, order, name: str = "position"
     return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_local", "_before")
 
 
+def with_total_position(df: DataFrame, outer: str, block: str, order, name: str = "position") -> DataFrame:
+    """1-based position of each row in the whole table.
+
+    ``outer`` is a coarse column of few values (a week), ``block`` a finer one; neither
+    decreases along ``order``.  Rows are numbered within ``outer`` as above, and only
+    the sizes of the ``outer`` values meet in one task."""
+    local = with_position(df, [outer], block, order, "_inner")
+    sizes = df.groupBy(outer).agg(F.count("*").alias("_n"))
+    before = W.orderBy(outer).rowsBetween(W.unboundedPreceding, -1)
+    carry = sizes.select(outer, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return _attach(local, carry, [outer]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_before", "_inner")
+
+
 def with_running(df: DataFrame, keys, block: str, order, sums: dict[str, Column]) -> DataFrame:
     """Running totals within the key, current row included."""
     staged = df
