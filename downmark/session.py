@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +53,21 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Spark copies the archive to every executor, so they need no installed package
+    and no shared working directory.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_downmark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="downmark-package-"))) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._downmark_shipped = True

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import STATE_STORE, shared_folder
 
+# Stateful processors also run in a worker of the driver that does not see shipped archives:
+# their classes travel with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REVISION = "game bigint, play string, event_id bigint, at bigint, content string, version int, late boolean"
 RELEASE = "game bigint, play string, event_id bigint, observed_at bigint, released_at bigint, content string, revised boolean"
 CLOCKS = "game bigint, event_id bigint, clock_key int, run int"
