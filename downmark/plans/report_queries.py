@@ -104,8 +104,17 @@ def fix_situation(spark, sf):
     return df.selectExpr("play_id", *[f"{v} as {k}" for k, v in R.fix_situation().items()])
 
 
-@query("rpt11_end_situation", on_plays(REP, f"SELECT down AS start_down, COUNT(*) AS n FROM r WHERE true_end BETWEEN 1 AND 99 GROUP BY 1"))
+NEXT = "CASE WHEN yards_gained >= distance THEN 1 ELSE down + 1 END"
+
+
+@query("rpt11_end_situation", on_plays(REP, f"""SELECT play_id, CASE WHEN true_end BETWEEN 1 AND 99 AND {NEXT} <= 4 AND {END_D} BETWEEN 1 AND true_end THEN
+  (['1st', '2nd', '3rd', '4th'])[{NEXT}] || ' & ' || CASE WHEN {END_D} = true_end THEN 'goal' ELSE CAST({END_D} AS VARCHAR) END || ' at ' || CASE WHEN true_end > 50 THEN own || ' ' || (100 - true_end) ELSE 'ZZZ ' || true_end END ELSE '' END AS situation FROM r"""))
 def end_situation(spark, sf):
+    return R.with_spots(rows(spark, sf)).selectExpr("play_id", f"{R.end_situation()} as situation")
+
+
+@query("rpt11_known_ends", on_plays(REP, f"SELECT down AS start_down, COUNT(*) AS n FROM r WHERE true_end BETWEEN 1 AND 99 GROUP BY 1"))
+def known_ends(spark, sf):
     df = R.with_spots(rows(spark, sf)).filter("end_yards_to_goal is not null")
     return df.groupBy("start_down").agg(F.count("*").alias("n"))
 
@@ -160,8 +169,8 @@ def fourth_down(spark, sf):
 
 @query("rpt18_movement")
 def movement(spark, sf):
-    df = R.describe(rows(spark, sf)).filter("not turnover and outcome <> 'kick' and start_team = end_team and moved is not null and not coalesce(yards.conflict, true)")
-    return df.selectExpr("play_id", "start_yards_to_goal as start_at", "end_yards_to_goal as end_at", "moved as net", "yards.value as play_part", "moved - yards.value as penalty_part").filter("penalty_part = 0")
+    """All plays; net, play and penalty yards are null where nothing can be claimed."""
+    return R.with_movement(R.describe(rows(spark, sf))).selectExpr("play_id", "movement.net as net", "movement.play as play_part", "movement.penalty as penalty_part")
 
 
 @query("rpt19_catch_split", on_plays("SELECT play_id, CASE WHEN pk % 3 <> 0 THEN yards_gained - 2 END AS air, CASE WHEN pk % 3 <> 0 THEN 2 END AS after FROM plays WHERE is_pass AND yards_gained > 2"))
