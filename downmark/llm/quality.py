@@ -99,23 +99,25 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.binary())], names=["y", "piece"])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", docs_per_label: int = 1500) -> QualityModel:
-    """Fit on about ``docs_per_label`` labelled documents of each kind, drawn by hash.
-
-    A third of them calibrate, the others make the dictionaries.  The driver takes at
-    most ``PIECES_PER_DOCUMENT`` pieces of the latter and the features of the former.
-    Rows without text or label teach nothing; with one kind only, the score is its share.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", docs_per_label: int = 1500) -> QualityModel:
+    """Fit on about ``docs_per_label`` labelled documents of each kind, drawn by hash of their keys.
+
+    The draw reads ``labels`` (key and label) alone; its few rows are then looked up in
+    ``docs``.  A third of them calibrate, the others make the dictionaries.  The driver
+    takes at most ``PIECES_PER_DOCUMENT`` pieces of the latter and the features of the
+    former.  Rows without key, text or label teach nothing; with one kind only, the
+    score is its share of the labels.
     """
-    rows = labelled.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(text).cast("binary").alias("t")).filter(
-        F.col("y").isin(0, 1) & (F.octet_length("t") > 0))
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isin(0, 1))
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     prior = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     nothing = QualityModel(b"", b"", np.zeros(0), prior)
     if len(sizes) < 2:
         return nothing
     share = F.when(F.col("y") == 1, F.lit(docs_per_label / sizes[1])).otherwise(F.lit(docs_per_label / sizes[0]))
-    draw = F.xxhash64(F.lit("quality"), F.col("k"), F.crc32("t"))
-    sample = rows.withColumn("draw", draw).filter(F.pmod("draw", F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
+    drawn = known.withColumn("draw", F.xxhash64(F.lit("quality"), F.col("k"))).filter(F.pmod("draw", F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).filter(F.octet_length("t") > 0)
+    sample = texts.join(F.broadcast(drawn), "k")  # about twice docs_per_label rows, whatever the input
     calibrates = F.pmod(F.shiftright("draw", 20), F.lit(3)) == 0
     cut = sorted((r["y"], bytes(r["piece"])) for r in sample.filter(~calibrates).select("y", "t").mapInArrow(_spread, "y int, piece binary").collect())
     if len({y for y, _ in cut}) < 2:

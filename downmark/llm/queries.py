@@ -148,8 +148,7 @@ def op7_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality scores learned from three quarters of the labelled documents."""
     docs = documents(spark, sf).select("doc_id", "text")
     labels = spark.read.schema("doc_id bigint, quality int, toxic int").parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    train = docs.filter(remainder(4) != 2).join(labels.filter(remainder(4) != 2), "doc_id")
-    out = quality.score(docs, quality.fit(train))
+    out = quality.score(docs, quality.fit(docs, labels.filter(remainder(4) != 2)))
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("quality_score").alias("score"),
                       F.when(F.col("quality_score") >= 0.7, 1).otherwise(0).alias("predicted"))
 

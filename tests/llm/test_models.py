@@ -113,14 +113,14 @@ def test_quality_held_out(spark, rows):
         bad = i % 4 == 0
         labelled.append((i, " ".join(w + "###" for w in words) if bad else " ".join(words), int(not bad)))
     df = spark.createDataFrame(labelled, "doc_id long, text string, quality int")
-    model = quality.fit(df.filter("doc_id % 3 <> 0"))
+    model = quality.fit(df, df.filter("doc_id % 3 <> 0"))
     odd = spark.createDataFrame([(1000, None, 1), (1001, "", 0), (1002, "x", 1), (None, "word " * 50000, 1)], df.schema)
     got = quality.score(df.union(odd), model).collect()
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 1000 and r["doc_id"] % 3 == 0]
     assert sum((r["quality_score"] >= 0.7) == (r["quality"] == 1) for r in held) >= 0.97 * len(held)
     assert all(0 <= r["quality_score"] <= 1 for r in got) and len(got) == 404
-    assert quality.fit(df.filter("quality = 1")).prior > 0.9
-    assert {r["quality_score"] for r in quality.score(df, quality.fit(df.limit(0))).collect()} == {0.5}
+    assert quality.fit(df, df.filter("quality = 1")).prior > 0.9
+    assert {r["quality_score"] for r in quality.score(df, quality.fit(df, df.limit(0))).collect()} == {0.5}
     assert quality.score(df.limit(0), model).count() == 0
 
 
