@@ -9,7 +9,7 @@ REG = catalog.load()
 SF = "/root/testdata/sf0.001"
 NAMES = ["prj04_bucket", "prj12_classify", "agg02_rung_tables", "jn02_ladder_lookup", "agg08_reliability", "agg09_deciles", "val13_ladder_invariants", "src12_content_hash",
          "win02_presnap_score", "top01_total_order", "agg28_two_stage_tuning", "jn12_coach_transition", "win07_cusum", "sim01_team_bootstrap", "rpt13_settled_yards", "rpt16_describe",
-         "jn15_as_of_state", "jn16_last_forecast", "win16_repetition", "str01_poll_revisions", "str10_pick_settlement"]
+         "jn15_as_of_state", "jn16_last_forecast", "win16_repetition", "str01_poll_revisions", "str10_pick_settlement", "str03_delayed_release", "rpt11_end_situation", "jn20_rule_cards", "agg43_mann_whitney"]
 
 
 @pytest.fixture(scope="module")
