@@ -9,6 +9,7 @@ is read without the blocks before it.
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
@@ -208,6 +209,12 @@ class PieceEncoder:
         return [self._ask(t) if i in whole else ids[bounds[i] + self.line:bounds[i + 1]] for i, t in enumerate(texts)]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker: what it knows serves all tasks that the worker runs."""
+    return PieceEncoder(path)
+
+
 def _writer(folder: str, vocabulary: str, file_ids: int):
     """Tokenises one partition in order and writes its files; yields a row per file."""
 
@@ -216,7 +223,7 @@ def _writer(folder: str, vocabulary: str, file_ids: int):
 
         context = TaskContext.get()
         part, attempt, seq = context.partitionId(), uuid.uuid4().hex, 0
-        encoder = PieceEncoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         keys, parts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -295,4 +302,5 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     ``ids`` are little-endian unsigned 32-bit integers; ``start`` counts the ids of
     all documents before it.
     """
-    return manifest.select("path", "first").repartition("path").mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    files = manifest.count()
+    return manifest.select("path", "first").repartition(max(1, files)).mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long, ids binary")
