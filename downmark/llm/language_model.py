@@ -390,7 +390,8 @@ def fit(train: DataFrame, text: str = "text", file_tokens: int = FILE_TOKENS) ->
     words = count_words(train, text)
     runs = train.select(text).mapInArrow(_count_bigrams(words, file_tokens), "file long, runs binary")
     folder = shared_path(spark, "trie")
-    built = runs.repartition("file").sortWithinPartitions("file").mapInArrow(
+    n_files = -(-words.total // file_tokens)
+    built = runs.repartition(max(1, n_files), "file").sortWithinPartitions("file").mapInArrow(
         _build(folder, words), "file long, path string, n_bigrams long, edge array<long>, edge_n array<long>")
     rows = keep(built, "trie-files").collect()  # one row per file
     edges: dict[int, list[int]] = {}
