@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,15 @@ SCRIPTS = {
 }
 UNKNOWN = "und"
 #: Characters of text handled at a time within a task, and words whose scores a worker remembers.
-CHUNK_CHARS, CACHE_WORDS = 2_000_000, 300_000
+CHUNK_CHARS, CACHE_WORDS = 2_000_000, 600_000
 
 
 def script_of(word: str) -> str:
     """The script of the first letter that has one; ``other`` if none has."""
     for c in word:
         point = ord(c)
+        if point < 0x250:
+            return "latin"
         for name, ranges in SCRIPTS.items():
             if any(a <= point <= b for a, b in ranges):
                 return name
@@ -57,16 +60,18 @@ class LanguageModel:
     floor: np.ndarray
     scripts: dict[str, np.ndarray]
 
-    def score(self, word: str) -> np.ndarray:
-        """Scores relative to the best candidate (0), never under -12; all 0 if the word tells nothing."""
-        allowed = self.scripts.get(script_of(word))
-        if allowed is None:
-            return np.zeros(len(self.languages), dtype=np.float32)
-        at = [self.rows.get(g, -1) for g in trigrams(word)]
-        known = [a for a in at if a >= 0]
-        total = self.table[known].sum(axis=0) + self.floor * (len(at) - len(known))
-        total = np.where(allowed, total, total.min() - 12.0)
-        return np.maximum(total - total.max(), -12.0).astype(np.float32)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores relative to the best candidate (0), never under -12; all 0 if a word tells nothing."""
+        sizes = np.array([len(w) for w in words])  # a word has as many edged trigrams as letters
+        at = np.fromiter((self.rows.get(g, -1) for w in words for g in trigrams(w)), dtype=np.int64, count=int(sizes.sum()))
+        known = np.concatenate([self.table, self.floor[None, :]])[at]  # -1 is the last row
+        total = np.add.reduceat(known, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.float64)
+        names = [script_of(w) for w in words]
+        kinds = {name: i for i, name in enumerate(sorted(set(names)))}
+        allowed = np.array([self.scripts.get(name, np.zeros(len(self.languages), dtype=bool)) for name in kinds])[[kinds[n] for n in names]]
+        total = np.where(allowed, total, total.min(axis=1, keepdims=True) - 12.0)
+        out = np.maximum(total - total.max(axis=1, keepdims=True), -12.0)
+        return np.where(allowed.any(axis=1, keepdims=True), out, 0.0).astype(np.float32)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,20 +180,30 @@ def one_language(scores: np.ndarray, starts: np.ndarray, penalty: float) -> tupl
 
 
 class _Words(dict):
-    """Word to row of ``scores``; unseen words are scored as they come."""
+    """Word to row of ``scores``; unseen words get the next row and wait in ``new``."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.scores = model, np.zeros((1024, len(model.languages)), np.float32)
+        self.model, self.new = model, []
+        self.scores = np.zeros((1024, len(model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[at] = self.model.score(word)
-        self[word] = at
+        at = self[word] = len(self)
+        self.new.append(word)
         return at
 
+    def rows(self, words: list[list[str]]) -> np.ndarray:
+        """The scores of all words of several texts, one after another."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+        if self.new:
+            new, self.new = self.new, []
+            while len(self) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[len(self) - len(new):len(self)] = self.model.score(new)
+        return self.scores[at]
+
 
 def label_texts(texts: list[str | None], model: LanguageModel, penalty: float, known: _Words) -> list[list[tuple[str, int, int]]]:
     """The spans (language, first word, words) of each text; none without letters."""
@@ -197,10 +212,7 @@ def label_texts(texts: list[str | None], model: LanguageModel, penalty: float, k
     spans: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not live or not model.languages:
         return spans
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    ids = np.fromiter((known[w] for i in live for w in found[i]), dtype=np.int64)
-    scores = known.scores[ids]
+    scores = known.rows([found[i] for i in live])
     sizes = np.array([len(found[i]) for i in live])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     best, safe = one_language(scores, starts, penalty)
