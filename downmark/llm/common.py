@@ -13,6 +13,8 @@ from ..session import shared_folder
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of a few numbers that one task writes.
+ROWS_PER_TASK = 250_000
 #: The same rule for ``str.translate`` inside tasks.
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -40,15 +42,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write the frame to the shared folder and read on from there.
 
     This cuts lineage: a lost executor costs a read of these files, not the work
-    before them.
+    before them.  With ``rows``, the most that the frame can have, it is written by
+    one task for every ``ROWS_PER_TASK`` of narrow rows instead of by all partitions.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_PER_TASK)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,10 +64,12 @@ def roots(links: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = keep(both.filter("b > a").join(keep(lowest, "lowest"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        lowest = keep(lowest, "lowest", 2 * state[0])
+        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = keep(large, "large", state[0])
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least", state[0])
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges = keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges", state[0])
         state, before = _state(edges), state
         if state == before:
             break

@@ -271,7 +271,7 @@ def _verify(least: float):
 
 
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
-                   radius: int = 9, tables: int = 3, rounds: int = 6) -> DataFrame:
+                   radius: int = 9, tables: int = 3, rounds: int = 3) -> DataFrame:
     """The rows of ``df`` without near-duplicates: one row of each group, all columns as they are.
 
     Texts within ``radius`` bits in one of ``tables`` fingerprints are candidates.  In
@@ -307,7 +307,7 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
         checked = keep(tops.join(one, "a").join(two, "b").select("a", "one", "two").mapInArrow(_verify(least), "a long, ok boolean"), "checked")
         good, bad = checked.filter("ok").select("a"), checked.filter("not ok").select("a")
         gone = good if gone is None else gone.union(good)
-        open_ = keep(open_.join(bad, open_.node == bad.a, "left_semi"), "open")
+        open_ = keep(open_.join(bad, open_.node == bad.a, "left_semi"), "open", bad.count())
     stay = nodes if gone is None else nodes.join(keep(gone, "gone"), nodes.node == F.col("a"), "left_anti")
     stay = keep(stay.select(F.col("node").alias("_node"), F.col("least").alias("_least")), "stay")
     out = df.join(stay, (node == F.col("_node")) & F.col(key).eqNullSafe(F.col("_least")))
