@@ -12,6 +12,7 @@ are the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import broadcast_if_small, keep
 from .components import Forest, contract, popcount, roots
 
 #: Listings up to the first size are compared pair by pair, larger ones by a forest, those
@@ -270,11 +271,120 @@ def _verify(least: float):
     return run
 
 
+def prefix_length(size: int, least: float) -> int:
+    """How many shingles, first in any order that all texts share, meet those of every text that is ``least`` alike."""
+    return size - math.ceil(least * size - 1e-9) + 1 if size else 1
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """The sorted hashes with repeats told apart, so that lists compare as sets."""
+    found = np.sort(hashes)
+    first = np.searchsorted(found, found)
+    return np.sort(found ^ ((np.arange(len(found)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _sketches(shingle: int, least: float):
+    """Fingerprint of 128 bits and the shingles that a text is listed under; a text without words has a listing of its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, marks = np.empty((2, batch.num_rows), dtype=np.uint64), []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                hashes = shingle_hashes(t, shingle)
+                found[:, i] = [simhash(remix(hashes, k)) for k in (0, 1)]
+                marks.append((numbered(hashes)[:prefix_length(len(hashes), least)] if len(hashes) else np.zeros(1, np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int64)), pa.array(marks, pa.list_(pa.int64()))],
+                                             names=["id", "fp", "fp1", "prefix"])
+
+    return run
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of two words."""
+    return popcount(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _meet(limit: int):
+    """Links from rows sorted by bucket, as stars; holds one bucket and the links of a partition."""
+    def found(bucket: np.ndarray, fps: np.ndarray, node: np.ndarray, forest: Forest) -> None:
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        sizes = np.diff(edges)
+        few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 16), sizes))
+        for step in range(1, 16):
+            i, j = few[:-step], few[step:]
+            same = bucket[i] == bucket[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            near = _apart(fps[i], fps[j]) <= limit
+            for a, b in zip(node[i[near]].tolist(), node[j[near]].tolist()):
+                forest.union(a, b)
+        for k in np.flatnonzero(sizes > 16).tolist():
+            own, names = fps[edges[k]:edges[k + 1]], node[edges[k]:edges[k + 1]]
+            left = np.arange(len(own))
+            while len(left):
+                front, left = [left[0]], left[1:]
+                while front and len(left):
+                    at = front.pop()
+                    near = _apart(own[left], own[at]) <= limit
+                    for other in names[left[near]].tolist():
+                        forest.union(int(names[at]), other)
+                    front.extend(left[near].tolist())
+                    left = left[~near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for bucket, fps, node in _whole_buckets(batches):
+            found(bucket, fps, node, forest)
+        yield forest.stars()
+
+    return run
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (bucket, fp, fp1, node) sorted by bucket, cut between buckets."""
+    held = (np.empty(0, np.int64), np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, fp, fp1, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        held = tuple(np.concatenate(x) for x in zip(held, (bucket, np.stack([fp, fp1], axis=1).view(np.uint64), node)))
+        done = int(np.searchsorted(held[0], held[0][-1]))
+        if done:
+            yield tuple(x[:done] for x in held)
+            held = tuple(x[done:] for x in held)
+    if len(held[0]):
+        yield held
+
+
+#: One text in so many is looked at to find listings that need cells.
+SAMPLE = 16
+
+
+def prefix_listings(nodes: DataFrame, cell: int = CELL) -> DataFrame:
+    """(bucket, fp, fp1, node) of every text under each of its first shingles, dealt out and sorted by bucket.
+
+    Large listings, found by a sample of the texts, are cut in cells, every two of which
+    meet in a bucket; the cut changes where texts meet, not whether.
+    """
+    listed = nodes.select(F.explode("prefix").alias("bucket"), "fp", "fp1", "node")
+    seen = nodes.filter(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("bucket")).groupBy("bucket").count()
+    large = keep(seen.filter(F.col("count") * SAMPLE > cell).select("bucket", F.ceil(F.col("count") * SAMPLE / cell).cast("int").alias("cells")), "crowded")
+    if not large.isEmpty():
+        mine = F.pmod(F.xxhash64("fp", "node"), F.col("cells")).cast("int")
+        cells = listed.join(broadcast_if_small(large), "bucket", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
+        code = F.xxhash64("bucket", F.least(mine, "other"), F.greatest(mine, "other"))
+        listed = cells.select(F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(code).alias("bucket"), "fp", "fp1", "node")
+    return listed.repartition("bucket").sortWithinPartitions("bucket")
+
+
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
-                   radius: int = 9, tables: int = 3, rounds: int = 3) -> DataFrame:
+                   limit: int = 48, rounds: int = 3) -> DataFrame:
     """The rows of ``df`` without near-duplicates: one row of each group, all columns as they are.
 
-    Texts within ``radius`` bits in one of ``tables`` fingerprints are candidates.  In
+    Texts that share one of their first shingles are candidates: in an order of shingles
+    common to all texts, any two texts that are ``least`` alike share one of the first
+    (1 - ``least``) of either.  Of these, fingerprints of 128 bits leave out pairs over
+    ``limit`` bits apart (0.8 gives 20 on average, 24 in texts of a few shingles).  In
     every connected group one text is the measure, and a text goes if at least ``least``
     of the shingles of the two are shared.  Those that are not that close to the measure
     of their group are grouped again, up to ``rounds`` times; what is then still linked
@@ -286,17 +396,14 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     node = F.xxhash64(whole)
-    rows = keep(fingerprints(df.select(F.struct(F.col(key).alias("key"), node.alias("node")).alias("row"), whole.alias("text")), "row", "text", shingle, tables), "fingerprints")
-    names = [c for c in rows.columns if c != "id"]
-    nodes = keep(rows.groupBy("id.node").agg(F.min("id.key").alias("least"), *[F.first(n).alias(n) for n in names]), "nodes")
+    source = df.select(F.struct(F.col(key).alias("key"), node.alias("node")).alias("id"), whole.alias("text"))
+    rows = keep(source.mapInArrow(_sketches(shingle, least), f"id {source.schema['id'].dataType.simpleString()}, fp long, fp1 long, prefix array<long>"), "sketches")
+    nodes = keep(rows.groupBy("id.node").agg(F.min("id.key").alias("least"), *[F.first(n).alias(n) for n in ("fp", "fp1", "prefix")]), "nodes")
     open_, gone = nodes, None
     marks = None
     for _ in range(rounds):
-        links = [near_links(open_.select(F.col(n).alias("fp"), "node"), radius) for n in names]
-        merged = links[0]
-        for more in links[1:]:
-            merged = merged.union(more)
-        tops = roots(merged.mapInArrow(contract, "a long, b long"))
+        links = prefix_listings(open_).mapInArrow(_meet(limit), "a long, b long")
+        tops = roots(links.mapInArrow(contract, "a long, b long"))
         if tops.isEmpty():
             break
         if marks is None:  # later rounds only see texts linked in the first

@@ -95,6 +95,25 @@ def test_one_of_each_group_stays(docs, rows):
     assert set(clean) <= set(kept)
 
 
+def edited(rng, words, n, tag):
+    """The words with ``n`` of them changed, far enough apart that no shingle loses two."""
+    out, step = list(words), len(words) // n
+    for k in range(n):
+        out[k * step + int(rng.integers(4, step - 5))] = f"{tag}x{k}"
+    return out
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    rng, texts = np.random.default_rng(1), []
+    for p in range(80):
+        n = (60, 300)[p % 2]
+        words = [f"w{i}" for i in rng.integers(0, 5000, n)]
+        texts += [" ".join(words), " ".join(edited(rng, words, n // 50, f"e{p}"))]
+    assert all(0.8 <= shared(a, b) < 0.86 for a, b in zip(texts[::2], texts[1::2]))
+    kept = near_dup.distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] // 2 for r in kept) == list(range(80))
+
+
 def test_nothing_in_nothing_out(empty):
     assert near_dup.near_duplicates(empty).count() == 0
     assert near_dup.distinct_texts(empty).count() == 0
