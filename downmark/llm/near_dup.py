@@ -264,9 +264,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = batch.column(1), batch.column(2)
+            one, two = batch.column(2), batch.column(3)
             ok = [similarity(one[i].values.to_numpy(), two[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_())], names=["a", "ok"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return run
 
@@ -356,6 +356,34 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield held
 
 
+def _pairs(limit: int):
+    """All pairs (a, b), a < b, within ``limit`` bits, from rows sorted by bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            ends = np.unique(np.sort(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+        for bucket, fps, node in _whole_buckets(batches):
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            sizes = np.diff(edges)
+            rest = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            last = np.repeat(edges[1:], sizes)
+            for i in rest.tolist():
+                others = slice(i + 1, last[i])
+                near = node[others][_apart(fps[others], fps[i]) <= limit]
+                if len(near):
+                    out.append(np.stack([np.full(len(near), node[i]), near], axis=1))
+                    held += len(near)
+                    if held > 1 << 20:
+                        yield flush()
+                        out, held = [], 0
+        yield flush()
+
+    return run
+
+
 #: One text in so many is looked at to find listings that need cells.
 SAMPLE = 16
 
@@ -377,18 +405,55 @@ def prefix_listings(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     return listed.repartition("bucket").sortWithinPartitions("bucket")
 
 
+#: Groups of more texts than this are first compared with one text near their middle.
+LARGE = 256
+
+
+def _middles(members: DataFrame) -> DataFrame:
+    """(top, centre): the text of each group whose fingerprint is closest to the majority of every bit."""
+    bits = lambda fp: [F.sum(F.shiftrightunsigned(fp, i).bitwiseAND(F.lit(1))) for i in range(64)]
+    counts = members.groupBy("top").agg(F.count("*").alias("n"), F.array(*bits("fp")).alias("ones"), F.array(*bits("fp1")).alias("ones1"))
+    word = lambda ones: F.expr(f"aggregate(sequence(0, 63), 0L, (x, i) -> x | shiftleft(cast(2 * {ones}[i] > n AS bigint), i))")
+    majority = keep(counts.select("top", word("ones").alias("m"), word("ones1").alias("m1")), "majority")
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) + F.bit_count(F.col("fp1").bitwiseXOR(F.col("m1")))
+    return members.join(majority, "top").groupBy("top").agg(F.min(F.struct(away.alias("away"), "node")).alias("c")).select("top", F.col("c.node").alias("centre"))
+
+
+def star_cover(edges: DataFrame) -> DataFrame:
+    """(a): the nodes that go, so that no two linked nodes stay and every one that goes is linked to one that stays.
+
+    Every round, the nodes with more links than all their neighbours stay and their
+    neighbours go; the rounds end when no link is left.
+    """
+    edges = keep(edges, "pairs")
+    gone, n = None, edges.count()
+    while n:
+        ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = keep(ends.groupBy("a").agg(F.count("*").alias("n")), "rank")
+        top = ends.join(rank.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.max(F.struct("n", "b")).alias("most"))
+        stay = keep(top.join(rank, "a").filter(F.struct("n", F.col("a").alias("b")) > F.col("most")).select("a"), "centres")
+        go = keep(ends.join(stay, "a", "left_semi").select(F.col("b").alias("a")).distinct(), "covered")
+        gone = go if gone is None else gone.union(go)
+        done = keep(stay.union(go), "done")
+        edges = keep(edges.join(done, "a", "left_anti").join(done.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "pairs")
+        n = edges.count()
+    return edges.select("a") if gone is None else gone
+
+
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
-                   limit: int = 48, rounds: int = 3) -> DataFrame:
+                   limit: int = 48) -> DataFrame:
     """The rows of ``df`` without near-duplicates: one row of each group, all columns as they are.
 
     Texts that share one of their first shingles are candidates: in an order of shingles
     common to all texts, any two texts that are ``least`` alike share one of the first
     (1 - ``least``) of either.  Of these, fingerprints of 128 bits leave out pairs over
-    ``limit`` bits apart (0.8 gives 20 on average, 24 in texts of a few shingles).  In
-    every connected group one text is the measure, and a text goes if at least ``least``
-    of the shingles of the two are shared.  Those that are not that close to the measure
-    of their group are grouped again, up to ``rounds`` times; what is then still linked
-    stays whole, so nothing goes without a text that stays and was compared with it.
+    ``limit`` bits apart (0.8 gives 20 on average, 24 in texts of a few shingles).  All
+    pairs are verified, and of the links at which ``least`` of the shingles of the two are
+    shared, the text with the most stays and those linked to it go, until no link is left.
+    So no two texts that stay are verified near copies, and nothing goes without a text
+    that stays and was compared with it.  A group of over ``LARGE`` texts is first compared
+    with the text nearest to its middle, again and again while half of such texts go, so
+    that copies are not spelled out in pairs.
 
     Of rows with one text, that with the smallest key stays; null keys come last, and of
     rows that agree in key and text any one stays.  Null and empty texts are one text,
@@ -399,22 +464,37 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     source = df.select(F.struct(F.col(key).alias("key"), node.alias("node")).alias("id"), whole.alias("text"))
     rows = keep(source.mapInArrow(_sketches(shingle, least), f"id {source.schema['id'].dataType.simpleString()}, fp long, fp1 long, prefix array<long>"), "sketches")
     nodes = keep(rows.groupBy("id.node").agg(F.min("id.key").alias("least"), *[F.first(n).alias(n) for n in ("fp", "fp1", "prefix")]), "nodes")
-    open_, gone = nodes, None
-    marks = None
-    for _ in range(rounds):
-        links = prefix_listings(open_).mapInArrow(_meet(limit), "a long, b long")
-        tops = roots(links.mapInArrow(contract, "a long, b long"))
-        if tops.isEmpty():
-            break
-        if marks is None:  # later rounds only see texts linked in the first
-            linked = tops.select("a").union(tops.select("b")).distinct()
-            texts = df.select(node.alias("node"), whole.alias("text")).join(linked, F.col("node") == F.col("a"), "left_semi")
-            marks = keep(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_hash_lists(shingle), "node long, marks array<long>"), "marks")
+    groups = lambda of: roots(prefix_listings(of).mapInArrow(_meet(limit), "a long, b long").mapInArrow(contract, "a long, b long"))
+    tops, gone = groups(nodes), None
+    if not tops.isEmpty():
+        linked = keep(tops.select("a").union(tops.select("b")).distinct(), "linked")
+        texts = df.select(node.alias("node"), whole.alias("text")).join(linked, F.col("node") == F.col("a"), "left_semi")
+        marks = keep(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_hash_lists(shingle), "node long, marks array<long>"), "marks")
         one, two = marks.select(F.col("node").alias("a"), F.col("marks").alias("one")), marks.select(F.col("node").alias("b"), F.col("marks").alias("two"))
-        checked = keep(tops.join(one, "a").join(two, "b").select("a", "one", "two").mapInArrow(_verify(least), "a long, ok boolean"), "checked")
-        good, bad = checked.filter("ok").select("a"), checked.filter("not ok").select("a")
-        gone = good if gone is None else gone.union(good)
-        open_ = keep(open_.join(bad, open_.node == bad.a, "left_semi"), "open", bad.count())
+
+        def close(pairs: DataFrame) -> DataFrame:
+            return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verify(least), "a long, b long, ok boolean").filter("ok").select("a", "b")
+
+        open_ = keep(nodes.join(linked, nodes.node == linked.a, "left_semi"), "open")
+        while not tops.isEmpty():
+            tree = keep(tops.union(tops.select("b", "b").distinct()).toDF("node", "top"), "tree")
+            large = tree.groupBy("top").count().filter(F.col("count") > LARGE).select("top")
+            members = keep(open_.join(tree.join(large, "top", "left_semi"), "node").select("node", "top", "fp", "fp1"), "members")
+            n = members.count()
+            if not n:
+                break
+            centres = keep(_middles(members), "middles")
+            near = keep(close(members.join(centres, "top").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))).select("a"), "near")
+            gone = near if gone is None else gone.union(near)
+            # a middle was compared with all that it is linked to
+            settled = keep(near.union(centres.select("centre")), "settled")
+            open_ = keep(open_.join(settled, open_.node == settled.a, "left_anti"), "open")
+            if 2 * near.count() < n:
+                break
+            tops = groups(open_)
+        pairs = prefix_listings(open_).mapInArrow(_pairs(limit), "a long, b long").distinct()
+        covered = star_cover(close(pairs))
+        gone = covered if gone is None else gone.union(covered)
     stay = nodes if gone is None else nodes.join(keep(gone, "gone"), nodes.node == F.col("a"), "left_anti")
     stay = keep(stay.select(F.col("node").alias("_node"), F.col("least").alias("_least")), "stay")
     out = df.join(stay, (node == F.col("_node")) & F.col(key).eqNullSafe(F.col("_least")))

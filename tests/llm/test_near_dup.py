@@ -114,6 +114,26 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert sorted(r["doc_id"] // 2 for r in kept) == list(range(80))
 
 
+@pytest.mark.parametrize("large", [20, 256])
+def test_copies_of_one_original_go(spark, large, monkeypatch):
+    """Each copy is near the original, and no two copies are near each other."""
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    texts = [" ".join(words), *[" ".join(edited(rng, words, 6, f"c{k}")) for k in range(60)]]
+    assert all(shared(texts[0], t) >= 0.8 for t in texts) and shared(texts[1], texts[2]) < 0.8
+    kept = near_dup.distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]
+
+
+def test_cover_of_links(spark):
+    links = [(0, k) for k in range(1, 9)] + [(8, 9), (9, 10), (20, 21), (21, 22), (22, 23), (23, 24)]
+    gone = {r["a"] for r in near_dup.star_cover(spark.createDataFrame(links, "a long, b long")).collect()}
+    stay = {x for e in links for x in e} - gone
+    assert not any(a in stay and b in stay for a, b in links)
+    assert all(any({x, y} in ({a, b} for a, b in links) for y in stay) for x in gone)
+
+
 def test_nothing_in_nothing_out(empty):
     assert near_dup.near_duplicates(empty).count() == 0
     assert near_dup.distinct_texts(empty).count() == 0
