@@ -1,8 +1,8 @@
 """Finds benchmark items in documents.
 
-A window of an item's own length is laid wherever a document shares a five-word
-shingle with the item, in the alignment that the shingle gives; a window without
-such an anchor has similarity zero and needs no look.  Every window gets a SimHash
+A window of an item's own length is laid at every start from which it holds as many
+five-word shingles of the item, in whatever order, as the similarity asks for; no
+other window can reach it.  Every window gets a SimHash
 fingerprint.  A multi-index over the items' fingerprints (eight blocks of eight
 bits, each listed with up to one bit changed, on either side) returns all items of
 the window's length within the radius, and what it returns is verified by the
@@ -59,13 +59,31 @@ def benchmark_items(items: DataFrame, key: str = "item_id", text: str = "text")
     return out.withColumn("fp", simhash("marks"))
 
 
+def _starts(similarity: float) -> Column:
+    """(start, aligned) of the windows with enough shingles of the item in them, from ``met`` (pos, offset), ``length`` and ``n_words``.
+
+    ``aligned`` tells windows that begin where a shared shingle puts the item, moved to
+    the edge if they would begin or end outside the document.
+    """
+    # of a window of w shingles and an item of m, at least similarity * (w + m) / (1 + similarity) must be shared
+    marks, last = f"(n_words - {SHINGLE - 1})", "greatest(0, length - n_words)"
+    wide = f"least({marks}, length - {SHINGLE - 1})"
+    need = f"greatest(1, cast(ceil({similarity}D * ({wide} + {marks}) / {1 + similarity}D - 1e-9D) AS int))"
+    at, lines = "array_sort(array_distinct(met.pos))", "array_distinct(transform(met, x -> greatest(0, least(x.pos - x.offset, length - n_words))))"
+    return F.expr(f"""flatten(transform(array(struct({at} AS at, {lines} AS lines, {need} AS need)), g ->
+        transform(array_distinct(flatten(transform(filter(sequence(0, size(g.at)), i -> i + g.need <= size(g.at) AND g.at[i + g.need - 1] - g.at[i] < {wide}),
+            i -> sequence(greatest(0, g.at[i + g.need - 1] - {wide} + 1), least(g.at[i], {last}))))),
+            s -> struct(s AS start, array_contains(g.lines, s) AS aligned))))""")
+
+
 def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
          similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(id, twin, item, start, n_words, similarity): the best window of every item in every document.
 
     ``twin`` is a checksum of the text, so that rows that share a key (or have none)
     stay apart; equal rows are reported once.  ``start`` counts words from 0; of
-    equally similar windows the first is given.  Texts are compared in lower-case A-Z.
+    equally similar windows those in line with a shared shingle come before others,
+    and then the first is given.  Texts are compared in lower-case A-Z.
     A document shorter than the item is one window.  Null, empty and short texts
     (under five words) and such items match nothing; empty tables give an empty
     result; other columns are not read.
@@ -78,16 +96,16 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
     read = docs.select("id", "twin", words(ascii_lower(F.col("whole"))).alias("w")).withColumn("length", F.size("w"))
     placed = read.select("id", "twin", "length", F.posexplode(shingles(F.col("w"))).alias("pos", "mark"))
     anchored = placed.join(broadcast_if_small(marks), "mark")
-    # windows that would begin or end outside the document move to its edge
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("length") - F.col("n_words")))
-    spots = anchored.groupBy("id", "twin", start.alias("start"), "n_words").agg(F.lit(1).alias("one"))
-    spots = keep(spots.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "n_words")).alias("spots")), "spots")
+    shared = anchored.groupBy("id", "twin", "item").agg(F.first("length").alias("length"), F.first("n_words").alias("n_words"), F.collect_set(F.struct("pos", "offset")).alias("met"))
+    spots = shared.select("id", "twin", "n_words", F.explode(_starts(similarity)).alias("s"))
+    spots = spots.groupBy("id", "twin", "s.start", "n_words").agg(F.max("s.aligned").alias("aligned"))
+    spots = keep(spots.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "n_words", "aligned")).alias("spots")), "spots")
     # only documents with an anchor are read again
     same = docs["id"].eqNullSafe(spots["id"]) & (docs["twin"] == spots["twin"])
     again = docs.join(spots, same).select(docs["id"], docs["twin"], "spots", words(ascii_lower(F.col("whole"))).alias("w"))
     again = again.select("id", "twin", "spots", F.explode(F.array(shingles(F.col("w")))).alias("all"))  # worked out once a row, not once a window
     cut = again.select("id", "twin", F.explode(F.transform("spots", lambda s: F.struct(
-        s["start"].alias("start"), s["n_words"].alias("n_words"), F.slice("all", s["start"] + 1, s["n_words"] - (SHINGLE - 1)).alias("window")))).alias("s"))
+        s["start"].alias("start"), s["n_words"].alias("n_words"), s["aligned"].alias("aligned"), F.slice("all", s["start"] + 1, s["n_words"] - (SHINGLE - 1)).alias("window")))).alias("s"))
     windows = keep(cut.select("id", "twin", "s.*").withColumn("fp", simhash("window")), "windows")
     # the index: windows of one fingerprint and length ask it once
     asked = windows.select("fp", "n_words").distinct().select("fp", "n_words", F.explode(block_values(F.col("fp"))).alias("b")).select("fp", "n_words", "b.*")
@@ -97,7 +115,7 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
     pairs = windows.join(met, ["fp", "n_words"]).join(broadcast_if_small(bench.select("item", "marks")), "item")
     shared = pairs.withColumn("shared", shared_weight(F.col("window"), F.col("marks")))
     scored = shared.withColumn("similarity", F.col("shared") / (F.size("window") + F.size("marks") - F.col("shared"))).filter(F.col("similarity") >= similarity)
-    best = scored.groupBy("id", "twin", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("top"))
+    best = scored.groupBy("id", "twin", "item").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), "n_words")).alias("top"))
     return best.select("id", "twin", "item", (-F.col("top.back")).alias("start"), "top.n_words", "top.similarity")
 
 

@@ -170,6 +170,20 @@ def test_leaks_as_by_brute_force(leaks):
     assert {(d, i) for d, i, _, _ in got} >= {(100, 0), (101, 0), (102, 0), (103, 1), (104, 0), (None, 1)}
 
 
+def test_reordered_passages_are_leaks(spark):
+    """No window in line with a shingle holds both halves of an item that are swapped."""
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows, items = [], []
+    for k, n in enumerate((50, 59)):
+        item = words(f"i{k}", n)
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join([*words("a", 100), *item[n // 2:], *item[:n // 2], *words("b", 100)])))
+        rows.append((10 + k, " ".join([*words("a", 100), *item[n // 2:], *words("c", 20), *item[:n // 2]])))
+    got = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(k, k, 100): shared(" ".join(rows[2 * k][1].split()[100:100 + n]), items[k][1]) for k, n in enumerate((50, 59))}
+    assert {(r["id"], r["item"], r["start"]): r["similarity"] for r in got} == pytest.approx(want)
+
+
 def test_clean_rows_stay(leaks, spark):
     docs, items, _, _ = leaks
     kept = {(r["doc_id"], r["text"]) for r in decontaminate.clean(docs, items).collect()}
