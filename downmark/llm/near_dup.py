@@ -271,6 +271,10 @@ def _verify(least: float):
     return run
 
 
+#: The words of a text's fingerprint of 256 bits.
+FPS = ("fp", "fp1", "fp2", "fp3")
+
+
 def prefix_length(size: int, least: float) -> int:
     """How many shingles, first in any order that all texts share, meet those of every text that is ``least`` alike."""
     return size - math.ceil(least * size - 1e-9) + 1 if size else 1
@@ -284,22 +288,22 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(shingle: int, least: float):
-    """Fingerprint of 128 bits and the shingles that a text is listed under; a text without words has a listing of its own."""
+    """Fingerprint of 256 bits and the shingles that a text is listed under; a text without words has a listing of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, marks = np.empty((2, batch.num_rows), dtype=np.uint64), []
+            found, marks = np.empty((len(FPS), batch.num_rows), dtype=np.uint64), []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 hashes = shingle_hashes(t, shingle)
-                found[:, i] = [simhash(remix(hashes, k)) for k in (0, 1)]
+                found[:, i] = [simhash(remix(hashes, k)) for k in range(len(FPS))]
                 marks.append((numbered(hashes)[:prefix_length(len(hashes), least)] if len(hashes) else np.zeros(1, np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int64)), pa.array(marks, pa.list_(pa.int64()))],
-                                             names=["id", "fp", "fp1", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f.view(np.int64)) for f in found], pa.array(marks, pa.list_(pa.int64()))],
+                                             names=["id", *FPS, "prefix"])
 
     return run
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of two words."""
+    """Differing bits of rows of words."""
     return popcount(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
@@ -341,13 +345,13 @@ def _meet(limit: int):
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (bucket, fp, fp1, node) sorted by bucket, cut between buckets."""
-    held = (np.empty(0, np.int64), np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+    """Rows (bucket, fingerprint, node) sorted by bucket, cut between buckets."""
+    held = (np.empty(0, np.int64), np.empty((0, len(FPS)), np.uint64), np.empty(0, np.int64))
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, fp, fp1, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        held = tuple(np.concatenate(x) for x in zip(held, (bucket, np.stack([fp, fp1], axis=1).view(np.uint64), node)))
+        bucket, *fps, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(FPS) + 2))
+        held = tuple(np.concatenate(x) for x in zip(held, (bucket, np.stack(fps, axis=1).view(np.uint64), node)))
         done = int(np.searchsorted(held[0], held[0][-1]))
         if done:
             yield tuple(x[:done] for x in held)
@@ -389,19 +393,19 @@ SAMPLE = 16
 
 
 def prefix_listings(nodes: DataFrame, cell: int = CELL) -> DataFrame:
-    """(bucket, fp, fp1, node) of every text under each of its first shingles, dealt out and sorted by bucket.
+    """(bucket, fingerprint, node) of every text under each of its first shingles, dealt out and sorted by bucket.
 
     Large listings, found by a sample of the texts, are cut in cells, every two of which
     meet in a bucket; the cut changes where texts meet, not whether.
     """
-    listed = nodes.select(F.explode("prefix").alias("bucket"), "fp", "fp1", "node")
+    listed = nodes.select(F.explode("prefix").alias("bucket"), *FPS, "node")
     seen = nodes.filter(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("bucket")).groupBy("bucket").count()
     large = keep(seen.filter(F.col("count") * SAMPLE > cell).select("bucket", F.ceil(F.col("count") * SAMPLE / cell).cast("int").alias("cells")), "crowded")
     if not large.isEmpty():
         mine = F.pmod(F.xxhash64("fp", "node"), F.col("cells")).cast("int")
         cells = listed.join(broadcast_if_small(large), "bucket", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
         code = F.xxhash64("bucket", F.least(mine, "other"), F.greatest(mine, "other"))
-        listed = cells.select(F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(code).alias("bucket"), "fp", "fp1", "node")
+        listed = cells.select(F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(code).alias("bucket"), *FPS, "node")
     return listed.repartition("bucket").sortWithinPartitions("bucket")
 
 
@@ -441,13 +445,13 @@ def star_cover(edges: DataFrame) -> DataFrame:
 
 
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
-                   limit: int = 48) -> DataFrame:
+                   limit: int = 84) -> DataFrame:
     """The rows of ``df`` without near-duplicates: one row of each group, all columns as they are.
 
     Texts that share one of their first shingles are candidates: in an order of shingles
     common to all texts, any two texts that are ``least`` alike share one of the first
-    (1 - ``least``) of either.  Of these, fingerprints of 128 bits leave out pairs over
-    ``limit`` bits apart (0.8 gives 20 on average, 24 in texts of a few shingles).  All
+    (1 - ``least``) of either.  Of these, fingerprints of 256 bits leave out pairs over
+    ``limit`` bits apart (0.8 gives 39 on average, 48 in texts of a few shingles).  All
     pairs are verified, and of the links at which ``least`` of the shingles of the two are
     shared, the text with the most stays and those linked to it go, until no link is left.
     So no two texts that stay are verified near copies, and nothing goes without a text
@@ -462,8 +466,8 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     whole = F.coalesce(F.col(text), F.lit(""))
     node = F.xxhash64(whole)
     source = df.select(F.struct(F.col(key).alias("key"), node.alias("node")).alias("id"), whole.alias("text"))
-    rows = keep(source.mapInArrow(_sketches(shingle, least), f"id {source.schema['id'].dataType.simpleString()}, fp long, fp1 long, prefix array<long>"), "sketches")
-    nodes = keep(rows.groupBy("id.node").agg(F.min("id.key").alias("least"), *[F.first(n).alias(n) for n in ("fp", "fp1", "prefix")]), "nodes")
+    rows = keep(source.mapInArrow(_sketches(shingle, least), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in FPS) + ", prefix array<long>"), "sketches")
+    nodes = keep(rows.groupBy("id.node").agg(F.min("id.key").alias("least"), *[F.first(n).alias(n) for n in (*FPS, "prefix")]), "nodes")
     groups = lambda of: roots(prefix_listings(of).mapInArrow(_meet(limit), "a long, b long").mapInArrow(contract, "a long, b long"))
     tops, gone = groups(nodes), None
     if not tops.isEmpty():
