@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, line_dedup, mixture, near_dup, quality, sharding, token_blocks, vector_search
+from . import (collocations, decontaminate, language_id, language_model, license_scan, line_dedup, mixture, near_dup, quality, sharding, spelling,
+               token_blocks, vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +180,36 @@ def op10_top_inner_products(spark: SparkSession, sf: str) -> DataFrame:
     """The five highest integer inner products of every fiftieth vector."""
     vectors = spark.read.schema("vec_id bigint, embedding array<float>, label int").parquet(f"{sf}/embeddings.parquet")
     return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """License labels of every document, from base phrases and signature rules."""
+    return license_scan.summary(documents(spark, sf))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of seven letters or more with their commoner spelling, ten times as frequent and one edit away."""
+    return spelling.variants(documents(spark, sf), min_length=7, min_count=2, noise=31, ratio=10)
+
+
+@query("op13_collocations", r"""
+WITH w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k >= 2),
+cuts AS (SELECT c.lang, c.phrase, c.k, c.a, total.n, j, x.a AS l, y.a AS r, CAST((1000 * CAST(c.a AS HUGEINT) * total.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.s[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.s[j + 1:c.k], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS q FROM cuts) WHERE q = 1),
+held AS (SELECT lang, phrase, max(a) AS most FROM (
+  SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(s[i:i + m - 1], ' '))) AS phrase FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)) GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, best.phrase) AS rank
+  FROM best LEFT JOIN held ON best.lang = held.lang AND best.phrase = held.phrase WHERE most IS NULL OR most < best.a) WHERE rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to five words of every language."""
+    return collocations.collocations(documents(spark, sf), min_count=100, longest=5, top=2000)
