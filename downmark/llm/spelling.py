@@ -30,10 +30,10 @@ from .common import broadcast_if_small, keep
 RUN = re.compile("[a-zÀ-ÿ]+")
 #: a-z and the other letters by their number modulo six; sums of counts only shorten distances.
 DIMENSIONS, OTHERS = 32, 6
-LEAF = 32
+LEAF = 8
 #: Words a cell should hold, and the most words the planes are learned from.
-CELL_WORDS, SAMPLE = 32_768, 131_072
-_FLUSH, _ASK, _FAR = 200_000, 2_048, 1 << 30
+CELL_WORDS, SAMPLE = 131_072, 131_072
+_FLUSH, _ASK, _PAIRS, _FAR = 200_000, 2_048, 2_000_000, 1 << 30
 
 
 def _tallies(noise: int, min_length: int):
@@ -85,9 +85,12 @@ def letter_counts(words: Sequence[str]) -> np.ndarray:
     return np.bincount(row * DIMENSIONS + axis, minlength=len(words) * DIMENSIONS).reshape(len(words), DIMENSIONS).astype(np.int32)
 
 
-def unary(points: np.ndarray) -> np.ndarray:
-    """Each count, up to eight, as so many bits of a byte: differing bits are the L1 distance or less."""
-    return np.ascontiguousarray((1 << np.minimum(points, 8)) - 1).astype(np.uint8).view(np.uint64)
+def unary(points: np.ndarray, bits: int = 4) -> np.ndarray:
+    """Each count, up to ``bits``, as so many bits of a row of words: differing bits are the L1 distance or less."""
+    marks = (1 << np.minimum(points, bits)) - 1
+    if bits == 4:
+        marks = marks[:, ::2] | marks[:, 1::2] << 4
+    return np.ascontiguousarray(marks).astype(np.uint8).view(np.uint64)
 
 
 def halves(points: np.ndarray) -> tuple[int, int] | None:
@@ -143,64 +146,115 @@ class Planes:
         return np.concatenate(rows), np.concatenate(cells)
 
 
+def _columns(codes: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(c) for c in codes.T]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Tree:
-    """A k-d tree over all words of a cell, searched by many words at once."""
-
-    def __init__(self, points: np.ndarray):
-        self.codes, self.order, self.nodes = unary(points), np.arange(len(points)), []
-        stack = [(0, len(points), None)]
-        while stack:
-            a, b, parent = stack.pop()
-            own = points[self.order[a:b]]
-            number = len(self.nodes)
-            self.nodes.append([own.min(axis=0), own.max(axis=0), a, b, []])
-            if parent is not None:
-                self.nodes[parent][4].append(number)
-            plane = halves(own) if b - a > LEAF else None
-            if plane is not None:
-                left = own[:, plane[0]] <= plane[1]
-                middle = a + int(left.sum())
-                self.order[a:b] = np.concatenate([self.order[a:b][left], self.order[a:b][~left]])
-                stack += [(a, middle, number), (middle, b, number)]
+    """A k-d tree over all words of a cell, built and searched a level at a time.
+
+    A node is cut at the mean of its letter of largest variance.  Boxes and words are unary
+    codes, so the distance from a box is the bits that its least counts have over a word's,
+    and a word's over its largest.
+    """
+
+    def __init__(self, points: np.ndarray, bits: int = 4):
+        self.bits, codes = bits, unary(points, bits)
+        order, start, size = np.arange(len(points)), np.zeros(1, np.int64), np.array([len(points)])
+        levels, first = [], 0
+        while len(start):
+            own, edges = points[order], start
+            where = np.searchsorted(order_ends(start, size), np.arange(len(order)), "right") if len(start) > 1 else np.zeros(len(order), np.int64)
+            sums, squares = np.add.reduceat(own, edges, axis=0), np.add.reduceat(own * own, edges, axis=0)
+            spread = squares * size[:, None] - sums * sums
+            axis = spread.argmax(axis=1)
+            split = (size > LEAF) & (spread[np.arange(len(size)), axis] > 0)
+            low, high = np.bitwise_and.reduceat(codes[order], edges, axis=0), np.bitwise_or.reduceat(codes[order], edges, axis=0)
+            places = order
+            child = np.full(len(start), -1, np.int64)
+            child[split] = first + len(start) + 2 * np.arange(int(split.sum()))
+            levels.append((low, high, child, start, size, places))
+            first += len(start)
+            # words of the nodes that are cut go on, those up to the mean first
+            going = split[where]
+            order, where = order[going], where[going]
+            value = sums[np.arange(len(size)), axis] // size
+            right = points[order, axis[where]] > value[where]
+            key = 2 * (np.cumsum(split) - 1)[where] + right
+            order = order[np.argsort(key, kind="stable")]
+            size = np.bincount(key, minlength=2 * int(split.sum()))
+            start = np.cumsum(size) - size
+        low, high, self.child = (np.concatenate([lv[i] for lv in levels]) for i in range(3))
+        self.low, self.high = _columns(low), _columns(high)
+        # every leaf's words, one leaf after another
+        sizes = np.concatenate([lv[4] for lv in levels])
+        leaf = self.child < 0
+        self.size = np.where(leaf, sizes, 0)
+        self.start = np.cumsum(self.size) - self.size
+        self.words = np.concatenate([lv[5][_ranges(lv[3][own], lv[4][own])] for lv in levels if (own := lv[2] < 0).any()])
+        self.codes = _columns(codes[self.words])
 
     def within(self, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(asked row, point) pairs, all that are at most ``radius`` apart among them, leaf by leaf."""
-        codes = unary(asked)
-        stack = [(0, np.arange(len(asked)))]
-        while stack:
-            number, at = stack.pop()
-            low, high, a, b, below = self.nodes[number]
-            q = asked[at]
-            near = (np.maximum(low - q, 0) + np.maximum(q - high, 0)).sum(axis=1) <= radius
-            at = at[near]
-            if not len(at):
-                continue
-            if below:
-                stack += [(n, at) for n in below]
-                continue
-            # a leaf of equal vectors can be large, so the pairs of it are looked at in blocks
-            members = self.order[a:b]
-            for i in range(0, len(members), 512):
-                block = members[i:i + 512]
-                apart = np.bitwise_count(codes[at][:, None, :] ^ self.codes[block][None, :, :]).sum(axis=2)
-                r, c = np.nonzero(apart <= radius)
-                if len(r):
-                    yield at[r], block[c]
+        """(asked row, point) pairs, all that are at most ``radius`` apart among them."""
+        codes = _columns(unary(asked, self.bits))
+        at, node = np.arange(len(asked)), np.zeros(len(asked), np.int64)
+        leaves = []
+        while len(at):
+            apart = np.zeros(len(at), np.uint8)
+            for code, low, high in zip(codes, self.low, self.high):
+                q = code[at]
+                apart += np.bitwise_count(low[node] & ~q)
+                apart += np.bitwise_count(q & ~high[node])
+            near = apart <= radius
+            at, node = at[near], node[near]
+            below = self.child[node]
+            inner = below >= 0
+            leaves.append((at[~inner], node[~inner]))
+            at, below = at[inner], below[inner]
+            at, node = np.concatenate([at, at]), np.concatenate([below, below + 1])
+        at, node = (np.concatenate(x) for x in zip(*leaves))
+        size = self.size[node]
+        upto = np.cumsum(size)
+        first = 0
+        while first < len(at):  # in blocks, as a leaf of equal vectors can be large
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _PAIRS, "right")))
+            block = slice(first, last)
+            r, p = np.repeat(at[block], size[block]), _ranges(self.start[node[block]], size[block])
+            apart = np.zeros(len(r), np.uint8)
+            for code, own in zip(codes, self.codes):
+                apart += np.bitwise_count(code[r] ^ own[p])
+            ok = apart <= radius
+            yield r[ok], self.words[p[ok]]
+            first = last
+
+
+def order_ends(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where each of some neighbouring ranges ends."""
+    return start + size
 
 
 def letters(words: Sequence[str]) -> np.ndarray:
-    """Words of one length as rows of characters."""
-    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
+    """Words of one length as rows of characters, filled up to whole words of eight."""
+    rows = np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
+    return np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))
 
 
-def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of ``a`` differ from those of ``b`` by one letter replaced, or by one more letter in ``b``."""
-    n = a.shape[1]
-    if b.shape[1] == n:
-        return (a != b).sum(axis=1) == 1
-    head = np.cumprod(a == b[:, :n], axis=1).sum(axis=1)
-    tail = np.cumprod((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-    return head + tail >= n
+def one_edit(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray, size: int, other: int) -> np.ndarray:
+    """Which rows ``at`` of ``a`` (of ``size`` letters) differ from rows ``to`` of ``b`` by a letter replaced, or by one more in ``b`` (of ``other``)."""
+    if other == size:
+        x = a.view(np.uint64)[at] ^ b.view(np.uint64)[to]
+        low = np.uint64(0x7F7F7F7F7F7F7F7F)
+        changed = ((x & low) + low | x) & ~low  # the top bit of every byte that is not zero
+        return np.bitwise_count(changed).sum(axis=1) == 1
+    short, long = a[at, :size], b[to, :other]
+    head = np.cumprod(short == long[:, :size], axis=1).sum(axis=1)
+    tail = np.cumprod((short == long[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return head + tail >= size
 
 
 def _router(trees: dict[int, Planes]):
@@ -237,21 +291,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answer() -> Iterator[pa.RecordBatch]:
         nonlocal tree
         if points and asked:
+            other = len(points[0])
             if tree is None:
-                tree = (Tree(letter_counts(points)), letters(points), np.array(points, object), np.array(counts, np.int64))
+                # longer words hold letters more often
+                tree = (Tree(letter_counts(points), 4 if other <= 20 else 8), letters(points), np.array(points, object), np.array(counts, np.int64))
             index, spelled, names, often = tree
             for size in sorted({len(w) for w, _ in asked}):
                 own = [q for q in asked if len(q[0]) == size]
                 words, n = np.array([w for w, _ in own], object), np.array([c for _, c in own], np.int64)
                 chars = letters(words)
-                same = size == spelled.shape[1]
-                for r, p in index.within(letter_counts(words), 2 if same else 1):
-                    ok = one_edit(chars[r], spelled[p])
+                for r, p in index.within(letter_counts(words), 2 if size == other else 1):
+                    ok = one_edit(chars, spelled, r, p, size, other)
                     r, p = r[ok], p[ok]
                     if not len(r):
                         continue
                     one, two, m = words[r], names[p], often[p]
-                    if not same:  # the longer words do not ask the shorter ones
+                    if size != other:  # the longer words do not ask the shorter ones
                         one, two, m = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([m, n[r]])
                     yield pa.RecordBatch.from_arrays([pa.array(one, pa.string()), pa.array(two, pa.string()), pa.array(m)], names=["a", "b", "n"])
         asked.clear()
@@ -284,7 +339,7 @@ def planes(words: DataFrame, cell_words: int = CELL_WORDS, sample: int = SAMPLE)
     for size in sorted(sizes):
         own = sorted(drawn.get(size, []))
         points = letter_counts(own) if own else np.zeros((0, DIMENSIONS), np.int32)
-        out[size] = Planes(points, max(LEAF, int(cell_words * share)), first)
+        out[size] = Planes(points, max(32, int(cell_words * share)), first)
         first += out[size].cells
     return out
 
