@@ -55,9 +55,18 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns, so that extra ones cannot clash with working names."""
-    return df.select(*columns)
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its own columns of these names under others, and the columns that give it back as it was."""
+    other = {c: fresh(df, f"{c}_own") if c.lower() in names else c for c in df.columns}
+    return df.select(*[F.col(c).alias(o) for c, o in other.items()]), [F.col(o).alias(c) for c, o in other.items()]
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:

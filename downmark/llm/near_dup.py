@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep
+from .common import broadcast_if_small, fresh, keep
 from .components import Forest, contract, popcount, roots
 
 #: Listings up to the first size are compared pair by pair, larger ones by a forest, those
@@ -242,37 +243,61 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return docs.join(member, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _hash_lists(shingle: int):
+#: Slots of the table of how often shingles occur, the chunks it is summed in, and the fineness of its ranks.
+SLOTS, CHUNKS, FINE = 1 << 22, 64, 8
+#: The words of a text's fingerprint of 256 bits.
+FPS = ("fp", "fp1", "fp2", "fp3")
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _tally(shingle: int):
+    """How many texts of a partition have a shingle in each slot, in compressed chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            found = [np.sort(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "marks"])
+            for text in batch.column(0):
+                counts[np.unique(_slots(shingle_hashes(text.as_py(), shingle)))] += 1
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for c, part in enumerate(counts.reshape(CHUNKS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], names=["chunk", "counts"])
 
     return run
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared shingles over all shingles of two lists, repeats counted; 1 for two empty lists."""
-    if not len(a) and not len(b):
-        return 1.0
-    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(n[i], m[j]).sum())
-    return shared / (len(a) + len(b) - shared)
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summed counts of each chunk on a logarithmic scale, a byte a slot; rows come sorted by chunk."""
+    chunk, total = None, None
 
+    def out() -> pa.RecordBatch:
+        scale = np.minimum(255, np.floor(FINE * np.log2(1.0 + total))).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([scale.tobytes()], pa.binary())], names=["chunk", "ranks"])
 
-def _verify(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column(2), batch.column(3)
-            ok = [similarity(one[i].values.to_numpy(), two[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for c, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if c != chunk:
+                if chunk is not None:
+                    yield out()
+                chunk, total = c, np.zeros(SLOTS // CHUNKS, np.uint64)
+            total += np.frombuffer(unpack(packed.as_py()), np.uint32)
+    if chunk is not None:
+        yield out()
 
-    return run
 
+def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """A rank for every slot of shingle hashes, higher where more texts have one; ``texts`` has one column.
 
-#: The words of a text's fingerprint of 256 bits.
-FPS = ("fp", "fp1", "fp2", "fp3")
+    Four megabytes whatever the corpus, so it may go to the driver and to every task.
+    """
+    tallied = texts.mapInArrow(_tally(shingle), "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    ranks = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint8)
+    for row in tallied.mapInArrow(_ranks, "chunk int, ranks binary").collect():  # CHUNKS rows
+        ranks[row["chunk"]] = np.frombuffer(bytes(row["ranks"]), np.uint8)
+    return ranks.ravel()
 
 
 def prefix_length(size: int, least: float) -> int:
@@ -280,78 +305,82 @@ def prefix_length(size: int, least: float) -> int:
     return size - math.ceil(least * size - 1e-9) + 1 if size else 1
 
 
-def numbered(hashes: np.ndarray) -> np.ndarray:
-    """The sorted hashes with repeats told apart, so that lists compare as sets."""
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes, and the same with repeats told apart, so that lists compare as sets."""
     found = np.sort(hashes)
     first = np.searchsorted(found, found)
-    return np.sort(found ^ ((np.arange(len(found)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return found, found ^ ((np.arange(len(found)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sketches(shingle: int, least: float):
-    """Fingerprint of 256 bits and the shingles that a text is listed under; a text without words has a listing of its own."""
+def rare_first(hashes: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
+    """The shingles a text is listed under: its rarest, as many as ``least`` asks for; zero for a text without words."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    found, told = numbered(hashes)
+    return told[np.lexsort((told, ranks[_slots(found)]))][:prefix_length(len(hashes), least)]
+
+
+def _sketches(shingle: int, least: float, ranks):
+    """Fingerprint of 256 bits, number of shingles and the shingles that a text is listed under."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, marks = np.empty((len(FPS), batch.num_rows), dtype=np.uint64), []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                hashes = shingle_hashes(t, shingle)
+            found, sizes, prefix = np.empty((len(FPS), batch.num_rows), dtype=np.uint64), [], []
+            for i, t in enumerate(batch.column(1)):
+                hashes = shingle_hashes(t.as_py(), shingle)
                 found[:, i] = [simhash(remix(hashes, k)) for k in range(len(FPS))]
-                marks.append((numbered(hashes)[:prefix_length(len(hashes), least)] if len(hashes) else np.zeros(1, np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f.view(np.int64)) for f in found], pa.array(marks, pa.list_(pa.int64()))],
-                                             names=["id", *FPS, "prefix"])
+                sizes.append(len(hashes))
+                prefix.append(rare_first(hashes, ranks.value, least).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f.view(np.int64)) for f in found], pa.array(sizes, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                                             names=["id", *FPS, "size", "prefix"])
 
     return run
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of words."""
-    return popcount(a ^ b).sum(axis=-1, dtype=np.int64)
+def _marks(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [numbered(shingle_hashes(t.as_py(), shingle))[1].view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "marks"])
 
+    return run
 
-def _meet(limit: int):
-    """Links from rows sorted by bucket, as stars; holds one bucket and the links of a partition."""
-    def found(bucket: np.ndarray, fps: np.ndarray, node: np.ndarray, forest: Forest) -> None:
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-        sizes = np.diff(edges)
-        few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 16), sizes))
-        for step in range(1, 16):
-            i, j = few[:-step], few[step:]
-            same = bucket[i] == bucket[j]
-            if not same.any():
-                break
-            i, j = i[same], j[same]
-            near = _apart(fps[i], fps[j]) <= limit
-            for a, b in zip(node[i[near]].tolist(), node[j[near]].tolist()):
-                forest.union(a, b)
-        for k in np.flatnonzero(sizes > 16).tolist():
-            own, names = fps[edges[k]:edges[k + 1]], node[edges[k]:edges[k + 1]]
-            left = np.arange(len(own))
-            while len(left):
-                front, left = [left[0]], left[1:]
-                while front and len(left):
-                    at = front.pop()
-                    near = _apart(own[left], own[at]) <= limit
-                    for other in names[left[near]].tolist():
-                        forest.union(int(names[at]), other)
-                    front.extend(left[near].tolist())
-                    left = left[~near]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for bucket, fps, node in _whole_buckets(batches):
-            found(bucket, fps, node, forest)
-        yield forest.stars()
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose bucket another row has too, from rows sorted by bucket; holds one row over a batch."""
+    last, matched = None, False
+    row = lambda b, n: pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["bucket", "node"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        if last is not None:
+            bucket, node = np.append(last[0], bucket), np.append(last[1], node)
+        keep_ = np.zeros(len(bucket), bool)
+        same = bucket[1:] == bucket[:-1]
+        keep_[1:] |= same
+        keep_[:-1] |= same
+        keep_[0] |= matched
+        yield row(bucket[:-1][keep_[:-1]], node[:-1][keep_[:-1]])
+        last, matched = (bucket[-1], node[-1]), bool(keep_[-1])
+    if matched:
+        yield row([last[0]], [last[1]])
 
-    return run
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words."""
+    return popcount(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (bucket, fingerprint, node) sorted by bucket, cut between buckets."""
-    held = (np.empty(0, np.int64), np.empty((0, len(FPS)), np.uint64), np.empty(0, np.int64))
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows (bucket, fingerprint, size, node, top) sorted by bucket, cut between buckets."""
+    held = (np.empty(0, np.int64), np.empty((0, len(FPS)), np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, *fps, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(FPS) + 2))
-        held = tuple(np.concatenate(x) for x in zip(held, (bucket, np.stack(fps, axis=1).view(np.uint64), node)))
+        bucket, *fps, size, node, top = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(FPS) + 4))
+        held = tuple(np.concatenate(x) for x in zip(held, (bucket, np.stack(fps, axis=1).view(np.uint64), size, node, top)))
         done = int(np.searchsorted(held[0], held[0][-1]))
         if done:
             yield tuple(x[:done] for x in held)
@@ -360,8 +389,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield held
 
 
-def _pairs(limit: int):
-    """All pairs (a, b), a < b, within ``limit`` bits, from rows sorted by bucket."""
+def _across(limit: int, least: float):
+    """Pairs (a, b), a < b, of a bucket that no link joins yet, of like sizes and within ``limit`` bits; rows sorted by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
 
@@ -369,18 +398,18 @@ def _pairs(limit: int):
             ends = np.unique(np.sort(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-        for bucket, fps, node in _whole_buckets(batches):
+        for bucket, fps, size, node, top in _whole_buckets(batches):
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             sizes = np.diff(edges)
-            rest = np.flatnonzero(np.repeat(sizes > 1, sizes))
             last = np.repeat(edges[1:], sizes)
-            for i in rest.tolist():
-                others = slice(i + 1, last[i])
-                near = node[others][_apart(fps[others], fps[i]) <= limit]
+            for i in np.flatnonzero(np.repeat(sizes > 1, sizes)).tolist():
+                rest = slice(i + 1, last[i])
+                like = np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9
+                near = node[rest][(top[rest] != top[i]) & like & (_apart(fps[rest], fps[i]) <= limit)]
                 if len(near):
                     out.append(np.stack([np.full(len(near), node[i]), near], axis=1))
                     held += len(near)
-                    if held > 1 << 20:
+                    if held > 1 << 17:
                         yield flush()
                         out, held = [], 0
         yield flush()
@@ -388,121 +417,123 @@ def _pairs(limit: int):
     return run
 
 
-#: One text in so many is looked at to find listings that need cells.
-SAMPLE = 16
-
+def across_pairs(rows: DataFrame, limit: int, least: float, cell: int = CELL) -> DataFrame:
+    """(a, b) of all pairs of ``rows`` (bucket, fingerprint, size, node, top) that share a bucket and not a ``top``.
 
-def prefix_listings(nodes: DataFrame, cell: int = CELL) -> DataFrame:
-    """(bucket, fingerprint, node) of every text under each of its first shingles, dealt out and sorted by bucket.
-
-    Large listings, found by a sample of the texts, are cut in cells, every two of which
-    meet in a bucket; the cut changes where texts meet, not whether.
+    Buckets of more than ``cell`` rows are cut in cells, every two of which meet in a
+    bucket of their own; the cut changes where texts meet, not whether.
     """
-    listed = nodes.select(F.explode("prefix").alias("bucket"), *FPS, "node")
-    seen = nodes.filter(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("bucket")).groupBy("bucket").count()
-    large = keep(seen.filter(F.col("count") * SAMPLE > cell).select("bucket", F.ceil(F.col("count") * SAMPLE / cell).cast("int").alias("cells")), "crowded")
+    rows = rows.select("bucket", *FPS, "size", "node", "top")
+    large = keep(rows.groupBy("bucket").count().filter(F.col("count") > cell).select("bucket", F.ceil(F.col("count") / cell).cast("int").alias("cells")), "crowded")
     if not large.isEmpty():
         mine = F.pmod(F.xxhash64("fp", "node"), F.col("cells")).cast("int")
-        cells = listed.join(broadcast_if_small(large), "bucket", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
+        cells = rows.join(broadcast_if_small(large), "bucket", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
         code = F.xxhash64("bucket", F.least(mine, "other"), F.greatest(mine, "other"))
-        listed = cells.select(F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(code).alias("bucket"), *FPS, "node")
-    return listed.repartition("bucket").sortWithinPartitions("bucket")
+        rows = cells.select(F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(code).alias("bucket"), *FPS, "size", "node", "top")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(limit, least), "a long, b long").distinct()
 
 
-#: Groups of more texts than this are first compared with one text near their middle.
-LARGE = 256
+def _labelled(met: DataFrame, tops: DataFrame | None) -> DataFrame:
+    """Listings with the component of each text, of the buckets that hold more than one."""
+    if tops is None:
+        return met.withColumn("top", F.col("node"))
+    rows = met.join(tops.select(F.col("a").alias("node"), F.col("b").alias("_b")), "node", "left").withColumn("top", F.coalesce("_b", "node")).drop("_b")
+    open_ = rows.groupBy("bucket").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low <> high").select("bucket")
+    return keep(rows.join(keep(open_, "open"), "bucket", "left_semi"), "listed")
 
 
-def _middles(members: DataFrame) -> DataFrame:
-    """(top, centre): the text of each group whose fingerprint is closest to the majority of every bit."""
-    bits = lambda fp: [F.sum(F.shiftrightunsigned(fp, i).bitwiseAND(F.lit(1))) for i in range(64)]
-    counts = members.groupBy("top").agg(F.count("*").alias("n"), F.array(*bits("fp")).alias("ones"), F.array(*bits("fp1")).alias("ones1"))
-    word = lambda ones: F.expr(f"aggregate(sequence(0, 63), 0L, (x, i) -> x | shiftleft(cast(2 * {ones}[i] > n AS bigint), i))")
-    majority = keep(counts.select("top", word("ones").alias("m"), word("ones1").alias("m1")), "majority")
-    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) + F.bit_count(F.col("fp1").bitwiseXOR(F.col("m1")))
-    return members.join(majority, "top").groupBy("top").agg(F.min(F.struct(away.alias("away"), "node")).alias("c")).select("top", F.col("c.node").alias("centre"))
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b): the first text of every component in a bucket with the first of all of the bucket; the most listed come first."""
+    place = F.struct((-F.col("listed")).alias("back"), "node")
+    firsts = rows.groupBy("bucket", "top").agg(F.min(place).alias("one"))
+    centres = firsts.groupBy("bucket").agg(F.min("one").alias("two"))
+    pairs = firsts.join(centres, "bucket").filter("one.node <> two.node")
+    return pairs.select(F.greatest("one.node", "two.node").alias("b"), F.least("one.node", "two.node").alias("a")).select("a", "b").distinct()
 
 
-def star_cover(edges: DataFrame) -> DataFrame:
-    """(a): the nodes that go, so that no two linked nodes stay and every one that goes is linked to one that stays.
+def near_copies(nodes: DataFrame, marks_of, least: float, limit: int, cell: int = CELL) -> DataFrame | None:
+    """(a, b): every text that a chain of links of ``least`` joins to one of smaller number, with the smallest; None if none is.
 
-    Every round, the nodes with more links than all their neighbours stay and their
-    neighbours go; the rounds end when no link is left.
+    ``nodes`` are (node, fingerprint, size, prefix).  Two rounds compare the members of
+    each bucket with its most listed text, and the components of each with one another by
+    such texts, so that a group of copies costs a comparison a copy.  After these, every
+    pair of texts that shares a bucket, is within ``limit`` bits and is not joined yet is
+    compared, so no link between two components is missed, however large the group.
     """
-    edges = keep(edges, "pairs")
-    gone, n = None, edges.count()
-    while n:
-        ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = keep(ends.groupBy("a").agg(F.count("*").alias("n")), "rank")
-        top = ends.join(rank.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.max(F.struct("n", "b")).alias("most"))
-        stay = keep(top.join(rank, "a").filter(F.struct("n", F.col("a").alias("b")) > F.col("most")).select("a"), "centres")
-        go = keep(ends.join(stay, "a", "left_semi").select(F.col("b").alias("a")).distinct(), "covered")
-        gone = go if gone is None else gone.union(go)
-        done = keep(stay.union(go), "done")
-        edges = keep(edges.join(done, "a", "left_anti").join(done.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "pairs")
-        n = edges.count()
-    return edges.select("a") if gone is None else gone
+    listed = nodes.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket").sortWithinPartitions("bucket")
+    met = keep(listed.mapInArrow(_met, "bucket long, node long"), "met")
+    if met.isEmpty():
+        return None
+    often = met.groupBy("node").agg(F.count("*").alias("listed"))
+    met = keep(met.join(often, "node"), "met")
+    some = keep(often.select("node"), "some")
+    marks = keep(marks_of(some), "marks")
+    sketch = keep(nodes.join(some, "node", "left_semi").select("node", *FPS, "size"), "sketch")
+    one, two = marks.select(F.col("node").alias("a"), F.col("marks").alias("one")), marks.select(F.col("node").alias("b"), F.col("marks").alias("two"))
+    side = lambda end: sketch.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in (*FPS, "size")])
+    bits = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in FPS[1:]), F.bit_count(F.col(f"{FPS[0]}_a").bitwiseXOR(F.col(f"{FPS[0]}_b"))))
+    like = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("one") + F.size("two")).alias("both"), F.size(F.array_intersect("one", "two")).alias("same"))
+        return found.filter((F.col("both") == 0) | (F.col("same") / (F.col("both") - F.col("same")) >= least)).select("a", "b")
+
+    tops, tested = None, None
+    for _ in range(2):
+        pairs = _stars(_labelled(met, tops))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = keep(pairs, "stars")
+        close = pairs.join(side("a"), "a").join(side("b"), "b").filter(like & (bits <= limit)).select("a", "b")
+        found = verified(close)
+        tops = roots(found if tops is None else tops.union(found))
+        tested = pairs if tested is None else tested.union(pairs)
+    rows = _labelled(met, tops)
+    if not rows.isEmpty():
+        pairs = across_pairs(rows.join(sketch, "node"), limit, least, cell)
+        found = keep(verified(pairs.join(tested, ["a", "b"], "left_anti")), "links")
+        if not found.isEmpty():
+            tops = roots(tops.union(found))
+    return tops
 
 
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
-                   limit: int = 84) -> DataFrame:
+                   limit: int = 84, cell: int = CELL) -> DataFrame:
     """The rows of ``df`` without near-duplicates: one row of each group, all columns as they are.
 
-    Texts that share one of their first shingles are candidates: in an order of shingles
-    common to all texts, any two texts that are ``least`` alike share one of the first
-    (1 - ``least``) of either.  Of these, fingerprints of 256 bits leave out pairs over
-    ``limit`` bits apart (0.8 gives 39 on average, 48 in texts of a few shingles).  All
-    pairs are verified, and of the links at which ``least`` of the shingles of the two are
-    shared, the text with the most stays and those linked to it go, until no link is left.
-    So no two texts that stay are verified near copies, and nothing goes without a text
-    that stays and was compared with it.  A group of over ``LARGE`` texts is first compared
-    with the text nearest to its middle, again and again while half of such texts go, so
-    that copies are not spelled out in pairs.
-
-    Of rows with one text, that with the smallest key stays; null keys come last, and of
-    rows that agree in key and text any one stays.  Null and empty texts are one text,
-    and blank texts are all alike.  An empty table gives an empty result.
+    Two texts link if they share ``least`` of their shingles, repeats counted; a group is
+    all texts that chains of links join, and its row with the smallest key stays.  Texts
+    that share one of their rarest shingles are candidates: in an order of shingles common
+    to all texts, here by how many texts have them, any two texts that are ``least`` alike
+    share one of the first (1 - ``least``) of either.  Of these, fingerprints of 256 bits
+    leave out pairs over ``limit`` bits apart (0.8 gives 39 on average, 48 in texts of a
+    few shingles), and exact similarities decide.
+
+    Null keys come last, and of texts with one key that of the smaller hash stays; of rows
+    that agree in key and text any one stays.  Null and empty texts are one text, and blank
+    texts are all alike.  An empty table gives an empty result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     node = F.xxhash64(whole)
+    ranks = df.sparkSession.sparkContext.broadcast(rarity(df.select(whole.alias("text")), shingle))  # 4 MB
     source = df.select(F.struct(F.col(key).alias("key"), node.alias("node")).alias("id"), whole.alias("text"))
-    rows = keep(source.mapInArrow(_sketches(shingle, least), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in FPS) + ", prefix array<long>"), "sketches")
-    nodes = keep(rows.groupBy("id.node").agg(F.min("id.key").alias("least"), *[F.first(n).alias(n) for n in (*FPS, "prefix")]), "nodes")
-    groups = lambda of: roots(prefix_listings(of).mapInArrow(_meet(limit), "a long, b long").mapInArrow(contract, "a long, b long"))
-    tops, gone = groups(nodes), None
-    if not tops.isEmpty():
-        linked = keep(tops.select("a").union(tops.select("b")).distinct(), "linked")
-        texts = df.select(node.alias("node"), whole.alias("text")).join(linked, F.col("node") == F.col("a"), "left_semi")
-        marks = keep(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_hash_lists(shingle), "node long, marks array<long>"), "marks")
-        one, two = marks.select(F.col("node").alias("a"), F.col("marks").alias("one")), marks.select(F.col("node").alias("b"), F.col("marks").alias("two"))
-
-        def close(pairs: DataFrame) -> DataFrame:
-            return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verify(least), "a long, b long, ok boolean").filter("ok").select("a", "b")
-
-        open_ = keep(nodes.join(linked, nodes.node == linked.a, "left_semi"), "open")
-        while not tops.isEmpty():
-            tree = keep(tops.union(tops.select("b", "b").distinct()).toDF("node", "top"), "tree")
-            large = tree.groupBy("top").count().filter(F.col("count") > LARGE).select("top")
-            members = keep(open_.join(tree.join(large, "top", "left_semi"), "node").select("node", "top", "fp", "fp1"), "members")
-            n = members.count()
-            if not n:
-                break
-            centres = keep(_middles(members), "middles")
-            near = keep(close(members.join(centres, "top").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))).select("a"), "near")
-            gone = near if gone is None else gone.union(near)
-            # a middle was compared with all that it is linked to
-            settled = keep(near.union(centres.select("centre")), "settled")
-            open_ = keep(open_.join(settled, open_.node == settled.a, "left_anti"), "open")
-            if 2 * near.count() < n:
-                break
-            tops = groups(open_)
-        pairs = prefix_listings(open_).mapInArrow(_pairs(limit), "a long, b long").distinct()
-        covered = star_cover(close(pairs))
-        gone = covered if gone is None else gone.union(covered)
-    stay = nodes if gone is None else nodes.join(keep(gone, "gone"), nodes.node == F.col("a"), "left_anti")
-    stay = keep(stay.select(F.col("node").alias("_node"), F.col("least").alias("_least")), "stay")
-    out = df.join(stay, (node == F.col("_node")) & F.col(key).eqNullSafe(F.col("_least")))
-    repeats = rows.groupBy("id").count().filter("count > 1")
-    if not repeats.isEmpty():
-        out = out.dropDuplicates([key, "_node"])
+    rows = source.mapInArrow(_sketches(shingle, least, ranks), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in FPS) + ", size long, prefix array<long>")
+    rows = keep(rows, "sketches")
+    first = F.min(F.struct(F.col("id.key").isNull().alias("none"), F.col("id.key").alias("key"))).alias("least")
+    nodes = keep(rows.groupBy("id.node").agg(first, *[F.first(n).alias(n) for n in (*FPS, "size", "prefix")]), "nodes")
+
+    def marks_of(some: DataFrame) -> DataFrame:
+        texts = df.select(node.alias("node"), whole.alias("text")).join(some, "node", "left_semi")
+        return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_marks(shingle), "node long, marks array<long>")
+
+    tops = near_copies(nodes, marks_of, least, limit, cell)
+    stay = nodes.select("node", "least")
+    if tops is not None:
+        grouped = nodes.select("node", "least").join(tops, nodes.node == tops.a, "left").withColumn("top", F.coalesce("b", "node"))
+        stay = grouped.groupBy("top").agg(F.min(F.struct("least", "node")).alias("s")).select("s.node", "s.least")
+    mine, theirs, keys = fresh(df, "node"), fresh(df, "stays"), fresh(df, "stay_key")
+    stay = keep(stay.select(F.col("node").alias(theirs), F.col("least.key").alias(keys)), "stay")
+    out = df.withColumn(mine, node).join(stay, (F.col(mine) == F.col(theirs)) & F.col(key).eqNullSafe(F.col(keys)))
+    if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([key, mine])
     return out.select(*df.columns)

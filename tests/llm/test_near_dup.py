@@ -83,16 +83,17 @@ def test_components_of_long_paths_and_stars(spark):
 def test_one_of_each_group_stays(docs, rows):
     got = near_dup.distinct_texts(docs)
     assert got.columns == docs.columns
-    kept = [tuple(r) for r in got.collect()]
+    kept = Counter(tuple(r) for r in got.collect())
+    texts = sorted({r[1] or "" for r in rows})
+    tops = slow_components(range(len(texts)), lambda a, b: shared(texts[a], texts[b]) >= 0.8)
+    group = {t: tops[i] for i, t in enumerate(texts)}
+    least = {}
+    for r in rows:
+        place = (r[0] is None, r[0] or 0)
+        least[group[r[1] or ""]] = min(least.get(group[r[1] or ""], place), place)
+    assert len(kept) == len(least) == sum(kept.values())
+    assert {(r[0] is None, r[0] or 0, group[r[1] or ""]) for r in kept} == {(*p, g) for g, p in least.items()}
     assert set(kept) <= set(rows)
-    texts = [r[1] or "" for r in kept]
-    assert len(texts) == len(set(texts))
-    for r in rows:  # who goes has a measure that stays
-        assert any(shared(r[1], t) >= 0.8 for t in texts), r[0]
-    close = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if shared(a, b) >= 0.9]
-    assert not close
-    clean = [r for r in rows if r[1] and all(r is s or shared(r[1], s[1]) < 0.8 for s in rows)]
-    assert set(clean) <= set(kept)
 
 
 def edited(rng, words, n, tag):
@@ -114,24 +115,51 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert sorted(r["doc_id"] // 2 for r in kept) == list(range(80))
 
 
-@pytest.mark.parametrize("large", [20, 256])
-def test_copies_of_one_original_go(spark, large, monkeypatch):
-    """Each copy is near the original, and no two copies are near each other."""
-    monkeypatch.setattr(near_dup, "LARGE", large)
+@pytest.mark.parametrize(("copies", "cell"), [(60, 4096), (60, 16)])
+def test_copies_of_one_original_go(spark, copies, cell):
+    """Each copy is near the original, and no two copies are near each other; small cells cut the listings."""
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
-    texts = [" ".join(words), *[" ".join(edited(rng, words, 6, f"c{k}")) for k in range(60)]]
-    assert all(shared(texts[0], t) >= 0.8 for t in texts) and shared(texts[1], texts[2]) < 0.8
-    kept = near_dup.distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    texts = [" ".join(edited(rng, words, 6, f"c{k}")) for k in range(copies)] + [" ".join(words)]
+    assert all(shared(texts[-1], t) >= 0.8 for t in texts) and shared(texts[1], texts[2]) < 0.8
+    kept = near_dup.distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), cell=cell).collect()
     assert [r["doc_id"] for r in kept] == [0]
 
 
-def test_cover_of_links(spark):
-    links = [(0, k) for k in range(1, 9)] + [(8, 9), (9, 10), (20, 21), (21, 22), (22, 23), (23, 24)]
-    gone = {r["a"] for r in near_dup.star_cover(spark.createDataFrame(links, "a long, b long")).collect()}
-    stay = {x for e in links for x in e} - gone
-    assert not any(a in stay and b in stay for a, b in links)
-    assert all(any({x, y} in ({a, b} for a, b in links) for y in stay) for x in gone)
+@pytest.mark.parametrize("cell", [4096, 8])
+def test_chains_and_boilerplate_as_by_brute_force(spark, cell):
+    """Texts that drift apart link by link, and unlike texts that share most of their words."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"n{i}" for i in rng.integers(0, 10**9, n)]
+    common, texts = fresh(160), []
+    for _ in range(14):  # boilerplate with 20 words of their own: some pairs near 0.8
+        texts.append(" ".join([*common, *fresh(int(rng.integers(8, 60)))]))
+    drift = fresh(100)
+    for _ in range(12):
+        at = int(rng.integers(0, 96))
+        drift = [*drift[:at], *fresh(3), *drift[at + 3:]]
+        texts.append(" ".join(drift))
+    texts += ["", "   ", None, "one two", "one two", "one two three four five six"]
+    own = [t or "" for t in texts]
+    tops = slow_components(range(len(own)), lambda a, b: own[a] == own[b] or shared(own[a], own[b]) >= 0.8)
+    kept = near_dup.distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), cell=cell).collect()
+    assert {r["doc_id"] for r in kept} == set(tops.values())
+
+
+def test_columns_may_have_the_names_of_working_ones(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3, 4, 5, 6), (2, "a b c d e f g", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, node int, stays int, stay_key int, _node int, _least int, top int")
+    assert [tuple(r) for r in near_dup.distinct_texts(df).collect()] == [(1, "a b c d e f g", 1, 2, 3, 4, 5, 6)]
+
+
+def test_rarest_first_is_one_order(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 30)),) for k in range(40)], "text string")
+    ranks = near_dup.rarity(df, 5)
+    assert len(ranks) == near_dup.SLOTS and ranks.max() == int(8 * np.log2(1 + 26))
+    hashes = near_dup.shingle_hashes("rare words come first " + " ".join(f"w{i}" for i in range(20, 50)), 5)
+    first = near_dup.rare_first(hashes, ranks, 0.8)
+    rank = {int(h): int(ranks[near_dup._slots(np.array([h], np.uint64))[0]]) for h in hashes}
+    assert len(first) == near_dup.prefix_length(len(hashes), 0.8)
+    assert max(rank[int(h)] for h in first) <= min(rank[int(h)] for h in hashes if h not in set(first))
 
 
 def test_nothing_in_nothing_out(empty):
