@@ -9,14 +9,17 @@ without its first word, are its left and right parents.
 
 Counts of the shards are summed level by level.  An n-gram can only be frequent if both
 its parents are, so every shard extends just those of its intervals whose n-grams are
-frequent in the whole corpus; they come back to it as (interval, number).  N-grams of a
-level are the pair of their parents' numbers, so no words are shuffled over level one.
+frequent in the whole corpus.  What a shard has of a level goes to the buckets of a hash
+in packed arrays; a bucket sums its n-grams over all shards, numbers the frequent ones, and
+sends (interval, number) back to the shards that have them.  N-grams of a level are the
+pair of their parents' numbers, so no words are shuffled over level one.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,6 +27,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ PIECE, WORD = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
 #: Words a shard closes at.
 SHARD_WORDS = 1 << 21
 _ROWS = 1 << 16
+#: Bytes of text and words for which there is a bucket more.
+BUCKET_BYTES, BUCKET_ROWS = 1 << 24, 1 << 20
 #: Rows of two numbers that a join may broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -50,6 +56,7 @@ def suffix_order(ids: np.ndarray) -> np.ndarray:
     first = np.where(ends, np.cumsum(ends) - 1, ids.astype(np.int64) - 1 + int(ends.sum()))
     sizes = np.bincount(first)
     rank = (np.cumsum(sizes) - sizes)[first]
+    del ends
     left = np.flatnonzero(sizes[first] > 1)
     step = 1
     while len(left):
@@ -116,25 +123,38 @@ class Index:
         return first + self.occurrences(word, start), first + self.occurrences(word, stop)
 
 
-def _shards(folder: str, shard_words: int):
-    """Write the index of every shard; give back (shard, lang, word, start, size) of its words."""
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, byte by byte of equal weight, compressed."""
+    parts = [np.ascontiguousarray(c.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in flat]
+
+
+def _shards(folder: str, shard_words: int, buckets: int):
+    """Write the index of every shard; give back its words by bucket and language, packed with their intervals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, defaultdict[str, int]] = {}
         ids, following = array("i"), count(1)
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal ids, following
-            name = uuid.uuid4().hex
+            shard = uuid.uuid4().int >> 65
             index = Index(transform(np.frombuffer(ids, np.int32)))
-            files.write_whole(f"{folder}/{name}.bwt", index.bwt.tobytes())
+            files.write_whole(f"{folder}/{shard}.bwt", zstandard.ZstdCompressor(level=1).compress(index.bwt.tobytes()))
             start, size = index.words()
             for lang, own in numbers.items():
-                words, at = list(own), np.array(list(own.values())) - 1
-                for i in range(0, len(words), _ROWS):
-                    part = slice(i, i + _ROWS)
-                    here = at[part]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(here), pa.string()), pa.array([lang] * len(here), pa.string()), pa.array(words[part], pa.string()),
-                                                      pa.array(start[here]), pa.array(size[here])], names=["shard", "lang", "word", "start", "size"])
+                words = np.array(list(own), object)
+                at = np.array(list(own.values())) - 1
+                home = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in own]) % buckets
+                order = np.argsort(home, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                    text = zstandard.ZstdCompressor(level=1).compress("\n".join(words[part]).encode("utf-8", "surrogatepass"))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(home[part[0]])]), pa.array([shard]), pa.array([lang], pa.string()), pa.array([text], pa.binary()),
+                                                      pa.array([pack(start[at[part]], size[at[part]])], pa.binary())], names=["bucket", "shard", "lang", "words", "blob"])
             numbers.clear()
             ids, following = array("i"), count(1)
 
@@ -156,31 +176,85 @@ def _shards(folder: str, shard_words: int):
     return run
 
 
-def _extend(folder: str):
-    """(shard, start, size, left, right) of all one word longer, from frequent intervals sorted by shard."""
+#: What a bucket tells: totals of a language (0), frequent phrases (1), intervals of shards with such a phrase (2).
+TOLD = "kind int, shard bigint, start bigint, size bigint, number bigint, lang string, phrase string, left bigint, right bigint, count bigint"
+_TOLD = pa.schema([("kind", pa.int32()), *[(n, pa.int64()) for n in ("shard", "start", "size", "number")], ("lang", pa.string()), ("phrase", pa.string()),
+                   *[(n, pa.int64()) for n in ("left", "right", "count")]])
+
+
+def _told(kind: int, n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.array([kind] * n if f.name == "kind" else [None] * n, f.type) for f in _TOLD], schema=_TOLD)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The packed rows of each bucket, from rows sorted by bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = row["bucket"]
+            held.append(row)
+    if held:
+        yield bucket, held
+
+
+def _frequent_words(least: int):
+    """Totals, the frequent words of each bucket, and where the shards have them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            counts: dict[tuple[str, str], int] = defaultdict(int)
+            totals: dict[str, int] = defaultdict(int)
+            opened = []
+            for row in rows:
+                words = zstandard.ZstdDecompressor().decompress(row["words"]).decode("utf-8", "surrogatepass").split("\n")
+                start, size = unpack(row["blob"], 2)
+                opened.append((row["shard"], row["lang"], words, start, size))
+                totals[row["lang"]] += int(size.sum())
+                for w, n in zip(words, size.tolist()):
+                    counts[row["lang"], w] += n
+            yield _told(0, len(totals), lang=list(totals), count=list(totals.values()))
+            kept = sorted(k for k, n in counts.items() if n >= least)
+            number = {k: (bucket << 32) + i for i, k in enumerate(kept)}
+            yield _told(1, len(kept), number=list(number.values()), lang=[k[0] for k in kept], phrase=[k[1] for k in kept], count=[counts[k] for k in kept])
+            for shard, lang, words, start, size in opened:
+                found = np.array([number.get((lang, w), -1) for w in words], np.int64)
+                at = np.flatnonzero(found >= 0)
+                yield _told(2, len(at), shard=np.full(len(at), shard), start=start[at], size=size[at], number=found[at])
+
+    return run
+
+
+def _extend(folder: str, buckets: int):
+    """All one word longer than a shard's frequent intervals, by bucket and packed; rows come sorted by shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            index = Index(np.frombuffer(files.open_mapped(f"{folder}/{shard}.bwt"), np.int32))
+            data = zstandard.ZstdDecompressor().decompress(files.open_mapped(f"{folder}/{shard}.bwt"))
+            index = Index(np.frombuffer(data, np.int32))
             start, size, number = (np.concatenate(x) for x in zip(*held))
             left, right, start, size = index.extended(index.rows(start, size, number))
-            for i in range(0, len(start), _ROWS):
-                part = slice(i, i + _ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(start[part]), pa.string()), pa.array(start[part]), pa.array(size[part]), pa.array(left[part]), pa.array(right[part])],
-                                                 names=["shard", "start", "size", "left", "right"])
+            if not len(start):
+                return
+            mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            home = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([int(home[part[0]])]), pa.array([shard]),
+                                                  pa.array([pack(np.diff(start[part], prepend=0), size[part], left[part], right[part])], pa.binary())], names=["bucket", "shard", "blob"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            values = [batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
+            names, *values = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
             for a, b in zip(edges[:-1], edges[1:]):
-                if names[a] != shard:
+                if shard is None or int(names[a]) != shard:
                     if held:
                         yield from close()
-                    shard, held = names[a], []
+                    shard, held = int(names[a]), []
                 held.append(tuple(v[a:b] for v in values))
         if held:
             yield from close()
@@ -188,33 +262,61 @@ def _extend(folder: str):
     return run
 
 
-def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 100, longest: int = 5, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+def _frequent_grams(least: int):
+    """The frequent pairs of parents of each bucket, and where the shards have them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            parts = [unpack(row["blob"], 4) for row in rows]
+            shard = np.repeat(np.array([row["shard"] for row in rows]), [len(p[0]) for p in parts])
+            start, size, left, right = (np.concatenate(x) for x in zip(*[(np.cumsum(d), *rest) for d, *rest in parts]))
+            order = np.lexsort((right, left))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(size[order], first)
+            good = total >= least
+            rank = np.where(good, np.cumsum(good) - 1, -1)
+            found = np.empty(len(order), np.int64)
+            found[order] = np.repeat(rank, np.diff(np.append(first, len(order))))
+            one = order[first[good]]
+            yield _told(1, len(one), number=(bucket << 32) + np.arange(len(one)), left=left[one], right=right[one], count=total[good])
+            at = np.flatnonzero(found >= 0)
+            for i in range(0, len(at), _ROWS):
+                own = at[i:i + _ROWS]
+                yield _told(2, len(own), shard=shard[own], start=start[own], size=size[own], number=(bucket << 32) + found[own])
+
+    return run
+
+
+def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 100, longest: int = 5, shard_words: int = SHARD_WORDS,
+                     bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, list[DataFrame]]:
     """Word totals (lang, n), and for each length from one to ``longest`` words the phrases found ``min_count`` times.
 
     A phrase is (number, lang, phrase, left, right, count); ``left`` and ``right`` are the
     numbers of the phrases without its last and its first word, null for single words.
+    The number of buckets follows the bytes of text and the words.
     """
     spark = df.sparkSession
     folder = shared_path(spark, "shards")
     source = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    found = keep(source.mapInArrow(_shards(folder, shard_words), "shard string, lang string, word string, start bigint, size bigint"), "words")
-    totals = keep(found.groupBy("lang").agg(F.sum("size").alias("n")), "totals")
-    counted = found.groupBy("lang", "word").agg(F.sum("size").alias("count")).filter(F.col("count") >= min_count)
-    level = keep(counted.select(F.monotonically_increasing_id().alias("number"), "lang", F.col("word").alias("phrase"), F.lit(None).cast("long").alias("left"),
-                                F.lit(None).cast("long").alias("right"), "count"), "phrases-1")
-    levels, on, names = [level], ["lang", "word"], ["lang", "phrase"]
+    size = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    # shards have names of their own, so what is told of them is written before it is read by others
+    packed = keep(source.mapInArrow(_shards(folder, shard_words, 1 + size // bucket_bytes), "bucket bigint, shard bigint, lang string, words binary, blob binary"), "words")
+    told = keep(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_words(min_count), TOLD), "told-1")
+    totals = keep(told.filter("kind = 0").groupBy("lang").agg(F.sum("count").alias("n")), "totals")
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    level = told.filter("kind = 1").select("number", "lang", "phrase", "left", "right", "count")
+    levels = [level]
     for k in range(2, longest + 1):
-        known = level.select("number", *[F.col(c).alias(o) for c, o in zip(names, on)])
-        open_ = found.join(broadcast_if_small(known), on).select("shard", "start", "size", "number")
-        found = keep(open_.repartition("shard").sortWithinPartitions("shard").mapInArrow(_extend(folder), "shard string, start bigint, size bigint, left bigint, right bigint"), f"grams-{k}")
-        counted = found.groupBy("left", "right").agg(F.sum("size").alias("count")).filter(F.col("count") >= min_count)
-        counted = keep(counted.withColumn("number", F.monotonically_increasing_id()), "counted")
+        open_ = told.filter("kind = 2").select("shard", "start", "size", "number").repartition("shard").sortWithinPartitions("shard")
+        grams = open_.mapInArrow(_extend(folder, 1 + words // bucket_rows), "bucket bigint, shard bigint, blob binary")
+        told = keep(grams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_grams(min_count), TOLD), f"told-{k}")
         one = level.select(F.col("number").alias("left"), "lang", F.col("phrase").alias("head"))
         two = level.select(F.col("number").alias("right"), F.substring_index("phrase", " ", -1).alias("last"))
-        level = keep(counted.join(broadcast_if_small(one), "left").join(broadcast_if_small(two), "right")
+        rows = told.filter("kind = 1").select("number", "left", "right", "count")
+        level = keep(rows.join(broadcast_if_small(one), "left").join(broadcast_if_small(two), "right")
                      .select("number", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "left", "right", "count"), f"phrases-{k}")
         levels.append(level)
-        on = names = ["left", "right"]
     return totals, levels
 
 
