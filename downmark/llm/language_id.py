@@ -9,6 +9,8 @@ read whole.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of letters.
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(kinds: str) -> str:
+    """The characters of some general categories as the inside of a pattern's set."""
+    out, first = [], None
+    for point in range(sys.maxunicode + 2):
+        inside = point <= sys.maxunicode and unicodedata.category(chr(point))[0] in kinds
+        if inside and first is None:
+            first = point
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{point - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+#: A word is a letter and the letters and combining marks that follow it; numbers of any kind are none.
+WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+#: Below U+0300 there are no marks, and six numbers besides the digits: a text of these is read by a simpler pattern.
+_PLAIN, _BEYOND = re.compile(r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+"), re.compile("[\u0300-\u1fff\u2070-\u209f\u20d0-\U0010ffff]")
 #: First and last code point of the scripts that tell languages apart.
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)), "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "cyrillic": ((0x400, 0x52F),),
@@ -33,6 +52,12 @@ UNKNOWN = "und"
 CHUNK_CHARS, CACHE_WORDS = 2_000_000, 600_000
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in small letters."""
+    small = text.lower()
+    return (WORD if _BEYOND.search(small) else _PLAIN).findall(small)
+
+
 def script_of(word: str) -> str:
     """The script of the first letter that has one; ``other`` if none has."""
     for c in word:
@@ -73,13 +98,20 @@ class LanguageModel:
         out = np.maximum(total - total.max(axis=1, keepdims=True), -12.0)
         return np.where(allowed.any(axis=1, keepdims=True), out, 0.0).astype(np.float32)
 
+    def seen(self, words: list[str]) -> np.ndarray:
+        """The share of each word's trigrams that each language has been seen to use."""
+        sizes = np.array([len(w) for w in words])
+        at = np.fromiter((self.rows.get(g, -1) for w in words for g in trigrams(w)), dtype=np.int64, count=int(sizes.sum()))
+        used = np.concatenate([self.table > self.floor + 1e-3, np.zeros((1, len(self.languages)), bool)])[at]
+        return np.add.reduceat(used, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.float32) / sizes[:, None].astype(np.float32)
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram and script counts by language of one partition of the sample."""
     grams: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for word, n in Counter(WORD.findall(text.lower())).items():
+            for word, n in Counter(words_of(text)).items():
                 grams[lang, "s", script_of(word)] += n
                 for g in trigrams(word):
                     grams[lang, "g", g] += n
@@ -186,45 +218,55 @@ class _Words(dict):
         super().__init__()
         self.model, self.new = model, []
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
+        self.fits = np.zeros_like(self.scores)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         self.new.append(word)
         return at
 
-    def rows(self, words: list[list[str]]) -> np.ndarray:
-        """The scores of all words of several texts, one after another."""
+    def rows(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores and fits of all words of several texts, one after another."""
         if len(self) > CACHE_WORDS:
             self.clear()
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), dtype=np.int64)
         if self.new:
             new, self.new = self.new, []
             while len(self) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[len(self) - len(new):len(self)] = self.model.score(new)
-        return self.scores[at]
+                self.scores, self.fits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.fits))
+            own = slice(len(self) - len(new), len(self))
+            self.scores[own], self.fits[own] = self.model.score(new), self.model.seen(new)
+        return self.scores[at], self.fits[at]
 
 
 def label_texts(texts: list[str | None], model: LanguageModel, penalty: float, known: _Words) -> list[list[tuple[str, int, int]]]:
     """The spans (language, first word, words) of each text; none without letters."""
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    return fitted_texts(texts, model, penalty, known)[0]
+
+
+def fitted_texts(texts: list[str | None], model: LanguageModel, penalty: float, known: _Words) -> tuple[list[list[tuple[str, int, int]]], list[float]]:
+    """The spans of each text, and how well its words fit the languages they are given (0 to 1)."""
+    found = [words_of(t) if t else [] for t in texts]
     live = [i for i, w in enumerate(found) if w]
     spans: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    fits = [0.0] * len(texts)
     if not live or not model.languages:
-        return spans
-    scores = known.rows([found[i] for i in live])
+        return spans, fits
+    scores, seen = known.rows([found[i] for i in live])
     sizes = np.array([len(found[i]) for i in live])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     best, safe = one_language(scores, starts, penalty)
     mixed = [j for j in range(len(live)) if not safe[j]]
     paths = dict(zip(mixed, viterbi([scores[starts[j]:starts[j] + sizes[j]] for j in mixed], penalty)))
     for j, i in enumerate(live):
+        own = seen[starts[j]:starts[j] + sizes[j]]
+        fits[i] = float(own[np.arange(sizes[j]), paths[j]].mean() if j in paths else own[:, best[j]].mean())
         if j not in paths:
             spans[i] = [(model.languages[best[j]], 0, int(sizes[j]))]
             continue
         cuts = np.concatenate([[0], np.nonzero(np.diff(paths[j]))[0] + 1, [sizes[j]]])
         spans[i] = [(model.languages[paths[j][a]], int(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
-    return spans
+    return spans, fits
 
 
 def summary(spans: list[tuple[str, int, int]]) -> tuple[str, float]:
@@ -239,16 +281,19 @@ def summary(spans: list[tuple[str, int, int]]) -> tuple[str, float]:
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", penalty: float = 10.0) -> DataFrame:
-    """The columns of ``df`` with ``lang_pred``, ``lang_score`` and ``spans`` added.
+    """The columns of ``df`` with ``lang_pred``, ``lang_score``, ``lang_fit`` and ``spans`` added.
 
-    Spans are (language, first word, words), a word being a run of letters.  Null,
+    Spans are (language, first word, words), a word being letters with their marks.
+    ``lang_score`` is the share of words that the language has; ``lang_fit`` the share of
+    the words' trigrams that their languages were seen to use, so that a text of a script
+    or language that was never learned has a low one, whatever it is labelled.  Null,
     empty and letterless texts are ``und`` with score 0 and no spans, and so is every
     text if nothing was learned.  Rows are labelled each by itself, so repeated rows
     get equal results; an empty table gives an empty result.  Columns of these names
     are replaced, all others stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
-    rest = [c for c in df.columns if c not in ("lang_pred", "lang_score", "spans")]
+    rest = [c for c in df.columns if c not in ("lang_pred", "lang_score", "lang_fit", "spans")]
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,16 +303,16 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", penalty: f
             for i, t in enumerate(texts):
                 size += len(t or "")
                 if size >= CHUNK_CHARS or i == len(texts) - 1:
-                    spans = label_texts(texts[first:i + 1], shared.value, penalty, known)
+                    spans, fits = fitted_texts(texts[first:i + 1], shared.value, penalty, known)
                     said = [summary(s) for s in spans]
                     part = batch.slice(first, i + 1 - first)
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()),
+                        [*part.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array(fits, pa.float64()),
                          pa.array([[dict(zip(("lang", "start", "words"), x)) for x in s] for s in spans], kind)],
-                        names=[*rest, "lang_pred", "lang_score", "spans"])
+                        names=[*rest, "lang_pred", "lang_score", "lang_fit", "spans"])
                     first, size = i + 1, 0
 
     source = df.select(*rest)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
-    schema = ", ".join([*fields, "lang_pred string", "lang_score double", "spans array<struct<lang:string,start:int,words:int>>"])
+    schema = ", ".join([*fields, "lang_pred string", "lang_score double", "lang_fit double", "spans array<struct<lang:string,start:int,words:int>>"])
     return source.mapInArrow(run, schema)
