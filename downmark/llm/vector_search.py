@@ -31,11 +31,12 @@ SLACK = 1e-9
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v, norm2) of the rows whose vectors are whole and finite; v is floor(scale * x)."""
+    """(id, v, norm2) of the rows whose vectors are whole and finite; v is floor(scale * x), exact as doubles."""
     source = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     whole = source.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
-    ints = whole.select("id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
-    return ints.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e * e))
+    # from 2^53 on a double is a whole number already
+    ints = whole.select("id", F.transform("x", lambda e: F.when(F.abs(e * scale) < float(1 << 53), F.floor(e * scale).cast("double")).otherwise(e * scale)).alias("v"))
+    return ints.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +70,14 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     for width, own in cells.groupby("width"):
         matrix = np.zeros(width * width)
         matrix[own["cell"].to_numpy()] = own["x"].to_numpy()
-        _, axes = np.linalg.eigh(matrix.reshape(width, width))
+        # moments beyond doubles tell no axes apart
+        axes = np.linalg.eigh(matrix.reshape(width, width))[1] if np.isfinite(matrix).all() else np.eye(width)
         out[int(width)] = axes[:, ::-1].copy()
     return out
 
 
-def with_blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """``vectors`` with ``block``, 0 for the longest ones, and the number of blocks.
+def with_blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, int, list[tuple[int, float]]]:
+    """``vectors`` with ``block``, 0 for the longest ones, the number of blocks, and for each band its last block and largest norm.
 
     Norm bands come from approximate quantiles; a band of more than a block (many
     equal norms, or more rows than bands hold) is cut by a hash of the id.
@@ -84,7 +86,8 @@ def with_blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, int]:
     borders = sorted(set(cuts), reverse=True)
     band = F.array_position(F.transform(F.array(*[F.lit(b) for b in [*borders, -1]]), lambda b: F.col("norm2") > b), True) if borders else F.lit(1)
     banded = keep(vectors.withColumn("band", band.cast("int")), "bands")
-    sizes = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}  # at most BANDS rows
+    told = banded.groupBy("band").agg(F.count("*").alias("count"), F.max("norm2").alias("top")).collect()  # at most BANDS rows
+    sizes, tops = {r["band"]: r["count"] for r in told}, {r["band"]: float(r["top"]) ** 0.5 for r in told}
     first, cells, at, room = {}, {}, 0, 0
     for b in sorted(sizes):
         if sizes[b] > block:  # a block of its own, or several
@@ -99,7 +102,8 @@ def with_blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, int]:
     total = at + (room > 0)
     place = vectors.sparkSession.createDataFrame([(b, first[b], cells[b]) for b in sizes], "band int, first int, cells int")
     out = banded.join(F.broadcast(place), "band").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
-    return out.select("id", "v", "norm2", "block"), total
+    reach = [(first[b] + cells[b] - 1, tops[b]) for b in sorted(sizes)]
+    return out.select("id", "v", "norm2", "block"), total, reach
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -108,14 +112,15 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     else:
         at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+    return at[np.lexsort((ids[at], ~scores[at]))][:k]  # ~ turns the order round without leaving the range
 
 
 def _dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; in floats only where these are exact."""
+    """Integer inner products of whole numbers given as doubles; in floats only where these are exact, held to the range of long."""
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+        return (q @ x.T).astype(np.int64)
+    whole = lambda m: np.array([[int(e) for e in row] for row in m.tolist()], dtype=object).reshape(m.shape)
+    return np.clip(whole(q) @ whole(x).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def searcher(axes_of: dict[int, np.ndarray], k: int, head: int):
@@ -127,20 +132,24 @@ def searcher(axes_of: dict[int, np.ndarray], k: int, head: int):
         own = cands["v"].map(len) if len(cands) else pd.Series([], dtype=int)
         for width in sorted(set(widths) & set(own)):
             qs, cs = queries[widths == width], cands[own == width].sort_values(["norm2", "id"], ascending=[False, True])
-            q, x = (np.array(d["v"].tolist(), dtype=np.int64).reshape(len(d), width) for d in (qs, cs))
+            q, x = (np.array(d["v"].tolist(), dtype=np.float64).reshape(len(d), width) for d in (qs, cs))
             ids, floor = cs["id"].to_numpy(), qs["floor"].to_numpy(dtype=np.float64)
             qn, xn = np.sqrt(qs["norm2"].to_numpy(dtype=np.float64)), np.sqrt(cs["norm2"].to_numpy(dtype=np.float64))
             axes = axes_of[width]
             h = min(head, width)
             qr, xr = q @ axes[:, :h], x @ axes[:, :h]
-            q_rest, x_rest = (np.sqrt(np.maximum(0.0, n * n - (r * r).sum(axis=1))) for n, r in ((qn, qr), (xn, xr)))
-            slack = 1 + SLACK * qn * xn.max(initial=0)
+            # norms beyond doubles bound nothing
+            with np.errstate(all="ignore"):
+                q_rest, x_rest = (np.nan_to_num(np.sqrt(np.maximum(0.0, n * n - (r * r).sum(axis=1))), nan=np.inf, posinf=np.inf) for n, r in ((qn, qr), (xn, xr)))
+                slack = np.nan_to_num(1 + SLACK * qn * xn.max(initial=0), nan=np.inf, posinf=np.inf)
+                lengths = np.nan_to_num(np.outer(qn, xn), nan=np.inf, posinf=np.inf)
             for i, query in enumerate(qs["id"].to_numpy()):
-                reach = int(np.searchsorted(-xn * qn[i], -(floor[i] - slack[i]), side="right"))  # the longest come first
+                reach = int(np.searchsorted(-lengths[i], -(floor[i] - slack[i]), side="right"))  # the longest come first
                 if not reach:
                     continue
-                bound = xr[:reach] @ qr[i] + x_rest[:reach] * q_rest[i]
-                at = np.flatnonzero((bound >= floor[i] - slack[i]) & (ids[:reach] != query))
+                with np.errstate(all="ignore"):
+                    bound = xr[:reach] @ qr[i] + x_rest[:reach] * q_rest[i]
+                at = np.flatnonzero(~(bound < floor[i] - slack[i]) & (ids[:reach] != query))
                 if not len(at):
                     continue
                 score = _dots(q[i:i + 1], x[at])[0]
@@ -175,12 +184,15 @@ def top_k(df: DataFrame, is_query: F.Column | str, k: int = 5, key: str = "vec_i
     different widths do not meet.  Rows repeated under one id are candidates each, but
     never of a query of that id, whose repeats are one query (the first by vector).  A
     query without candidates has no rows; so has an empty table.  Other columns are
-    not read.
+    not read.  Finite components may be of any size; an inner product beyond the range of
+    long counts as the end of that range, ties there going to the smaller id as ever.
+
+    A query asks only the blocks whose longest vector can reach its k-th score so far.
 
     Each pair of blocks is one task's work, with both sides bounded in rows.  A
     candidate is dropped only by a bound that proves it lower than the k-th score.
     """
-    vectors, blocks = with_blocks(integer_vectors(df, key, vector, scale), block)
+    vectors, blocks, reach = with_blocks(integer_vectors(df, key, vector, scale), block)
     chosen = df.filter(is_query).select(F.col(key).alias("id")).distinct()
     vectors = keep(vectors, "vectors")
     if not blocks:
@@ -199,7 +211,11 @@ def top_k(df: DataFrame, is_query: F.Column | str, k: int = 5, key: str = "vec_i
         found = seeded
     else:
         asked = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float(np.finfo(np.float64).min))))
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))))
+        # bands come longest first: those in reach are the first ones
+        bands = F.array(*[F.struct(F.lit(last).alias("last"), F.lit(norm).alias("norm")) for last, norm in reach])
+        near = F.filter(bands, lambda b: ~(b["norm"] * F.sqrt("norm2") * (1 + 1e-6) + 1 < F.col("floor")))
+        asked = asked.withColumn("_last", F.array_max(F.transform(near, lambda b: b["last"]))).filter("_last >= 1")
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("_last")))).drop("_last")
         later = vectors.filter("block > 0").withColumn("part", every_part)
         found = seeded.union(_pairs(asked, later, searcher(axes, k, head)))
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
