@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import keep, shared_path
 from .files import open_mapped, write_whole
 
-MAGIC, VERSION = b"PFOR", 1
+MAGIC, VERSION = b"PFOR", 2
 #: Ids in a block, the share of a block's ids that its width must fit, and ids per file.
 BLOCK, FIT, FILE_IDS = 1024, 0.9, 4_000_000
 END_ID = 0
@@ -75,11 +75,11 @@ def decode_block(data: memoryview) -> np.ndarray:
     return rest + np.uint32(low)
 
 
-def encode_file(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """Header, document keys and lengths, block starts, blocks."""
+def encode_file(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, keyless: int = 0) -> bytes:
+    """Header, document keys and lengths, block starts, blocks; the first ``keyless`` documents have no key."""
     blocks = [encode_block(ids[i:i + BLOCK]) for i in range(0, len(ids), BLOCK)]
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
-    head = MAGIC + struct.pack("<HHQQ", VERSION, BLOCK, len(keys), len(ids))
+    head = MAGIC + struct.pack("<HHQQQ", VERSION, BLOCK, len(keys), len(ids), keyless)
     return b"".join([head, keys.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), starts.tobytes(), *blocks])
 
 
@@ -89,10 +89,10 @@ class TokenFile:
     def __init__(self, data: memoryview):
         if bytes(data[:4]) != MAGIC:
             raise ValueError("not a file of token blocks")
-        version, self.block, n_docs, self.n_ids = struct.unpack_from("<HHQQ", data, 4)
+        version, self.block, n_docs, self.n_ids, self.keyless = struct.unpack_from("<HHQQQ", data, 4)
         if version != VERSION:
             raise ValueError(f"unknown version {version}")
-        at = 24
+        at = 32
         self.keys = np.frombuffer(data, dtype="<i8", count=n_docs, offset=at)
         self.lengths = np.frombuffer(data, dtype="<u4", count=n_docs, offset=at + 8 * n_docs)
         self.first = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
@@ -179,7 +179,8 @@ class PieceEncoder:
             ids = self._ask("".join(asked))
             ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in asked])
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")
-            if cuts[-1] != len(ids) or int(self.n_bytes[ids].sum()) != int(ends[-1]):
+            at_cuts = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])[cuts]
+            if cuts[-1] != len(ids) or (at_cuts != ends).any():
                 continue  # not cut as expected: these pieces stay unsafe, and their texts go to the library whole
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -230,7 +231,7 @@ def _writer(folder: str, vocabulary: str, file_ids: int):
             nonlocal keys, parts, held, seq
             path = f"{folder}/{part:06d}-{seq:05d}-{attempt}.pfor"
             lengths = np.array([len(p) for p in parts], dtype=np.uint32)
-            write_whole(path, encode_file(np.array(keys, dtype=np.int64), lengths, np.concatenate(parts)))
+            write_whole(path, encode_file(np.array([k or 0 for k in keys], dtype=np.int64), lengths, np.concatenate(parts), keys.count(None)))
             row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(keys)], "n_ids": [held]},
                                              schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             keys, parts, held, seq = [], [], 0, seq + 1
@@ -264,14 +265,15 @@ def write_tokens(df: DataFrame, vocabulary: str, folder: str | None = None, key:
     writes others, under names of its own.  A document is never cut between files,
     so one file may be larger than ``file_ids``.
 
-    Null and empty texts are the end id alone.  Rows without a key have no place in
-    the order and are left out.  Repeated keys follow each other, ordered by text.
+    Null and empty texts are the end id alone.  Rows without a key come before all
+    others.  Repeated keys follow each other, in the order of a hash of
+    their texts, so that one key with many rows is many tasks.
     An empty table gives an empty manifest; other columns are not read.
     """
     spark = df.sparkSession
     folder = folder or shared_path(spark, "tokens")
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id", "text")
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    ordered = docs.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     files = keep(ordered.mapInArrow(_writer(folder, vocabulary, file_ids), "part int, seq int, path string, n_docs long, n_ids long"), "manifest")
     # one row per file of millions of ids: numbered in two steps all the same
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -291,7 +293,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = found.first[i:last + 1] - found.first[i]
                 own = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.keys[i:last]), pa.array(first + found.first[i:last]), pa.array([len(o) for o in own], pa.int64()),
+                    [pa.array(found.keys[i:last], mask=np.arange(i, last) < found.keyless), pa.array(first + found.first[i:last]), pa.array([len(o) for o in own], pa.int64()),
                      pa.array([zlib.crc32(o) for o in own], pa.int64()), pa.array([o.tobytes() for o in own], pa.binary())],
                     names=["id", "start", "n_tokens", "ids_crc32", "ids"])
 

@@ -93,16 +93,18 @@ def test_tokens_written_and_read(docs, rows, empty):
     assert manifest.count() > 5
     got = sorted(token_blocks.read_tokens(manifest).collect(), key=lambda r: r["start"])
     encoder = token_blocks.PieceEncoder(VOCABULARY).tokenizer
-    want, start = [], 0
-    for key, text in sorted(((r[0], r[1]) for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or "")):
-        ids = np.array([*encoder.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
-        want.append((key, start, len(ids), crc32(ids.tobytes())))
-        start += len(ids)
-    assert [(r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == want
+    want = []
+    for r in rows:
+        ids = np.array([*encoder.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want.append((r[0], len(ids), crc32(ids.tobytes())))
+    assert Counter((r["id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter(want)
+    keys = [(r["id"] is not None, r["id"] or 0) for r in got]  # rows without a key come first
+    assert keys == sorted(keys) and got[0]["id"] is None
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
     found = [token_blocks.TokenFile(token_blocks.open_mapped(m["path"])) for m in manifest.orderBy("first").collect()]
-    assert [int(k) for f in found for k in f.keys] == [w[0] for w in want]
+    assert [None if i < f.keyless else int(k) for f in found for i, k in enumerate(f.keys)] == [r["id"] for r in got]
     middle = found[1]
-    assert crc32(middle.document(1).astype("<u4").tobytes()) == want[len(found[0].keys) + 1][3]
+    assert crc32(middle.document(1).astype("<u4").tobytes()) == got[len(found[0].keys) + 1]["ids_crc32"]
     assert token_blocks.read_tokens(token_blocks.write_tokens(empty, VOCABULARY)).count() == 0
 
 
@@ -176,3 +178,38 @@ def test_top_k_as_by_brute_force(spark, block):
             want |= {(q, k + 1): (x, -s) for k, (s, x) in enumerate(scores[:5])}
     assert got == want
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+@pytest.fixture(scope="module")
+def two_languages(spark):
+    rows = [(i, "the house of the nation and the morning", "en") if i % 2 else (i, "la maison de la nation et le matin", "fr") for i in range(40)]
+    return language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_numbers_are_no_letters_and_marks_join_words(spark, two_languages):
+    texts = ["\u00bd", "\u00b2", "\u2460 \u2461", "\u2167", "12 34", "\u0301", "la maison", "\u0939\u093f\u0928\u094d\u0926\u0940"]
+    got = {r["text"]: r for r in language_id.identify(spark.createDataFrame([(t,) for t in texts], "text string"), two_languages).collect()}
+    assert [got[t]["lang_pred"] for t in texts[:6]] == ["und"] * 6 and got["la maison"]["lang_pred"] == "fr"
+    assert language_id.WORD.findall(texts[7]) == [texts[7]]
+
+
+def test_unlearned_scripts_and_languages_fit_badly(spark, two_languages):
+    texts = ["\u0416\u0438\u0437\u043d\u044c \u044d\u0442\u043e", "xyzzy qwrtp zzgkw", "the house of the morning", None]
+    got = {r["text"]: r for r in language_id.identify(spark.createDataFrame([(t,) for t in texts], "text string"), two_languages).collect()}
+    assert got[texts[0]]["lang_fit"] == 0 and got[texts[1]]["lang_fit"] < 0.3 and got[texts[2]]["lang_fit"] > 0.9 and got[None]["lang_fit"] == 0
+    assert got[texts[0]]["lang_pred"] in ("en", "fr")
+
+
+@pytest.mark.parametrize("scale", [3e7, 1e19, 1e37])
+def test_large_vectors_take_part(spark, scale):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-3, 4, (60, 8)).astype(float) * scale
+    vectors[::7] /= scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.top_k(df, F.col("vec_id") % 5 == 0, k=3, block=8, query_block=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [[int(np.floor(256 * x)) for x in v] for v in vectors]
+    for q in range(0, 60, 5):
+        dots = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], whole[c])))), c) for c in range(60) if c != q]
+        assert sorted(got[q]) == [(k, c, -s) for k, (s, c) in enumerate(sorted(dots)[:3], 1)]
