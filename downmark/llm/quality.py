@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text compressed at a time and of a dictionary.
 PIECE, DICTIONARY = 1024, 64 << 10
-#: Pieces, spread evenly over its whole text, that a document gives to its dictionary.
-PIECES_PER_DOCUMENT = 8
 
 
 def pieces(raw: bytes) -> list[bytes]:
@@ -42,12 +40,9 @@ class Compressors:
         return sum(good), sum(bad)
 
 
-def features(good: float, bad: float, raw: int) -> list[float]:
-    """The normalised difference, and how small the text became at all."""
-    if raw == 0:
-        return [0.0, 0.0, 0.0, 0.0]
-    ratio = math.log((min(good, bad) + 1) / raw)
-    return [10 * (bad - good) / (bad + good), ratio, ratio * ratio, 1.0 / math.sqrt(raw)]
+def difference(good: float, bad: float) -> float:
+    """How much smaller the good dictionary makes a text, for its size; 0 for an empty one."""
+    return 10 * (bad - good) / (bad + good) if bad + good else 0.0
 
 
 @dataclass
@@ -62,7 +57,7 @@ class QualityModel:
     def score(self, raw: bytes, compressors: Compressors | None) -> float:
         if not raw or compressors is None:
             return self.prior
-        x = np.array([*features(*compressors.sizes(raw), len(raw)), 1.0])
+        x = np.array([difference(*compressors.sizes(raw)), 1.0])
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ self.weights))))))
 
 
@@ -87,15 +82,14 @@ def _dictionary(cut: list[bytes]) -> bytes:
         return b"".join(cut)[-DICTIONARY:]
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to ``PIECES_PER_DOCUMENT`` pieces from all over each text."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pieces of each text."""
     for batch in batches:
         kinds, found = [], []
         for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            cut = pieces(t)
-            step = max(1, -(-len(cut) // PIECES_PER_DOCUMENT))
-            found += cut[::step]
-            kinds += [y] * len(cut[::step])
+            own = pieces(t)
+            found += own
+            kinds += [y] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.binary())], names=["y", "piece"])
 
 
@@ -104,8 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
 
     The draw reads ``labels`` (key and label) alone; its few rows are then looked up in
     ``docs``.  A third of them calibrate, the others make the dictionaries.  The driver
-    takes at most ``PIECES_PER_DOCUMENT`` pieces of the latter and the features of the
-    former.  Rows without key, text or label teach nothing; with one kind only, the
+    takes the whole texts of the latter and the differences of the former.  Rows without key, text or label teach nothing; with one kind only, the
     score is its share of the labels.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isin(0, 1))
@@ -119,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).filter(F.octet_length("t") > 0)
     sample = texts.join(F.broadcast(drawn), "k")  # about twice docs_per_label rows, whatever the input
     calibrates = F.pmod(F.shiftright("draw", 20), F.lit(3)) == 0
-    cut = sorted((r["y"], bytes(r["piece"])) for r in sample.filter(~calibrates).select("y", "t").mapInArrow(_spread, "y int, piece binary").collect())
+    cut = sorted((r["y"], bytes(r["piece"])) for r in sample.filter(~calibrates).select("y", "t").mapInArrow(_cut, "y int, piece binary").collect())
     if len({y for y, _ in cut}) < 2:
         return nothing
     good, bad = (_dictionary([p for v, p in cut if v == y]) for y in (1, 0))
@@ -127,14 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(good, bad)
         for batch in batches:
-            found = [features(*compressors.sizes(t), len(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["y", "x"])
+            found = [difference(*compressors.sizes(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["y", "x"])
 
-    held = sorted((r["y"], r["x"]) for r in sample.filter(calibrates).select("y", "t").mapInArrow(measure, "y int, x array<double>").collect())
+    held = sorted((r["y"], r["x"]) for r in sample.filter(calibrates).select("y", "t").mapInArrow(measure, "y int, x double").collect())
     y = np.array([v for v, _ in held], dtype=float)
     if len(set(y)) < 2:
         return nothing
-    weights = _calibrate(np.array([x for _, x in held]), y)
+    weights = _calibrate(np.array([[x] for _, x in held]), y)
     # the sample has as many of either kind as it could; the intercept goes back to their true shares
     weights[-1] += math.log(sizes[1] / sizes[0]) - math.log(y.sum() / (len(y) - y.sum()))
     return QualityModel(good, bad, weights, prior)
