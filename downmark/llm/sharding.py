@@ -15,9 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from .common import shared_path
+
 SLOTS = 4096
 #: Bytes counted for a record besides its text.
 RECORD_BYTES = 8
+#: Rows a repeated row is spelled out in at a time.
+_STRETCH = 1024
 
 
 @dataclass(frozen=True)
@@ -82,6 +86,53 @@ def grow(old: SlotMap, weights: dict[int, int]) -> SlotMap:
     return SlotMap(old.version + 1, old.n_shards + 1, tuple(shard_of))
 
 
+def rebalanced(old: SlotMap, weights: dict[int, int], tolerance: float = 0.02) -> SlotMap:
+    """The map edited for changed weights; itself if no shard is off by ``tolerance`` of a share.
+
+    Slots go from the heaviest shard to the lightest, that which brings both closest
+    first, until they are within the tolerance or no move helps."""
+    loads = [0] * old.n_shards
+    slots_of: list[list[int]] = [[] for _ in range(old.n_shards)]
+    for slot, shard in enumerate(old.shard_of):
+        loads[shard] += weights.get(slot, 0)
+        slots_of[shard].append(slot)
+    room, shard_of, settled = sum(loads) / old.n_shards * tolerance, list(old.shard_of), set()
+    while len(settled) < old.n_shards:
+        top, low = max(set(range(old.n_shards)) - settled, key=lambda s: (loads[s], -s)), min(range(old.n_shards), key=lambda s: (loads[s], s))
+        apart = loads[top] - loads[low]
+        if apart <= room:
+            break
+        fits = [i for i in slots_of[top] if 0 < weights.get(i, 0) < apart]
+        if not fits:  # one slot too large to share
+            settled.add(top)
+            continue
+        slot = min(fits, key=lambda i: (abs(2 * weights.get(i, 0) - apart), i))
+        for shard, sign in ((top, -1), (low, 1)):
+            loads[shard] += sign * weights.get(slot, 0)
+        slots_of[top].remove(slot)
+        slots_of[low].append(slot)
+        shard_of[slot] = low
+    return old if shard_of == list(old.shard_of) else SlotMap(old.version + 1, old.n_shards, tuple(shard_of))
+
+
+def stored_map(spark: SparkSession, history: str, weights: dict[int, int], n_shards: int, slots: int = SLOTS) -> SlotMap:
+    """The latest map at ``history``, edited there if the weights ask for it; a first one if there is none.
+
+    What is used is always what was read back."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(history)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        new_map(weights, n_shards, slots).write(spark, history)
+        return SlotMap.read(spark, history)
+    found = SlotMap.read(spark, history)
+    if found.n_shards != n_shards or len(found.shard_of) != slots:
+        raise ValueError(f"the map at {history} has {found.n_shards} shards and {len(found.shard_of)} slots")
+    edited = rebalanced(found, weights)
+    if edited is not found:
+        edited.write(spark, history)
+        found = SlotMap.read(spark, history)
+    return found
+
+
 def record_size(text: Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus the fixed part."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD_BYTES
@@ -104,7 +155,7 @@ def slot_bytes(slotted: DataFrame) -> DataFrame:
 
 
 def shard_records(df: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text",
-                  slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+                  slots: int = SLOTS, slot_map: SlotMap | None = None, history: str | None = None) -> DataFrame:
     """The shard of every record and its place there (``slot``, gapless from 0).
 
     Shards come out near equal in bytes (law ``bytes``).  Columns: key, ``size``,
@@ -113,20 +164,29 @@ def shard_records(df: DataFrame, n_shards: int = 24, key: str = "doc_id", text:
     key like any other, equal rows all stay and get places of their own, an empty
     table gives an empty result.  Columns besides key and text are not read.
 
-    Places are numbered per virtual slot; what comes before a slot in its shard is
+    The map is the latest one stored at ``history`` (a new folder by default), edited
+    there if the bytes have outgrown it, unless ``slot_map`` gives one.  Rows that agree in
+    key, checksum and size are counted before they are numbered, so a row repeated over a
+    third of the table is one row of its slot.  Places are numbered per virtual slot; what comes before a slot in its shard is
     known from the slot totals, so no task sees a whole shard.
     """
     spark = df.sparkSession
     slotted = with_slot(df, key, text, slots)
     totals = {r["vslot"]: (r["bytes"], r["rows"]) for r in slot_bytes(slotted).collect()}  # at most `slots` rows
-    found = slot_map or new_map({s: b for s, (b, _) in totals.items()}, n_shards, slots)
+    weights = {s: b for s, (b, _) in totals.items()}
+    found = slot_map or stored_map(spark, history or shared_path(spark, "slot-map"), weights, n_shards, slots)
     before, filled = [], [0] * found.n_shards
     for slot, shard in enumerate(found.shard_of):
         before.append((slot, shard, filled[shard]))
         filled[shard] += totals.get(slot, (0, 0))[1]
     places = spark.createDataFrame(before, "vslot int, shard int, _before long")
-    within = W.partitionBy("vslot").orderBy(key, "text_crc32", "size")
-    numbered = slotted.withColumn("_local", F.row_number().over(within) - 1)
+    within = W.partitionBy("vslot").orderBy(key, "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    counted = slotted.groupBy(key, "text_crc32", "size", "vslot").agg(F.count("*").alias("_n"))
+    placed = counted.withColumn("_first", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    # repeated rows again, by stretches of a bounded length
+    stretch = placed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / _STRETCH))))
+    each = F.explode(F.sequence(F.col("_s") * _STRETCH, F.least(F.col("_n"), (F.col("_s") + 1) * _STRETCH) - 1))
+    numbered = stretch.withColumn("_i", each).withColumn("_local", F.col("_first") + F.col("_i"))
     joined = numbered.join(F.broadcast(places), "vslot")  # one row per slot, a fixed number
     return joined.select(
         key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

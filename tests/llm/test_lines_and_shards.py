@@ -62,6 +62,31 @@ def test_growing_only_fills_the_new_shard(spark, tmp_path):
     assert sharding.SlotMap.read(spark, path) == new and sharding.SlotMap.read(spark, path, 1) == old
 
 
+def test_the_stored_map_decides_and_is_edited_when_bytes_change(docs, spark, tmp_path):
+    history = str(tmp_path / "history")
+    first = sharding.shard_records(docs, 4, slots=64, history=history).collect()
+    stored = sharding.SlotMap.read(spark, history)
+    assert stored.version == 1 and all(stored.shard_of[r["vslot"]] == r["shard"] and r["map_version"] == 1 for r in first)
+    again = sharding.shard_records(docs, 4, slots=64, history=history).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, first), key=str)
+    uneven = sharding.SlotMap(7, 4, tuple(0 for _ in range(64)))
+    uneven.write(spark, history)
+    edited = sharding.shard_records(docs, 4, slots=64, history=history).collect()
+    assert {r["map_version"] for r in edited} == {8} and len({r["shard"] for r in edited}) == 4
+    assert sharding.SlotMap.read(spark, history, 7) == uneven
+    even = sharding.rebalanced(sharding.SlotMap(1, 2, (0, 0, 0, 0, 1)), {0: 5, 1: 5, 2: 5, 3: 5, 4: 2})
+    assert even.version == 2 and sorted((sum(w for w, s in zip((5, 5, 5, 5, 2), even.shard_of) if s == k)) for k in (0, 1)) == [10, 12]
+
+
+def test_a_row_repeated_very_often(spark):
+    df = spark.createDataFrame([(7, "same")] * 5000 + [(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    got = sharding.shard_records(df, 3).collect()
+    for shard in range(3):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == list(range(len(own)))
+    assert len(got) == 5100
+
+
 def test_shards_of_nothing(empty):
     assert sharding.shard_records(empty).count() == 0
 
