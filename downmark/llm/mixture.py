@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..scale import with_running
-from .common import keep, words
+from .common import fresh, keep, words
 
 
 def token_count(text: Column) -> Column:
@@ -137,11 +137,12 @@ def take(df: DataFrame, levels: Sequence[str], key: str = "doc_id", text: str =
     Rows are matched by key, levels and checksum of the text; repeated rows are taken
     together.
     """
-    chosen = mix(df, levels, key=key, text=text, checksum="_take_sum", **options).filter("copies > 0")
-    places = [f"_take_{i}" for i in range(len(levels))]
-    chosen = keep(chosen.select(F.col(key).alias("_take_key"), "_take_sum", *[F.col(c).alias(p) for c, p in zip(levels, places)], "copies").distinct(), "chosen")
-    same = F.col(key).eqNullSafe(F.col("_take_key")) & (F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_take_sum"))
+    sums, keys, copies, each = (fresh(df, n) for n in ("taken_sum", "taken_key", "taken_copies", "taken_copy"))
+    places = [fresh(df, f"taken_{i}") for i in range(len(levels))]
+    chosen = mix(df.select(key, text, *[c for c in levels if c not in (key, text)]), levels, key=key, text=text, checksum=sums, **options).filter("copies > 0")
+    chosen = keep(chosen.select(F.col(key).alias(keys), sums, *[F.col(c).alias(p) for c, p in zip(levels, places)], F.col("copies").alias(copies)).distinct(), "chosen")
+    same = F.col(key).eqNullSafe(F.col(keys)) & (F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col(sums))
     for c, p in zip(levels, places):
         same = same & F.col(c).eqNullSafe(F.col(p))
-    out = df.join(chosen, same).withColumn("_take_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = df.join(chosen, same).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*df.columns)

@@ -105,11 +105,11 @@ WEIGHTS = {
 FRACTION, EPOCHS = 0.8, 4
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     """The domain of a source, by its number: a third of them each, ``web`` if it has none."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
     part = F.when(number == "", F.lit(0)).otherwise(number.cast("int") % 3)
-    return docs.withColumn("domain", F.when(part == 1, "books").when(part == 2, "code").otherwise("web"))
+    return docs.withColumn(name, F.when(part == 1, "books").when(part == 2, "code").otherwise("web"))
 
 
 def _mixture_sql() -> str:
