@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.reports import ACTION, drive_ending, has, PENALTY, q
 from ..scale import with_island, with_last_known, with_position, with_previous, with_running
 
 
+#: Whether a snap is told before the first ruling of a report.
+ACTED = has(f"split(primary, {q('(?i)' + PENALTY)})[0]", ACTION)
+
+
 def last_revisions(reports: DataFrame, keys=("game_id", "play_id"), position="position") -> DataFrame:
     """Latest revision of each report, at the place of its first one; map-side combined."""
     rest = [c for c in reports.columns if c not in keys and c != position]
@@ -44,15 +49,65 @@ def leaders(usage: DataFrame, by=("game_id", "offense"), least: int = 3, share:
     return tied.filter(f"at_top = 1 and uses >= {least} and uses >= {share} * total").drop("at_top")
 
 
+def drive_rows(reports: DataFrame, block="block", order=("position",)) -> DataFrame:
+    """The reports of each drive with its team and what each of them counts for.
+
+    ``reports`` are described, with movement.  The drive's team is that of its first report
+    that is neither a marker, kickoff, conversion nor kick.  A kick before that (the one
+    that gave the ball) and a lone refused ruling do not count; the team's own kick ends
+    the drive without counting.  ``prev_end`` is where the last verified movement before
+    the report ended, carried from block to block, so a drive may cross any number of them.
+    """
+    place = F.struct(*order)
+    lead = F.expr("not marker and not kickoff and not conversion")
+    own_lead = lead & F.expr("outcome <> 'kick'")
+    teams = reports.groupBy("drive_id").agg(F.coalesce(F.min_by(F.struct("start_team"), F.when(own_lead, place)), F.max_by(F.struct("start_team"), F.when(lead, place))).alias("_team"))
+    rows = reports.join(teams, "drive_id").withColumn("team", F.col("_team.start_team")).drop("_team")
+    rows = rows.withColumn("own", F.expr("coalesce(start_team = team, false)"))
+    rows = rows.withColumn("_live", F.expr("not marker and not kickoff and not conversion and not (startswith(upper(trim(primary)), 'PENALTY') and penalties > 0 and not accepted and not f_penalty)"))
+    rows = rows.withColumn("own_kick", F.expr("_live and outcome = 'kick' and own and not f_penalty"))
+    rows = rows.withColumn("_sure", F.expr("_live and not own_kick and (own or outcome <> 'kick')"))
+    begin = rows.groupBy("drive_id").agg(F.min(F.when(F.col("_sure"), place)).alias("_begin"))
+    rows = rows.join(begin, "drive_id").withColumn("_place", place)
+    rows = rows.withColumn("counted", F.expr("_sure or (_live and not own_kick and coalesce(_place > _begin, false))"))
+    rows = rows.withColumn("opens", F.expr("coalesce(_place = _begin, false)")).drop("_live", "_sure", "_place", "_begin")
+    rows = rows.withColumn("moved", F.expr("counted and own and movement is not null"))
+    end = F.expr("if(moved, start_yards_to_goal - movement.net, null)")
+    return with_last_known(rows, ["drive_id"], block, list(order), "prev_end", end, include_current=False)
+
+
 def drive_summary(reports: DataFrame, block="block", order=("position",)) -> DataFrame:
-    """Plays, verified yards, sacks and continuity per drive: each start must meet the previous end."""
-    seen = with_previous(reports, ["drive_id"], block, list(order), {"prev_end": F.coalesce("end_yards_to_goal", F.lit(-1))})
-    ok = "prev_end is null or prev_end = start_yards_to_goal"
-    return seen.groupBy("drive_id").agg(
-        F.expr("count_if(action <> 'none') as plays"), F.expr("sum(gained) as verified_yards"), F.expr("count_if(action = 'sack') as sacks"),
-        F.expr(f"bool_and(coalesce({ok}, false)) as continuous"),
-        F.max_by(F.expr("case when turnover then 'turnover' when kind = 'score' then 'score' when contains(type, 'punt') then 'punt' when contains(type, 'field goal') then 'field_goal' else 'open' end"),
-                 F.struct(*order)).alias("ending"))
+    """Plays, yards by plays and by penalties, actions and the end of every drive.
+
+    Yards are null unless the drive is verified: it begins on first down, every counted
+    report has a movement of the drive's team, and each begins where the one before ended.
+    One unknown yardage makes the totals unknown, never a partial sum.
+    """
+    rows = drive_rows(reports, block, order)
+    snap = f"(action in ('run', 'pass', 'sack') or clock_play or (movement is not null and f_penalty and not wiped and {ACTED}))"
+    breaks = "prev_end is not null and ((moved and prev_end <> start_yards_to_goal) or (own_kick and not coalesce(prev_end = start_yards_to_goal, false)))"
+    done = rows.withColumn("_end", F.expr(f"if(marker or own_kick or counted, nullif({drive_ending()}, ''), null)"))
+    own = lambda kind: F.expr(f"count_if(counted and own and action in ({kind}))")
+    out = done.groupBy("drive_id").agg(
+        F.first("team").alias("team"), F.expr("count_if(counted)").alias("reports"), F.expr(f"count_if(counted and {snap})").alias("plays"),
+        own("'run'").alias("runs"), own("'pass'").alias("passes"), own("'sack'").alias("sacks"), own("'pass', 'sack'").alias("dropbacks"),
+        F.expr("count_if(moved)").alias("movements"), F.expr("count_if(counted and not moved)").alias("unverified"),
+        F.expr(f"bool_or({breaks})").alias("broken"), F.expr("coalesce(bool_or(opens and start_down = 1), false)").alias("first_down"),
+        F.expr("sum(if(moved, movement.play, 0))").alias("_play"), F.expr("sum(if(moved, movement.penalty, 0))").alias("_penalty"),
+        F.max_by("_end", F.when(F.col("_end").isNotNull(), F.struct(*order))).alias("ending"))
+    out = out.filter("team is not null").withColumn("verified", F.expr("movements > 0 and unverified = 0 and not broken and first_down"))
+    return out.selectExpr("drive_id", "team", "reports", "plays", "runs", "passes", "sacks", "dropbacks", "movements", "unverified", "not broken as continuous", "first_down", "verified",
+                          "if(verified, _play + _penalty, null) as net_yards", "if(verified, _play, null) as play_yards", "if(verified, _penalty, null) as penalty_yards",
+                          "ending is not null as complete", "ending")
+
+
+def drive_progress(reports: DataFrame, block="block", order=("position",)) -> DataFrame:
+    """The field segments of every drive: (drive_id, play_id, kind, from_yard, to_yard), a play's before its penalty's."""
+    moved = drive_rows(reports, block, order).filter("moved")
+    parts = ("filter(array(struct('play' as kind, 100 - start_yards_to_goal as from_yard, 100 - start_yards_to_goal + movement.play as to_yard), "
+             "struct('penalty' as kind, 100 - start_yards_to_goal + movement.play as from_yard, 100 - start_yards_to_goal + movement.net as to_yard)), "
+             "x -> if(x.kind = 'play', movement.play <> 0 or movement.penalty = 0, movement.penalty <> 0))")
+    return moved.selectExpr("drive_id", "play_id", *order, f"inline({parts})")
 
 
 def repeated_clocks(rows: DataFrame, block="block", order=("position",), least: int = 3) -> DataFrame:
@@ -109,10 +164,29 @@ def observations(insights: DataFrame, leads: DataFrame, by=("game_id", "offense"
     return own.unionByName(lead).groupBy(*by).agg(F.expr("max_by(id, struct(priority, id)) as observation"), F.count("*").alias("candidates"))
 
 
-def review_moments(rows: DataFrame) -> DataFrame:
-    """Per game: longest gain by pass, longest by run, first short third or fourth down; no play twice."""
-    kinds = ["case when action = 'pass' and gained > 0 then struct('pass' as slot, -gained as rank) end",
-             "case when action = 'run' and gained > 0 then struct('run' as slot, -gained as rank) end",
-             "case when start_down >= 3 and gained < need then struct('short' as slot, position as rank) end"]
-    long = rows.selectExpr("game_id", "play_id", f"inline(array_compact(array({', '.join(kinds)})))")
-    return long.groupBy("game_id", "slot").agg(F.expr("min_by(play_id, struct(rank, play_id)) as play_id"))
+#: What a moment is picked for, its condition and its order; earlier reports win ties.
+MOMENTS = (("after", "gained > 0 and after > air", "-after"), ("air", "gained > 0 and air > after", "-air"), ("short", "gained >= 0 and gained < need and start_down >= 3", "0"))
+
+
+def review_moments(rows: DataFrame, size: int = 3, parts: int = 32) -> DataFrame:
+    """Per game ``size`` plays to look at again, none of them twice.
+
+    ``rows`` are described reports with the yards of a catch in the air and after it where
+    they are known.  Slot after slot picks the first play in its order that no slot before
+    it took; what is missing is filled by the largest gains of the plays left.
+    """
+    counted = rows.filter("need is not null").select("game_id", "play_id", "position", "gained", "need", "start_down", "air", "after")
+    taken = None
+    for slot, cond, rank in MOMENTS[:size]:
+        open_ = counted.filter(cond)
+        if taken is not None:
+            open_ = open_.join(taken.select("game_id", "play_id"), ["game_id", "play_id"], "left_anti")
+        best = open_.groupBy("game_id").agg(F.expr(f"min_by(play_id, struct({rank} as rank, position)) as play_id")).select("game_id", F.lit(slot).alias("slot"), "play_id")
+        taken = best if taken is None else taken.unionByName(best)
+    left = counted.join(taken.select("game_id", "play_id"), ["game_id", "play_id"], "left_anti").withColumn("_part", F.pmod(F.xxhash64("play_id"), F.lit(parts)))
+    order = [F.coalesce("gained", F.lit(0)).desc(), F.col("position")]
+    left = left.withColumn("_k", F.row_number().over(W.partitionBy("game_id", "_part").orderBy(*order))).filter(F.col("_k") <= size)
+    left = left.withColumn("k", F.row_number().over(W.partitionBy("game_id").orderBy(*order))).filter(F.col("k") <= size)
+    have = taken.groupBy("game_id").agg(F.count("*").alias("n"))
+    fill = left.join(have, "game_id", "left").filter(F.expr(f"k <= {size} - coalesce(n, 0)")).selectExpr("game_id", "concat('fill', string(k)) as slot", "play_id")
+    return taken.unionByName(fill)

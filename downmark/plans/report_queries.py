@@ -84,9 +84,10 @@ def facts(spark, sf):
     return df.selectExpr("play_id", f"array_join({R.reported_facts()}, ';') as facts")
 
 
-@query("rpt08_players", on_plays(REP, """SELECT play_id, CASE WHEN v IN (3, 5) THEN '#1 Q.Back' WHEN category = 'pass' THEN '#1 Q.Back' WHEN category = 'rush' AND NOT contains(text, 'takes a knee') THEN '#' || (20 + sk % 5) || ' R.Back' || substr('abcde', CAST(1 + sk % 5 AS INT), 1) END AS actor FROM r"""))
+@query("rpt08_players", on_plays(REP, """SELECT play_id, CASE WHEN v IN (3, 5) THEN '#1 Q.Back' WHEN category = 'pass' THEN '#1 Q.Back' WHEN category = 'rush' AND NOT contains(text, 'takes a knee') THEN '#' || (20 + sk % 5) || ' R.Back' || substr('abcde', CAST(1 + sk % 5 AS INT), 1) END AS actor,
+ CASE WHEN category = 'pass' AND v NOT IN (3, 5) THEN '#' || (80 + sk % 7) || ' W.Out' || substr('abcdefg', CAST(1 + sk % 7 AS INT), 1) END AS receiver FROM r"""))
 def players(spark, sf):
-    return R.with_players(R.computed(rows(spark, sf), {"primary": R.primary_text()})).select("play_id", "actor")
+    return R.with_players(R.computed(rows(spark, sf), {"primary": R.primary_text()})).select("play_id", "actor", "receiver")
 
 
 @query("rpt09_yards_to_goal", on_plays(REP, "SELECT play_id, CASE WHEN true_end BETWEEN 1 AND 99 THEN CAST(true_end AS INT) END AS ytg FROM r"))
@@ -97,11 +98,10 @@ def yards_to_goal(spark, sf):
 END_D = "CASE WHEN yards_gained >= distance THEN 10 ELSE distance - yards_gained END"
 
 
-@query("rpt10_fix_situation", on_plays(REP, f"""SELECT play_id, CASE WHEN true_end = 0 THEN NULL WHEN pk % 25 = 0 AND offense <> defense THEN 1 WHEN yards_gained >= distance THEN 1 ELSE down + 1 END AS next_down,
- CASE WHEN true_end = 0 THEN NULL WHEN pk % 25 = 0 AND offense <> defense THEN least(10, true_end) ELSE least({END_D}, true_end) END AS next_distance FROM r WHERE true_end <= 99"""))
+@query("rpt10_fix_situation", on_plays(REP, f"""SELECT play_id, CASE WHEN true_end NOT BETWEEN 1 AND 99 THEN NULL WHEN pk % 25 = 0 AND offense <> defense THEN 1 WHEN yards_gained >= distance THEN 1 ELSE down + 1 END AS next_down,
+ CASE WHEN true_end NOT BETWEEN 1 AND 99 THEN NULL WHEN pk % 25 = 0 AND offense <> defense THEN least(10, true_end) ELSE least({END_D}, true_end) END AS next_distance FROM r"""))
 def fix_situation(spark, sf):
-    df = R.with_spots(rows(spark, sf)).filter("start_ytg - yards_gained <= 99")
-    return df.selectExpr("play_id", *[f"{v} as {k}" for k, v in R.fix_situation().items()])
+    return R.with_spots(rows(spark, sf)).selectExpr("play_id", *[f"{v} as {k}" for k, v in R.fix_situation().items()])
 
 
 NEXT = "CASE WHEN yards_gained >= distance THEN 1 ELSE down + 1 END"
@@ -167,7 +167,16 @@ def fourth_down(spark, sf):
     return R.describe(rows(spark, sf)).filter("fourth_down_failure").select("play_id")
 
 
-@query("rpt18_movement")
+CHANGED = "(pk % 25 = 0 AND offense <> defense)"
+ENDING = f"""CASE WHEN NOT {SKIP} AND (v = 5 OR (v = 4 AND {CHANGED})) THEN 'turnover' WHEN NOT {SKIP} AND down = 4 AND category <> 'special' AND v NOT IN (0, 4, 5) AND {CHANGED} THEN 'downs'
+ WHEN NOT {SKIP} AND v = 0 THEN 'touchdown' WHEN type = 'punt' AND v <> 2 AND {CHANGED} THEN 'punt' ELSE '' END"""
+#: Net yards of a report and what the play and a ruling did, by the planted class of the text.
+MOVED = f"""nt AS (SELECT *, CASE WHEN NOT {CHANGED} AND true_end BETWEEN 1 AND 99 THEN yards_to_goal - true_end WHEN NOT {CHANGED} AND true_end = 0 AND pk % 47 <> 0 AND v = 0 AND NOT {SKIP} THEN yards_to_goal END AS net FROM s),
+mo AS (SELECT *, CASE WHEN category = 'penalty' AND v NOT IN (2, 3, 5) AND abs(net) = 10 THEN 'ruling' WHEN NOT {SKIP} AND category <> 'special' AND v NOT IN (4, 5) AND NOT conflict AND val = net THEN 'play' END AS how FROM nt)"""
+
+
+@query("rpt18_movement", on_plays(REP, SETTLE, MOVED, """SELECT play_id, CASE WHEN how IS NOT NULL THEN net END AS net, CASE how WHEN 'play' THEN net WHEN 'ruling' THEN 0 END AS play_part,
+ CASE how WHEN 'play' THEN 0 WHEN 'ruling' THEN net END AS penalty_part FROM mo"""))
 def movement(spark, sf):
     """All plays; net, play and penalty yards are null where nothing can be claimed."""
     return R.with_movement(R.describe(rows(spark, sf))).selectExpr("play_id", "movement.net as net", "movement.play as play_part", "movement.penalty as penalty_part")
@@ -195,9 +204,13 @@ def verified(spark, sf):
     return df.join(side, df.play_id == side.pid).selectExpr("play_id", f"if({ok}, air, null) as air")
 
 
-@query("rpt22_action", on_plays(REP, f"SELECT play_id, CASE WHEN {SKIP} THEN 'none' WHEN v = 3 THEN 'sack' WHEN category = 'special' THEN 'none' WHEN v = 5 OR category = 'pass' THEN 'pass' ELSE 'run' END AS action FROM r WHERE NOT (v = 3 AND category = 'special')"))
+#: A sack is told by the words, so one in a punt's row is a sack too.
+ACTION_RPT22 = f"CASE WHEN {SKIP} THEN 'none' WHEN v = 3 THEN 'sack' WHEN category = 'special' THEN 'none' WHEN v = 5 OR category = 'pass' THEN 'pass' ELSE 'run' END"
+
+
+@query("rpt22_action", on_plays(REP, f"SELECT play_id, {ACTION_RPT22} AS action FROM r"))
 def action(spark, sf):
-    return R.describe(rows(spark, sf)).filter("not (pk % 40 = 3 and category = 'special')").selectExpr("play_id", f"{R.action_code()} as action")
+    return R.describe(rows(spark, sf)).selectExpr("play_id", f"{R.action_code()} as action")
 
 
 @query("rpt25_fingerprint")
@@ -255,17 +268,56 @@ def observations(spark, sf):
     return G.observations(G.team_insights(df), G.leaders(G.named_usage(df)))
 
 
-@query("win08_drive_continuity")
+def drive_reports(spark, sf):
+    """Described reports in drives of five days of a game, with planted kickoffs and conversions; blocks are finer than drives."""
+    df = R.with_movement(described(spark, sf))
+    return df.withColumns({"drive_id": F.expr("concat(game_id, '/', string(position div 500000000000))"), "block": F.expr("position div 1000000"),
+                           "kickoff": F.expr("pk % 61 = 0"), "conversion": F.expr("pk % 67 = 0")})
+
+
+DRIVES = f"""dr AS (SELECT *, game_id || '/' || CAST(position // 500000000000 AS VARCHAR) AS drive_id, {ACTION_RPT22} AS action, {ENDING} AS ending, category = 'special' AND NOT {SKIP} AS kick,
+ type <> 'timeout' AND category <> 'penalty' AND v NOT IN (2, 3, 5) AND contains(text, 'takes a knee') AS clock_play FROM mo WHERE pk % 61 <> 0 AND pk % 67 <> 0),
+dm AS (SELECT *, type <> 'timeout' AND NOT kick AS counted, how IS NOT NULL AND type <> 'timeout' AND NOT kick AS moved FROM dr),
+pe AS (SELECT *, LAST_VALUE(CASE WHEN moved THEN yards_to_goal - net END IGNORE NULLS) OVER (PARTITION BY drive_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM dm),
+ds AS (SELECT drive_id, COUNT(*) FILTER (counted) AS reports, COUNT(*) FILTER (counted AND (action <> 'none' OR clock_play)) AS plays, COUNT(*) FILTER (counted AND action = 'sack') AS sacks,
+ COUNT(*) FILTER (counted AND action = 'run') AS runs, COUNT(*) FILTER (counted AND action = 'pass') AS passes, COUNT(*) FILTER (moved) AS movements, COUNT(*) FILTER (counted AND NOT moved) AS unverified,
+ NOT coalesce(bool_or(prev_end IS NOT NULL AND (moved OR kick) AND prev_end <> yards_to_goal), false) AS continuous, coalesce(arg_min(down, position) FILTER (counted) = 1, false) AS first_down,
+ CAST(SUM(CASE WHEN how = 'play' AND moved THEN net ELSE 0 END) AS BIGINT) AS py, CAST(SUM(CASE WHEN how = 'ruling' AND moved THEN net ELSE 0 END) AS BIGINT) AS ry,
+ arg_max(ending, position) FILTER (ending <> '') AS ending, COUNT(*) FILTER (type <> 'timeout') AS leads FROM pe GROUP BY 1),
+dv AS (SELECT *, movements > 0 AND unverified = 0 AND continuous AND first_down AS verified FROM ds WHERE leads > 0)"""
+
+
+@query("win08_drive_continuity", on_plays(REP, SETTLE, MOVED, DRIVES, "SELECT drive_id, reports, movements, unverified, continuous, first_down FROM dv"))
 def drives(spark, sf):
-    df = described(spark, sf).withColumn("drive_id", F.expr("concat(game_id, '/', string(block))"))
-    return G.drive_summary(df)
+    return G.drive_summary(drive_reports(spark, sf)).select("drive_id", "reports", "movements", "unverified", "continuous", "first_down")
 
 
-@query("agg60_review_moments", on_plays(REP, SETTLE, f"""ac AS (SELECT *, CASE WHEN {SKIP} THEN 'none' WHEN v = 3 THEN 'sack' WHEN category = 'special' THEN 'none' WHEN v = 5 OR category = 'pass' THEN 'pass' ELSE 'run' END AS action,
-  CASE WHEN v IN (3, 4, 5) OR {SKIP} OR category = 'special' OR conflict OR (down = 4 AND pk % 25 = 0 AND offense <> defense AND v <> 0) THEN NULL ELSE val END AS gained FROM s)""", """
-SELECT game_id, action AS slot, arg_min(play_id, (-gained, play_id)) AS play_id FROM ac WHERE action IN ('pass', 'run') AND gained > 0 GROUP BY 1, 2"""))
+@query("agg37_drive_summary", on_plays(REP, SETTLE, MOVED, DRIVES, """SELECT drive_id, plays, runs, passes, sacks, verified, CASE WHEN verified THEN py + ry END AS net_yards, CASE WHEN verified THEN py END AS play_yards,
+ CASE WHEN verified THEN ry END AS penalty_yards, ending FROM dv"""))
+def drive_summary(spark, sf):
+    return G.drive_summary(drive_reports(spark, sf)).select("drive_id", "plays", "runs", "passes", "sacks", "verified", "net_yards", "play_yards", "penalty_yards", "ending")
+
+
+@query("agg37_drive_progress", on_plays(REP, SETTLE, MOVED, DRIVES, """SELECT drive_id, play_id, CASE how WHEN 'play' THEN 'play' ELSE 'penalty' END AS kind, CAST(100 - yards_to_goal AS BIGINT) AS from_yard,
+ CAST(100 - yards_to_goal + net AS BIGINT) AS to_yard FROM pe WHERE moved"""))
+def drive_progress(spark, sf):
+    return G.drive_progress(drive_reports(spark, sf)).selectExpr("drive_id", "play_id", "kind", "bigint(from_yard) as from_yard", "bigint(to_yard) as to_yard")
+
+
+@query("agg60_review_moments", on_plays(REP, SETTLE, f"""ac AS (SELECT *, NOT {SKIP} AND category <> 'special' AND v NOT IN (3, 5) AND NOT (v = 4 AND {CHANGED}) AND NOT (down = 4 AND {CHANGED} AND v NOT IN (0, 4)) AND NOT (conflict AND v <> 4) AS counts FROM s),
+c1 AS (SELECT game_id, play_id, position, pk, category, down, distance, CASE WHEN v <> 4 THEN val END AS gained FROM ac WHERE counts),
+c2 AS (SELECT *, CASE WHEN category = 'pass' AND gained > 0 AND pk % 6 <> 0 THEN pk % (gained + 1) END AS aft, gained - CASE WHEN category = 'pass' AND gained > 0 AND pk % 6 <> 0 THEN pk % (gained + 1) END AS air FROM c1),
+s1 AS (SELECT game_id, 'after' AS slot, arg_min(play_id, (-aft, position)) AS play_id FROM c2 WHERE aft > air GROUP BY 1),
+s2 AS (SELECT game_id, 'air' AS slot, arg_min(play_id, (-air, position)) AS play_id FROM c2 WHERE air > aft GROUP BY 1),
+s3 AS (SELECT game_id, 'short' AS slot, arg_min(play_id, position) AS play_id FROM c2 WHERE down >= 3 AND gained >= 0 AND gained < distance AND play_id NOT IN (SELECT play_id FROM s1 UNION ALL SELECT play_id FROM s2) GROUP BY 1),
+own AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), have AS (SELECT game_id, COUNT(*) AS n FROM own GROUP BY 1),
+rest AS (SELECT game_id, play_id, row_number() OVER (PARTITION BY game_id ORDER BY coalesce(gained, 0) DESC, position) AS k FROM c2 WHERE play_id NOT IN (SELECT play_id FROM own))""", """
+SELECT game_id, slot, play_id FROM own UNION ALL SELECT r.game_id, 'fill' || k, play_id FROM rest r LEFT JOIN have h ON h.game_id = r.game_id WHERE k <= 3 - coalesce(n, 0)"""))
 def review(spark, sf):
-    return G.review_moments(described(spark, sf)).filter("slot <> 'short'")
+    """Three plays of every game; the catch is split by planted figures that agree on five of six passes."""
+    caught = "action = 'pass' and gained > 0 and pk % 6 <> 0"
+    df = described(spark, sf).withColumn("after", F.expr(f"if({caught}, pk % (gained + 1), null)")).withColumn("air", F.expr("gained - after"))
+    return G.review_moments(df)
 
 
 @query("win05_last_revision", """WITH e AS (SELECT user_id AS game_id, json_extract_string(props, '$.k') AS play_id, event_id, event_type FROM events)
@@ -338,15 +390,9 @@ def topics(spark, sf):
     return V.plays(spark, sf).selectExpr("play_id", f"{ids} as ids", "down * 11 + distance * 7 + yards_to_goal + period * 3 as n").selectExpr("play_id", "element_at(ids, int(1 + pmod(n, size(ids)))) as topic")
 
 
-@query("agg37_drive_summary")
-def drive_summary(spark, sf):
-    df = described(spark, sf).withColumn("drive_id", F.expr("concat(game_id, '/', string(block))"))
-    return G.drive_summary(df).groupBy("ending", "continuous").agg(F.count("*").alias("drives"), F.sum("plays").alias("plays"), F.sum("sacks").alias("sacks"))
-
-
-@query("rpt23_drive_ending", on_plays(REP, f"SELECT play_id, CASE WHEN type = 'punt' AND v NOT IN (0, 3, 4, 5) AND v <> 2 THEN 'punt' ELSE 'open' END AS ending FROM r WHERE v > 6 AND pk % 25 <> 0"))
+@query("rpt23_drive_ending", on_plays(REP, f"SELECT play_id, {ENDING} AS ending FROM r"))
 def drive_ending(spark, sf):
-    return R.describe(rows(spark, sf)).filter("pk % 40 > 6 and pk % 25 <> 0").selectExpr("play_id", f"{R.drive_ending()} as ending")
+    return R.describe(rows(spark, sf)).selectExpr("play_id", f"{R.drive_ending()} as ending")
 
 
 @query("rpt28_pre_snap", on_plays(REP, f"""l AS (SELECT game_id, arg_max(struct_pack(e := true_end, d := {END_D}, n := CASE WHEN yards_gained >= distance THEN 1 ELSE down + 1 END, c := pk % 25 = 0 AND offense <> defense), position) AS x FROM r WHERE type <> 'timeout' GROUP BY 1)""",
