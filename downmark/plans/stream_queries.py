@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from ..streaming import live as LV
 from ..streaming import revisions as ST
 from . import views as V
 from .audit_queries import EV, ev
@@ -24,11 +25,6 @@ def poll_revisions(spark, sf):
     return ST.run_available(ST.revisions(feed(spark, sf))).select("game", "play", "event_id", "content", "version")
 
 
-@query("str04_late_reports", f"WITH {EV} SELECT game, 0::BIGINT AS late FROM e GROUP BY 1")
-def late_reports(spark, sf):
-    return ST.run_available(ST.revisions(feed(spark, sf))).groupBy("game").agg(F.expr("count_if(late) as late"))
-
-
 @query("str03_delayed_release", f"WITH {EV}, x AS (SELECT *, LEAD(tm) OVER (PARTITION BY game, play ORDER BY tm, event_id) AS nx FROM e), k AS (SELECT * FROM x WHERE nx IS NULL OR nx > tm + 45000) "
        "SELECT game, play, event_id, tm AS observed_at, tm + 45000 AS released_at, row_number() OVER (PARTITION BY game, play ORDER BY tm, event_id) > 1 AS revised FROM k")
 def delayed_release(spark, sf):
@@ -54,24 +50,131 @@ def coalesced(spark, sf):
     return ST.latest_situation(ev(spark, sf)).select("game", "event_id", "play")
 
 
-@query("str09_running_insights", f"WITH {EV} SELECT game, COUNT(*) AS reports, COUNT(*) FILTER (event_type = 'click') AS passes FROM e GROUP BY 1")
+# --- feeds of several files, in several batches --------------------------------------------------
+
+
+def sliced_feed(spark, sf, slices, slice_of, columns=("*",)):
+    """The events as files that land one slice after another, read a slice at a time; ``slice_of`` gives 0 to ``slices`` - 1."""
+    e = V.events(spark, sf).selectExpr(*FEED, f"int({slice_of}) as slice").selectExpr(*columns, "slice")
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    for k in range(slices):
+        e.filter(F.col("slice") == k).drop("slice").write.mode("append").parquet(folder)
+    schema = e.drop("slice").schema
+    files = len(spark.read.schema(schema).parquet(folder).inputFiles())
+    return ST.read_feed(spark, folder, schema, max(1, files // slices))
+
+
+FEED = ["event_id", "cast(ts as timestamp) as ts", "game", "play", "event_type", "value", "at", "concat(event_type, '|', string(int(floor(value / 50)))) as content"]
+#: Slices in the order of the clock: weeks of the month.  Slices out of order: the last digit of the number.
+WEEKS, DIGITS = (5, "least(4, (dayofmonth(ts) - 1) div 7)"), (10, "event_id % 10")
+
+
+def folder_of(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("str04_late_reports", f"""WITH {EV}, f AS (SELECT *, event_id % 10 AS slice FROM e),
+polls AS (SELECT game, slice, MAX(event_id) AS top FROM f GROUP BY 1, 2), known AS (SELECT game, slice, MAX(top) OVER (PARTITION BY game ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM polls),
+x AS (SELECT f.*, k.known, LAG(content) OVER w AS pc, row_number() OVER w AS nth FROM f JOIN known k ON f.game = k.game AND f.slice = k.slice WINDOW w AS (PARTITION BY f.game, play ORDER BY f.slice, event_id))
+SELECT game, play, event_id, known IS NOT NULL AND nth = 1 AND event_id < known AS late, known IS NULL AS first_poll FROM x WHERE pc IS NULL OR pc <> content""")
+def late_reports(spark, sf):
+    """Files come out of order: later ones hold unseen plays older than those known, which are kept and flagged."""
+    feed_ = sliced_feed(spark, sf, *DIGITS)
+    return ST.run_available(LV.split_late(feed_)).select("game", "play", "event_id", "late", "first_poll")
+
+
+@query("str02_appended_log", f"""WITH {EV}, x AS (SELECT *, LAG(content) OVER (PARTITION BY game, play ORDER BY event_id) AS pc FROM e), k AS (SELECT * FROM x WHERE pc IS NULL OR pc <> content)
+SELECT game, play, event_id, content, CAST(row_number() OVER (PARTITION BY game, play ORDER BY event_id) AS INT) AS version, CAST(least(4, (day(ts) - 1) // 7) AS BIGINT) AS batch FROM k""")
+def appended_log(spark, sf):
+    """The revision log of a feed of five batches; every batch is a part of the log that a rerun replaces."""
+    log, folder = ST.revisions(sliced_feed(spark, sf, *WEEKS)), folder_of(spark, "log")
+    LV.append_batches(log, folder)
+    return LV.read_batches(spark, folder, log.schema).select("game", "play", "event_id", "content", "version", "batch")
+
+
+@query("str11_compacted_log", f"""WITH {EV}, x AS (SELECT *, LAG(content) OVER (PARTITION BY game, play ORDER BY event_id) AS pc, least(4, (day(ts) - 1) // 7) AS batch FROM e), k AS (SELECT * FROM x WHERE pc IS NULL OR pc <> content),
+v AS (SELECT *, row_number() OVER (PARTITION BY game, play ORDER BY event_id) AS version FROM k), l AS (SELECT *, MAX(version) FILTER (batch <= 2) OVER (PARTITION BY game, play) AS top FROM v)
+SELECT game, play, event_id, content, CAST(version AS INT) AS version, CAST(batch AS BIGINT) AS batch FROM l WHERE batch > 2 OR version = top""")
+def compacted_log(spark, sf):
+    """The log with its first three batches reduced to the last revision of every play."""
+    log, folder = ST.revisions(sliced_feed(spark, sf, *WEEKS)), folder_of(spark, "log")
+    LV.append_batches(log, folder)
+    return LV.compact(LV.read_batches(spark, folder, log.schema), 2).select("game", "play", "event_id", "content", "version", "batch")
+
+
+MEASURES = {"passes": "event_type = 'click'", "runs": "event_type = 'view'", "scores": "event_type = 'purchase'", "points": None}
+
+
+@query("str09_running_insights", f"""WITH {EV}, l AS (SELECT *, row_number() OVER (PARTITION BY game, play ORDER BY event_id DESC) AS back FROM e)
+SELECT game, CASE WHEN event_id % 3 = 0 THEN 'home' ELSE 'away' END AS team, COUNT(*) AS plays, COUNT(*) FILTER (event_type = 'click') AS passes, COUNT(*) FILTER (event_type = 'view') AS runs,
+ COUNT(*) FILTER (event_type = 'purchase') AS scores, CAST(SUM(CAST(FLOOR(value) AS BIGINT)) AS BIGINT) AS points FROM l WHERE back = 1 GROUP BY 1, 2""")
 def running_insights(spark, sf):
-    folder = f"{shared_folder(spark)}/insights-{uuid.uuid4().hex}"
-    ST.publish_batches(feed(spark, sf), lambda d: d.groupBy("game").agg(F.count("*").alias("reports"), F.expr("count_if(event_type = 'click') as passes")), folder)
-    return spark.read.parquet(f"{folder}/summary").selectExpr("bigint(game) as game", "reports", "passes")
+    """Figures of the last report of every play, from a feed whose corrections come in later batches."""
+    counted = [f"bigint({v}) as {k}" for k, v in MEASURES.items() if v] + ["bigint(floor(value)) as points"]
+    feed_ = sliced_feed(spark, sf, *DIGITS, columns=("game", "play", "event_id", "if(event_id % 3 = 0, 'home', 'away') as team", *counted))
+    return LV.running_insights(feed_, list(MEASURES), folder_of(spark, "insights"))
 
 
-@query("str10_pick_settlement", f"WITH {EV}, p AS (SELECT * FROM e WHERE event_type = 'click'), r AS (SELECT * FROM e WHERE event_type = 'purchase') SELECT p.event_id AS pick_id, p.game, arg_min(r.event_id, (r.ts, r.event_id)) AS result_id FROM p JOIN r ON p.game = r.game AND r.ts >= p.ts AND r.ts <= p.ts + INTERVAL 2 HOURS GROUP BY 1, 2")
-def pick_settlement(spark, sf):
-    f = feed(spark, sf)
-    picks = f.filter("event_type = 'click'").selectExpr("event_id as pick_id", "game", "ts as pick_ts")
-    results = f.filter("event_type = 'purchase'").selectExpr("event_id as result_id", "game", "ts as result_ts")
-    return ST.first_settlement(ST.run_available(ST.settle_picks(picks, results)))
+HOUR = 3_600_000
+WITHIN, HORIZON = 240 * HOUR, 480 * HOUR
 
 
-@query("str12_delay_samples", f"WITH {EV}, a AS (SELECT * FROM e WHERE event_type = 'view'), b AS (SELECT * FROM e WHERE event_type = 'click') SELECT a.game, a.event_id AS receipt_id, b.event_id AS tap_id, CAST(epoch_us(b.ts) - epoch_us(a.ts) AS BIGINT) AS micros FROM a JOIN b ON a.game = b.game AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 90 MINUTES")
+@query("str10_pick_settlement", f"""WITH {EV}, p AS (SELECT * FROM e WHERE event_type = 'click'), r AS (SELECT * FROM e WHERE event_type <> 'click'),
+s AS (SELECT p.event_id AS pick_id, p.game, p.play, p.tm, MIN(r.event_id) AS report_id FROM p LEFT JOIN r ON p.game = r.game AND p.play = r.play AND r.event_id > p.event_id AND r.tm <= p.tm + {WITHIN} GROUP BY ALL),
+v AS (SELECT s.*, EXISTS (SELECT 1 FROM r, r AS f WHERE f.event_id = s.report_id AND r.game = s.game AND r.play = s.play AND r.event_id > s.report_id AND r.content <> f.content AND r.tm <= s.tm + {HORIZON}) AS voided FROM s)
+SELECT game, play, pick_id, CASE WHEN report_id IS NULL THEN 'closed' WHEN voided THEN 'void' ELSE 'settled' END AS status, report_id FROM v""")
+def pick_settlement(spark, sf):
+    """Every click is a pick on the next report of its play; a report that is changed later voids it."""
+    feed_ = sliced_feed(spark, sf, *WEEKS, columns=("game", "play", "event_id", "ts", "at", "content", "event_type = 'click' as is_pick"))
+    job = lambda f: LV.settle_picks(f, WITHIN, HORIZON, "1 hour")
+    return LV.last_status(LV.run_to_end(feed_, job, folder_of(spark, "picks"), "1 hour"))
+
+
+@query("str12_delay_samples", f"""WITH RECURSIVE {EV}, o AS (SELECT *, CASE event_type WHEN 'view' THEN 'receipt' WHEN 'purchase' THEN 'receipt' WHEN 'click' THEN 'tap' WHEN 'error' THEN 'break' END AS role, row_number() OVER (PARTITION BY game ORDER BY event_id) AS k FROM e),
+walk(game, k, held, held_play, held_at, tap_id, receipt_id, millis) AS (
+ SELECT DISTINCT game, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM e
+ UNION ALL SELECT o.game, o.k,
+  CASE WHEN o.role IN ('tap', 'break') THEN NULL WHEN o.role = 'receipt' AND w.held IS NULL THEN o.event_id WHEN o.role = 'receipt' AND w.held_play = o.play THEN NULL ELSE w.held END,
+  CASE WHEN o.role IN ('tap', 'break') THEN NULL WHEN o.role = 'receipt' AND w.held IS NULL THEN o.play WHEN o.role = 'receipt' AND w.held_play = o.play THEN NULL ELSE w.held_play END,
+  CASE WHEN o.role IN ('tap', 'break') THEN NULL WHEN o.role = 'receipt' AND w.held IS NULL THEN o.tm WHEN o.role = 'receipt' AND w.held_play = o.play THEN NULL ELSE w.held_at END,
+  CASE WHEN o.role = 'tap' AND w.held IS NOT NULL THEN o.event_id END, CASE WHEN o.role = 'tap' THEN w.held END, CASE WHEN o.role = 'tap' AND w.held IS NOT NULL THEN o.tm - w.held_at END
+  FROM walk w JOIN o ON o.game = w.game AND o.k = w.k + 1)
+SELECT game, tap_id, receipt_id, millis FROM walk WHERE tap_id IS NOT NULL""")
 def delay_samples(spark, sf):
-    f = feed(spark, sf)
-    receipts = f.filter("event_type = 'view'").selectExpr("event_id as receipt_id", "game", "ts as receipt_ts")
-    taps = f.filter("event_type = 'click'").selectExpr("event_id as tap_id", "game", "ts as tap_ts")
-    return ST.run_available(ST.delay_samples(receipts, taps, "90 minutes"))
+    """At most one sample per tap, from the one receipt that is open and still holds."""
+    role = "case event_type when 'view' then 'receipt' when 'purchase' then 'receipt' when 'click' then 'tap' when 'error' then 'break' else 'other' end as role"
+    feed_ = sliced_feed(spark, sf, *WEEKS, columns=("game", "play", "event_id", "at", role))
+    return ST.run_available(LV.delay_samples(feed_))
+
+
+DELAY, GAP = 6 * HOUR, 24 * HOUR
+#: Polls are half days, situations change with play and content.
+SHOWN = f"""WITH {EV}, f AS (SELECT *, tm // {12 * HOUR} * {12 * HOUR} AS poll FROM e),
+polls AS (SELECT game, poll, MIN(event_id) AS first_id, LEAD(poll) OVER w AS nx, LAG(poll) OVER w AS pv, row_number() OVER w AS nth FROM f GROUP BY 1, 2 WINDOW w AS (PARTITION BY game ORDER BY poll)),
+x AS (SELECT *, LAG(play) OVER w AS pp, LAG(content) OVER w AS pc FROM f WINDOW w AS (PARTITION BY game ORDER BY event_id)),
+q AS (SELECT *, CASE WHEN pp IS NULL OR pp <> play THEN 'snap' WHEN pc <> content THEN 'context' END AS kind FROM x),
+i AS (SELECT q.*, LEAD(poll) OVER (PARTITION BY game, play ORDER BY event_id) AS again FROM q WHERE kind IS NOT NULL),
+l AS (SELECT i.*, (SELECT MAX(p.poll) FROM polls p WHERE p.game = i.game AND p.poll < i.poll + {DELAY}) AS before FROM i),
+s AS (SELECT l.*, least(coalesce(p.nx, 9223372036854775807), p.poll + {DELAY + GAP}) AS due FROM l JOIN polls p ON p.game = l.game AND p.poll = l.before),
+g AS (SELECT game, due, CASE WHEN bool_or(kind = 'snap') THEN 'snap' ELSE 'context' END AS kind, MAX(event_id) AS event_id, arg_max(play, event_id) AS play, arg_max(poll, event_id) AS queued_at, CAST(COUNT(*) AS INT) AS merged, MIN(poll) AS oldest
+  FROM s WHERE again IS NULL OR again >= due GROUP BY 1, 2)"""
+
+
+def board_rows(spark, sf):
+    feed_ = sliced_feed(spark, sf, *WEEKS, columns=("game", "play", "event_id", "ts", f"at div {12 * HOUR} * {12 * HOUR} as at", "content"))
+    job = lambda f: LV.board(f, DELAY, GAP, "1 day")
+    return LV.run_to_end(feed_, job, folder_of(spark, "board"), "1 day")
+
+
+@query("str07_shown_situations", f"{SHOWN} SELECT game, kind, event_id, play, queued_at, due AS shown_at, merged FROM g")
+def shown_situations(spark, sf):
+    """What the delayed board shows: superseded situations gone, those due at one poll collapsed to the last."""
+    return board_rows(spark, sf).filter("kind <> 'break'").select("game", "kind", "event_id", "play", "queued_at", F.col("at").alias("shown_at"), "merged")
+
+
+@query("str05_stream_breaks", f"""{SHOWN}, n AS (SELECT q.*, row_number() OVER (PARTITION BY q.game, q.poll ORDER BY event_id) AS k FROM q JOIN polls p ON p.game = q.game AND p.poll = q.poll WHERE kind = 'snap' AND p.nth > 1)
+SELECT game, 'response_gap' AS reason, first_id AS event_id, poll AS told_at FROM polls WHERE poll - pv > {GAP} UNION ALL SELECT game, 'batch', event_id, poll FROM n WHERE k = 2
+UNION ALL SELECT game, 'queue_catchup', event_id, due FROM g WHERE merged > 1 AND due - oldest - {DELAY} > {GAP}""")
+def stream_breaks(spark, sf):
+    """Gaps between polls, polls with several new plays, and the board catching up."""
+    return board_rows(spark, sf).filter("kind = 'break'").select("game", "reason", "event_id", F.col("at").alias("told_at"))
