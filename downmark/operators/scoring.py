@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import situation as S
 from ..functions.numbers import div, r
-from ..scale import with_position
+from ..scale import with_position, with_running
 from . import cells as C
 
 INF = float("inf")
@@ -221,3 +221,46 @@ def signal_retention(answers: DataFrame, k: float, by=("league",)) -> DataFrame:
         F.count("*").alias("cells"), F.expr(f"avg(int(abs(raw - base) > {SIGNAL_EPS})) as raw_share"),
         F.expr(f"avg(int({gap} > {SIGNAL_EPS})) as shrunk_share"), F.expr("avg(abs(raw - base)) as raw_gap"),
         F.expr(f"avg({gap}) as shrunk_gap"))
+
+
+COUNTS = ("n", "n_pass", "n_success", "n_explosive")
+
+
+def cumulative_cells(plays: DataFrame, series: DataFrame, by=("league",), team: str = "offense") -> DataFrame:
+    """Fine cells per game of a team with running sums over its game index, this game included.
+
+    The history before any cut is then one row per cell, and what is left after the cut a
+    difference of two sums; no play is read again for another cut."""
+    games = C.fine_cells(plays, team, (*by, "game_id")).join(series.select("team", "game_id", "idx"), ["team", "game_id"])
+    keys = [*by, "team", "down", "band", "zone", "season"]
+    placed = games.withColumn("_block", F.expr("idx div 64"))
+    return with_running(placed, keys, "_block", ["idx"], {f"c_{c}": F.col(c) for c in COUNTS}).drop("_block")
+
+
+def cells_after(running: DataFrame, cuts: DataFrame, policies, by=("league",)) -> DataFrame:
+    """Fine cells of every policy: a team's games from its ``cut`` on, all of them where it has none.
+
+    ``cuts`` are (policy, team, cut), at most one cut for each."""
+    keys = [*by, "team", "down", "band", "zone", "season"]
+    whole = running.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    each = whole.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in policies])))
+    before = (running.join(cuts, "team").filter("idx < cut").groupBy("policy", *keys)
+              .agg(F.max_by(F.struct(*[f"c_{c}" for c in COUNTS]), "idx").alias("_b")))
+    left = each.join(before, ["policy", *keys], "left")
+    return left.selectExpr("policy", *keys, *[f"{c} - coalesce(_b.c_{c}, 0) as {c}" for c in COUNTS]).filter("n > 0")
+
+
+def score_policies(plays: DataFrame, series: DataFrame, cuts: DataFrame, policies, holdout: int, half_life=1.0, k=S.SHRINK_K, by=("league",), team="offense") -> DataFrame:
+    """Held-out loss of every policy, over all plays and over those of teams that some policy cuts.
+
+    ``kept`` are the training plays of the policy."""
+    before = plays.filter(f"season < {int(holdout)}")
+    cells = cells_after(cumulative_cells(before, series, by, team), cuts, policies, by)
+    ways = F.explode(F.array(*[F.lit(p) for p in policies]))
+    held = holdout_counts(plays.filter(f"season = {int(holdout)}"), team, by).withColumn("policy", ways)
+    scored = score_cells(C.ladder_of(cells, half_life, k, ("policy", *by)), held, ("policy", *by))
+    touched = cuts.filter("cut > 0").select("team").distinct().withColumn("touched", F.lit(True))
+    rows = scored.join(touched, "team", "left").withColumn("scope", F.explode(F.expr("if(touched, array('all', 'touched'), array('all'))")))
+    kept = cells.groupBy("policy", *by).agg(F.sum("n").alias("kept"))
+    out = rows.groupBy("policy", *by, "scope").agg(F.sum("plays").alias("plays"), F.expr(f"{brier('pred')} as brier"))
+    return out.join(kept, ["policy", *by])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -61,19 +63,37 @@ def shift_sizes(pairs: DataFrame, by=("team", "season"), least: int = PAIR_WEIGH
         F.expr("sum(least(n_a, n_b) * abs(p_a / n_a - p_b / n_b)) / sum(least(n_a, n_b)) as shift")).filter(f"weight >= {least}")
 
 
+def log_factorial(k: str) -> str:
+    """ln k! by Stirling's series from eight on (error below 1e-10), by a table of eight before that."""
+    small = ", ".join(repr(math.lgamma(i + 1)) + "D" for i in range(8))
+    x = f"double({k})"
+    series = f"({x} * ln({x}) - {x} + 0.5D * ln(6.283185307179586D * {x}) + 1.0D / (12.0D * {x}) - 1.0D / (360.0D * {x} * {x} * {x}) + 1.0D / (1260.0D * pow({x}, 5)))"
+    return f"if({k} < 8, element_at(array({small}), int(least({k}, 7)) + 1), {series})"
+
+
+def binomial_draw(n: str, p: str, u: str) -> str:
+    """The binomial count of ``n`` trials whose distribution function first passes ``u``.
+
+    The probabilities are laid out in closed form over ten standard deviations round the
+    mean, so a draw costs the root of ``n``, not ``n``, and needs no row per trial."""
+    half = f"bigint(ceil(10.0D * sqrt({n} * {p} * (1.0D - {p})))) + 10"
+    middle = f"bigint(round({n} * {p}))"
+    low, high = f"greatest(0L, {middle} - ({half}))", f"least(bigint({n}), {middle} + ({half}))"
+    mass = f"exp({log_factorial(f'bigint({n})')} - {log_factorial('k')} - {log_factorial(f'(bigint({n}) - k)')} + k * ln({p}) + ({n} - k) * ln(1.0D - {p}))"
+    walk = f"aggregate(transform(sequence({low}, {high}), k -> {mass}), struct(0.0D as upto, 0L as passed), (s, m) -> struct(s.upto + m as upto, s.passed + if(s.upto + m <= {u}, 1L, 0L) as passed), s -> s.passed)"
+    return f"case when {n} = 0 or {p} <= 0.0D then 0L when {p} >= 1.0D then bigint({n}) else least({high}, {low} + {walk}) end"
+
+
 def null_shift(pairs: DataFrame, draws: int = 200, by=("team", "season")) -> DataFrame:
     """The shift when nothing changed: both seasons redrawn from the pooled rate.
 
-    Each draw of a side is a sum of hash draws, spread over chunks of plays so
-    that a big bucket is many rows; the counts combine before the shuffle."""
-    sides = pairs.withColumn("pooled", F.expr("(p_a + p_b) / (n_a + n_b)")).selectExpr(
-        *by, "bucket", "n_a", "n_b", "pooled", "stack(2, 'a', n_a, 'b', n_b) as (side, size)")
-    plays = sides.selectExpr(*by, "bucket", "n_a", "n_b", "pooled", "side", "explode(sequence(1L, size)) as i")
-    rows = plays.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    hit = hash_unit(*by, "bucket", "side", "i", "draw") < F.col("pooled")
-    drawn = rows.groupBy(*by, "bucket", "n_a", "n_b", "draw").agg(
-        F.sum(F.when(hit & (F.col("side") == "a"), 1).otherwise(0)).alias("p_a"),
-        F.sum(F.when(hit & (F.col("side") == "b"), 1).otherwise(0)).alias("p_b"))
+    One uniform per (cell, draw, side) is put through the binomial distribution function,
+    so the rows are cells times draws, whatever the number of plays."""
+    pooled = pairs.withColumn("pooled", F.expr("(p_a + p_b) / (n_a + n_b)")).select(*by, "bucket", "n_a", "n_b", "pooled")
+    rows = pooled.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    for side in ("a", "b"):
+        rows = rows.withColumn(f"_u{side}", hash_unit(*by, "bucket", F.lit(side), "draw"))
+    drawn = rows.selectExpr(*by, "bucket", "n_a", "n_b", "draw", *[f"{binomial_draw(f'n_{x}', 'pooled', f'_u{x}')} as p_{x}" for x in ("a", "b")])
     per = shift_sizes(drawn, (*by, "draw"), 0)
     return per.groupBy(*by).agg(F.avg("shift").alias("null_shift"))
 
@@ -102,10 +122,10 @@ def rank_tests(df: DataFrame, value: str, group: str, a: str, b: str, by=()) ->
     s = s.join(moments, list(by)) if by else s.join(F.broadcast(moments))
     u = "ra - na * (na + 1) / 2.0D"
     s = s.withColumn("u", F.expr(u)).withColumn("sd", F.expr("sqrt(na * nb / 12.0D * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1.0D))))"))
-    s = s.withColumn("z", F.expr("coalesce((u - na * nb / 2.0D) / nullif(sd, 0.0D), 0.0D)"))
+    s = s.withColumn("z", F.expr("if(sd = 0.0D and u is not null, 0.0D, (u - na * nb / 2.0D) / nullif(sd, 0.0D))"))  # unknown where a group is empty
     return s.selectExpr(*by, "na", "nb", "u", "z", f"{normal_tail('abs(z)')} * 2.0D as p", "2.0D * u / (double(na) * nb) - 1.0D as cliffs_delta",
                         # a group of one has no spread to measure by
-                        "if(v_a is null or v_b is null, null, coalesce((m_a - m_b) / nullif(sqrt(((na - 1) * v_a + (nb - 1) * v_b) / (na + nb - 2.0D)), 0.0D), 0.0D)) as cohens_d",
+                        "if((na - 1) * v_a + (nb - 1) * v_b = 0.0D, 0.0D, (m_a - m_b) / nullif(sqrt(((na - 1) * v_a + (nb - 1) * v_b) / (na + nb - 2.0D)), 0.0D)) as cohens_d",
                         "m_a as mean_a", "m_b as mean_b")
 
 

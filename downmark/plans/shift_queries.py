@@ -13,7 +13,9 @@ from ..operators import changepoints as CP
 from ..operators import resample as RS
 from ..operators import scoring as P
 from ..operators import shifts as SH
+from ..scale import hash_draw
 from . import views as V
+from .cell_queries import ladder_ctes
 from .context_queries import ASSIGN
 from .oracle import on_eligible, on_plays
 from .registry import query
@@ -402,10 +404,13 @@ def bucket_bootstrap(spark, sf):
 
 @query("sim03_binomial_null", on_eligible(PAIRS, """
 big AS (SELECT team, season, bucket, n_a, n_b, (p_a + p_b)::DOUBLE / (n_a + n_b) AS pooled FROM pairs),
-pl AS (SELECT team, season, bucket, n_a, n_b, pooled, 'a' AS side, unnest(range(1, n_a + 1)) AS i FROM big UNION ALL SELECT team, season, bucket, n_a, n_b, pooled, 'b', unnest(range(1, n_b + 1)) FROM big),
-dw AS (SELECT team, season, bucket, n_a, n_b, draw, SUM(CASE WHEN side = 'a' AND hit THEN 1 ELSE 0 END) AS p_a, SUM(CASE WHEN side = 'b' AND hit THEN 1 ELSE 0 END) AS p_b FROM (SELECT *, ('0x' || substr(md5(team || '|' || season || '|' || bucket || '|' || side || '|' || i || '|' || draw), 1, 8))::BIGINT / 4294967296.0 < pooled AS hit
-  FROM pl CROSS JOIN (SELECT unnest(range(0, 200)) AS draw)) GROUP BY ALL),
-sn AS (SELECT team, season, draw, SUM(least(n_a, n_b) * abs(p_a::DOUBLE / n_a - p_b::DOUBLE / n_b)) / SUM(least(n_a, n_b)) AS shift FROM dw GROUP BY 1, 2, 3)""", f"SELECT team, season, {r6('AVG(shift)')} AS null_shift FROM sn GROUP BY 1, 2"))
+sd AS (SELECT team, season, bucket, n_a, n_b, pooled, 'a' AS side, n_a AS n FROM big UNION ALL SELECT team, season, bucket, n_a, n_b, pooled, 'b', n_b FROM big),
+pm AS (SELECT team, season, bucket, side, k, exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * ln(pooled) + (n - k) * ln(1.0 - pooled)) AS m FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM sd WHERE pooled > 0 AND pooled < 1)),
+cd AS (SELECT team, season, bucket, side, list(c ORDER BY k) AS cdf FROM (SELECT *, SUM(m) OVER (PARTITION BY team, season, bucket, side ORDER BY k) AS c FROM pm) GROUP BY 1, 2, 3, 4),
+u AS (SELECT sd.*, draw, ('0x' || substr(md5(team || '|' || season || '|' || bucket || '|' || side || '|' || draw), 1, 8))::BIGINT / 4294967296.0 AS u FROM sd CROSS JOIN (SELECT unnest(range(0, 200)) AS draw)),
+dw AS (SELECT u.team, u.season, u.bucket, u.n_a, u.n_b, u.draw, side, CASE WHEN pooled <= 0 THEN 0 WHEN pooled >= 1 THEN n ELSE least(n, len(list_filter(cdf, lambda c: c <= u.u))) END AS x FROM u LEFT JOIN cd USING (team, season, bucket, side)),
+sn AS (SELECT team, season, draw, SUM(least(n_a, n_b) * abs(xa::DOUBLE / n_a - xb::DOUBLE / n_b)) / SUM(least(n_a, n_b)) AS shift FROM (
+  SELECT team, season, bucket, n_a, n_b, draw, MAX(x) FILTER (side = 'a') AS xa, MAX(x) FILTER (side = 'b') AS xb FROM dw GROUP BY ALL) GROUP BY 1, 2, 3)""", f"SELECT team, season, {r6('AVG(shift)')} AS null_shift FROM sn GROUP BY 1, 2"))
 def binomial_null(spark, sf):
     return out(SH.null_shift(pairs(spark, sf), 200), "null_shift", keep=("team", "season"))
 
@@ -427,13 +432,35 @@ def downsample(spark, sf):
     return RS.downsample(el, keep)
 
 
-@query("sim09_truncated_history", on_eligible(SERIES, "ct AS (SELECT team, MAX(idx) FILTER (idx % 10 = 9 AND season < 2000) AS cut FROM ser WHERE team < 'J' GROUP BY 1)", """
-SELECT e.offense, COUNT(*) AS kept FROM el e JOIN ser s ON s.team = e.offense AND s.game_id = e.game_id LEFT JOIN ct ON ct.team = e.offense WHERE cut IS NULL OR idx >= cut GROUP BY 1"""))
+#: Training series, its strongest legal split and a split drawn by hash.
+CUTS = f"""tr AS (SELECT * FROM el WHERE season < 2000), {SERIES.replace('FROM el)', 'FROM tr)')}, {CURVE},
+cuts AS (SELECT 'split' AS policy, team, CAST(arg_max(idx + 1, (stat, -idx)) AS INT) AS cut FROM cv WHERE idx + 1 >= 6 AND size - idx - 1 >= 6 GROUP BY 2 HAVING MAX(stat) >= 0.9
+ UNION ALL SELECT 'random', team, CAST(6 + ('0x' || substr(md5('cut|' || team), 1, 8))::BIGINT % (COUNT(*) - 11) AS INT) FROM ser GROUP BY 2 HAVING COUNT(*) >= 12)"""
+
+
+def kept_ctes(policy):
+    held = f"(SELECT * FROM cuts WHERE policy = '{policy}')"
+    base = f"kp_{policy} AS (SELECT tr.* FROM tr JOIN ser ON ser.team = tr.offense AND ser.game_id = tr.game_id LEFT JOIN {held} c ON c.team = tr.offense WHERE c.cut IS NULL OR ser.idx >= c.cut)"
+    held_out = (f"hd_{policy} AS (SELECT league, offense AS team, 'd' || down || '_' || band || '_' || zone AS key, COUNT(*) AS plays, SUM(CASE WHEN is_pass THEN 1 ELSE 0 END) AS passes FROM el WHERE season = 2000 GROUP BY ALL)")
+    scored = (f"ss_{policy} AS (SELECT h.*, l.pass_rate AS pred FROM hd_{policy} h JOIN lad_{policy} l ON h.league = l.league AND h.team = l.team AND h.key = l.key)")
+    rows = (f"po_{policy} AS (SELECT '{policy}' AS policy, s.league, x.scope, SUM(plays)::BIGINT AS plays, {r6('SUM(plays * pred * pred - 2.0 * pred * passes + passes) / SUM(plays)')} AS brier, (SELECT COUNT(*) FROM kp_{policy} k WHERE k.league = s.league) AS kept "
+            f"FROM ss_{policy} s JOIN (SELECT DISTINCT offense AS team, 'all' AS scope FROM el UNION ALL SELECT DISTINCT team, 'touched' FROM cuts) x ON x.team = s.team GROUP BY ALL)")
+    return ",\n".join([base, ladder_ctes(f"kp_{policy}", f"_{policy}", "60.0", "1.0"), held_out, scored, rows])
+
+
+POLICIES = ("shipped", "split", "random")
+
+
+@query("sim09_truncated_history", on_eligible(CUTS, *[kept_ctes(p) for p in POLICIES], " UNION ALL ".join(f"SELECT * FROM po_{p}" for p in POLICIES)))
 def truncated(spark, sf):
+    """Held-out loss with all history, with that after a team's strongest split, and after a random one."""
     df = V.plays(spark, sf)
-    s = CP.game_series(df)
-    cuts = s.filter("team < 'J' and idx % 10 = 9 and season < 2000").groupBy("team").agg(F.max("idx").alias("cut"))
-    return S.eligible(CP.keep_after(df, s, cuts)).groupBy("offense").agg(F.count("*").alias("kept"))
+    s = CP.game_series(df.filter("season < 2000"))
+    best = CP.best_split(CP.cusum(s, ["team"]), ["team"]).filter("stat >= 0.9").selectExpr("'split' as policy", "team", "pos as cut")
+    sizes = s.groupBy("team").agg(F.count("*").alias("games")).filter("games >= 12")
+    drawn = sizes.withColumn("cut", (F.lit(6) + hash_draw(F.lit("cut"), "team") % (F.col("games") - 11)).cast("int")).selectExpr("'random' as policy", "team", "cut")
+    table = P.score_policies(df, s, best.unionByName(drawn), POLICIES, 2000)
+    return out(table, "brier", keep=("policy", "league", "scope", "plays", "kept"))
 
 
 @query("jn21_regime_or_team")
