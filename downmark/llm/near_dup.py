@@ -348,7 +348,7 @@ def _marks(shingle: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose bucket another row has too, from rows sorted by bucket; holds one row over a batch."""
+    """The nodes whose bucket another node has too, each once, from rows sorted by bucket and node; holds one row over a batch."""
     last, matched = None, False
     row = lambda b, n: pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["bucket", "node"])
     for batch in batches:
@@ -357,6 +357,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         if last is not None:
             bucket, node = np.append(last[0], bucket), np.append(last[1], node)
+        new = np.ones(len(bucket), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
+        bucket, node = bucket[new], node[new]
         keep_ = np.zeros(len(bucket), bool)
         same = bucket[1:] == bucket[:-1]
         keep_[1:] |= same
@@ -451,16 +454,17 @@ def _stars(rows: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("one.node", "two.node").alias("b"), F.least("one.node", "two.node").alias("a")).select("a", "b").distinct()
 
 
-def near_copies(nodes: DataFrame, marks_of, least: float, limit: int, cell: int = CELL) -> DataFrame | None:
+def near_copies(listed: DataFrame, nodes: DataFrame, marks_of, least: float, limit: int, cell: int = CELL) -> DataFrame | None:
     """(a, b): every text that a chain of links of ``least`` joins to one of smaller number, with the smallest; None if none is.
 
-    ``nodes`` are (node, fingerprint, size, prefix).  Two rounds compare the members of
+    ``listed`` are (node, prefix), a text's as often as it likes, and ``nodes`` (node,
+    fingerprint, size), each once.  Two rounds compare the members of
     each bucket with its most listed text, and the components of each with one another by
     such texts, so that a group of copies costs a comparison a copy.  After these, every
     pair of texts that shares a bucket, is within ``limit`` bits and is not joined yet is
     compared, so no link between two components is missed, however large the group.
     """
-    listed = nodes.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket").sortWithinPartitions("bucket")
+    listed = listed.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket").sortWithinPartitions("bucket", "node")
     met = keep(listed.mapInArrow(_met, "bucket long, node long"), "met")
     if met.isEmpty():
         return None
@@ -520,13 +524,15 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     rows = source.mapInArrow(_sketches(shingle, least, ranks), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in FPS) + ", size long, prefix array<long>")
     rows = keep(rows, "sketches")
     first = F.min(F.struct(F.col("id.key").isNull().alias("none"), F.col("id.key").alias("key"))).alias("least")
-    nodes = keep(rows.groupBy("id.node").agg(first, *[F.first(n).alias(n) for n in (*FPS, "size", "prefix")]), "nodes")
+    nodes = keep(rows.groupBy("id.node").agg(first, *[F.first(n).alias(n) for n in (*FPS, "size")]), "nodes")
 
     def marks_of(some: DataFrame) -> DataFrame:
-        texts = df.select(node.alias("node"), whole.alias("text")).join(some, "node", "left_semi")
-        return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_marks(shingle), "node long, marks array<long>")
+        # one row of each text: that of its smallest key
+        own = nodes.join(some, "node", "left_semi").select(F.col("node").alias("own"), F.col("least.key").alias("own_key"))
+        texts = df.select(F.col(key).alias("key"), node.alias("node"), whole.alias("text"))
+        return texts.join(own, (F.col("node") == F.col("own")) & F.col("key").eqNullSafe(F.col("own_key")), "left_semi").select("node", "text").mapInArrow(_marks(shingle), "node long, marks array<long>")
 
-    tops = near_copies(nodes, marks_of, least, limit, cell)
+    tops = near_copies(rows.select("id.node", "prefix"), nodes, marks_of, least, limit, cell)
     stay = nodes.select("node", "least")
     if tops is not None:
         grouped = nodes.select("node", "least").join(tops, nodes.node == tops.a, "left").withColumn("top", F.coalesce("b", "node"))
