@@ -31,12 +31,18 @@ def team_insights(described: DataFrame, by=("game_id", "offense")) -> DataFrame:
         F.expr("count_if(start_down = 3 and gained >= need) as third_made"), F.expr("count_if(actor is not null) as named"))
 
 
-def named_usage(described: DataFrame, by=("game_id", "offense")) -> DataFrame:
-    """Targets, catches, carries and yards per name; one unknown yardage makes the sum unknown."""
-    rows = described.filter("action in ('run', 'pass')").selectExpr(
+def named_plays(described: DataFrame, by=("game_id", "offense")) -> DataFrame:
+    """A row for every use of a name: carries of the actor of a run, targets of the receiver of a pass."""
+    return described.filter("action in ('run', 'pass')").selectExpr(
         *by, "play_id", "gained", "inline(array(struct('carrier' as role, if(action = 'run', actor, null) as name, true as done), "
         "struct('target' as role, if(action = 'pass', receiver, null) as name, gained > 0 as done)))").filter("name is not null")
-    return rows.groupBy(*by, "role", "name").agg(
+
+
+def named_usage(described: DataFrame, by=("game_id", "offense")) -> DataFrame:
+    """Targets, catches, carries and yards per name; one unknown yardage makes the sum unknown.
+
+    The plays themselves are the rows of ``named_plays``."""
+    return named_plays(described, by).groupBy(*by, "role", "name").agg(
         F.count("*").alias("uses"), F.expr("count_if(done) as completed"), F.expr("if(count_if(gained is null) = 0, sum(gained), null) as yards"),
         F.min("play_id").alias("first_play"), F.max("play_id").alias("last_play"))
 

@@ -95,7 +95,7 @@ pc AS (SELECT school, year, arg_max(coach_id, (games, -CAST(replace(hire_date, '
 def callers(spark, sf):
     from ..operators.shifts import primary_coaches
 
-    pc = primary_coaches(V.coach_seasons(spark, sf)).filter("school < 'S'")
+    pc = primary_coaches(V.coach_seasons(spark, sf))
     assignments = pc.groupBy("school", "coach_id").agg(F.collect_set("year").alias("seasons")).selectExpr(
         "school as team", "seasons", "string(coach_id) as caller", "concat(string(coach_id), '_', school) as tenure")
     exceptions = V.plays(spark, sf).filter("season = 1998 and week = 3").selectExpr("game_id", "offense as team").distinct()
@@ -104,12 +104,12 @@ def callers(spark, sf):
 
 @query("jn10_caller_assignment", on_plays(ASSIGN, """
 SELECT p.play_id, CASE WHEN p.season = 1998 AND p.week = 3 THEN NULL ELSE CAST(caller AS VARCHAR) END AS caller, CASE WHEN p.season = 1998 AND p.week = 3 THEN NULL ELSE caller || '_' || school END AS tenure
-FROM plays p LEFT JOIN pc ON p.offense = pc.school AND p.season = pc.year AND pc.school < 'S'"""))
+FROM plays p LEFT JOIN pc ON p.offense = pc.school AND p.season = pc.year"""))
 def caller_assignment(spark, sf):
     return X.assign_callers(V.plays(spark, sf), *callers(spark, sf)).select("play_id", "caller", "tenure")
 
 
-@query("win18_first_transfer", f"""WITH {ASSIGN}, s AS (SELECT CAST(caller AS VARCHAR) AS caller, caller || '_' || school AS tenure, school AS team, MIN(year) AS start FROM pc WHERE school < 'S' GROUP BY ALL)
+@query("win18_first_transfer", f"""WITH {ASSIGN}, s AS (SELECT CAST(caller AS VARCHAR) AS caller, caller || '_' || school AS tenure, school AS team, MIN(year) AS start FROM pc GROUP BY ALL)
 SELECT * FROM s WHERE EXISTS (SELECT 1 FROM s e WHERE e.caller = s.caller AND e.team <> s.team AND e.start < s.start)""")
 def transfers(spark, sf):
     return X.transfer_starts(callers(spark, sf)[0])
@@ -301,9 +301,9 @@ def rejected(spark, sf):
 
 
 @query("jn07_charting", on_plays("""
-SELECT play_id, CASE WHEN pk % 9 = 0 THEN 'missing' WHEN pk % 10 = 0 THEN 'other_week' WHEN pk % 12 >= 6 THEN 'changed' ELSE 'ok' END AS status FROM plays WHERE down = 3"""))
+SELECT play_id, CASE WHEN pk % 9 = 0 THEN 'missing' WHEN pk % 10 = 0 THEN 'other_week' WHEN pk % 12 >= 6 THEN 'changed' ELSE 'ok' END AS status FROM plays"""))
 def charting(spark, sf):
-    df = V.plays(spark, sf).filter("down = 3")
+    df = V.plays(spark, sf)
     chart = df.filter("pk % 9 <> 0").selectExpr("game_id", "play_id", "season as c_season", "week + if(pk % 10 = 0, 1, 0) as c_week", "pk % 12 < 6 as motion")
     t = df.join(chart, ["game_id", "play_id"], "left")
     return t.selectExpr("play_id", "case when c_season is null then 'missing' when c_season <> season or c_week <> week then 'other_week' when not motion then 'changed' else 'ok' end as status")

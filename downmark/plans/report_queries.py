@@ -252,12 +252,27 @@ def insights(spark, sf):
     return G.team_insights(described(spark, sf))
 
 
-@query("agg36_named_usage")
+#: Carries and targets by the planted names; yards as the reports settle them.
+USES = f"""ac AS (SELECT *, NOT {SKIP} AND category <> 'special' AND v NOT IN (3, 5) AND NOT (v = 4 AND {CHANGED}) AND NOT (down = 4 AND {CHANGED} AND v NOT IN (0, 4)) AND NOT (conflict AND v <> 4) AS counts, {ACTION_RPT22} AS action FROM s),
+us AS (SELECT game_id, offense, play_id, 'carrier' AS role, '#' || (20 + sk % 5) || ' R.Back' || substr('abcde', CAST(1 + sk % 5 AS INT), 1) AS name, CASE WHEN counts AND v <> 4 THEN val END AS gained, true AS done FROM ac WHERE action = 'run'
+ UNION ALL SELECT game_id, offense, play_id, 'target', '#' || (80 + sk % 7) || ' W.Out' || substr('abcdefg', CAST(1 + sk % 7 AS INT), 1), CASE WHEN counts AND v <> 4 THEN val END, coalesce(CASE WHEN counts AND v <> 4 THEN val END > 0, false) FROM ac WHERE action = 'pass' AND category = 'pass' AND v <> 5),
+ug AS (SELECT game_id, offense, role, name, COUNT(*) AS uses, COUNT(*) FILTER (done) AS completed, CAST(CASE WHEN COUNT(*) = COUNT(gained) THEN SUM(gained) END AS BIGINT) AS yards, MIN(play_id) AS first_play, MAX(play_id) AS last_play FROM us GROUP BY ALL)"""
+
+
+@query("agg36_named_usage", on_plays(REP, SETTLE, USES, "SELECT * FROM ug"))
 def usage(spark, sf):
     return G.named_usage(described(spark, sf))
 
 
-@query("agg38_leaders")
+@query("agg36_named_plays", on_plays(REP, SETTLE, USES, "SELECT game_id, offense, role, name, play_id FROM us"))
+def usage_plays(spark, sf):
+    """Every play id behind the counts, as rows."""
+    return G.named_plays(described(spark, sf)).select("game_id", "offense", "role", "name", "play_id")
+
+
+@query("agg38_leaders", on_plays(REP, SETTLE, USES, """tt AS (SELECT game_id, offense, role, SUM(uses) AS total, MAX(uses) AS top FROM ug GROUP BY ALL),
+ti AS (SELECT ug.game_id, ug.offense, ug.role, COUNT(*) AS n, MIN(name) AS name, MAX(uses) AS uses, MAX(total) AS total FROM ug JOIN tt ON tt.game_id = ug.game_id AND tt.offense = ug.offense AND tt.role = ug.role AND uses = top GROUP BY ALL)""", """
+SELECT game_id, offense, role, name, uses, CAST(total AS BIGINT) AS total FROM ti WHERE n = 1 AND uses >= 3 AND uses >= 0.4 * total"""))
 def leaders(spark, sf):
     return G.leaders(G.named_usage(described(spark, sf)))
 

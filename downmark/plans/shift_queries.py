@@ -52,9 +52,9 @@ def tenure_start(spark, sf):
     return SH.tenures(primary(spark, sf)).select("school", "year", "coach_id", "tenure_start")
 
 
-@query("prj38_regime_id", on_plays(TENURE, "SELECT play_id, CASE WHEN tn.school < 'S' THEN tn.school || '#' || tenure_start ELSE offense END AS regime FROM plays p LEFT JOIN tn ON tn.school = p.offense AND tn.year = p.season"))
+@query("prj38_regime_id", on_plays(TENURE, "SELECT play_id, CASE WHEN tn.school IS NOT NULL THEN tn.school || '#' || tenure_start ELSE offense END AS regime FROM plays p LEFT JOIN tn ON tn.school = p.offense AND tn.year = p.season"))
 def regime_id(spark, sf):
-    t = SH.tenures(primary(spark, sf)).filter("school < 'S'").selectExpr("school as offense", "year as season", "regime")
+    t = SH.tenures(primary(spark, sf)).selectExpr("school as offense", "year as season", "regime")
     return V.plays(spark, sf).join(t, ["offense", "season"], "left").selectExpr("play_id", "coalesce(regime, offense) as regime")
 
 

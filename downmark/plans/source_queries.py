@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -102,12 +105,12 @@ def changed_rows(spark, sf):
 
 @query("src11_upsert_reviews", on_plays("""
 a AS (SELECT game_id AS key, MAX(day) AS reviewed_at, COUNT(*) AS plays FROM (SELECT *, CAST(shipped AS DATE) AS day FROM plays WHERE week <= 8) GROUP BY 1
-  UNION ALL SELECT game_id, MAX(CAST(shipped AS DATE)) + 1, COUNT(*) FROM plays WHERE week BETWEEN 5 AND 12 GROUP BY 1)""", """
+  UNION ALL SELECT game_id, MAX(CAST(shipped AS DATE)) + 1, COUNT(*) FROM plays WHERE week >= 5 GROUP BY 1)""", """
 SELECT key, CAST(MAX(reviewed_at) AS DATE) AS reviewed_at, arg_max(plays, reviewed_at) AS plays FROM a GROUP BY key"""))
 def upsert_reviews(spark, sf):
     df = V.plays(spark, sf)
     index = df.filter("week <= 8").groupBy(F.col("game_id").alias("key")).agg(F.max("day").alias("reviewed_at"), F.count("*").alias("plays"))
-    new = (df.filter("week between 5 and 12").groupBy(F.col("game_id").alias("key"))
+    new = (df.filter("week >= 5").groupBy(F.col("game_id").alias("key"))
            .agg(F.date_add(F.max("day"), 1).alias("reviewed_at"), F.count("*").alias("plays")))
     return sinks.upsert(index, new)
 
@@ -178,10 +181,10 @@ def resolve_text(spark, sf):
 
 
 @query("prj14_no_down_types", on_plays("""
-SELECT play_id, CASE WHEN category = 'special' AND pk % 3 = 0 THEN NULL ELSE down END AS down, CASE WHEN category = 'special' AND pk % 3 = 0 THEN NULL ELSE distance END AS distance
-FROM plays WHERE play_type_raw IN ('Punt', 'Rush')"""))
+SELECT play_id, CASE WHEN play_type_raw = 'Punt' AND pk % 3 = 0 THEN NULL ELSE down END AS down, CASE WHEN play_type_raw = 'Punt' AND pk % 3 = 0 THEN NULL ELSE distance END AS distance
+FROM plays"""))
 def no_down(spark, sf):
-    df = V.plays(spark, sf).filter("play_type_raw in ('Punt', 'Rush')").withColumn(
+    df = V.plays(spark, sf).withColumn(
         "t", F.expr("if(play_type_raw = 'Punt' and pk % 3 = 0, 'Kickoff Return Touchdown', play_type_raw)"))
     hit = f"t in ({L.quoted(L.NO_DOWN)})"
     return df.selectExpr("play_id", f"if({hit}, null, down) as down", f"if({hit}, null, distance) as distance")
@@ -252,11 +255,12 @@ def resolve_team(spark, sf):
     return run(asked, nation.selectExpr("n_name as team")).select("k", "team")
 
 
-@query("set01_season_union", on_plays("SELECT season, league, COUNT(*) AS plays FROM plays WHERE season IN (1995, 1997, 1999) GROUP BY ALL"))
+@query("set01_season_union", on_plays("SELECT season, league, COUNT(*) AS plays FROM plays GROUP BY ALL"))
 def season_union(spark, sf):
     df = V.plays(spark, sf).select("season", "league", "play_id")
-    parts = [df.filter(f"season = {s}") for s in (1995, 1997, 1999)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("season", "league").agg(F.count("*").alias("plays"))
+    seasons = sorted(r["season"] for r in df.select("season").distinct().collect())  # a few values
+    frames = [df.filter(f"season = {s}") for s in seasons]
+    return functools.reduce(DataFrame.unionByName, frames).groupBy("season", "league").agg(F.count("*").alias("plays"))
 
 
 @query("set03_shared_schools", f"WITH {COACH_SQL} SELECT DISTINCT school FROM coach_year WHERE year = 1996 AND coach_id % 2 = 0 INTERSECT SELECT DISTINCT school FROM coach_year WHERE year = 1997 AND games > 5")
