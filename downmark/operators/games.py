@@ -55,44 +55,47 @@ def leaders(usage: DataFrame, by=("game_id", "offense"), least: int = 3, share:
     return tied.filter(f"at_top = 1 and uses >= {least} and uses >= {share} * total").drop("at_top")
 
 
-def drive_rows(reports: DataFrame, block="block", order=("position",)) -> DataFrame:
+def drive_rows(reports: DataFrame, order=("position",)) -> DataFrame:
     """The reports of each drive with its team and what each of them counts for.
 
     ``reports`` are described, with movement.  The drive's team is that of its first report
     that is neither a marker, kickoff, conversion nor kick.  A kick before that (the one
     that gave the ball) and a lone refused ruling do not count; the team's own kick ends
     the drive without counting.  ``prev_end`` is where the last verified movement before
-    the report ended, carried from block to block, so a drive may cross any number of them.
+    the report ended.  What the words say is read before the rows are shuffled, and they
+    are shuffled once: all that a drive decides are windows over it.
     """
     place = F.struct(*order)
+    drive = W.partitionBy("drive_id")
     lead = F.expr("not marker and not kickoff and not conversion")
     own_lead = lead & F.expr("outcome <> 'kick'")
-    teams = reports.groupBy("drive_id").agg(F.coalesce(F.min_by(F.struct("start_team"), F.when(own_lead, place)), F.max_by(F.struct("start_team"), F.when(lead, place))).alias("_team"))
-    rows = reports.join(teams, "drive_id").withColumn("team", F.col("_team.start_team")).drop("_team")
+    rows = reports.filter("drive_id is not null").withColumns({
+        "_live": F.expr("not marker and not kickoff and not conversion and not (startswith(upper(trim(primary)), 'PENALTY') and penalties > 0 and not accepted and not f_penalty)"),
+        "_acted": F.expr(ACTED), "_closed": F.expr(f"nullif({drive_ending()}, '')")})
+    first = F.coalesce(F.min_by(F.struct("start_team"), F.when(own_lead, place)).over(drive), F.max_by(F.struct("start_team"), F.when(lead, place)).over(drive))
+    rows = rows.withColumn("_team", first).withColumn("team", F.col("_team.start_team")).drop("_team")
     rows = rows.withColumn("own", F.expr("coalesce(start_team = team, false)"))
-    rows = rows.withColumn("_live", F.expr("not marker and not kickoff and not conversion and not (startswith(upper(trim(primary)), 'PENALTY') and penalties > 0 and not accepted and not f_penalty)"))
     rows = rows.withColumn("own_kick", F.expr("_live and outcome = 'kick' and own and not f_penalty"))
     rows = rows.withColumn("_sure", F.expr("_live and not own_kick and (own or outcome <> 'kick')"))
-    begin = rows.groupBy("drive_id").agg(F.min(F.when(F.col("_sure"), place)).alias("_begin"))
-    rows = rows.join(begin, "drive_id").withColumn("_place", place)
+    rows = rows.withColumn("_begin", F.min(F.when(F.col("_sure"), place)).over(drive)).withColumn("_place", place)
     rows = rows.withColumn("counted", F.expr("_sure or (_live and not own_kick and coalesce(_place > _begin, false))"))
     rows = rows.withColumn("opens", F.expr("coalesce(_place = _begin, false)")).drop("_live", "_sure", "_place", "_begin")
     rows = rows.withColumn("moved", F.expr("counted and own and movement is not null"))
     end = F.expr("if(moved, start_yards_to_goal - movement.net, null)")
-    return with_last_known(rows, ["drive_id"], block, list(order), "prev_end", end, include_current=False)
+    return rows.withColumn("prev_end", F.last(end, ignorenulls=True).over(drive.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)))
 
 
-def drive_summary(reports: DataFrame, block="block", order=("position",)) -> DataFrame:
+def drive_summary(reports: DataFrame, order=("position",)) -> DataFrame:
     """Plays, yards by plays and by penalties, actions and the end of every drive.
 
     Yards are null unless the drive is verified: it begins on first down, every counted
     report has a movement of the drive's team, and each begins where the one before ended.
     One unknown yardage makes the totals unknown, never a partial sum.
     """
-    rows = drive_rows(reports, block, order)
-    snap = f"(action in ('run', 'pass', 'sack') or clock_play or (movement is not null and f_penalty and not wiped and {ACTED}))"
+    rows = drive_rows(reports, order)
+    snap = "(action in ('run', 'pass', 'sack') or clock_play or (movement is not null and f_penalty and not wiped and _acted))"
     breaks = "prev_end is not null and ((moved and prev_end <> start_yards_to_goal) or (own_kick and not coalesce(prev_end = start_yards_to_goal, false)))"
-    done = rows.withColumn("_end", F.expr(f"if(marker or own_kick or counted, nullif({drive_ending()}, ''), null)"))
+    done = rows.withColumn("_end", F.expr("if(marker or own_kick or counted, _closed, null)"))
     own = lambda kind: F.expr(f"count_if(counted and own and action in ({kind}))")
     out = done.groupBy("drive_id").agg(
         F.first("team").alias("team"), F.expr("count_if(counted)").alias("reports"), F.expr(f"count_if(counted and {snap})").alias("plays"),
@@ -107,9 +110,9 @@ def drive_summary(reports: DataFrame, block="block", order=("position",)) -> Dat
                           "ending is not null as complete", "ending")
 
 
-def drive_progress(reports: DataFrame, block="block", order=("position",)) -> DataFrame:
+def drive_progress(reports: DataFrame, order=("position",)) -> DataFrame:
     """The field segments of every drive: (drive_id, play_id, kind, from_yard, to_yard), a play's before its penalty's."""
-    moved = drive_rows(reports, block, order).filter("moved")
+    moved = drive_rows(reports, order).filter("moved")
     parts = ("filter(array(struct('play' as kind, 100 - start_yards_to_goal as from_yard, 100 - start_yards_to_goal + movement.play as to_yard), "
              "struct('penalty' as kind, 100 - start_yards_to_goal + movement.play as from_yard, 100 - start_yards_to_goal + movement.net as to_yard)), "
              "x -> if(x.kind = 'play', movement.play <> 0 or movement.penalty = 0, movement.penalty <> 0))")
