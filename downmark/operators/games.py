@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reports import ACTION, drive_ending, has, PENALTY, q
 from ..scale import with_island, with_last_known, with_position, with_previous, with_running
+from ..session import cut_lineage
 
 
 #: Whether a snap is told before the first ruling of a report.
@@ -182,9 +183,10 @@ def review_moments(rows: DataFrame, size: int = 3, parts: int = 32) -> DataFrame
 
     ``rows`` are described reports with the yards of a catch in the air and after it where
     they are known.  Slot after slot picks the first play in its order that no slot before
-    it took; what is missing is filled by the largest gains of the plays left.
+    it took; what is missing is filled by the largest gains of the plays left.  Every slot
+    reads the counted plays and the slots before it, so they are described once and kept.
     """
-    counted = rows.filter("need is not null").select("game_id", "play_id", "position", "gained", "need", "start_down", "air", "after")
+    counted = cut_lineage(rows.filter("need is not null").select("game_id", "play_id", "position", "gained", "need", "start_down", "air", "after"))
     taken = None
     for slot, cond, rank in MOMENTS[:size]:
         open_ = counted.filter(cond)
