@@ -71,29 +71,41 @@ def log_factorial(k: str) -> str:
     return f"if({k} < 8, element_at(array({small}), int(least({k}, 7)) + 1), {series})"
 
 
-def binomial_draw(n: str, p: str, u: str) -> str:
-    """The binomial count of ``n`` trials whose distribution function first passes ``u``.
+def binomial_table(n: str, p: str) -> str:
+    """struct(low, high, upto): the distribution function of ``n`` trials from ``low`` on, null where nothing is left to chance.
 
     The probabilities are laid out in closed form over ten standard deviations round the
-    mean, so a draw costs the root of ``n``, not ``n``, and needs no row per trial."""
+    mean, so a table costs the root of ``n``, not ``n``, and needs no row per trial."""
     half = f"bigint(ceil(10.0D * sqrt({n} * {p} * (1.0D - {p})))) + 10"
     middle = f"bigint(round({n} * {p}))"
     low, high = f"greatest(0L, {middle} - ({half}))", f"least(bigint({n}), {middle} + ({half}))"
     mass = f"exp({log_factorial(f'bigint({n})')} - {log_factorial('k')} - {log_factorial(f'(bigint({n}) - k)')} + k * ln({p}) + ({n} - k) * ln(1.0D - {p}))"
-    walk = f"aggregate(transform(sequence({low}, {high}), k -> {mass}), struct(0.0D as upto, 0L as passed), (s, m) -> struct(s.upto + m as upto, s.passed + if(s.upto + m <= {u}, 1L, 0L) as passed), s -> s.passed)"
-    return f"case when {n} = 0 or {p} <= 0.0D then 0L when {p} >= 1.0D then bigint({n}) else least({high}, {low} + {walk}) end"
+    upto = (f"aggregate(transform(sequence({low}, {high}), k -> {mass}), struct(0.0D as sum, cast(array() as array<double>) as upto), "
+            f"(s, m) -> struct(s.sum + m as sum, array_append(s.upto, s.sum + m) as upto), s -> s.upto)")
+    return f"if({n} > 0 and {p} > 0.0D and {p} < 1.0D, struct({low} as low, {high} as high, {upto} as upto), null)"
+
+
+def binomial_draw(n: str, p: str, u: str, table: str) -> str:
+    """The binomial count of ``n`` trials whose distribution function, given by its table, first passes ``u``: found by halving."""
+    steps = ", ".join(str(1 << i) for i in range(25, -1, -1))
+    passed = f"aggregate(array({steps}), 0, (at, step) -> if(at + step <= size({table}.upto) and coalesce(get({table}.upto, at + step - 1) <= {u}, false), at + step, at))"
+    return f"case when {n} = 0 or {p} <= 0.0D then 0L when {p} >= 1.0D then bigint({n}) else least({table}.high, {table}.low + {passed}) end"
 
 
 def null_shift(pairs: DataFrame, draws: int = 200, by=("team", "season")) -> DataFrame:
     """The shift when nothing changed: both seasons redrawn from the pooled rate.
 
     One uniform per (cell, draw, side) is put through the binomial distribution function,
-    so the rows are cells times draws, whatever the number of plays."""
-    pooled = pairs.withColumn("pooled", F.expr("(p_a + p_b) / (n_a + n_b)")).select(*by, "bucket", "n_a", "n_b", "pooled")
-    rows = pooled.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    so the rows are cells times draws, whatever the number of plays.  A cell's functions are
+    laid out once for all draws; the cells are few bytes but much work, so they are spread
+    over all partitions."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pooled = pairs.withColumn("pooled", F.expr("(p_a + p_b) / (n_a + n_b)")).select(*by, "bucket", "n_a", "n_b", "pooled").repartition(parts, *by, "bucket")
+    tables = pooled.withColumns({f"_t{x}": F.expr(binomial_table(f"n_{x}", "pooled")) for x in ("a", "b")})
+    rows = tables.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     for side in ("a", "b"):
         rows = rows.withColumn(f"_u{side}", hash_unit(*by, "bucket", F.lit(side), "draw"))
-    drawn = rows.selectExpr(*by, "bucket", "n_a", "n_b", "draw", *[f"{binomial_draw(f'n_{x}', 'pooled', f'_u{x}')} as p_{x}" for x in ("a", "b")])
+    drawn = rows.selectExpr(*by, "bucket", "n_a", "n_b", "draw", *[f"{binomial_draw(f'n_{x}', 'pooled', f'_u{x}', f'_t{x}')} as p_{x}" for x in ("a", "b")])
     per = shift_sizes(drawn, (*by, "draw"), 0)
     return per.groupBy(*by).agg(F.avg("shift").alias("null_shift"))
 
