@@ -1,9 +1,10 @@
-"""A small grammar of play reports: one pass cuts a text into tokens, rules look at their places.
+"""A small grammar of play reports: one pass cuts a text into tokens, rules are patterns over them.
 
 A token is a jersey number (``#12``), a clock, a number, a name with its initials
-(``R.Back``), a word or a punctuation mark.  A rule names the place where its clause
-begins and reads on from there; what does not fit the clause gives null or ''.  Rules are
-SQL expressions over a token array bound by ``let``, so the text is cut once a rule.
+(``R.Back``), a word or a punctuation mark.  ``told`` writes the tokens of a text behind one
+another with a blank round each, so a rule is a pattern whose first match is its clause; what
+does not fit the clause gives null or ''.  Rules are SQL expressions over that
+string bound by ``let``, so the text is cut once a rule and no rule walks over places.
 """
 
 from __future__ import annotations
@@ -46,82 +47,66 @@ def tokens(text: str) -> str:
     return f"regexp_extract_all({text}, {q(TOKEN)}, 0)"
 
 
-def word(i: str, t: str = "t") -> str:
-    """The token at a place in small letters; '' outside the text."""
-    return f"lower(coalesce(get({t}, {i}), ''))"
+def told(text: str) -> str:
+    """The tokens of a text in one string, a blank before, between and behind them."""
+    return f"concat(' ', array_join({tokens(text)}, ' '), ' ')"
 
 
-def is_in(i: str, words, t: str = "t") -> str:
-    return f"{word(i, t)} in {listed(words)}"
+def one_of(words) -> str:
+    """A pattern of one token, in letters of any case."""
+    return "(?i:" + "|".join(words) + ") "
 
 
-def is_number(i: str, t: str = "t") -> str:
-    return f"coalesce(try_cast(get({t}, {i}) as int) is not null, false)"
+def read(text: str, pattern: str, group: int = 1) -> str:
+    """What a group of the first match holds, null if there is none."""
+    return f"nullif(regexp_extract({text}, {q(pattern)}, {group}), '')"
 
 
-def number(i: str, t: str = "t") -> str:
-    return f"try_cast(get({t}, {i}) as int)"
+#: A token that an int holds, one after which a name ends, and one that can be part of a name.
+NUMBER = ("-?0*(?:\\d{1,9}|1\\d{9}|20\\d{8}|21[0-3]\\d{7}|214[0-6]\\d{6}|2147[0-3]\\d{5}|21474[0-7]\\d{4}|214748[0-2]\\d{3}|2147483[0-5]\\d{2}|"
+          "21474836[0-3]\\d|214748364[0-7])|-0*2147483648")
+UNIT = one_of(UNITS)
+NAME = f"(?!{one_of(NO_NAMES)})(?:[#\\p{{Lu}}\\p{{Lt}}]\\S* |{one_of(PARTICLES)})"
 
 
-def first(cond: str, start: str = "0", t: str = "t") -> str:
-    """The first place ``i`` from ``start`` on where ``cond`` holds, null if none."""
-    return f"array_min(filter(sequence(0, size({t})), i -> i >= {start} and i < size({t}) and ({cond})))"
-
-
-def named(x: str) -> str:
-    """Whether a token can be part of a name."""
-    initial = f"substring({x}, 1, 1)"
-    return f"(({initial} = '#' or {initial} <> lower({initial}) or lower({x}) in {listed(PARTICLES)}) and lower({x}) not in {listed(NO_NAMES)})"
-
-
-def spelled(start: str, stop: str, t: str = "t") -> str:
-    """The tokens between two places as text if all of them can be a name, else null."""
-    part = f"slice({t}, {start} + 1, greatest({stop} - ({start}), 0))"
-    return f"if({stop} > {start} and not exists({part}, x -> not {named('x')}), array_join({part}, ' '), null)"
+def number(text: str) -> str:
+    return f"try_cast({text} as int)"
 
 
 def yards(clause: str) -> str:
     """Gain or loss in the words before any ruling: a stated loss, else the first amount, else no gain."""
-    loss = first(f"{word('i')} = 'loss' and {word('i + 1')} = 'of' and {is_number('i + 2')} and {is_in('i + 3', UNITS)} "
-                 f"and ({word('i - 1')} = 'for' or ({word('i - 1')} = 'a' and {word('i - 2')} = 'for'))")
-    amount = first(f"{word('i')} = 'for' and {is_number('i + 1')} and {is_in('i + 2', UNITS)}")
-    none = first(f"{word('i')} = 'no' and {word('i + 1')} = 'gain'")
-    value = (f"case when p.loss is not null then -{number('p.loss + 2')} when p.amount is not null then {number('p.amount + 1')} * if({word('p.amount + 3')} = 'loss', -1, 1) "
-             f"when p.zero is not null then 0 end")
-    return let("t", tokens(clause), let("p", f"struct({loss} as loss, {amount} as amount, {none} as zero)", value))
+    loss = number(read("t", f" for (?:a )?loss of ({NUMBER}) {UNIT}"))
+    amount = f" for ({NUMBER}) {UNIT}(loss )?"
+    body = (f"case when p.loss is not null then -p.loss when p.amount is not null then p.amount * if({read('t', amount, 2)} is not null, -1, 1) "
+            f"when contains(t, ' no gain ') then 0 end")
+    return let("t", f"lower({told(clause)})", let("p", f"struct({loss} as loss, {number(read('t', amount))} as amount)", body))
 
 
 def ruling(clause: str) -> str:
     """struct(name, yards, refused) of the words after PENALTY: the team, the name, its yards and from where."""
-    stop = first(f"get(t, i) in ('(', '[') or ({is_number('i')} and {is_in('i + 1', UNITS)})", "1")
-    spot = first(f"{is_number('i')} and {is_in('i + 1', UNITS)} and {word('i + 2')} = 'from'", "1")
-    name = "if(p.stop > 1, array_join(slice(t, 2, p.stop - 1), ' '), '')"
-    refused = f"exists(t, x -> lower(x) in {listed(REFUSED)})"
-    body = f"struct(coalesce({name}, '') as name, {number('p.spot')} as yards, {refused} as refused)"
-    return let("t", tokens(clause), let("p", f"struct({stop} as stop, {spot} as spot)", body))
+    word, stop = r"\S+ ", f"(?:[(\\[] |(?:{NUMBER}) {UNIT})"
+    name = f"coalesce(rtrim(regexp_extract(t, {q(f'^ {word}((?:(?!{stop}){word})+){stop}')}, 1)), '')"
+    spot = number(read("t", f"^ {word}(?:{word})*?({NUMBER}) {UNIT}(?i:from) "))
+    return let("t", told(clause), f"struct({name} as name, {spot} as yards, t rlike {q(' ' + one_of(REFUSED))} as refused)")
 
 
 def hurry(text: str) -> str:
     """The one who hurried the passer: a jersey number and one or two names, before a mark, a number, a ruling or the end."""
-    at = first(f"{word('i')} = 'qb' and {word('i + 1')} = 'hurried' and {word('i + 2')} = 'by'")
-    begin = "p + 3 + if(get(t, p + 3) like '#%', 1, 0)"
-    size = f"if({named(f'coalesce(get(t, b), {q('a')})')}, 1 + if({named(f'coalesce(get(t, b + 1), {q('a')})')} and not coalesce(get(t, b + 1), '') like '#%', 1, 0), 0)"
-    closes = f"get(t, b + n) is null or get(t, b + n) in (',', ';', '(', '[', '.') or get(t, b + n) like '#%' or {word('b + n')} = 'penalty' or ({word('b + n')} = 'original' and {word('b + n + 1')} = 'play')"
-    body = f"if(n > 0 and ({closes}), array_join(slice(t, p + 4, b + n - p - 3), ' '), '')"
-    return f"coalesce({let('t', tokens(text), let('p', at, f'if(p is null, {q('')}, {let('b', begin, let('n', size, body))})'))}, '')"
+    closes = r"(?=$|[,;(\[.] |#|(?i:penalty) |(?i:original) (?i:play) )"
+    whole = f"^(?>.*? (?i:qb) (?i:hurried) (?i:by) )((?:#\\S* )?+{NAME}(?:(?!#){NAME})?+){closes}"
+    return f"if(contains(lower({text}), 'hurried'), rtrim(regexp_extract({told(text)}, {q(whole)}, 1)), '')"
 
 
 def seen(clause: str) -> str:
     """Formation, depth and direction as short sentences, in that order."""
-    a = first(f"{word('i')} = 'pass' and {is_in('i + 1', PASS_RESULTS[:2])} and {is_in('i + 2', DEPTHS)}")
-    r = first(f"{word('i')} = 'rush' and {is_in('i + 1', SIDES)}")
-    shotgun = f"exists(t, x -> lower(x) in ('shotgun', 'huddle-shotgun'))"
-    huddle = first(f"{word('i')} = 'no' and {is_in('i + 1', ('huddle', 'huddle-shotgun'))}")
-    place = f"case when {is_in('p.a + 3', SIDES)} then if({word('p.a + 3')} = 'middle', ' over the middle', concat(' to the ', {word('p.a + 3')})) else '' end"
-    body = (f"array_compact(array(if({shotgun}, 'Shotgun', null), if(p.h is not null, 'No huddle', null), "
-            f"case when p.a is not null then concat(initcap({word('p.a + 2')}), ' pass', {place}) "
-            f"when p.r is not null then if({word('p.r + 1')} = 'middle', 'Run through the middle', concat('Run to the ', {word('p.r + 1')})) end))")
-    return let("t", tokens(clause), let("p", f"struct({a} as a, {r} as r, {huddle} as h)", body))
+    side = "|".join(SIDES)
+    thrown = f" pass (?:{'|'.join(PASS_RESULTS[:2])}) ({'|'.join(DEPTHS)}) (?:({side}) )?"
+    found = f"struct({read('t', thrown)} as depth, {read('t', thrown, 2)} as to, {read('t', f' rush ({side}) ')} as run)"
+    over = "if(p.to = 'middle', ' over the middle', concat(' to the ', p.to))"
+    through = "if(p.run = 'middle', 'Run through the middle', concat('Run to the ', p.run))"
+    body = (f"array_compact(array(if(contains(t, ' shotgun ') or contains(t, ' huddle-shotgun '), 'Shotgun', null), if(t rlike ' no huddle(?:-shotgun)? ', 'No huddle', null), "
+            f"case when p.depth is not null then concat(initcap(p.depth), ' pass', if(p.to is null, '', {over})) when p.run is not null then {through} end))")
+    return let("t", f"lower({told(clause)})", let("p", found, body))
 
 
 def players(clause: str, run_type: str) -> str:
@@ -130,18 +115,14 @@ def players(clause: str, run_type: str) -> str:
     A lead of clock and formation, and a sentence that someone is eligible, come before
     the actor.  On a run type the place on the line may stand for the verb.
     """
-    eligible = first(f"{word('i')} = 'eligible' and {word('i - 1')} = 'as' and {word('i - 2')} = 'in' and {word('i - 3')} = 'reported'")
-    lead = f"get(t, i) in ('(', ')', ',') or get(t, i) like '%:%' or {is_in('i', FORMATIONS)} or (p.e is not null and i <= p.e + if(get(t, p.e + 1) = '.', 1, 0))"
-    begin = first(f"not ({lead})")
-    verb = first(f"{is_in('i', RUN_VERBS)} or {word('i')} = 'sacked' or ({word('i')} = 'pass' and {is_in('i + 1', (*PASS_RESULTS, *DEPTHS))})", "p.b")
-    line = first(f"({is_in('i', ('left', 'right'))} and {is_in('i + 1', LINE_PLACES)}) or ({word('i')} = 'up' and {word('i + 1')} = 'the' and {word('i + 2')} = 'middle')", "p.b")
-    throw = first(f"{word('i')} = 'pass'", "p.b")
-    actor = f"coalesce({spelled('p.b', 'v.verb')}, if({run_type}, {spelled('p.b', 'v.line')}, null))"
-    after = lambda at, words: f"if({is_in(at, words)}, 1, 0)"
-    one = f"v.throw + 1 + {after('v.throw + 1', PASS_RESULTS[:2])}"
-    two = f"a + {after('a', DEPTHS)}"
-    three = f"d + {after('d', SIDES)}"
-    stop = f"coalesce({first(f'{is_in('i', (*AFTER_RECEIVER, *NO_NAMES))} or get(t, i) in ({q(',')}, {q('(')}, {q('[')}, {q('.')})', 's + 1')}, size(t))"
-    receiver = let("a", one, let("d", two, let("s", three, f"if({word('s')} = 'to', {let('e', stop, spelled('s + 1', 'e'))}, null)")))
-    body = f"struct({actor} as actor, {receiver} as receiver)"
-    return let("t", tokens(clause), let("p", f"struct({eligible} as e)", let("p", f"struct({begin} as b)", let("v", f"struct({verb} as verb, {line} as line, {throw} as throw)", body))))
+    eligible = r"(?:.*? (?i:reported) (?i:in) (?i:as) (?i:eligible) (?:\. )?)?+"
+    lead = f"(?:(?:[(),]|\\S*:\\S*) |{one_of(FORMATIONS)})*+"
+    begin = f"^{eligible} ?{lead}"
+    verb = f"(?:{one_of((*RUN_VERBS, 'sacked'))}|(?i:pass) {one_of((*PASS_RESULTS, *DEPTHS))})"
+    line = f"(?:{one_of(('left', 'right'))}{one_of(LINE_PLACES)}|(?i:up) (?i:the) (?i:middle) )"
+    word = "\\S+ "
+    throw = f"(?:(?!(?i:pass) ){word})*+(?i:pass) (?:{one_of(PASS_RESULTS[:2])})?(?:{one_of(DEPTHS)})?(?:{one_of(SIDES)})?(?i:to) "
+    stop = f"(?:{one_of((*AFTER_RECEIVER, *NO_NAMES))}|[,(\\[.] )"
+    actor = f"coalesce({read('t', f'{begin}((?:{NAME})++){verb}')}, if({run_type}, {read('t', f'{begin}(?!{line})((?:{NAME})+?){line}')}, null))"
+    receiver = read("t", f"{begin}{throw}((?:(?!{stop}){NAME})++)(?={stop}|$)")
+    return let("t", told(clause), f"struct(rtrim({actor}) as actor, rtrim({receiver}) as receiver)")

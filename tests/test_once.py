@@ -1,8 +1,13 @@
 """Rows are described once, cells laid out once, and rules read a text without walking over its places."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from downmark.functions import grammar as GR
 from downmark.operators import games as G
+from downmark.operators import shifts as SH
 
 
 def plan(df):
@@ -25,3 +30,32 @@ def test_drives_read_their_reports_once(spark, summary):
 def test_drives_keep_their_figures(spark):
     rows = G.drive_summary(drives(spark)).select("drive_id", "plays", "verified", "net_yards").collect()
     assert sorted(map(tuple, rows)) == [("d0", 3, True, 12), ("d1", 3, True, 12)]
+
+
+def test_moments_read_their_reports_once(spark):
+    rows = spark.range(9).selectExpr("'g' as game_id", "string(id) as play_id", "id as position", "int(id) as gained", "4 as need", "3 as start_down", "int(id % 3) as air", "int(id % 2) as after")
+    assert "Range (" not in plan(G.review_moments(rows))
+
+
+@pytest.mark.parametrize(("n", "p"), [(1, 0.5), (10, 0.3), (200, 0.02), (5000, 0.61)])
+def test_binomial_counts_by_table(spark, n, p):
+    df = spark.range(1, 40).selectExpr(f"{n}L as n", f"{p}D as p", "id / 40D as u")
+    got = df.withColumn("t", F.expr(SH.binomial_table("n", "p"))).selectExpr("u", f"{SH.binomial_draw('n', 'p', 'u', 't')} as x").collect()
+    for row in got:
+        upto, x = 0.0, 0
+        while x < n:
+            upto += math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log(1 - p))
+            if upto > row["u"]:
+                break
+            x += 1
+        assert row["x"] == x
+
+
+def test_cells_are_spread_before_they_are_drawn(spark):
+    pairs = spark.range(4).selectExpr("'t' as team", "1999 as season", "string(id) as bucket", "10L as n_a", "12L as n_b", "3L as p_a", "4L as p_b")
+    assert "REPARTITION_BY_NUM" in plan(SH.null_shift(pairs, 3))
+
+
+@pytest.mark.parametrize("rule", [GR.yards("x"), GR.ruling("x"), GR.hurry("x"), GR.seen("x"), GR.players("x", "true")])
+def test_rules_do_not_walk_over_places(rule):
+    assert "sequence(" not in rule
