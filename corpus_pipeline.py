@@ -39,6 +39,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more.
 
+    SimHash fingerprints and their deletion variants give the first links, rarest shingles
+    all that these miss; exact similarities decide.
     A group is what chains of such pairs join; the smallest key of it stays, null keys last.
     Null, empty and blank texts are a group; repeated rows stay once; an empty table stays
     empty; other columns stay as they are.

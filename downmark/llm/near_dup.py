@@ -436,10 +436,8 @@ def across_pairs(rows: DataFrame, limit: int, least: float, cell: int = CELL) ->
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(limit, least), "a long, b long").distinct()
 
 
-def _labelled(met: DataFrame, tops: DataFrame | None) -> DataFrame:
+def _labelled(met: DataFrame, tops: DataFrame) -> DataFrame:
     """Listings with the component of each text, of the buckets that hold more than one."""
-    if tops is None:
-        return met.withColumn("top", F.col("node"))
     rows = met.join(tops.select(F.col("a").alias("node"), F.col("b").alias("_b")), "node", "left").withColumn("top", F.coalesce("_b", "node")).drop("_b")
     open_ = rows.groupBy("bucket").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low <> high").select("bucket")
     return keep(rows.join(keep(open_, "open"), "bucket", "left_semi"), "listed")
@@ -458,7 +456,9 @@ def near_copies(listed: DataFrame, nodes: DataFrame, marks_of, least: float, lim
     """(a, b): every text that a chain of links of ``least`` joins to one of smaller number, with the smallest; None if none is.
 
     ``listed`` are (node, prefix), a text's as often as it likes, and ``nodes`` (node,
-    fingerprint, size), each once.  Two rounds compare the members of
+    fingerprint, size), each once.  The links of ``near_links``, by the first word of the
+    fingerprint and its deletion variants, come first; exact similarities decide which hold.
+    Two rounds compare the members of
     each bucket with its most listed text, and the components of each with one another by
     such texts, so that a group of copies costs a comparison a copy.  After these, every
     pair of texts that shares a bucket, is within ``limit`` bits and is not joined yet is
@@ -482,16 +482,17 @@ def near_copies(listed: DataFrame, nodes: DataFrame, marks_of, least: float, lim
         found = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("one") + F.size("two")).alias("both"), F.size(F.array_intersect("one", "two")).alias("same"))
         return found.filter((F.col("both") == 0) | (F.col("same") / (F.col("both") - F.col("same")) >= least)).select("a", "b")
 
-    tops, tested = None, None
+    def close(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(like & (bits <= limit)).select("a", "b")
+
+    # a text that shares no listing has no link of ``least``, so the fingerprints of the others will do
+    linked = near_links(sketch.select("fp", "node"), cell=cell).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tested = keep(linked.filter("a <> b").distinct(), "variants")
+    tops = roots(verified(close(tested)))
     for _ in range(2):
-        pairs = _stars(_labelled(met, tops))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "stars")
-        close = pairs.join(side("a"), "a").join(side("b"), "b").filter(like & (bits <= limit)).select("a", "b")
-        found = verified(close)
-        tops = roots(found if tops is None else tops.union(found))
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = keep(_stars(_labelled(met, tops)).join(tested, ["a", "b"], "left_anti"), "stars")
+        tops = roots(tops.union(verified(close(pairs))))
+        tested = tested.union(pairs)
     rows = _labelled(met, tops)
     if not rows.isEmpty():
         pairs = across_pairs(rows.join(sketch, "node"), limit, least, cell)
@@ -506,8 +507,10 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     """The rows of ``df`` without near-duplicates: one row of each group, all columns as they are.
 
     Two texts link if they share ``least`` of their shingles, repeats counted; a group is
-    all texts that chains of links join, and its row with the smallest key stays.  Texts
-    that share one of their rarest shingles are candidates: in an order of shingles common
+    all texts that chains of links join, and its row with the smallest key stays.  SimHash
+    fingerprints within four bits, met through deletion variants, are the first candidates.
+    What they leave out is found exactly: texts
+    that share one of their rarest shingles are candidates too: in an order of shingles common
     to all texts, here by how many texts have them, any two texts that are ``least`` alike
     share one of the first (1 - ``least``) of either.  Of these, fingerprints of 256 bits
     leave out pairs over ``limit`` bits apart (0.8 gives 39 on average, 48 in texts of a

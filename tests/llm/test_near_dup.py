@@ -126,6 +126,24 @@ def test_copies_of_one_original_go(spark, copies, cell):
     assert [r["doc_id"] for r in kept] == [0]
 
 
+def test_variants_give_the_first_links(spark, monkeypatch):
+    """The links of the fingerprints' deletion variants come first; other texts are found by their shingles."""
+    rng, found, links = np.random.default_rng(4), [], near_dup.near_links
+
+    def spied(*args, **kwargs):
+        found.append(near_dup.keep(links(*args, **kwargs), "spied"))
+        return found[-1]
+
+    monkeypatch.setattr(near_dup, "near_links", spied)
+    texts = []
+    for p in range(6):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1 if p % 2 else 8, f"e{p}"))]
+    kept = near_dup.distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 12, 2))
+    assert len(found) == 1 and found[0].filter("a <> b").count() >= 2
+
+
 @pytest.mark.parametrize("cell", [4096, 8])
 def test_chains_and_boilerplate_as_by_brute_force(spark, cell):
     """Texts that drift apart link by link, and unlike texts that share most of their words."""
