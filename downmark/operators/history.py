@@ -21,8 +21,9 @@ def attach_outcomes(plays: DataFrame, outcomes: DataFrame) -> DataFrame:
 def profile_cells(plays: DataFrame, by=("league", "season"), min_plays=MIN_PLAYS, min_games=MIN_GAMES) -> DataFrame:
     """Counts per side, team and context with enough plays and games.
 
-    Plays are first combined per game, so games are counted without a distinct
-    and the exact medians come from yard histograms of at most 199 values."""
+    Plays are read once: each counts in its game, so games are counted without a
+    distinct, and in a histogram of yards (at most 199 values), which gives the exact
+    medians.  Both kinds of row combine on the map side in one shuffle."""
     df = plays.withColumn("context", F.expr(S.HISTORY_CONTEXT)).filter("context is not null").selectExpr(
         *by, "stack(2, 'offense', offense, 'defense', defense) as (side, team)", "context", "game_id", "converted", "is_rush", "is_pass", "clear_yards as y")
     key = [*by, "side", "team", "context"]
@@ -32,10 +33,13 @@ def profile_cells(plays: DataFrame, by=("league", "season"), min_plays=MIN_PLAYS
                  f"count_if({flag} and y <= 2) as {name}_two_or_less", f"count_if({flag} and y >= 5) as {name}_five_plus",
                  f"count_if({flag} and y >= 10) as {name}_ten_plus"]
     names = [s.split(" as ")[1] for s in sums]
-    per_game = df.groupBy(*key, "game_id").agg(*[F.expr(s) for s in sums])
-    cells = per_game.groupBy(*key).agg(F.count("*").alias("games"), *[F.sum(n).alias(n) for n in names])
-    medians = df.groupBy(*key).agg(F.expr("percentile(if(is_rush, y, null), 0.5D) as run_median"), F.expr("percentile(if(is_pass, y, null), 0.5D) as pass_median"))
-    return cells.filter(f"n >= {min_plays} and games >= {min_games}").join(medians, key)
+    twice = df.selectExpr("*", "explode(array(true, false)) as in_game").selectExpr(
+        *key, "in_game", "if(in_game, game_id, null) as game", "if(in_game, null, y) as yards", "converted", "is_rush", "is_pass", "y")
+    parts = twice.dropna(subset=key).groupBy(*key, "in_game", "game", "yards").agg(*[F.expr(s) for s in sums])
+    median = lambda n: f"percentile(if(not in_game and yards is not null, yards, null), 0.5D, if(in_game, 0L, {n}))"
+    cells = parts.groupBy(*key).agg(F.expr("count_if(in_game) as games"), *[F.expr(f"sum(if(in_game, {n}, 0L)) as {n}") for n in names],
+                                    F.expr(f"{median('run_n')} as run_median"), F.expr(f"{median('pass_n')} as pass_median"))
+    return cells.filter(f"n >= {min_plays} and games >= {min_games}").select(*key, "games", *names, "run_median", "pass_median")
 
 
 def usable(cells: DataFrame) -> DataFrame:
