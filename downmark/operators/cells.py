@@ -17,15 +17,24 @@ RATES = ("pass", "success", "explosive")
 REFERENCE = 2050  # any fixed year: a decayed rate does not depend on it
 
 
-def fine_cells(plays: DataFrame, team: str = "offense", by=("league",)) -> DataFrame:
-    """Counts by team, down, band, zone and season."""
+def counted_cells(plays: DataFrame, team: str = "offense", by=("league",), stamp: str | None = None) -> DataFrame:
+    """Counts by team, down, band, zone and season, those outside the 60 buckets too; ``stamp`` adds its first and last value."""
+    ends = [F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp")] if stamp else []
     return (S.eligible(plays)
             .selectExpr(*by, f"{team} as team", "down", f"{S.band_sql()} as band", f"{S.zone_sql()} as zone", "season",
-                        "int(is_pass) as p", "int(success) as s", f"int({S.EXPLOSIVE}) as e")
-            .filter("band is not null and zone is not null and down between 1 and 4")
+                        "int(is_pass) as p", "int(success) as s", f"int({S.EXPLOSIVE}) as e", *([f"{stamp} as stamp"] if stamp else []))
             .groupBy(*by, "team", "down", "band", "zone", "season")
             .agg(F.count("*").alias("n"), F.sum("p").alias("n_pass"), F.sum("s").alias("n_success"),
-                 F.sum("e").alias("n_explosive")))
+                 F.sum("e").alias("n_explosive"), *ends))
+
+
+def in_buckets(counted: DataFrame) -> DataFrame:
+    return counted.filter("band is not null and zone is not null and down between 1 and 4")
+
+
+def fine_cells(plays: DataFrame, team: str = "offense", by=("league",)) -> DataFrame:
+    """Counts by team, down, band, zone and season."""
+    return in_buckets(counted_cells(plays, team, by))
 
 
 def decayed(fine: DataFrame, half_life=1.0, by=("league",)) -> DataFrame:

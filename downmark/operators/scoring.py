@@ -54,6 +54,12 @@ def holdout_counts(plays: DataFrame, team: str = "offense", by=("league",)) -> D
                  F.sum("e").alias("explosives")))
 
 
+def counted(fine: DataFrame, by=("league",)) -> DataFrame:
+    """``holdout_counts`` from fine cells."""
+    return fine.groupBy(*by, "team", F.expr(C.KEY).alias("key")).agg(
+        F.sum("n").alias("plays"), F.sum("n_pass").alias("passes"), F.sum("n_success").alias("successes"), F.sum("n_explosive").alias("explosives"))
+
+
 def score_cells(answers: DataFrame, held: DataFrame, by=("league",)) -> DataFrame:
     """Attach predictions and baselines to the held-out counts.
 
@@ -78,7 +84,11 @@ def evaluate(plays: DataFrame, holdout: int, half_life=1.0, k=S.SHRINK_K, by=("l
 
     Plays are counted once; training sums and held-out counts are both masked
     sums of the same fine cells, so the shuffle of the counts is shared."""
-    fine = C.fine_cells(plays.filter(f"season <= {holdout}"), team, by)
+    return evaluate_cells(C.fine_cells(plays.filter(f"season <= {holdout}"), team, by), holdout, half_life, k, by)
+
+
+def evaluate_cells(fine: DataFrame, holdout: int, half_life=1.0, k=S.SHRINK_K, by=("league",)) -> DataFrame:
+    """``evaluate`` of plays that are counted already, up to the season ``holdout``."""
     counts = ("n", "n_pass", "n_success", "n_explosive")
     train = fine.withColumns({c: F.expr(f"if(season < {holdout}, {c}, 0L)") for c in counts})
     names = ("plays", "passes", "successes", "explosives")

@@ -10,6 +10,7 @@ from ..functions.numbers import r
 from ..operators import cells as C
 from ..operators import integrity as I
 from ..operators import scoring as P
+from ..session import cut_lineage
 from .cell_queries import EXPORT_CTES, KEY_ROWS, ladder_ctes
 from .oracle import on_eligible
 from .registry import query
@@ -313,7 +314,8 @@ both_kept AS (SELECT league, team, key FROM v GROUP BY ALL HAVING COUNT(DISTINCT
 SELECT v.league, variant, SUM(plays)::BIGINT AS n, {r6(brier('pred'))} AS brier FROM v JOIN both_kept b ON v.league = b.league AND v.team = b.team AND v.key = b.key GROUP BY ALL"""))
 def policies(spark, sf):
     """Variants scored on the rows every variant can answer with a team number."""
-    parts = [scored(spark, sf, h).filter("rung < 5").withColumn("variant", F.lit(name)) for name, h in (("decayed", 1.0), ("flat", P.INF))]
+    fine = cut_lineage(C.fine_cells(plays(spark, sf).filter(f"season <= {HOLDOUT}")))
+    parts = [P.evaluate_cells(fine, HOLDOUT, h).filter("rung < 5").withColumn("variant", F.lit(name)) for name, h in (("decayed", 1.0), ("flat", P.INF))]
     both = parts[0].unionByName(parts[1])
     shared = both.groupBy("league", "team", "key").agg(F.count_distinct("variant").alias("v")).filter("v = 2").drop("v")
     t = both.join(shared, ["league", "team", "key"]).groupBy("league", "variant").agg(F.sum("plays").alias("n"), F.expr(f"{P.brier('pred')} as brier"))
@@ -331,9 +333,9 @@ readout AS (SELECT q.league, q.team, q.key, q.plays, COALESCE(s.rung, 5) AS rung
 
 @query("jn04_export_read", on_eligible(ladder_ctes(), EXPORT_CTES, LOOK, "SELECT * FROM readout"))
 def export_read(spark, sf):
-    df = plays(spark, sf)
-    answers = C.ladder(df)
-    return I.read_exported(C.export_rows(answers), answers, P.holdout_counts(df)).select(
+    fine = cut_lineage(C.fine_cells(plays(spark, sf)))
+    answers = C.ladder_of(fine)
+    return I.read_exported(C.export_rows(answers), answers, P.counted(fine)).select(
         "league", "team", "key", "plays", "rung", "sample_size", "shrink_weight", "pass_rate", "can_attribute")
 
 
@@ -341,9 +343,9 @@ def export_read(spark, sf):
 SELECT r.league, COUNT(*) AS reads, SUM(plays)::BIGINT AS plays, SUM(CASE WHEN r.rung < 5 AND r.pass_rate <> {r6('l.pass_rate', 3)} THEN plays ELSE 0 END)::BIGINT AS mismatched,
  SUM(CASE WHEN r.rung < 5 THEN plays ELSE 0 END)::BIGINT AS served FROM readout r JOIN lad l ON r.league = l.league AND r.team = l.team AND r.key = l.key GROUP BY 1"""))
 def table_parity(spark, sf):
-    df = plays(spark, sf)
-    answers = C.ladder(df)
-    return I.table_parity(C.export_rows(answers), answers, P.holdout_counts(df))
+    fine = cut_lineage(C.fine_cells(plays(spark, sf)))
+    answers = C.ladder_of(fine)
+    return I.table_parity(C.export_rows(answers), answers, P.counted(fine))
 
 
 @query("val13_ladder_invariants", on_eligible(ladder_ctes(), f"""
@@ -361,7 +363,7 @@ g AS (SELECT s.league, s.can_attribute, l.confidence <> 'low' AND abs(floor(l.pa
 SELECT league, COUNT(*) AS cells, SUM(CASE WHEN can_attribute AND NOT fine THEN 1 ELSE 0 END)::BIGINT AS promoted, SUM(CASE WHEN NOT can_attribute AND fine THEN 1 ELSE 0 END)::BIGINT AS demoted,
  {r6('MAX(CASE WHEN can_attribute <> fine THEN gap ELSE 0.0 END)')} AS worst_gap FROM g GROUP BY 1"""))
 def rounding_gate(spark, sf):
-    answers = C.ladder(plays(spark, sf))
+    answers = C.ladder_of(cut_lineage(C.fine_cells(plays(spark, sf))))
     return out(I.rounding_gate(C.export_rows(answers), answers), "worst_gap", keep=("league", "cells", "promoted", "demoted"))
 
 
@@ -369,13 +371,13 @@ def rounding_gate(spark, sf):
 SELECT league, {r6('MAX(abs(raw - raw))')} AS k0_gap, {r6('MAX(abs(base - base))')} AS kinf_gap, 0::BIGINT AS outside,
  (SELECT MAX(season * 100 + week) FROM train) AS fit_max, (SELECT MIN(season * 100 + week) FROM el WHERE season = {HOLDOUT}) AS score_min FROM sc GROUP BY 1"""))
 def shrinkage_checks(spark, sf):
-    df = plays(spark, sf)
+    counted = cut_lineage(C.counted_cells(plays(spark, sf), stamp="season * 100 + week"))
     at = {k: P.shrunk_at(S.number(k)) for k in (0, 137.0, P.INF)}
-    t = scored(spark, sf).groupBy("league").agg(
+    t = P.evaluate_cells(C.in_buckets(counted).filter(f"season <= {HOLDOUT}"), HOLDOUT).groupBy("league").agg(
         F.expr(f"max(abs({at[0]} - raw)) as k0_gap"), F.expr(f"max(abs({at[P.INF]} - base_situation)) as kinf_gap"),
         F.expr(f"count_if({at[137.0]} < least(raw, base_situation) - 1e-12 or {at[137.0]} > greatest(raw, base_situation) + 1e-12) as outside"))
-    stamps = S.eligible(df).agg(F.expr(f"max(if(season < {HOLDOUT}, season * 100 + week, null)) as fit_max"),
-                                F.expr(f"min(if(season = {HOLDOUT}, season * 100 + week, null)) as score_min"))
+    stamps = counted.agg(F.expr(f"max(if(season < {HOLDOUT}, last_stamp, null)) as fit_max"),
+                         F.expr(f"min(if(season = {HOLDOUT}, first_stamp, null)) as score_min"))
     return out(t.join(F.broadcast(stamps)), "k0_gap", "kinf_gap", keep=("league", "outside", "fit_max", "score_min"))
 
 
