@@ -60,13 +60,14 @@ def flag_overlap(df: DataFrame) -> DataFrame:
 
 
 def classification_table(df: DataFrame) -> DataFrame:
-    """Source type x category x method, with the copies removed before counting."""
-    totals = df.groupBy("play_type_raw").agg(F.count("*").alias("received"))
-    kept = first_copies(df.select(*EXACT_COPY, "play_id"), order=("play_id",))
+    """Source type x category x method, with the copies removed before counting.
+
+    Copies have one type, so their counts add up to the rows received; rows are read once."""
+    kept = first_copies(df.select(*EXACT_COPY, "play_id").filter("play_type_raw is not null"), order=("play_id",))
     split = (L.classified(kept).groupBy("play_type_raw", "category", "how")
-             .agg(F.count("*").alias("kept")))
-    removed = F.expr("received - sum(kept) over (partition by play_type_raw)")
-    return split.join(totals, "play_type_raw").withColumn("copies_removed", removed)
+             .agg(F.count("*").alias("kept"), F.sum("copies").alias("copies")))
+    return split.selectExpr("play_type_raw", "category", "how", "kept", "sum(copies) over (partition by play_type_raw) as received",
+                            "sum(copies - kept) over (partition by play_type_raw) as copies_removed")
 
 
 # The situations every ingest is eyeballed on.

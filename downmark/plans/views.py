@@ -48,13 +48,17 @@ def copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shape(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
-    nation = table(spark, sf, "nation")
+    """Orders meet their customers first, so that lines are shuffled for one join only: that with orders.
+
+    Suppliers are read without their names' table, so that Spark sees how small they are."""
+    names = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    side = lambda key, team: names.selectExpr(f"n_nationkey as {key}", f"n_name as {team}")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    s = table(spark, sf, "supplier").join(nation.selectExpr("n_nationkey as s_nationkey", "n_name as offense"), "s_nationkey")
-    c = table(spark, sf, "customer").join(nation.selectExpr("n_nationkey as c_nationkey", "n_name as defense"), "c_nationkey")
-    df = (lines.join(o, lines.l_orderkey == o.o_orderkey)
-          .join(s.select("s_suppkey", "offense"), lines.l_suppkey == s.s_suppkey)
-          .join(c.select("c_custkey", "defense"), o.o_custkey == c.c_custkey))
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    asked = o.join(c, o.o_custkey == c.c_custkey).join(side("c_nationkey", "defense"), "c_nationkey").drop("c_custkey", "o_custkey")
+    df = (lines.join(s, lines.l_suppkey == s.s_suppkey).join(side("s_nationkey", "offense"), "s_nationkey")
+          .join(asked, lines.l_orderkey == asked.o_orderkey))
     return df.selectExpr(*BASE).selectExpr("*", *DERIVED)
 
 

@@ -59,3 +59,49 @@ def test_cells_are_spread_before_they_are_drawn(spark):
 @pytest.mark.parametrize("rule", [GR.yards("x"), GR.ruling("x"), GR.hurry("x"), GR.seen("x"), GR.players("x", "true")])
 def test_rules_do_not_walk_over_places(rule):
     assert "sequence(" not in rule
+
+
+def test_copies_are_classified_in_one_pass(spark):
+    from downmark.operators import quality as Q
+    rows = spark.range(6).selectExpr("'g' as game_id", "1 as period", "int(id div 2) as clock_seconds", "if(id < 4, 'Rush', 'Punt') as play_type_raw", "'a' as play_text", "1 as down", "10 as distance",
+                                     "50 as yards_to_goal", "string(id) as play_id")
+    table = Q.classification_table(rows)
+    assert plan(table).count("Range (") == 1
+    assert sorted((r.play_type_raw, r.kept, r.received, r.copies_removed) for r in table.collect()) == [("Punt", 1, 2, 1), ("Rush", 2, 4, 2)]
+
+
+def test_profiles_read_their_plays_once(spark):
+    from downmark.operators import history as H
+    rows = spark.range(12).selectExpr("'nfl' as league", "2000 as season", "'A' as offense", "'B' as defense", "concat('g', id % 3) as game_id", "3 as down", "2 as distance", "50 as yards_to_goal", "2 as period",
+                                      "500 as clock_seconds", "0 as score_diff", "id % 2 = 0 as converted", "id < 8 as is_rush", "id >= 8 as is_pass", "if(id = 5, null, int(id)) as clear_yards", "int(id) as yards_gained")
+    cells = H.profile_cells(rows, min_plays=3, min_games=2)
+    assert plan(cells).count("Range (") == 1
+    got = [(r.side, r.team, r.games, r.n, r.conversions, r.run_n, r.run_known, r.pass_ten_plus, r.run_median, r.pass_median) for r in cells.collect()]
+    assert sorted(got) == [("defense", "B", 3, 12, 6, 8, 7, 2, 3.0, 9.5), ("offense", "A", 3, 12, 6, 8, 7, 2, 3.0, 9.5)]
+
+
+def test_held_out_counts_come_from_the_cells(spark):
+    from downmark.operators import cells as C
+    from downmark.operators import scoring as P
+    rows = spark.range(40).selectExpr("'nfl' as league", "concat('T', id % 2) as offense", "int(1 + id % 5) as down", "int(id % 12) as distance", "int(id * 3) as yards_to_goal", "int(1998 + id % 3) as season", "int(1 + id % 7) as week",
+                                      "id % 3 = 0 as is_pass", "id % 3 > 0 as is_rush", "false as is_special", "false as is_penalty_only", "'' as play_text", "id % 4 = 0 as success", "int(id) as yards_gained")
+    counted = C.counted_cells(rows, stamp="season * 100 + week")
+    ask = lambda df: sorted(tuple(r) for r in df.select("league", "team", "key", "plays", "passes", "successes", "explosives").collect())
+    assert ask(P.counted(C.in_buckets(counted))) == ask(P.holdout_counts(rows))
+    assert counted.agg(F.sum("n"), F.min("first_stamp"), F.max("last_stamp")).first()[:] == (40, 199801, 200007)
+
+
+def test_lines_are_not_shuffled_for_suppliers_and_customers(spark, tmp_path):
+    from downmark.plans import views as V
+    columns = {"n_nationkey": "int(id % 3)", "n_name": "concat('N', id)", "c_custkey": "id", "c_nationkey": "int(id % 3)", "s_suppkey": "id", "s_nationkey": "int(id % 3)", "o_orderkey": "id", "o_custkey": "id % 5",
+               "o_orderpriority": "'1-URGENT'", "o_orderstatus": "'F'", "l_orderkey": "id % 7", "l_partkey": "id", "l_suppkey": "id % 5", "l_linenumber": "int(id)", "l_quantity": "double(id)", "l_returnflag": "'A'",
+               "l_linestatus": "'F'", "l_shipdate": "timestamp_ntz '1998-02-03 00:00:00'"}
+    for name, prefix, n in (("nation", "n_", 3), ("customer", "c_", 5), ("supplier", "s_", 5), ("orders", "o_", 7), ("lineitem", "l_", 30)):
+        spark.range(n).selectExpr(*[f"{v} as {c}" for c, v in columns.items() if c.startswith(prefix)]).write.parquet(f"{tmp_path}/{name}.parquet")
+    df, before = V.plays(spark, str(tmp_path)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        assert "hashpartitioning(l_suppkey" not in plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert df.count() == 30 and {(r.offense, r.defense) for r in df.filter("pk = 4").collect()} == {("N1", "N1")}
