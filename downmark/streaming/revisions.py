@@ -46,23 +46,22 @@ def with_state_store(spark: SparkSession) -> None:
 class Revisions(StatefulProcessor):
     """Emits a report only when its content differs from the play's last one.
 
-    State per (game, play): last content, version and newest order.  A report
-    older than the newest one is kept but flagged as late."""
+    State per game: last content, version and newest order of each of its plays, read and
+    written once a batch.  A report older than the play's newest one is kept but flagged as late."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content string, version int, newest bigint")
+        self.last = handle.getListState("last", "play string, content string, version int, newest bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = self.last.get() if self.last.exists() else None
-        content, version, newest = (state[0], state[1], state[2]) if state else (None, 0, -1)
+        plays = {x[0]: (x[1], x[2], x[3]) for x in self.last.get()}
         for row in sorted(rows, key=lambda x: x.event_id):
-            late = row.event_id < newest
-            newest = max(newest, row.event_id)
-            if row.content == content:
-                continue
-            content, version = row.content, version + 1
-            yield Row(game=key[0], play=key[1], event_id=row.event_id, at=row.at, content=content, version=version, late=late)
-        self.last.update((content, version, newest))
+            content, version, newest = plays.get(row.play, (None, 0, -1))
+            late, same = row.event_id < newest, row.content == content
+            version += not same
+            plays[row.play] = (row.content, version, max(newest, row.event_id))
+            if not same:
+                yield Row(game=key[0], play=row.play, event_id=row.event_id, at=row.at, content=row.content, version=version, late=late)
+        self.last.put([(play, *known) for play, known in plays.items()])
 
     def close(self) -> None:
         pass
@@ -140,7 +139,7 @@ class DelayedRelease(StatefulProcessor):
 
 def revisions(feed: DataFrame) -> DataFrame:
     with_state_store(feed.sparkSession)
-    return feed.groupBy("game", "play").transformWithState(Revisions(), REVISION, "Append", "None")
+    return feed.groupBy("game").transformWithState(Revisions(), REVISION, "Append", "None")
 
 
 def repeated_clocks(feed: DataFrame, least: int = 3) -> DataFrame:
