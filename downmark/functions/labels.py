@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grammar import let
+from .reports import computed
+
 # Source play types by category.
 TYPE_CLASS = {
     "pass": ("Pass Reception", "Pass Incompletion", "Pass Completion", "Passing Touchdown", "Sack", "Interception",
@@ -42,30 +45,36 @@ def quoted(words) -> str:
 
 def current_text(text="play_text") -> str:
     """The report up to a replaced original play."""
-    return f"split(coalesce({text}, ''), '{ORIGINAL}', 2)[0]"
+    whole = f"coalesce({text}, '')"
+    return f"if(contains(lower({whole}), 'original play:'), split({whole}, '{ORIGINAL}', 2)[0], {whole})"
 
 
 def with_verb(df: DataFrame, text="play_text", name="verb") -> DataFrame:
     """The category whose verb is written first; null when none is."""
-    clean = f"regexp_replace({text}, '{KICK_PARENS}', ' ')"
-    at = {f"_at_{c}": F.expr(f"nullif(regexp_instr({clean}, '{p}'), 0)") for c, p in VERBS.items()}
+    clean = f"if(contains(lower({text}), 'kick'), regexp_replace({text}, '{KICK_PARENS}', ' '), {text})"
+    at = {f"_at_{c}": f"nullif(regexp_instr(_clean, '{p}'), 0)" for c, p in VERBS.items()}
+    df = computed(computed(df, {"_clean": clean}), at)
     first = "least(" + ", ".join(at) + ")"
     arms = " ".join(f"when _at_{c} = {first} then '{c}'" for c in VERBS)
-    return df.withColumns(at).withColumn(name, F.expr(f"case {arms} end")).drop(*at)
+    return df.withColumn(name, F.expr(f"case {arms} end")).drop("_clean", *at)
 
 
 def classified(df: DataFrame, kind="play_type_raw", text="play_text") -> DataFrame:
-    """Adds ``category`` and ``how``; the category ``drop`` means the row is no play."""
-    df = with_verb(df.withColumn("_current", F.expr(current_text(text))), "_current", "_verb")
-    voided = f"_current rlike '{NO_PLAY}'"
+    """Adds ``category`` and ``how``; the category ``drop`` means the row is no play.
+
+    Verbs are only looked for where neither the words nor the type have decided."""
     tabled = ("pass", "rush", "special", "penalty")
-    of = {c: f"{kind} in ({quoted(TYPE_CLASS[c])})" for c in TYPE_CLASS}
+    of = {c: f"coalesce({kind} in ({quoted(TYPE_CLASS[c])}), false)" for c in TYPE_CLASS}
+    df = computed(df, {"_current": current_text(text)})
+    df = computed(df, {"_voided": f"((contains(lower(_current), 'no play') or contains(lower(_current), 'nullified')) and _current rlike '{NO_PLAY}')"})
+    df = computed(df, {"_open": f"if(_voided or {' or '.join(of[c] for c in (*tabled, 'admin'))}, null, _current)"})
+    df = with_verb(df, "_open", "_verb")
     arms = " ".join(f"when {of[c]} then '{c}'" for c in tabled)
-    category = f"case when {voided} then 'penalty' {arms} when {of['admin']} then 'drop' else coalesce(_verb, 'drop') end"
-    how = (f"case when {voided} then 'explicit-no-play' when {' or '.join(of[c] for c in tabled)} then 'table' "
-           f"when {of['admin']} then 'admin' else concat(if(coalesce({of['text']}, false), '', 'unknown-type-'), "
+    category = f"case when _voided then 'penalty' {arms} when {of['admin']} then 'drop' else coalesce(_verb, 'drop') end"
+    how = (f"case when _voided then 'explicit-no-play' when {' or '.join(of[c] for c in tabled)} then 'table' "
+           f"when {of['admin']} then 'admin' else concat(if({of['text']}, '', 'unknown-type-'), "
            f"if(_verb is null, 'unresolved', 'text')) end")
-    return df.withColumns({"category": F.expr(category), "how": F.expr(how)}).drop("_current", "_verb")
+    return computed(df, {"category": category, "how": how}).drop("_current", "_voided", "_open", "_verb")
 
 
 def in_range(value, low: int, high: int) -> str:
@@ -80,8 +89,8 @@ def structured_clock(minutes="clock.minutes", seconds="clock.seconds") -> str:
 def text_clock(text="play_text") -> str:
     """The snap clock a report opens with; a later clock never counts."""
     part = lambda i: f"try_cast(nullif(regexp_extract({text}, '^\\\\s*\\\\((\\\\d{{1,2}}):(\\\\d{{2}})\\\\)', {i}), '') as int)"
-    total = f"({part(1)} * 60 + {part(2)})"
-    return f"case when {part(2)} < 60 and {total} <= 900 then {total} end"
+    total = "(c.minutes * 60 + c.seconds)"
+    return let("c", f"struct({part(1)} as minutes, {part(2)} as seconds)", f"case when c.seconds < 60 and {total} <= 900 then {total} end")
 
 
 def source_flags(kind="play_type", two_point="two_point_attempt") -> dict[str, str]:
