@@ -21,6 +21,11 @@ def last_revisions(reports: DataFrame, keys=("game_id", "play_id"), position="po
                                       F.count("*").alias("revisions")).select(*keys, "first_position", "revisions", *[f"_r.{c}" for c in rest])
 
 
+def kept_snaps(described: DataFrame, by=("game_id", "offense")) -> DataFrame:
+    """What ``team_insights`` and ``named_plays`` read of described reports, worked out once and kept for both."""
+    return cut_lineage(described.filter("action <> 'none'").select(*by, "play_id", "action", "facts", "actor", "receiver", "start_down", "start_distance", "gained", "need"))
+
+
 def team_insights(described: DataFrame, by=("game_id", "offense")) -> DataFrame:
     """Early-down mix, directions, third downs and naming coverage."""
     live = described.filter("action <> 'none'")

@@ -279,7 +279,7 @@ def leaders(spark, sf):
 
 @query("agg39_observations")
 def observations(spark, sf):
-    df = described(spark, sf)
+    df = G.kept_snaps(described(spark, sf))
     return G.observations(G.team_insights(df), G.leaders(G.named_usage(df)))
 
 

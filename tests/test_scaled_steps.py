@@ -48,3 +48,8 @@ def test_verbs_are_read_once(spark):
     assert all(r.c == r.category and r.h == r.how for r in out.collect())
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("regexp_instr(") == 3 and plan.count("regexp_extract(") == 2
+
+
+def test_observations_describe_reports_once(spark):
+    plan = report_queries.observations(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "l_orderkey" not in plan
