@@ -52,7 +52,18 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     (df if rows is None else df.coalesce(1 + rows // ROWS_PER_TASK)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of frames from ``keep`` that nothing reads any more; others are left alone."""
+    for df in frames:
+        path = getattr(df, "_kept_at", None) if isinstance(df, DataFrame) else None
+        if path is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

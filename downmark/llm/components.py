@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, release
 
 
 class Forest:
@@ -69,7 +69,8 @@ def roots(links: DataFrame) -> DataFrame:
         large = keep(large, "large", state[0])
         least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least", state[0])
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges", state[0])
+        old, edges = edges, keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges", state[0])
+        release(old, lowest, large, least)
         state, before = _state(edges), state
         if state == before:
             break

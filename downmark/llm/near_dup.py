@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, keep
+from .common import broadcast_if_small, fresh, keep, release
 from .components import Forest, contract, popcount, roots
 
 #: Listings up to the first size are compared pair by pair, larger ones by a forest, those
@@ -247,6 +247,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 SLOTS, CHUNKS, FINE = 1 << 22, 64, 8
 #: The words of a text's fingerprint of 256 bits.
 FPS = ("fp", "fp1", "fp2", "fp3")
+#: The words of a text's parities: of each of 64 slots a word, whether an odd number of its shingles fall there.
+ODD = tuple(f"odd{i}" for i in range(8))
+#: Rounds that compare a component with one other, while they join over one in so many of those compared; two at least.
+ROUNDS, JOINED = 8, 8
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -312,6 +316,12 @@ def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, found ^ ((np.arange(len(found)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def parities(told: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles fall in each slot, as words; texts differ in at least as many shingles as bits."""
+    odd = np.bincount((told >> np.uint64(55)).astype(np.int64), minlength=64 * len(ODD)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.uint64)
+
+
 def rare_first(hashes: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
     """The shingles a text is listed under: its rarest, as many as ``least`` asks for; zero for a text without words."""
     if not len(hashes):
@@ -321,17 +331,18 @@ def rare_first(hashes: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarra
 
 
 def _sketches(shingle: int, least: float, ranks):
-    """Fingerprint of 256 bits, number of shingles and the shingles that a text is listed under."""
+    """Fingerprint of 256 bits, parities, number of shingles and the shingles that a text is listed under."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes, prefix = np.empty((len(FPS), batch.num_rows), dtype=np.uint64), [], []
+            found, sizes, prefix = np.empty((len(FPS) + len(ODD), batch.num_rows), dtype=np.uint64), [], []
             for i, t in enumerate(batch.column(1)):
                 hashes = shingle_hashes(t.as_py(), shingle)
-                found[:, i] = [simhash(remix(hashes, k)) for k in range(len(FPS))]
+                found[:len(FPS), i] = [simhash(remix(hashes, k)) for k in range(len(FPS))]
+                found[len(FPS):, i] = parities(numbered(hashes)[1])
                 sizes.append(len(hashes))
                 prefix.append(rare_first(hashes, ranks.value, least).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f.view(np.int64)) for f in found], pa.array(sizes, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                                             names=["id", *FPS, "size", "prefix"])
+                                             names=["id", *FPS, *ODD, "size", "prefix"])
 
     return run
 
@@ -377,13 +388,14 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows (bucket, fingerprint, size, node, top) sorted by bucket, cut between buckets."""
-    held = (np.empty(0, np.int64), np.empty((0, len(FPS)), np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
+    """Rows (bucket, fingerprint, parities, size, node, top) sorted by bucket, cut between buckets."""
+    held = (np.empty(0, np.int64), np.empty((0, len(FPS)), np.uint64), np.empty((0, len(ODD)), np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, *fps, size, node, top = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(FPS) + 4))
-        held = tuple(np.concatenate(x) for x in zip(held, (bucket, np.stack(fps, axis=1).view(np.uint64), size, node, top)))
+        bucket, *words, size, node, top = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(FPS) + len(ODD) + 4))
+        fps, odd = (np.stack(x, axis=1).view(np.uint64) for x in (words[:len(FPS)], words[len(FPS):]))
+        held = tuple(np.concatenate(x) for x in zip(held, (bucket, fps, odd, size, node, top)))
         done = int(np.searchsorted(held[0], held[0][-1]))
         if done:
             yield tuple(x[:done] for x in held)
@@ -393,7 +405,9 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
 
 def _across(limit: int, least: float):
-    """Pairs (a, b), a < b, of a bucket that no link joins yet, of like sizes and within ``limit`` bits; rows sorted by bucket."""
+    """Pairs (a, b), a < b, of a bucket that no link joins yet, of like sizes, within ``limit`` bits and, by their parities, maybe ``least`` alike; rows sorted by bucket."""
+    share = differing(least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
 
@@ -401,14 +415,15 @@ def _across(limit: int, least: float):
             ends = np.unique(np.sort(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-        for bucket, fps, size, node, top in _whole_buckets(batches):
+        for bucket, fps, odd, size, node, top in _whole_buckets(batches):
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             sizes = np.diff(edges)
             last = np.repeat(edges[1:], sizes)
             for i in np.flatnonzero(np.repeat(sizes > 1, sizes)).tolist():
                 rest = slice(i + 1, last[i])
                 like = np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9
-                near = node[rest][(top[rest] != top[i]) & like & (_apart(fps[rest], fps[i]) <= limit)]
+                at = i + 1 + np.flatnonzero((top[rest] != top[i]) & like & (_apart(fps[rest], fps[i]) <= limit))
+                near = node[at[_apart(odd[at], odd[i]) <= share * (size[at] + size[i]) + 1e-6]]
                 if len(near):
                     out.append(np.stack([np.full(len(near), node[i]), near], axis=1))
                     held += len(near)
@@ -420,85 +435,124 @@ def _across(limit: int, least: float):
     return run
 
 
+def differing(least: float) -> float:
+    """The largest share of the shingles of both that two texts ``least`` alike do not have in common."""
+    return (1 - least) / (1 + least)
+
+
 def across_pairs(rows: DataFrame, limit: int, least: float, cell: int = CELL) -> DataFrame:
-    """(a, b) of all pairs of ``rows`` (bucket, fingerprint, size, node, top) that share a bucket and not a ``top``.
+    """(a, b) of all pairs of ``rows`` (bucket, fingerprint, parities, size, node, top) that share a bucket and not a ``top``.
 
     Buckets of more than ``cell`` rows are cut in cells, every two of which meet in a
     bucket of their own; the cut changes where texts meet, not whether.
     """
-    rows = rows.select("bucket", *FPS, "size", "node", "top")
+    rows = rows.select("bucket", *FPS, *ODD, "size", "node", "top")
     large = keep(rows.groupBy("bucket").count().filter(F.col("count") > cell).select("bucket", F.ceil(F.col("count") / cell).cast("int").alias("cells")), "crowded")
     if not large.isEmpty():
         mine = F.pmod(F.xxhash64("fp", "node"), F.col("cells")).cast("int")
         cells = rows.join(broadcast_if_small(large), "bucket", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
         code = F.xxhash64("bucket", F.least(mine, "other"), F.greatest(mine, "other"))
-        rows = cells.select(F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(code).alias("bucket"), *FPS, "size", "node", "top")
+        rows = cells.select(F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(code).alias("bucket"), *FPS, *ODD, "size", "node", "top")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(limit, least), "a long, b long").distinct()
 
 
-def _labelled(met: DataFrame, tops: DataFrame) -> DataFrame:
-    """Listings with the component of each text, of the buckets that hold more than one."""
-    rows = met.join(tops.select(F.col("a").alias("node"), F.col("b").alias("_b")), "node", "left").withColumn("top", F.coalesce("_b", "node")).drop("_b")
-    open_ = rows.groupBy("bucket").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low <> high").select("bucket")
-    return keep(rows.join(keep(open_, "open"), "bucket", "left_semi"), "listed")
+def _labelled(met: DataFrame, often: DataFrame, tops: DataFrame) -> DataFrame:
+    """Listings with the component of each text and how often it is listed, of the buckets that hold more than one component."""
+    labels = often.join(tops.select(F.col("a").alias("node"), F.col("b").alias("_b")), "node", "left").select("node", "listed", F.coalesce("_b", "node").alias("top"))
+    rows = met.select("bucket", "node").join(labels, "node")
+    open_ = keep(rows.groupBy("bucket").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low <> high").select("bucket"), "open")
+    out = keep(rows.join(open_, "bucket", "left_semi"), "listed")
+    release(open_)
+    return out
+
 
+def _stars(rows: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b), one of each component: its first text in a bucket with the first of all of the bucket; the most listed come first.
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b): the first text of every component in a bucket with the first of all of the bucket; the most listed come first."""
+    Of the pairs not ``tested`` yet that with the most buckets is taken, so that no round
+    has more pairs than components, however many listings a group of copies shares.
+    """
     place = F.struct((-F.col("listed")).alias("back"), "node")
     firsts = rows.groupBy("bucket", "top").agg(F.min(place).alias("one"))
     centres = firsts.groupBy("bucket").agg(F.min("one").alias("two"))
     pairs = firsts.join(centres, "bucket").filter("one.node <> two.node")
-    return pairs.select(F.greatest("one.node", "two.node").alias("b"), F.least("one.node", "two.node").alias("a")).select("a", "b").distinct()
+    pairs = pairs.groupBy("top", F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).agg(F.count("*").alias("n"))
+    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    return pairs.groupBy("top").agg(F.max(F.struct("n", "a", "b")).alias("s")).select("s.a", "s.b").distinct()
 
 
 def near_copies(listed: DataFrame, nodes: DataFrame, marks_of, least: float, limit: int, cell: int = CELL) -> DataFrame | None:
     """(a, b): every text that a chain of links of ``least`` joins to one of smaller number, with the smallest; None if none is.
 
     ``listed`` are (node, prefix), a text's as often as it likes, and ``nodes`` (node,
-    fingerprint, size), each once.  The links of ``near_links``, by the first word of the
-    fingerprint and its deletion variants, come first; exact similarities decide which hold.
-    Two rounds compare the members of
-    each bucket with its most listed text, and the components of each with one another by
-    such texts, so that a group of copies costs a comparison a copy.  After these, every
-    pair of texts that shares a bucket, is within ``limit`` bits and is not joined yet is
-    compared, so no link between two components is missed, however large the group.
+    fingerprint, parities, size), each once.  The links of ``near_links``, by the first word
+    of the fingerprint and its deletion variants, come first: each text is compared with the
+    first of its fingerprint, and each such with the first that chains of links reach.  Then
+    rounds compare every component with one other, by the most listed texts of their buckets,
+    so that a group of copies costs a comparison a copy and round.  After these, every
+    pair of texts that shares a bucket, is within ``limit`` bits, may be ``least`` alike by
+    its parities and is not joined yet is compared, so no link between two components is
+    missed, however large the group.  Exact similarities decide all of them; only the
+    shingles of texts in a pair are laid out.
     """
     listed = listed.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket").sortWithinPartitions("bucket", "node")
     met = keep(listed.mapInArrow(_met, "bucket long, node long"), "met")
     if met.isEmpty():
+        release(met)
         return None
-    often = met.groupBy("node").agg(F.count("*").alias("listed"))
-    met = keep(met.join(often, "node"), "met")
-    some = keep(often.select("node"), "some")
-    marks = keep(marks_of(some), "marks")
-    sketch = keep(nodes.join(some, "node", "left_semi").select("node", *FPS, "size"), "sketch")
-    one, two = marks.select(F.col("node").alias("a"), F.col("marks").alias("one")), marks.select(F.col("node").alias("b"), F.col("marks").alias("two"))
-    side = lambda end: sketch.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in (*FPS, "size")])
-    bits = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in FPS[1:]), F.bit_count(F.col(f"{FPS[0]}_a").bitwiseXOR(F.col(f"{FPS[0]}_b"))))
+    often = keep(met.groupBy("node").agg(F.count("*").alias("listed")), "often")
+    sketch = keep(nodes.join(often, "node", "left_semi").select("node", *FPS, *ODD, "size"), "sketch")
+    side = lambda end: sketch.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in (*FPS, *ODD, "size")])
+    apart = lambda names: sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
     like = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+    like = like & (apart(ODD) <= differing(least) * (F.col("size_a") + F.col("size_b")) + 1e-6)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        marks = keep(marks_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "marks")
+        one, two = (marks.select(F.col("node").alias(end), F.col("marks").alias(as_)) for end, as_ in (("a", "one"), ("b", "two")))
         found = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("one") + F.size("two")).alias("both"), F.size(F.array_intersect("one", "two")).alias("same"))
-        return found.filter((F.col("both") == 0) | (F.col("same") / (F.col("both") - F.col("same")) >= least)).select("a", "b")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(like & (bits <= limit)).select("a", "b")
+        found = keep(found.filter((F.col("both") == 0) | (F.col("same") / (F.col("both") - F.col("same")) >= least)).select("a", "b"), name)
+        release(marks)
+        return found
+
+    def joined(tops: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The components after the pairs are compared, and how many of the pairs are links."""
+        near = keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(like & (apart(FPS) <= limit)).select("a", "b"), "close")
+        found = verified(near, "links")
+        out = roots(found if tops is None else tops.union(found))
+        n = found.count()
+        release(near, found, tops)
+        return out, n
 
     # a text that shares no listing has no link of ``least``, so the fingerprints of the others will do
-    linked = near_links(sketch.select("fp", "node"), cell=cell).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tested = keep(linked.filter("a <> b").distinct(), "variants")
-    tops = roots(verified(close(tested)))
-    for _ in range(2):
-        pairs = keep(_stars(_labelled(met, tops)).join(tested, ["a", "b"], "left_anti"), "stars")
-        tops = roots(tops.union(verified(close(pairs))))
-        tested = tested.union(pairs)
-    rows = _labelled(met, tops)
+    same = keep(sketch.select("fp", "node").groupBy("fp").agg(F.min("node").alias("first")), "same")
+    reached = roots(near_links(same.select("fp", F.col("first").alias("node")), cell=cell).mapInArrow(contract, "a long, b long"))
+    equal = sketch.join(same, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    tested = [keep(equal.union(reached.select(F.col("b").alias("a"), F.col("a").alias("b"))), "variants")]
+    release(same, reached)
+    tops, _ = joined(None, tested[0])
+    every = tested[0]
+    rows = _labelled(met, often, tops)
+    release(met)
+    for k in range(ROUNDS):
+        if rows.isEmpty():
+            break
+        pairs = keep(_stars(rows, every), "stars")
+        tops, links = joined(tops, pairs)
+        tested.append(pairs)
+        every = every.union(pairs)
+        old, rows = rows, _labelled(rows, often, tops)
+        release(old)
+        if k and links * JOINED < pairs.count():
+            break
     if not rows.isEmpty():
-        pairs = across_pairs(rows.join(sketch, "node"), limit, least, cell)
-        found = keep(verified(pairs.join(tested, ["a", "b"], "left_anti")), "links")
+        pairs = keep(across_pairs(rows.join(sketch, "node"), limit, least, cell).join(every, ["a", "b"], "left_anti"), "across")
+        found = verified(pairs, "links")
         if not found.isEmpty():
-            tops = roots(tops.union(found))
+            old, tops = tops, roots(tops.union(found))
+            release(old)
+        release(pairs, found)
+    release(rows, often, sketch, *tested)
     return tops
 
 
@@ -514,7 +568,7 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     to all texts, here by how many texts have them, any two texts that are ``least`` alike
     share one of the first (1 - ``least``) of either.  Of these, fingerprints of 256 bits
     leave out pairs over ``limit`` bits apart (0.8 gives 39 on average, 48 in texts of a
-    few shingles), and exact similarities decide.
+    few shingles), parities those that differ in too many shingles, and exact similarities decide.
 
     Null keys come last, and of texts with one key that of the smaller hash stays; of rows
     that agree in key and text any one stays.  Null and empty texts are one text, and blank
@@ -524,14 +578,14 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     node = F.xxhash64(whole)
     ranks = df.sparkSession.sparkContext.broadcast(rarity(df.select(whole.alias("text")), shingle))  # 4 MB
     source = df.select(F.struct(F.col(key).alias("key"), node.alias("node")).alias("id"), whole.alias("text"))
-    rows = source.mapInArrow(_sketches(shingle, least, ranks), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in FPS) + ", size long, prefix array<long>")
+    rows = source.mapInArrow(_sketches(shingle, least, ranks), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in (*FPS, *ODD)) + ", size long, prefix array<long>")
     rows = keep(rows, "sketches")
     first = F.min(F.struct(F.col("id.key").isNull().alias("none"), F.col("id.key").alias("key"))).alias("least")
-    nodes = keep(rows.groupBy("id.node").agg(first, *[F.first(n).alias(n) for n in (*FPS, "size")]), "nodes")
+    nodes = keep(rows.groupBy("id.node").agg(first, *[F.first(n).alias(n) for n in (*FPS, *ODD, "size")]), "nodes")
 
     def marks_of(some: DataFrame) -> DataFrame:
         # one row of each text: that of its smallest key
-        own = nodes.join(some, "node", "left_semi").select(F.col("node").alias("own"), F.col("least.key").alias("own_key"))
+        own = broadcast_if_small(nodes.join(some, "node", "left_semi").select(F.col("node").alias("own"), F.col("least.key").alias("own_key")))
         texts = df.select(F.col(key).alias("key"), node.alias("node"), whole.alias("text"))
         return texts.join(own, (F.col("node") == F.col("own")) & F.col("key").eqNullSafe(F.col("own_key")), "left_semi").select("node", "text").mapInArrow(_marks(shingle), "node long, marks array<long>")
 
@@ -545,4 +599,5 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     out = df.withColumn(mine, node).join(stay, (F.col(mine) == F.col(theirs)) & F.col(key).eqNullSafe(F.col(keys)))
     if not rows.groupBy("id").count().filter("count > 1").isEmpty():
         out = out.dropDuplicates([key, mine])
+    release(rows, nodes, tops)
     return out.select(*df.columns)

@@ -1,5 +1,6 @@
 """SimHash near-duplicates, components and decontamination, against brute force."""
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -164,6 +165,48 @@ def test_chains_and_boilerplate_as_by_brute_force(spark, cell):
     assert {r["doc_id"] for r in kept} == set(tops.values())
 
 
+def test_a_round_compares_a_component_with_one_other(spark):
+    """Listings with other first texts each gave a pair for every text and listing; now a component has one pair a round."""
+    rows = spark.createDataFrame([(b, n, 5, n) for b in range(15) for n in range(b + 1, 21)], "bucket long, node long, listed long, top long")
+    tested, rounds = set(), []
+    for _ in range(3):
+        known = spark.createDataFrame(sorted(tested), "a long, b long")
+        rounds.append({tuple(r) for r in near_dup._stars(rows, known).collect()})
+        assert 1 < len(rounds[-1]) <= 20 and not rounds[-1] & tested
+        tested |= rounds[-1]
+    assert tested <= {(b + 1, n) for b in range(15) for n in range(b + 2, 21)}
+
+
+def test_parities_leave_out_unlike_texts_and_no_link():
+    rng = np.random.default_rng(6)
+    share = near_dup.differing(0.8)
+    for n in (1, 10, 300, 5000):
+        one = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for k in (0, 1, n // 9, n // 2):
+            two = one.copy()
+            two[:k] = rng.integers(0, 2**64, k, dtype=np.uint64)
+            assert near_dup._apart(near_dup.parities(one), near_dup.parities(two)) <= 2 * k
+    one, two = (rng.integers(0, 2**64, 300, dtype=np.uint64) for _ in range(2))
+    two[:150] = one[:150]
+    assert near_dup._apart(near_dup.parities(one), near_dup.parities(two)) > share * 600
+
+
+def test_working_tables_go(spark, docs, monkeypatch):
+    """Only what the result still reads is left in the shared folder."""
+    made, write = {}, near_dup.keep
+
+    def spied(df, name, rows=None):
+        out = write(df, name, rows)
+        made[out._kept_at.removeprefix("file:")] = name
+        return out
+
+    for module in (near_dup, components):
+        monkeypatch.setattr(module, "keep", spied)
+    assert near_dup.distinct_texts(docs).count()
+    assert {"sketches", "met", "marks", "stay"} <= set(made.values())
+    assert {name for path, name in made.items() if os.path.exists(path)} <= {"stay", "crowded"}
+
+
 def test_columns_may_have_the_names_of_working_ones(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3, 4, 5, 6), (2, "a b c d e f g", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, node int, stays int, stay_key int, _node int, _least int, top int")
     assert [tuple(r) for r in near_dup.distinct_texts(df).collect()] == [(1, "a b c d e f g", 1, 2, 3, 4, 5, 6)]
