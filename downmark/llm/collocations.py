@@ -11,8 +11,8 @@ Counts of the shards are summed level by level.  An n-gram can only be frequent
 its parents are, so every shard extends just those of its intervals whose n-grams are
 frequent in the whole corpus.  What a shard has of a level goes to the buckets of a hash
 in packed arrays; a bucket sums its n-grams over all shards, numbers the frequent ones, and
-sends (interval, number) back to the shards that have them.  N-grams of a level are the
-pair of their parents' numbers, so no words are shuffled over level one.
+sends (interval, number), packed too, back to the shards that have them.  N-grams of a level
+are the pair of their parents' numbers, so no words are shuffled over level one.
 """
 
 from __future__ import annotations
@@ -32,12 +32,11 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from . import files
-from .common import ascii_lower, broadcast_if_small, keep, shared_path
+from .common import ascii_lower, broadcast_if_small, keep, release, shared_path
 
 PIECE, WORD = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
 #: Words a shard closes at.
 SHARD_WORDS = 1 << 21
-_ROWS = 1 << 16
 #: Bytes of text and words for which there is a bucket more.
 BUCKET_BYTES, BUCKET_ROWS = 1 << 24, 1 << 20
 #: Rows of two numbers that a join may broadcast.
@@ -176,9 +175,9 @@ def _shards(folder: str, shard_words: int, buckets: int):
     return run
 
 
-#: What a bucket tells: totals of a language (0), frequent phrases (1), intervals of shards with such a phrase (2).
-TOLD = "kind int, shard bigint, start bigint, size bigint, number bigint, lang string, phrase string, left bigint, right bigint, count bigint"
-_TOLD = pa.schema([("kind", pa.int32()), *[(n, pa.int64()) for n in ("shard", "start", "size", "number")], ("lang", pa.string()), ("phrase", pa.string()),
+#: What a bucket tells: totals of a language (0), frequent phrases (1), for each shard the packed (start, size, number) of its intervals with such a phrase (2).
+TOLD = "kind int, shard bigint, blob binary, number bigint, lang string, phrase string, left bigint, right bigint, count bigint"
+_TOLD = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("blob", pa.binary()), ("number", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()),
                    *[(n, pa.int64()) for n in ("left", "right", "count")]])
 
 
@@ -186,6 +185,11 @@ def _told(kind: int, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.array([kind] * n if f.name == "kind" else [None] * n, f.type) for f in _TOLD], schema=_TOLD)
 
 
+def _intervals(shard: int, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    """The intervals of one shard that a bucket has numbers for, as one row."""
+    return _told(2, 1, shard=[shard], blob=[pack(np.diff(start, prepend=0), size, number)])
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """The packed rows of each bucket, from rows sorted by bucket."""
     bucket, held = None, []
@@ -221,7 +225,8 @@ def _frequent_words(least: int):
             for shard, lang, words, start, size in opened:
                 found = np.array([number.get((lang, w), -1) for w in words], np.int64)
                 at = np.flatnonzero(found >= 0)
-                yield _told(2, len(at), shard=np.full(len(at), shard), start=start[at], size=size[at], number=found[at])
+                if len(at):
+                    yield _intervals(shard, start[at], size[at], found[at])
 
     return run
 
@@ -234,7 +239,7 @@ def _extend(folder: str, buckets: int):
         def close() -> Iterator[pa.RecordBatch]:
             data = zstandard.ZstdDecompressor().decompress(files.open_mapped(f"{folder}/{shard}.bwt"))
             index = Index(np.frombuffer(data, np.int32))
-            start, size, number = (np.concatenate(x) for x in zip(*held))
+            start, size, number = (np.concatenate(x) for x in zip(*[(np.cumsum(d), *rest) for d, *rest in held]))
             left, right, start, size = index.extended(index.rows(start, size, number))
             if not len(start):
                 return
@@ -248,14 +253,12 @@ def _extend(folder: str, buckets: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names, *values = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if shard is None or int(names[a]) != shard:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != shard:
                     if held:
                         yield from close()
-                    shard, held = int(names[a]), []
-                held.append(tuple(v[a:b] for v in values))
+                    shard, held = name, []
+                held.append(unpack(blob.as_py(), 3))
         if held:
             yield from close()
 
@@ -267,7 +270,6 @@ def _frequent_grams(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
             parts = [unpack(row["blob"], 4) for row in rows]
-            shard = np.repeat(np.array([row["shard"] for row in rows]), [len(p[0]) for p in parts])
             start, size, left, right = (np.concatenate(x) for x in zip(*[(np.cumsum(d), *rest) for d, *rest in parts]))
             order = np.lexsort((right, left))
             new = np.ones(len(order), bool)
@@ -280,10 +282,11 @@ def _frequent_grams(least: int):
             found[order] = np.repeat(rank, np.diff(np.append(first, len(order))))
             one = order[first[good]]
             yield _told(1, len(one), number=(bucket << 32) + np.arange(len(one)), left=left[one], right=right[one], count=total[good])
-            at = np.flatnonzero(found >= 0)
-            for i in range(0, len(at), _ROWS):
-                own = at[i:i + _ROWS]
-                yield _told(2, len(own), shard=shard[own], start=start[own], size=size[own], number=(bucket << 32) + found[own])
+            edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+            for row, a, b in zip(rows, edges[:-1], edges[1:]):
+                at = a + np.flatnonzero(found[a:b] >= 0)
+                if len(at):
+                    yield _intervals(row["shard"], start[at], size[at], (bucket << 32) + found[at])
 
     return run
 
@@ -303,20 +306,23 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", min_
     # shards have names of their own, so what is told of them is written before it is read by others
     packed = keep(source.mapInArrow(_shards(folder, shard_words, 1 + size // bucket_bytes), "bucket bigint, shard bigint, lang string, words binary, blob binary"), "words")
     told = keep(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_words(min_count), TOLD), "told-1")
+    release(packed)
     totals = keep(told.filter("kind = 0").groupBy("lang").agg(F.sum("count").alias("n")), "totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
-    level = told.filter("kind = 1").select("number", "lang", "phrase", "left", "right", "count")
+    level = keep(told.filter("kind = 1").select("number", "lang", "phrase", "left", "right", "count"), "phrases-1")
     levels = [level]
     for k in range(2, longest + 1):
-        open_ = told.filter("kind = 2").select("shard", "start", "size", "number").repartition("shard").sortWithinPartitions("shard")
+        open_ = told.filter("kind = 2").select("shard", "blob").repartition("shard").sortWithinPartitions("shard")
         grams = open_.mapInArrow(_extend(folder, 1 + words // bucket_rows), "bucket bigint, shard bigint, blob binary")
-        told = keep(grams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_grams(min_count), TOLD), f"told-{k}")
+        before, told = told, keep(grams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_grams(min_count), TOLD), f"told-{k}")
+        release(before)
         one = level.select(F.col("number").alias("left"), "lang", F.col("phrase").alias("head"))
         two = level.select(F.col("number").alias("right"), F.substring_index("phrase", " ", -1).alias("last"))
         rows = told.filter("kind = 1").select("number", "left", "right", "count")
         level = keep(rows.join(broadcast_if_small(one), "left").join(broadcast_if_small(two), "right")
                      .select("number", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "left", "right", "count"), f"phrases-{k}")
         levels.append(level)
+    release(told)
     return totals, levels
 
 
@@ -370,7 +376,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", min_coun
                                   F.col(f"l{j}").alias("l"), F.col(f"r{j}").alias("r")) for j in range(1, k)])
         part = level.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
         out = part if out is None else out.unionByName(part)
-    return _best(keep(out, "scored"), top)
+    scored = keep(out, "scored")
+    release(*levels)
+    return _best(scored, top)
 
 
 def _best(scored: DataFrame, top: int, parts: int = 256) -> DataFrame:

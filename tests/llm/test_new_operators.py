@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from downmark.llm import collocations, license_scan, spelling
 
@@ -246,5 +248,19 @@ def spark_col(name):
     return F.col(name)
 
 
+def test_buckets_answer_a_shard_in_one_row():
+    """What goes back to the shards grows with buckets and shards, not with words and pairs."""
+    zip_ = zstandard.ZstdCompressor().compress
+    words = pa.RecordBatch.from_pylist([{"bucket": 3, "shard": s, "lang": "en", "words": zip_(b"a\nb\nc"), "blob": collocations.pack(np.array([0, 7, 9]), np.array([7, 2, 5]))} for s in (11, 12)])
+    grams = pa.RecordBatch.from_pylist([{"bucket": 3, "shard": s, "blob": collocations.pack(np.array([4, 2, 3]), np.array([7, 2, 5]), np.array([1, 1, 2]), np.array([1, 2, 2]))} for s in (11, 12)])
+    for step, batch, starts in ((collocations._frequent_words(10), words, [0, 9]), (collocations._frequent_grams(10), grams, [4, 9])):
+        rows = [r for out in step(iter([batch])) for r in out.to_pylist()]
+        back = [r for r in rows if r["kind"] == 2]
+        assert [r["shard"] for r in back] == [11, 12] and sum(r["kind"] == 1 for r in rows) == 2
+        for r in back:
+            gap, size, number = collocations.unpack(r["blob"], 3)
+            assert np.cumsum(gap).tolist() == starts and size.tolist() == [7, 5] and number.tolist() == [3 << 32, (3 << 32) + 1]
+
+
 def test_nothing_to_mine(empty):
     assert collocations.collocations(empty).count() == 0
