@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import sys
 import uuid
 from collections.abc import Iterator
@@ -90,48 +92,110 @@ class RepeatedClock(StatefulProcessor):
         pass
 
 
+#: Keys that the plays or games of a feed are dealt over.
+PARTS = 1024
+
+
+def dealt(feed: DataFrame, by, columns, parts: int) -> DataFrame:
+    """The feed's ``columns`` behind the ``part`` that holds all rows of a key ``by``.
+
+    Games and plays are many and small.  A part answers for all of its own at once, so a
+    trigger calls the state store a few times a part and not a few times a play."""
+    return feed.select(F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int").alias("part"), *columns)
+
+
+class Held:
+    """What a part knows of each of its keys, as a log of packed changes.
+
+    ``read`` merges the log; ``write`` appends what a trigger changed, None for a key that
+    goes, and packs the log anew once it has ``most`` entries, ``size`` keys in each."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, most: int = 16, size: int = 20_000):
+        self.log, self.most, self.size = handle.getListState(name, "changes binary"), most, size
+
+    def read(self) -> dict:
+        known, self.entries = {}, 0
+        for (packed,) in self.log.get():
+            known.update(pickle.loads(packed))
+            self.entries += 1
+        return {k: v for k, v in known.items() if v is not None}
+
+    def write(self, known: dict, changed: dict) -> None:
+        if not changed:
+            return
+        packed = self._packed(changed)
+        if self.entries + len(packed) <= self.most + len(known) // self.size:
+            self.log.appendList(packed)
+            return
+        packed = self._packed(known)
+        if packed:
+            self.log.put(packed)
+        else:
+            self.log.clear()
+
+    def _packed(self, values: dict) -> list:
+        items = iter(values.items())
+        return [(pickle.dumps(dict(some)),) for some in iter(lambda: list(itertools.islice(items, self.size)), [])]
+
+
 class DelayedRelease(StatefulProcessor):
     """Holds each report until observed + delay.
 
     A report of the play that is observed before then takes its place and waits its
     own delay, so a version that was corrected in time never shows.  A correction of
-    a report that has been shown is released as ``revised``.  State per (game, play):
-    the reports that wait, and whether one has been shown.  Reports may come in any
+    a report that has been shown is released as ``revised``.  State per (game, play), kept
+    by part: how often one has been shown, and the reports that wait.  Reports may come in any
     order within the lateness of the watermark: what is released is decided when the
     watermark passes its due time, by when every report that could replace it is here.
+    A part has a timer for the first report that waits and releases all that is due.
     """
 
     def __init__(self, delay: int):
         self.delay = delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due bigint, event_id bigint", "at bigint, content string")
-        self.shown = handle.getValueState("shown", "n int")
+        self.handle, self.held, self.swept = handle, Held(handle, "waiting"), set()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in rows:
-            if row.event_id is None:  # a tick of the clock, not a report
+        known, changed, first = self.held.read(), {}, None
+        for _, game, play, event_id, at, content, _ in rows:
+            if event_id is None:  # a tick of the clock, not a report
                 continue
-            due = row.at + self.delay
-            self.waiting.updateValue((due, row.event_id), (row.at, row.content))
-            self.handle.registerTimer(due)
+            due = at + self.delay
+            held = known.setdefault((game, play), (0, {}))
+            held[1][due, event_id] = (at, content)
+            changed[game, play] = held
+            first = due if first is None else min(first, due)
+        if first is not None:
+            self.handle.registerTimer(first)
+            self.held.write(known, changed)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted((k[0], k[1], v[0], v[1]) for k, v in self.waiting.iterator())
-        ready = [x for x in held if x[0] == due]
-        for item in ready:
-            self.waiting.removeKey((item[0], item[1]))
-        if not ready:
+        if key in self.swept:
             return
-        last = ready[-1]
-        if any(x[:2] > last[:2] and x[2] <= due for x in held):
-            return  # replaced before it was shown
-        n = self.shown.get()[0] if self.shown.exists() else 0
-        self.shown.update((n + 1,))
-        yield Row(game=key[0], play=key[1], event_id=last[1], observed_at=last[2], released_at=due, content=last[3], revised=n > 0)
+        self.swept.add(key)
+        now, known, changed, first = timerValues.getCurrentWatermarkInMs(), self.held.read(), {}, None
+        for (game, play), (n, waiting) in known.items():
+            places = sorted(waiting)
+            ready = [x for x in places if x[0] <= now]
+            for i, (due, event_id) in enumerate(ready):
+                after = places[i + 1] if i + 1 < len(places) else None
+                # replaced by a later one before it was shown, or not the last of those due together
+                if after is None or waiting[after][0] > due:
+                    at, content = waiting[due, event_id]
+                    yield Row(game=game, play=play, event_id=event_id, observed_at=at, released_at=due, content=content, revised=n > 0)
+                    n += 1
+            if ready:
+                for x in ready:
+                    del waiting[x]
+                changed[game, play] = (n, waiting)
+            if len(ready) < len(places):
+                first = places[len(ready)][0] if first is None else min(first, places[len(ready)][0])
+        known.update(changed)
+        self.held.write(known, changed)
+        if first is not None:
+            self.handle.registerTimer(first)
 
     def close(self) -> None:
         pass
@@ -147,14 +211,14 @@ def repeated_clocks(feed: DataFrame, least: int = 3) -> DataFrame:
     return feed.groupBy("game").transformWithState(RepeatedClock(least), CLOCKS, "Append", "None")
 
 
-def delayed_release(feed: DataFrame, delay: int, lateness: str, time: str = "ts") -> DataFrame:
+def delayed_release(feed: DataFrame, delay: int, lateness: str, time: str = "ts", parts: int = PARTS) -> DataFrame:
     """Releases fire when the watermark passes observed + delay.
 
     ``lateness`` says how much later than a newer report one may still come; the
     watermark drops what is later, and counts it in the query's progress."""
     with_state_store(feed.sparkSession)
-    timed = feed.withWatermark(time, lateness)
-    return timed.groupBy("game", "play").transformWithState(DelayedRelease(delay), RELEASE, "Append", "EventTime")
+    timed = dealt(feed.withWatermark(time, lateness), ("game", "play"), ("game", "play", "event_id", "at", "content", time), parts)
+    return timed.groupBy("part").transformWithState(DelayedRelease(delay), RELEASE, "Append", "EventTime")
 
 
 def release_all(feed: DataFrame, delay: int, lateness: str, folder: str, time: str = "ts") -> DataFrame:
