@@ -8,15 +8,17 @@ which a correction is a row of its own.
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .revisions import with_state_store
+from .revisions import PARTS, Held, dealt, with_state_store
 
 # Classes travel with the query to the driver's own Python worker.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,40 +33,41 @@ FLAGGED = "game bigint, play string, event_id bigint, late boolean, first_poll b
 
 
 class Contributions(StatefulProcessor):
-    """Per (game, part of its plays): what each play counts for now.
+    """Per part of the plays of all games: what each play counts for now.
 
     A newer report of a play takes its old figures off and puts its own on, in whatever
-    team; what a trigger changed leaves as one row of differences per team.
+    team; what a trigger changed leaves as one row of differences per game and team.
     """
 
     def __init__(self, measures: Sequence[str]):
         self.measures = list(measures)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{m} bigint" for m in self.measures)
-        self.held = handle.getMapState("held", "play string", f"event_id bigint, team string, {fields}")
+        self.held = Held(handle, "held")
+        self.out = Row("game", "part", "team", "plays", *self.measures)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest: dict[str, Row] = {}
-        for row in rows:
-            if row.play not in newest or row.event_id > newest[row.play].event_id:
-                newest[row.play] = row
-        changed: dict[str | None, list[int]] = {}
-        for play, row in newest.items():
-            old = self.held.getValue((play,)) if self.held.containsKey((play,)) else None
-            if old is not None and old[0] >= row.event_id:
+        newest: dict[tuple, tuple] = {}
+        for _, game, play, event_id, team, *values in rows:
+            known = newest.get((game, play))
+            if known is None or event_id > known[0]:
+                newest[game, play] = (event_id, team, *(v or 0 for v in values))
+        held, taken, changed = self.held.read(), {}, {}
+        for place, new in newest.items():
+            old = held.get(place)
+            if old is not None and old[0] >= new[0]:
                 continue
-            new = tuple(row[m] or 0 for m in self.measures)
-            for team, values, sign in ((old[1], old[2:], -1),) if old else ():
-                self._add(changed, team, values, sign)
-            self._add(changed, row.team, new, 1)
-            self.held.updateValue((play,), (row.event_id, row.team, *new))
-        for team, (plays, *values) in changed.items():
+            if old is not None:
+                self._add(changed, (place[0], old[1]), old[2:], -1)
+            self._add(changed, (place[0], new[1]), new[2:], 1)
+            taken[place] = held[place] = new
+        for (game, team), (plays, *values) in changed.items():
             if plays or any(values):
-                yield Row(game=key[0], part=key[1], team=team, plays=plays, **dict(zip(self.measures, values)))
+                yield self.out(game, key[0], team, plays, *values)
+        self.held.write(held, taken)
 
-    def _add(self, changed, team, values, sign: int) -> None:
-        total = changed.setdefault(team, [0] * (1 + len(self.measures)))
+    def _add(self, changed, place, values, sign: int) -> None:
+        total = changed.setdefault(place, [0] * (1 + len(self.measures)))
         for i, v in enumerate((1, *values)):
             total[i] += sign * v
 
@@ -72,16 +75,16 @@ class Contributions(StatefulProcessor):
         pass
 
 
-def insight_changes(feed: DataFrame, measures: Sequence[str], parts: int = 16) -> DataFrame:
+def insight_changes(feed: DataFrame, measures: Sequence[str], parts: int = PARTS) -> DataFrame:
     """Differences (game, part, team, plays, measures) that the reports of each trigger make.
 
-    ``feed`` has game, play, event_id, team and a bigint column per measure.  A game's plays
-    are dealt over ``parts`` keys, so a game with a third of all reports is no single task.
+    ``feed`` has game, play, event_id, team and a bigint column per measure.  The plays of all
+    games are dealt over ``parts`` keys, so a game with a third of all reports is no single task.
     """
     with_state_store(feed.sparkSession)
-    dealt = feed.withColumn("part", F.pmod(F.xxhash64("play"), F.lit(parts)).cast("int"))
     schema = "game bigint, part int, team string, plays bigint, " + ", ".join(f"{m} bigint" for m in measures)
-    return dealt.groupBy("game", "part").transformWithState(Contributions(measures), schema, "Append", "None")
+    rows = dealt(feed, ("game", "play"), ("game", "play", "event_id", "team", *measures), parts)
+    return rows.groupBy("part").transformWithState(Contributions(measures), schema, "Append", "None")
 
 
 def write_batch(batch: DataFrame, folder: str, epoch: int, epoch_column: str = "batch") -> None:
@@ -107,7 +110,7 @@ def read_batches(spark: SparkSession, folder: str, schema, epoch_column: str = "
     return spark.read.schema(StructType([*fields.fields]).add(epoch_column, LongType())).parquet(f"{folder}/log")
 
 
-def running_insights(feed: DataFrame, measures: Sequence[str], folder: str, parts: int = 16) -> DataFrame:
+def running_insights(feed: DataFrame, measures: Sequence[str], folder: str, parts: int = PARTS) -> DataFrame:
     """Figures per game and team over the last report of every play, kept by differences alone.
 
     No batch reads what earlier ones read: it appends the differences it makes, and the

@@ -80,3 +80,15 @@ def test_old_reports_of_unseen_plays_are_late(spark, tmp_path):
     stream = feed(spark, tmp_path / "in", slices, "game long, play string, event_id long, content string")
     got = {(r["game"], r["play"], r["event_id"], r["late"], r["first_poll"]) for r in ST.run_available(LV.split_late(stream)).collect()}
     assert got == {(1, "a", 5, False, True), (1, "b", 3, False, True), (1, "c", 4, True, False), (1, "a", 2, False, False), (1, "d", 9, False, False), (2, "a", 1, False, True)}
+
+
+def test_slices_land_in_as_many_files(spark, tmp_path):
+    from downmark.plans import stream_queries as SQ
+    events = spark.range(0, 100, 1, 3).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 7 as user_id", "'view' as event_type", "double(id) as value",
+                                                  """concat('{"k": ', id % 5, '}') as props""")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    stream = SQ.sliced_feed(spark, str(tmp_path), 3, "if(event_id < 60, 0, if(event_id < 90, 1, 2))", ("game", "play", "event_id"), file_rows=5)
+    out = str(tmp_path / "out")
+    LV.append_batches(stream, out)
+    got = LV.read_batches(spark, out, stream.schema).groupBy("batch").agg(F.min("event_id"), F.max("event_id"), F.count("*")).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 59, 60), (1, 60, 89, 30), (2, 90, 99, 10)]
