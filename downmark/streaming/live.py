@@ -129,53 +129,80 @@ def running_insights(feed: DataFrame, measures: Sequence[str], folder: str, part
 
 
 class Picks(StatefulProcessor):
-    """Per (game, play): picks that wait, and picks that a report has settled.
+    """Per (game, play), kept by part: picks that wait, and picks that a report has settled.
 
     The first report of the play that follows a pick within the bound settles it; a later
     report with other content voids it.  A pick whose bound passes without one is closed.
+    Settled picks are kept by the content that settled them, so a report that says the same
+    again asks none of them.
     """
 
     def __init__(self, within: int, horizon: int):
         self.within, self.horizon = within, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "pick_id bigint", "at bigint")
-        self.settled = handle.getMapState("settled", "pick_id bigint", "at bigint, report_id bigint, content string")
+        self.handle, self.held, self.swept = handle, Held(handle, "picks"), set()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        say = lambda pick, status, report, seq: Row(game=key[0], play=key[1], pick_id=pick, status=status, report_id=report, seq=seq)
-        for row in sorted((r for r in rows if r.event_id is not None), key=lambda r: r.event_id):
-            if row.is_pick:
-                self.open.updateValue((row.event_id,), (row.at,))
-                self.handle.registerTimer(row.at + self.within)
-                continue
-            for (pick,), (at, report, content) in list(self.settled.iterator()):
-                if content != row.content and row.at - at <= self.horizon:
-                    self.settled.removeKey((pick,))
-                    yield say(pick, "void", report, 2)
-            for (pick,), (at,) in list(self.open.iterator()):
-                if row.at - at <= self.within and row.event_id > pick:
-                    self.open.removeKey((pick,))
-                    self.settled.updateValue((pick,), (at, row.event_id, row.content))
-                    self.handle.registerTimer(at + self.horizon)
-                    yield say(pick, "settled", row.event_id, 1)
+        say = lambda place, pick, status, report, seq: Row(game=place[0], play=place[1], pick_id=pick, status=status, report_id=report, seq=seq)
+        known, changed, first = self.held.read(), {}, None
+        for _, game, play, event_id, at, content, is_pick, _ in sorted((r for r in rows if r[3] is not None), key=itemgetter(3)):
+            place = (game, play)
+            picks, settled = known.get(place) or ({}, {})
+            if is_pick:
+                picks[event_id] = at
+                first = at + self.within if first is None else min(first, at + self.within)
+            else:
+                for said in [c for c in settled if c != content]:
+                    for pick, (since, report) in list(settled[said].items()):
+                        if at - since <= self.horizon:
+                            del settled[said][pick]
+                            yield say(place, pick, "void", report, 2)
+                    if not settled[said]:
+                        del settled[said]
+                for pick, since in list(picks.items()):
+                    if at - since <= self.within and event_id > pick:
+                        del picks[pick]
+                        settled.setdefault(content, {})[pick] = (since, event_id)
+                        first = since + self.horizon if first is None else min(first, since + self.horizon)
+                        yield say(place, pick, "settled", event_id, 1)
+            if picks or settled:
+                known[place] = changed[place] = (picks, settled)
+            elif known.pop(place, None):
+                changed[place] = None
+        if first is not None:
+            self.handle.registerTimer(first)
+        self.held.write(known, changed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for (pick,), (at,) in list(self.open.iterator()):
-            if at + self.within <= now:
-                self.open.removeKey((pick,))
-                yield Row(game=key[0], play=key[1], pick_id=pick, status="closed", report_id=None, seq=1)
-        for (pick,), value in list(self.settled.iterator()):
-            if value[0] + self.horizon <= now:
-                self.settled.removeKey((pick,))
+        """Everything in the part that the clock has passed; the next timer is for the first that waits."""
+        if key in self.swept:
+            return
+        self.swept.add(key)
+        now, known, changed, first = timerValues.getCurrentWatermarkInMs(), self.held.read(), {}, None
+        for place, (picks, settled) in known.items():
+            over = [pick for pick, since in picks.items() if since + self.within <= now]
+            done = [(said, pick) for said, some in settled.items() for pick, (since, _) in some.items() if since + self.horizon <= now]
+            for pick in over:
+                del picks[pick]
+                yield Row(game=place[0], play=place[1], pick_id=pick, status="closed", report_id=None, seq=1)
+            for said, pick in done:
+                del settled[said][pick]
+                if not settled[said]:
+                    del settled[said]
+            if over or done:
+                changed[place] = (picks, settled) if picks or settled else None
+            for due in itertools.chain((since + self.within for since in picks.values()), (since + self.horizon for some in settled.values() for since, _ in some.values())):
+                first = due if first is None else min(first, due)
+        self.held.write({k: v for k, v in known.items() if v[0] or v[1]}, changed)
+        if first is not None:
+            self.handle.registerTimer(first)
 
     def close(self) -> None:
         pass
 
 
-def settle_picks(feed: DataFrame, within: int, horizon: int, lateness: str, time: str = "ts") -> DataFrame:
+def settle_picks(feed: DataFrame, within: int, horizon: int, lateness: str, time: str = "ts", parts: int = PARTS) -> DataFrame:
     """What becomes of every pick: ``settled`` by a report, then maybe ``void``, or ``closed``.
 
     ``feed`` mixes picks and reports of (game, play), told apart by ``is_pick``.  Bounds are
@@ -183,7 +210,8 @@ def settle_picks(feed: DataFrame, within: int, horizon: int, lateness: str, time
     until ``horizon``, after which its state goes.
     """
     with_state_store(feed.sparkSession)
-    return feed.withWatermark(time, lateness).groupBy("game", "play").transformWithState(Picks(within, horizon), PICKED, "Append", "EventTime")
+    rows = dealt(feed.withWatermark(time, lateness), ("game", "play"), ("game", "play", "event_id", "at", "content", "is_pick", time), parts)
+    return rows.groupBy("part").transformWithState(Picks(within, horizon), PICKED, "Append", "EventTime")
 
 
 def last_status(log: DataFrame) -> DataFrame:

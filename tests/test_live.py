@@ -82,6 +82,18 @@ def test_old_reports_of_unseen_plays_are_late(spark, tmp_path):
     assert got == {(1, "a", 5, False, True), (1, "b", 3, False, True), (1, "c", 4, True, False), (1, "a", 2, False, False), (1, "d", 9, False, False), (2, "a", 1, False, True)}
 
 
+def test_a_part_holds_many_picks(spark, tmp_path):
+    """All plays in one part: picks of several plays settle, void and close as those of one do, over triggers and timers."""
+    plan = [[(1, "a", 1, 0, "p", True), (2, "a", 2, 1, "p", True), (1, "a", 3, 10, "x", False)],
+            [(2, "a", 4, 70, "x", False), (1, None, 5, 71, "p", True), (1, "a", 6, 80, "y", False)],
+            [(1, None, 7, 90, "x", False), (1, "a", 8, 1000, "z", False), (1, None, 9, 1001, "y", False)]]
+    rows = [[(g, p, e, START + timedelta(seconds=s), ZERO + 1000 * s, c, k) for g, p, e, s, c, k in part] for part in plan]
+    stream = feed(spark, tmp_path / "in", rows, "game long, play string, event_id long, ts timestamp, at long, content string, is_pick boolean")
+    log = LV.run_to_end(stream, lambda f: LV.settle_picks(f, 60_000, 300_000, "10 seconds", parts=1), str(tmp_path / "run"), "10 seconds")
+    got = {(r["game"], r["play"], r["pick_id"], r["status"], r["report_id"]) for r in LV.last_status(log).collect()}
+    assert got == {(1, "a", 1, "void", 3), (2, "a", 2, "closed", None), (1, None, 5, "settled", 7)}
+
+
 def test_slices_land_in_as_many_files(spark, tmp_path):
     from downmark.plans import stream_queries as SQ
     events = spark.range(0, 100, 1, 3).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 7 as user_id", "'view' as event_type", "double(id) as value",
