@@ -262,7 +262,7 @@ def delay_samples(feed: DataFrame) -> DataFrame:
 
 
 class Board(StatefulProcessor):
-    """Per game: breaks of timing, and the situations that wait to be shown.
+    """Per game, kept by part: breaks of timing, and the situations that wait to be shown.
 
     Reports received at one instant are a poll.  A poll first shows what is due: of several
     situations only the last, as a new snap if any of them was one.  Then its own situation
@@ -275,70 +275,93 @@ class Board(StatefulProcessor):
         self.delay, self.gap = delay, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.poll = handle.getValueState("poll", "at bigint, fresh int, polls int")
-        self.last = handle.getValueState("last", "play string, content string")
-        self.queue = handle.getMapState("queue", "event_id bigint", "kind string, play string, content string, at bigint")
-
-    def _show(self, game, now: int) -> Iterator[Row]:
-        due = sorted((k[0], *v) for k, v in self.queue.iterator() if v[3] + self.delay <= now)
-        for item in due:
-            self.queue.removeKey((item[0],))
+        self.handle, self.held, self.swept = handle, Held(handle, "games"), set()
+
+    def _show(self, game, queue: dict, now: int) -> Iterator[Row]:
+        due = sorted(k for k, v in queue.items() if v[3] + self.delay <= now)
         if not due:
             return
-        event_id, _, play, content, at = due[-1]
-        kind = "snap" if any(d[1] == "snap" for d in due) else "context"
-        yield Row(game=game, kind=kind, reason=None, event_id=event_id, play=play, content=content, queued_at=at, at=now, merged=len(due))
-        if len(due) > 1 and now - due[0][4] - self.delay > self.gap:
-            yield self._break(game, "queue_catchup", event_id, now)
+        items = [queue.pop(k) for k in due]
+        _, play, content, at = items[-1]
+        kind = "snap" if any(x[0] == "snap" for x in items) else "context"
+        yield Row(game=game, kind=kind, reason=None, event_id=due[-1], play=play, content=content, queued_at=at, at=now, merged=len(due))
+        if len(due) > 1 and now - items[0][3] - self.delay > self.gap:
+            yield self._break(game, "queue_catchup", due[-1], now)
 
     def _break(self, game, reason: str, event_id: int, now: int) -> Row:
         return Row(game=game, kind="break", reason=reason, event_id=event_id, play=None, content=None, queued_at=None, at=now, merged=None)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        at, fresh, polls = tuple(self.poll.get()) if self.poll.exists() else (None, 0, 0)
-        last = tuple(self.last.get()) if self.last.exists() else None
-        for row in sorted((r for r in rows if r.event_id is not None), key=lambda r: r.event_id):
-            if at is None or row.at > at:
-                if at is not None and row.at >= at + self.delay + self.gap:  # as the timer would have
-                    yield from self._show(key[0], at + self.delay + self.gap)
-                if at is not None and row.at - at > self.gap:
-                    yield self._break(key[0], "response_gap", row.event_id, row.at)
-                yield from self._show(key[0], row.at)
-                at, fresh, polls = row.at, 0, polls + 1
-                self.handle.registerTimer(at + self.delay + self.gap)
-            kind = "snap" if last is None or last[0] != row.play else "context" if last[1] != row.content else None
+        known, changed, first = self.held.read(), {}, None
+        mine = sorted((r for r in rows if r[3] is not None), key=itemgetter(3))
+        games: dict[int | None, list] = {}
+        for row in mine:
+            games.setdefault(row[1], []).append(row)
+        for game, reports in games.items():
+            known[game] = changed[game] = yield from self._reports(game, reports, *known.get(game, (None, 0, 0, None, {})))
+            at, queue = changed[game][0], changed[game][4]
+            if queue:
+                first = at + self.delay + self.gap if first is None else min(first, at + self.delay + self.gap)
+        if first is not None:
+            self.handle.registerTimer(first)
+        self.held.write(known, changed)
+
+    def _reports(self, game, rows, at, fresh, polls, last, queue):
+        """The rows of a game in the order of their numbers; returns what is known of it then."""
+        waits = {v[1]: k for k, v in queue.items()}
+        for _, _, play, event_id, now, content, _ in rows:
+            if at is None or now > at:
+                if at is not None and now >= at + self.delay + self.gap:  # as the timer would have
+                    yield from self._show(game, queue, at + self.delay + self.gap)
+                if at is not None and now - at > self.gap:
+                    yield self._break(game, "response_gap", event_id, now)
+                yield from self._show(game, queue, now)
+                at, fresh, polls = now, 0, polls + 1
+            kind = "snap" if last is None or last[0] != play else "context" if last[1] != content else None
             fresh += kind == "snap" and polls > 1
             if kind == "snap" and fresh == 2:
-                yield self._break(key[0], "batch", row.event_id, row.at)
+                yield self._break(game, "batch", event_id, now)
                 fresh += 1
             if kind is not None:
-                for (waiting,), value in list(self.queue.iterator()):
-                    if value[1] == row.play:
-                        self.queue.removeKey((waiting,))
-                self.queue.updateValue((row.event_id,), (kind, row.play, row.content, row.at))
-                last = (row.play, row.content)
-        if at is not None:
-            self.poll.update((at, fresh, polls))
-        if last is not None:
-            self.last.update(last)
+                old = waits.get(play)
+                if old in queue and queue[old][1] == play:
+                    del queue[old]
+                queue[event_id], waits[play] = (kind, play, content, now), event_id
+                last = (play, content)
+        return at, fresh, polls, last, queue
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """No poll came for a while: what waits is shown when all of it has been due for a gap."""
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.poll.exists() and now == self.poll.get()[0] + self.delay + self.gap:
-            yield from self._show(key[0], now)
+        if key in self.swept:
+            return
+        self.swept.add(key)
+        clock, known, changed, first = timerValues.getCurrentWatermarkInMs(), self.held.read(), {}, None
+        for game, (at, fresh, polls, last, queue) in known.items():
+            if not queue:
+                continue
+            now = at + self.delay + self.gap
+            if now <= clock:
+                before = len(queue)
+                yield from self._show(game, queue, now)
+                if len(queue) < before:
+                    changed[game] = (at, fresh, polls, last, queue)
+            else:
+                first = now if first is None else min(first, now)
+        self.held.write(known, changed)
+        if first is not None:
+            self.handle.registerTimer(first)
 
     def close(self) -> None:
         pass
 
 
-def board(feed: DataFrame, delay: int, gap: int, lateness: str, time: str = "ts") -> DataFrame:
+def board(feed: DataFrame, delay: int, gap: int, lateness: str, time: str = "ts", parts: int = PARTS) -> DataFrame:
     """What a board shows, with a delay, of the situations of each game, and the breaks of timing.
 
     Rows of ``kind`` snap or context are situations, those of kind break carry a reason."""
     with_state_store(feed.sparkSession)
-    return feed.withWatermark(time, lateness).groupBy("game").transformWithState(Board(delay, gap), SHOWN, "Append", "EventTime")
+    rows = dealt(feed.withWatermark(time, lateness), ("game",), ("game", "play", "event_id", "at", "content", time), parts)
+    return rows.groupBy("part").transformWithState(Board(delay, gap), SHOWN, "Append", "EventTime")
 
 
 # --- late reports -----------------------------------------------------------------------------------

@@ -94,6 +94,16 @@ def test_a_part_holds_many_picks(spark, tmp_path):
     assert got == {(1, "a", 1, "void", 3), (2, "a", 2, "closed", None), (1, None, 5, "settled", 7)}
 
 
+def test_a_part_holds_many_games(spark, tmp_path):
+    rows = [(1, "a", 1, 0, "x"), (2, "a", 2, 4, "x"), (1, "b", 3, 6, "y"), (2, "a", 4, 16, "z"), (3, "q", 5, 17, "x"), (1, "e", 6, 70, "x"), (2, "f", 7, 75, "x")]
+    rows = [(g, p, e, START + timedelta(seconds=s), ZERO + 1000 * s, c) for g, p, e, s, c in rows]
+    stream = feed(spark, tmp_path / "in", [rows[:2], rows[2:5], rows[5:]], "game long, play string, event_id long, ts timestamp, at long, content string")
+    got = LV.run_to_end(stream, lambda f: LV.board(f, 10_000, 20_000, "5 seconds", parts=1), str(tmp_path / "run"), "5 seconds").collect()
+    shown = sorted((r["game"], r["event_id"], r["kind"], (r["at"] - ZERO) // 1000, r["merged"]) for r in got if r["kind"] != "break")
+    assert shown == [(1, 3, "snap", 36, 2), (1, 6, "snap", 100, 1), (2, 2, "snap", 16, 1), (2, 4, "context", 46, 1), (2, 7, "snap", 105, 1), (3, 5, "snap", 47, 1)]
+    assert sorted((r["game"], r["reason"], r["event_id"]) for r in got if r["kind"] == "break") == [(1, "queue_catchup", 3), (1, "response_gap", 6), (2, "response_gap", 7)]
+
+
 def test_slices_land_in_as_many_files(spark, tmp_path):
     from downmark.plans import stream_queries as SQ
     events = spark.range(0, 100, 1, 3).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 7 as user_id", "'view' as event_type", "double(id) as value",
