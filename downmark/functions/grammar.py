@@ -79,15 +79,16 @@ def yards(clause: str) -> str:
     amount = f" for ({NUMBER}) {UNIT}(loss )?"
     body = (f"case when p.loss is not null then -p.loss when p.amount is not null then p.amount * if({read('t', amount, 2)} is not null, -1, 1) "
             f"when contains(t, ' no gain ') then 0 end")
-    return let("t", f"lower({told(clause)})", let("p", f"struct({loss} as loss, {number(read('t', amount))} as amount)", body))
+    said = let("t", f"lower({told('c')})", let("p", f"struct({loss} as loss, {number(read('t', amount))} as amount)", body))
+    return let("c", clause, f"if(contains(lower(c), 'for') or contains(lower(c), 'gain'), {said}, null)")
 
 
-def ruling(clause: str) -> str:
-    """struct(name, yards, refused) of the words after PENALTY: the team, the name, its yards and from where."""
+def ruling(clause: str, named: bool = True) -> str:
+    """struct(name, yards, refused) of the words after PENALTY: the team, the name, its yards and from where; the name only if ``named``."""
     word, stop = r"\S+ ", f"(?:[(\\[] |(?:{NUMBER}) {UNIT})"
     name = f"coalesce(rtrim(regexp_extract(t, {q(f'^ {word}((?:(?!{stop}){word})+){stop}')}, 1)), '')"
     spot = number(read("t", f"^ {word}(?:{word})*?({NUMBER}) {UNIT}(?i:from) "))
-    return let("t", told(clause), f"struct({name} as name, {spot} as yards, t rlike {q(' ' + one_of(REFUSED))} as refused)")
+    return let("t", told(clause), f"struct({f'{name} as name, ' if named else ''}{spot} as yards, t rlike {q(' ' + one_of(REFUSED))} as refused)")
 
 
 def hurry(text: str) -> str:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.reports import ACTION, drive_ending, has, PENALTY, q
+from ..functions.reports import ACTION, before_ruling, drive_ending, has
 from ..scale import with_island, with_last_known, with_position, with_previous, with_running
 from ..session import cut_lineage
 
 
 #: Whether a snap is told before the first ruling of a report.
-ACTED = has(f"split(primary, {q('(?i)' + PENALTY)})[0]", ACTION)
+ACTED = has(before_ruling("primary"), ACTION)
 
 
 def last_revisions(reports: DataFrame, keys=("game_id", "play_id"), position="position") -> DataFrame:
@@ -72,12 +72,13 @@ def drive_rows(reports: DataFrame, order=("position",)) -> DataFrame:
     are shuffled once: all that a drive decides are windows over it.
     """
     place = F.struct(*order)
-    drive = W.partitionBy("drive_id")
+    ordered = W.partitionBy("drive_id").orderBy(*order)  # one order for all windows, so a drive is sorted once
+    drive = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     lead = F.expr("not marker and not kickoff and not conversion")
     own_lead = lead & F.expr("outcome <> 'kick'")
     rows = reports.filter("drive_id is not null").withColumns({
-        "_live": F.expr("not marker and not kickoff and not conversion and not (startswith(upper(trim(primary)), 'PENALTY') and penalties > 0 and not accepted and not f_penalty)"),
-        "_acted": F.expr(ACTED), "_closed": F.expr(f"nullif({drive_ending()}, '')")})
+        "_live": F.expr("not marker and not kickoff and not conversion and not (penalties > 0 and not accepted and not f_penalty and startswith(upper(trim(primary)), 'PENALTY'))"),
+        "_acted": F.expr(f"f_penalty and {ACTED}"), "_closed": F.expr(f"nullif({drive_ending()}, '')")})
     first = F.coalesce(F.min_by(F.struct("start_team"), F.when(own_lead, place)).over(drive), F.max_by(F.struct("start_team"), F.when(lead, place)).over(drive))
     rows = rows.withColumn("_team", first).withColumn("team", F.col("_team.start_team")).drop("_team")
     rows = rows.withColumn("own", F.expr("coalesce(start_team = team, false)"))
@@ -88,7 +89,7 @@ def drive_rows(reports: DataFrame, order=("position",)) -> DataFrame:
     rows = rows.withColumn("opens", F.expr("coalesce(_place = _begin, false)")).drop("_live", "_sure", "_place", "_begin")
     rows = rows.withColumn("moved", F.expr("counted and own and movement is not null"))
     end = F.expr("if(moved, start_yards_to_goal - movement.net, null)")
-    return rows.withColumn("prev_end", F.last(end, ignorenulls=True).over(drive.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)))
+    return rows.withColumn("prev_end", F.last(end, ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, -1)))
 
 
 def drive_summary(reports: DataFrame, order=("position",)) -> DataFrame:

@@ -35,8 +35,8 @@ def rows(spark, sf):
 
 
 def described(spark, sf):
-    df = R.with_players(R.describe(rows(spark, sf)))
-    return R.computed(df, {"facts": R.reported_facts(), "action": R.action_code()})
+    df = R.asked(R.with_players(R.describe(rows(spark, sf))), {"facts": R.reported_facts()})
+    return R.computed(df, {"action": R.action_code()})
 
 
 REP = """r AS (SELECT *, date_diff('day', DATE '1990-01-01', CAST(shipped AS DATE)) * 100000000000 + ok * 10 + CAST(split_part(play_id, '-', 2) AS INT) AS position, upper(substr(offense, 1, 3)) AS own, greatest(yards_to_goal - yards_gained, 0) AS true_end,

@@ -105,3 +105,28 @@ def test_lines_are_not_shuffled_for_suppliers_and_customers(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert df.count() == 30 and {(r.offense, r.defense) for r in df.filter("pk = 4").collect()} == {("N1", "N1")}
+
+
+@pytest.mark.parametrize("summary", [G.drive_summary, G.drive_progress])
+def test_drives_are_sorted_once(spark, summary):
+    assert plan(summary(drives(spark))).count("Sort [drive_id") == 1
+
+
+def test_names_and_facts_nobody_reads_are_not_looked_for(spark, monkeypatch):
+    from downmark.functions import reports as R
+    from downmark.plans import report_queries as RQ
+    monkeypatch.setattr(R, "describe", lambda df: df)
+    monkeypatch.setattr(RQ, "rows", lambda spark, sf: spark.range(1).selectExpr(
+        "'#2 R.Back rush left for 3 yards' as primary", "'rush' as type", "false as marker", "false as f_penalty", "false as f_kneel", "false as f_spike", "false as f_sack", "'run' as outcome"))
+    df = RQ.described(spark, "")
+    assert "eligible" not in plan(df.select("action")) and "shotgun" not in plan(df.select("action"))
+    assert "eligible" in plan(df.select("actor")) and "shotgun" in plan(df.select("facts"))
+    row = df.first()
+    assert (row.actor, row.facts, row.action) == ("#2 R.Back", ["Run to the left"], "run")
+
+
+@pytest.mark.parametrize(("text", "yards"), [("#2 R.Back rush For 4 Yards", 4), ("rush for loss of 5 yards", -5), ("rush NO GAIN", 0), ("pass incomplete to #8", None), ("for 3 yards PENALTY AAA for 9 yards", 3),
+                                             ("Penalty AAA for 9 yards", None), ("gained", None), (None, None)])
+def test_yards_before_rulings(spark, text, yards):
+    from downmark.functions import reports as R
+    assert spark.createDataFrame([(text,)], "primary string").selectExpr(R.reported_yards()).first()[0] == yards
