@@ -131,10 +131,11 @@ def fit_sigmoid(scored: DataFrame, by=("league",), steps: int = 100, tolerance:
 def protocol(plays: DataFrame, year: int, by=("league",)) -> DataFrame:
     """before -> tune -> calibrate -> test, each part later than the one before;
     returns the test cells with the uncalibrated and calibrated prediction."""
-    cut = lambda cond: context_cells(plays.filter(cond), by=by, extra=("week",))
-    before, tuning = cut(f"season < {year - 1}"), cut(f"season = {year - 1} and week <= 9")
-    late, test = cut(f"season = {year - 1} and week > 9"), cut(f"season = {year}")
-    ks = tune(before, tuning, year - 2, by)
+    # the plays are read and counted once; parts, fits and Newton steps read the kept cells
+    cells = cut_lineage(context_cells(plays.filter(f"season <= {year}"), by=by, extra=("week",)))
+    before, tuning = cells.filter(f"season < {year - 1}"), cells.filter(f"season = {year - 1} and week <= 9")
+    late, test = cells.filter(f"season = {year - 1} and week > 9"), cells.filter(f"season = {year}")
+    ks = cut_lineage(tune(before, tuning, year - 2, by))
     base = before.unionByName(tuning)
     params = fit_sigmoid(fit_predict(base, late, ks, year - 1, by), by)
     out = fit_predict(base.unionByName(late), test, ks, year - 1, by)

@@ -130,3 +130,18 @@ def test_names_and_facts_nobody_reads_are_not_looked_for(spark, monkeypatch):
 def test_yards_before_rulings(spark, text, yards):
     from downmark.functions import reports as R
     assert spark.createDataFrame([(text,)], "primary string").selectExpr(R.reported_yards()).first()[0] == yards
+
+
+def test_protocol_counts_its_plays_once(spark):
+    from downmark.operators import context as X
+    rows = spark.range(600).selectExpr("'nfl' as league", "concat('T', id % 3) as offense", "int(1 + id % 4) as down", "int(1 + id % 12) as distance", "int(1 + id % 98) as yards_to_goal", "int(1996 + id % 5) as season",
+                                       "int(1 + (id div 5) % 14) as week", "hash(id) % 3 = 0 as is_pass", "hash(id) % 3 <> 0 as is_rush", "false as is_special", "false as is_penalty_only", "'' as play_text",
+                                       "int(id % 4 + 1) as period", "int(id * 7 % 900) as clock_seconds", "int(id % 29) - 14 as score_diff")
+    got = X.protocol(rows, 2000)
+    assert "Range (" not in plan(got)
+    cut = lambda cond: X.context_cells(rows.filter(cond), extra=("week",))
+    before, tuning, late, test = cut("season < 1999"), cut("season = 1999 and week <= 9"), cut("season = 1999 and week > 9"), cut("season = 2000")
+    ks = X.tune(before, tuning, 1998)
+    expected = X.fit_predict(before.unionByName(tuning).unionByName(late), test, ks, 1999)
+    ask = lambda df: sorted((r.identity, r.bucket, r.context, r.week, r.plays, r.passes, round(r.pred, 9)) for r in df.collect())
+    assert ask(got) == ask(expected) and len(ask(got)) > 50
